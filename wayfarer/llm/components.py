@@ -1,0 +1,35 @@
+"""Connected components of a link table by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wayfarer.llm.common import cut
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b: long, either order, repeats allowed) to (node, root): the least node reachable from each node that has a link.
+
+    Each round replaces the links by those of every node to the least of its neighbours (large star) and then joins the
+    rest to it (small star), which ends after a number of rounds in the logarithm of the longest path. No group of
+    neighbours is gathered: only minima and joins are used, which Spark splits where a node has very many links.
+    """
+    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    count = edges.count()
+    if not count:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    state = None
+    while True:
+        # large star: every larger neighbour of u, and u, to the least of u and its neighbours
+        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # small star: the smaller neighbours of u, and u, to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("x"), "m").filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+        edges = cut(small)
+        now = tuple(edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first())
+        if now == state:
+            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+        state = now

@@ -32,18 +32,37 @@ def op4_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_ngram_jaccard_join(spark, sf_dir):
+    from wayfarer.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark, sf_dir):
     from wayfarer.llm.mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op8_ngram_jaccard_join, op9_source_mixing)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL = {
+    "op8_ngram_jaccard_join": """
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+        p AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM g a JOIN g b ON a.k = b.k AND a.r <> b.r GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+        c(r, root) USING KEY (r) AS (
+            SELECT r, r FROM d
+            UNION
+            SELECT l.b, min(c.root) FROM c JOIN l ON l.a = c.r JOIN recurring.c o ON o.r = l.b WHERE c.root < o.root GROUP BY l.b),
+        m AS (SELECT c.r, min(d2.doc_id) OVER (PARTITION BY c.root) AS component_id FROM c JOIN d d2 ON d2.r = c.r)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
     "op2_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP2_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_OP2_WORDS} AS w FROM benchmark),
