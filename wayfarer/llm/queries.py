@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark, sf_dir):
+    from wayfarer.llm.secret_scan import secret_spans
+
+    return secret_spans(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op2_benchmark_decontamination(spark, sf_dir):
     from wayfarer.llm import decontaminate as D
 
@@ -44,7 +50,7 @@ def op9_source_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op8_ngram_jaccard_join, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op8_ngram_jaccard_join, op9_source_mixing)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
