@@ -38,6 +38,14 @@ def op4_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_language_id(spark, sf_dir):
+    from wayfarer.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     from wayfarer.llm.jaccard_join import near_duplicates
 
@@ -50,7 +58,7 @@ def op9_source_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op8_ngram_jaccard_join, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op8_ngram_jaccard_join, op9_source_mixing)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
