@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfarer.llm import url_filter
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +48,23 @@ def op5_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality_classifier(spark, sf_dir):
+    from wayfarer.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(quality.training_rows(docs, quality.grades_of(_table(spark, sf_dir, "labels")), 3), 3)
+    found = quality.score(docs, model)
+    tail = lambda k: F.element_at("tails", k)
+    return found.select("doc_id", "expected_grade", tail(1).alias("p_not_toxic"), tail(2).alias("p_good"), (tail(1) >= 0.9).alias("keep"))
+
+
+def op7_url_filter(spark, sf_dir):
+    from wayfarer.llm import url_filter as U
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", U.capture_day("page_id").alias("fetched"))
+    return U.evaluate(pages, U.validity(U.sample_entries(spark))).select("page_id", "url", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "host", "n_active", "lists", "blocked")
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     from wayfarer.llm.jaccard_join import near_duplicates
 
@@ -58,12 +77,13 @@ def op9_source_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op8_ngram_jaccard_join, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL = {
+    "op7_url_filter": url_filter.oracle(),
     "op8_ngram_jaccard_join": """
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
