@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import cut, utf8
 from wayfarer.llm.components import components
 
-#: Fragments of the n-gram order.
-FRAGMENTS = 8
+#: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
+FRAGMENTS, EARLY = 8, (0, 4)
 #: An n-gram that begins more documents than this goes to the end of the order; at most so many do, those in most documents.
-COMMON, MOST_COMMON = 32, 1 << 21
+COMMON, MOST_COMMON = 16, 1 << 21
 #: Words whose hashes a worker keeps.
 VOCABULARY = 1 << 19
 
@@ -77,11 +77,11 @@ def _common_last(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int
 
 
 def _first_grams(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """gram, copies: of the n-grams that begin documents in the order of hashes, counted once for each document."""
+    """gram, copies: of the n-grams that begin documents in the order of hashes (half a prefix tells the common ones), counted once for each document."""
 
     def run(batches):
         for batch in batches:
-            parts = [_signed(g[: prefix_length(len(g), percent)]) for raw in batch.column(0).to_pylist() if len(g := shingles(raw, n))]
+            parts = [_signed(g[: -(-prefix_length(len(g), percent) // 2)]) for raw in batch.column(0).to_pylist() if len(g := shingles(raw, n))]
             gram, copies = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(copies.astype(np.int64))], ["gram", "copies"])
 
@@ -98,78 +98,141 @@ def common_grams(texts: DataFrame, n: int, percent: int) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().view(np.uint64) ^ _TOP)
 
 
+def _parity(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits, each the parity of the n-grams whose hash falls to it: two sets' bits differ in no more places than the sets do."""
+    bits = np.packbits((np.bincount((grams & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8))
+    return tuple(bits.view(np.int64).tolist())
+
+
 def _sets(texts: DataFrame, common, n: int, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2 and the first n-grams in the global order of each text."""
+    """doc_id, n, k1, k2, the parities p1 and p2, and the first n-grams in the global order of each text."""
+    names = ["n", "k1", "k2", "p1", "p2"]
 
     def run(batches):
         late = common.value
         for batch in batches:
-            sizes, keys, first = [], [], []
+            facts, first = [], []
             for raw in batch.column(1).to_pylist():
                 g = shingles(raw, n)
-                sizes.append(len(g))
-                keys.append(set_key(g))
+                facts.append((len(g), *set_key(g), *_parity(g)))
                 first.append(_signed(_common_last(g, late)[0][: prefix_length(len(g), percent)]) if len(g) else np.zeros(0, np.int64))
-            k1, k2 = zip(*keys, strict=True) if keys else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n", "k1", "k2", "first"])
+            columns = zip(*facts, strict=True) if facts else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(first, pa.list_(pa.int64()))], ["doc_id", *names, "first"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, first array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}, first array<long>")
 
 
-def _segments(texts: DataFrame, common, n: int) -> DataFrame:
-    """k1, k2, fragment, grams: the set of each text cut along the global order; common n-grams are the last fragment."""
+def _segments(texts: DataFrame, common, n: int, fragments) -> DataFrame:
+    """k1, k2, fragment, grams: the wanted fragments of each text's set, empty ones too."""
+    wanted = sorted(fragments)
 
     def run(batches):
         late = common.value
-        edges = np.array([(i << 64) // (FRAGMENTS - 1) for i in range(1, FRAGMENTS - 1)], np.uint64)
+        edges = np.array([i << 62 for i in (1, 2, 3)], np.uint64)
         for batch in batches:
             out = []
             for raw in batch.column(0).to_pylist():
                 g = shingles(raw, n)
                 key = set_key(g)
                 ordered, rare = _common_last(g, late)
-                cuts = [0, *np.searchsorted(ordered[:rare], edges).tolist(), rare, len(ordered)]
-                out += [(*key, f, _signed(ordered[a:b])) for f, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                cuts = [0, *np.searchsorted(ordered[:rare], edges).tolist(), rare, *(rare + np.searchsorted(ordered[rare:], edges)).tolist(), len(ordered)]
+                out += [(*key, f, _signed(ordered[cuts[f] : cuts[f + 1]])) for f in wanted]
             k1, k2, f, grams = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["k1", "k2", "fragment", "grams"])
 
     return texts.select("text").mapInArrow(run, "k1 long, k2 long, fragment int, grams array<long>")
 
 
-def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, n, k1, k2, cid; links: a, b, overlap; classes) of the exact self-join at Jaccard >= ``percent`` / 100.
-
-    Texts with equal sets are one class, named by ``cid``; links are between classes.
+class _Join:
+    """What the steps of one self-join share."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int):
+        self.texts, self.n, self.percent = docs.select("doc_id", utf8().alias("text")), n, percent
+        self.common = docs.sparkSession.sparkContext.broadcast(common_grams(self.texts, n, percent))
+        self.rows = cut(_sets(self.texts, self.common, n, percent).withColumn("row", F.monotonically_increasing_id()))
+        # one class for each set; a row of it with the least id, where one has an id, stands for it
+        of_class = self.rows.groupBy("n", "k1", "k2", "p1", "p2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+        self.classes = cut(of_class.select("n", "k1", "k2", "p1", "p2", F.col("least.doc_id").alias("least"), F.col("least.row").alias("row")).withColumn("cid", F.monotonically_increasing_id()))
+
+    def near(self):
+        """Whether two sets a and b that share a first n-gram can be near: by their sizes, by what is left of both after it, and by their parities."""
+        p = self.percent
+        both = F.col("na") + F.col("nb")
+        size = 100 * F.least("na", "nb") >= p * F.greatest("na", "nb")
+        rest = (100 + p) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= p * both
+        differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in (1, 2))
+        return size & rest & ((100 + p) * differ <= (100 - p) * both)
+
+    def members(self) -> DataFrame:
+        """gram, hub, cid, n, at, p1, p2: classes that share a first n-gram with others, and the class that has fewest n-grams before it."""
+        first = cut(self.rows.select("row", "first").join(self.classes.select("row", "cid", F.col("n").cast("int").alias("n")), "row").select("cid", "n", "first"))
+        first = first.select("cid", "n", F.posexplode("first").alias("at", "gram"))
+        groups = first.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("at", "cid")).alias("hub")).filter("size > 1")
+        held = cut(first.join(groups.select("gram", F.col("hub.at").alias("hub_at"), F.col("hub.cid").alias("hub")), "gram"))
+        return cut(held.join(self.classes.select("cid", "p1", "p2"), "cid"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """a, b, overlap of the pairs (a, b, both) that are near: overlaps are counted in the early fragments, then, of pairs that may still be near, in the rest."""
+        p = self.percent
+        early = self._counted(pairs, EARLY)
+        open_ = cut(early.filter((100 + p) * F.col("lost") <= (100 - p) * F.col("both")).select("a", "b", "both", F.col("overlap").alias("before")))
+        late = self._counted(open_, [f for f in range(FRAGMENTS) if f not in EARLY])
+        summed = late.join(open_.select("a", "b", "before"), ["a", "b"]).withColumn("overlap", F.col("overlap") + F.col("before"))
+        return cut(summed.filter((100 + p) * F.col("overlap") >= p * F.col("both")).select("a", "b", "overlap"))
+
+    def _counted(self, pairs: DataFrame, fragments) -> DataFrame:
+        """a, b, both, overlap, lost: n-grams shared and not shared in the fragments, counted in each and summed."""
+        asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "k1", "k2", "least"), "cid"))
+        ids = asked.select(F.col("least").alias("__least")).distinct()
+        again = self.texts.join(ids, self.texts["doc_id"].eqNullSafe(ids["__least"]), "left_semi")
+        # rows that repeat an id and a text repeat their fragments: max() takes one of equal ones
+        parts = _segments(again, self.common, self.n, fragments).join(asked.select("k1", "k2", "cid"), ["k1", "k2"])
+        if self._repeats(asked):
+            parts = parts.groupBy("cid", "fragment").agg(F.max("grams").alias("grams"))
+        parts = cut(parts.select("cid", "fragment", "grams"))
+        of_a = parts.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("ga"))
+        of_b = parts.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("gb"))
+        shared = F.size(F.array_intersect("ga", "gb"))
+        partial = pairs.join(of_a, "a").join(of_b, ["b", "fragment"]).select("a", "b", "both", shared.alias("shared"), (F.size("ga") + F.size("gb") - 2 * shared).alias("lost"))
+        return partial.groupBy("a", "b", "both").agg(F.sum("shared").alias("overlap"), F.sum("lost").alias("lost"))
+
+    def _repeats(self, asked: DataFrame) -> bool:
+        """Whether a class is met by more than one row of the ids that are read again."""
+        met = self.rows.select("doc_id", "k1", "k2").join(asked, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("least")))
+        return met.groupBy("cid").count().filter("count > 1").limit(1).count() > 0
+
+
+def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, n, k1, k2; classes; links: a, b, overlap; components: node, root) of the self-join at Jaccard >= ``percent`` / 100.
+
+    Texts with equal sets are one class; links are between classes. First each n-gram's classes are tried with the one
+    that has least before it, which joins most of a large group at once; then all candidate pairs that are not yet in one
+    component are tried. Links between classes already joined are not listed: components are exact, and no group's pairs
+    are all made.
     """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", utf8().alias("text"))
-    common = spark.sparkContext.broadcast(common_grams(texts, n, percent))
-    rows = cut(_sets(texts, common, n, percent))
-    # one class for each set; a row of it that has an id stands for it where there is one
-    classes = cut(rows.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()))
-    first = rows.join(classes.select("k1", "k2", "cid", F.col("least").alias("doc")), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("doc")))
-    # equal rows of one id would repeat every n-gram
-    first = first.select("cid", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "gram")).distinct()
-    first = cut(first)
-    left = first.select("gram", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    right = first.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    # each pair once; sizes within the bound, and what is left of both sets after the shared n-gram enough for the overlap
-    enough = (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))
-    near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough
-    pairs = cut(left.join(right, (left["gram"] == right["gram"]) & near).select("a", "b", (F.col("na") + F.col("nb")).alias("both")).distinct())
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    asked = cut(classes.join(wanted, "cid").select("cid", "k1", "k2", "least"))
-    ids = asked.select(F.col("least").alias("__least")).distinct()
-    again = texts.join(ids, texts["doc_id"].eqNullSafe(ids["__least"]), "left_semi")
-    parts = _segments(again, common, n).join(asked.select("k1", "k2", "cid"), ["k1", "k2"]).select("cid", "fragment", "grams").dropDuplicates(["cid", "fragment"])
-    parts = cut(parts)
-    of_a = parts.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("ga"))
-    of_b = parts.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(of_a, "a").join(of_b, ["b", "fragment"]).select("a", "b", "both", F.size(F.array_intersect("ga", "gb")).alias("shared"))
-    summed = partial.groupBy("a", "b", "both").agg(F.sum("shared").alias("overlap"))
-    links = cut(summed.filter((100 + percent) * F.col("overlap") >= percent * F.col("both")).select("a", "b", "overlap"))
-    return rows, links, classes
+    join = _Join(docs, n, percent)
+    members = join.members()
+    left = [F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("p1").alias("a1"), F.col("p2").alias("a2")]
+    hubs = join.classes.select(F.col("cid").alias("hub"), F.col("n").cast("int").alias("nb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
+    tried = members.filter("cid <> hub").select(*left, "hub", F.col("hub_at").alias("pb")).join(hubs, "hub")
+    star = cut(tried.filter(join.near()).select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), (F.col("na") + F.col("nb")).alias("both")).distinct())
+    links = join.links(star)
+    roots = components(links)
+
+    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("gram", "cid", "n", "at", "p1", "p2", F.coalesce("root", "cid").alias("root"))
+    mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
+    rooted = cut(rooted.join(mixed, "gram"))
+    a = rooted.select("gram", *left, F.col("root").alias("ra"))
+    b = rooted.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("root").alias("rb"))
+    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & join.near())
+    pairs = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("both")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = cut(pairs)
+    if pairs.limit(1).count():
+        more = join.links(pairs)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links)
+    return join.rows, join.classes, links, roots
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
@@ -179,12 +242,11 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFr
     shingles (all words as one if there are fewer). Null and blank texts have the empty set and no link: their component
     is their own doc_id. Equal rows are each returned. A null doc_id gets the least id of its component, or null.
     """
-    rows, links, classes = linked_classes(docs, n=n, percent=percent)
-    roots = components(links)
-    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("k1", "k2", "n", "least", F.coalesce("root", "cid").alias("root"))
+    rows, classes, _, roots = linked_classes(docs, n=n, percent=percent)
+    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("k1", "k2", "least", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("k1", "k2", "component")
-    out = rows.drop("first").join(named, ["k1", "k2"], "left")
+    out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
