@@ -267,6 +267,24 @@ def training_rows(docs: DataFrame, *, per_label: int = SAMPLE_DOCS) -> list[tupl
     return [(lang, words) for lang, _, _, words in rows]
 
 
+def _judged(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The most probable label of each text and its mean probability."""
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    group, size = [], 0
+    for k, text in enumerate(texts):
+        words = words_of(text) if crf is not None and text else []
+        if words and any(w.isalpha() for w in words):
+            ids = crf.numbers(words)
+            group.append((k, crf.table()[ids]))
+            size += len(words)
+            if size > 200_000:
+                _decide(crf, group, lang, score)
+                group, size = [], 0
+    if group:
+        _decide(crf, group, lang, score)
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
     """doc_id, lang_pred, score of every whole text: the label with the largest mean probability over its words, and that mean.
 
@@ -276,29 +294,31 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        crf = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            group, size = [], 0
-            for k, text in enumerate(texts):
-                if crf is not None and text:
-                    words = words_of(text)
-                    if words and any(w.isalpha() for w in words):
-                        group.append((k, crf.numbers(words)))
-                        size += len(words)
-                        table = crf.table()
-                        group[-1] = (k, table[group[-1][1]])
-                if group and (size > 200_000 or k == len(texts) - 1):
-                    _decide(crf, group, lang, score)
-                    group, size = [], 0
-            if group:
-                _decide(crf, group, lang, score)
+            lang, score = _judged(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def in_language(docs: DataFrame, model: Crf | None, least: float) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text has a language of score ``least`` or more; without a model all rows that have a letter."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            if shared.value is None:
+                keep = [any(c.isalpha() for c in t or "") for t in texts]
+            else:
+                lang, score = _judged(shared.value, texts)
+                keep = [a != UNKNOWN and s >= least for a, s in zip(lang, score, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _decide(crf: Crf, group: list, lang: list, score: list) -> None:
     sizes = np.array([len(x) for _, x in group])
     starts = np.cumsum([0, *sizes[:-1]])

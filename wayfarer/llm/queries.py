@@ -77,7 +77,13 @@ def op9_source_mixing(spark, sf_dir):
     return mix(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing)}
+def op10_html_extraction(spark, sf_dir):
+    from wayfarer.llm.html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing, op10_html_extraction)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
