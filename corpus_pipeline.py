@@ -17,16 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm import decontaminate, jaccard_join, langid, mixing, secret_scan
-from wayfarer.llm.common import shared_dir
+from wayfarer.llm.common import shared_dir, small
 
 #: Least mean probability of a document's language, and what stands for a secret.
-MIN_SCORE, MASK = 0.5, "[secret]"
-
-
-def _with(docs: DataFrame, found: DataFrame, column: str) -> DataFrame:
-    """Rows of ``docs`` that a found row of equal doc_id names in ``column``; null ids are equal."""
-    ids = found.filter(F.col(column)).select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__doc_id"]), "left_semi")
+MIN_SCORE, MASK = 0.35, "[secret]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +43,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Columns of the documents that the mix takes, with ``times``."""
     taken = mixing.mix(docs).filter(F.col("taken") > 0).select(F.col("doc_id").alias("__doc_id"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = taken.groupBy("__doc_id", "__size").agg(F.max("times").alias("times"))
+    taken = small(taken.groupBy("__doc_id", "__size").agg(F.max("times").alias("times")))
     return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__doc_id"]) & (mixing.n_words() == taken["__size"])).drop("__doc_id", "__size")
 
 

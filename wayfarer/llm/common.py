@@ -28,3 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
 def utf8(column: str = "text"):
     """A string column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+#: Rows of a few numbers up to which a table is broadcast (some tens of MB on an executor); larger ones are joined by a shuffle.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder, to be broadcast if it has at most SMALL_ROWS rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose doc_id is (left_anti: is not) in the first column of ``ids``; null ids are equal."""
+    ids = small(ids.select(ids[ids.columns[0]].alias("__id")).distinct())
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import utf8
+from wayfarer.llm.common import utf8, with_ids
 
 #: Bytes of a word: digits, lower-case letters and all of a non-ASCII character; A-Z become a-z, the rest white space.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -154,8 +154,8 @@ def n_hit():
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark window (for tables without distinct doc_ids too: equal ids go together if any is hit)."""
-    bad = contamination(docs, benchmark, width=width).filter(F.size("hits") > 0).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = contamination(docs, benchmark, width=width).filter(F.size("hits") > 0).select("doc_id")
+    return with_ids(docs, bad, "left_anti")
 
 
 def items_digest(items: list[str]) -> str:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import cut, utf8
+from wayfarer.llm.common import cut, utf8, with_ids
 from wayfarer.llm.components import components
 
 #: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
@@ -183,8 +183,7 @@ class _Join:
     def _counted(self, pairs: DataFrame, fragments) -> DataFrame:
         """a, b, both, overlap, lost: n-grams shared and not shared in the fragments, counted in each and summed."""
         asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "k1", "k2", "least"), "cid"))
-        ids = asked.select(F.col("least").alias("__least")).distinct()
-        again = self.texts.join(ids, self.texts["doc_id"].eqNullSafe(ids["__least"]), "left_semi")
+        again = with_ids(self.texts, asked.select("least"))
         # rows that repeat an id and a text repeat their fragments: max() takes one of equal ones
         parts = _segments(again, self.common, self.n, fragments).join(asked.select("k1", "k2", "cid"), ["k1", "k2"])
         if self._repeats(asked):
@@ -252,9 +251,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFr
 
 def one_of_each(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs`` that stand for their group: those whose doc_id is its component. Of rows that repeat a doc_id one stays; rows without a doc_id stay."""
-    found = near_duplicates(docs, n=n, percent=percent).filter(F.col("doc_id") == F.col("component_id"))
-    counted = cut(found.groupBy("doc_id").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("__kept"), "rows"))
-    kept = docs.join(counted.select("__kept"), docs["doc_id"] == F.col("__kept"), "left_semi")
-    if counted.filter("rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    found = cut(near_duplicates(docs, n=n, percent=percent).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")))
+    kept = with_ids(docs, found.filter("not stays").select("doc_id"), "left_anti")
+    if found.filter("rows > 1").limit(1).count():
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return kept
