@@ -22,6 +22,8 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _29, _32 = np.uint64(29), np.uint64(32)
 _TOP = np.uint64(1 << 63)
 
+_PARITIES = ("p1", "p2", "p3", "p4")
+
 _words: dict[bytes, int] = {}
 
 
@@ -98,15 +100,15 @@ def common_grams(texts: DataFrame, n: int, percent: int) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().view(np.uint64) ^ _TOP)
 
 
-def _parity(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits, each the parity of the n-grams whose hash falls to it: two sets' bits differ in no more places than the sets do."""
-    bits = np.packbits((np.bincount((grams & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8))
+def _parity(grams: np.ndarray) -> tuple[int, ...]:
+    """256 bits, each the parity of the n-grams whose hash falls to it: two sets' bits differ in no more places than the sets do."""
+    bits = np.packbits((np.bincount((grams & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8))
     return tuple(bits.view(np.int64).tolist())
 
 
 def _sets(texts: DataFrame, common, n: int, percent: int) -> DataFrame:
-    """doc_id, n, k1, k2, the parities p1 and p2, and the first n-grams in the global order of each text."""
-    names = ["n", "k1", "k2", "p1", "p2"]
+    """doc_id, n, the number of rare n-grams, k1, k2, the parities p1 to p4, and the first n-grams in the global order of each text."""
+    names = ["n", "rare", "k1", "k2", *_PARITIES]
 
     def run(batches):
         late = common.value
@@ -114,8 +116,9 @@ def _sets(texts: DataFrame, common, n: int, percent: int) -> DataFrame:
             facts, first = [], []
             for raw in batch.column(1).to_pylist():
                 g = shingles(raw, n)
-                facts.append((len(g), *set_key(g), *_parity(g)))
-                first.append(_signed(_common_last(g, late)[0][: prefix_length(len(g), percent)]) if len(g) else np.zeros(0, np.int64))
+                ordered, rare = _common_last(g, late)
+                facts.append((len(g), rare, *set_key(g), *_parity(g)))
+                first.append(_signed(ordered[: prefix_length(len(g), percent)]) if len(g) else np.zeros(0, np.int64))
             columns = zip(*facts, strict=True) if facts else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(first, pa.list_(pa.int64()))], ["doc_id", *names, "first"])
 
@@ -151,8 +154,8 @@ class _Join:
         self.common = docs.sparkSession.sparkContext.broadcast(common_grams(self.texts, n, percent))
         self.rows = cut(_sets(self.texts, self.common, n, percent).withColumn("row", F.monotonically_increasing_id()))
         # one class for each set; a row of it with the least id, where one has an id, stands for it
-        of_class = self.rows.groupBy("n", "k1", "k2", "p1", "p2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
-        self.classes = cut(of_class.select("n", "k1", "k2", "p1", "p2", F.col("least.doc_id").alias("least"), F.col("least.row").alias("row")).withColumn("cid", F.monotonically_increasing_id()))
+        of_class = self.rows.groupBy("n", "rare", "k1", "k2", *_PARITIES).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
+        self.classes = cut(of_class.select("n", "k1", "k2", *_PARITIES, F.struct(-F.col("copies"), "rare").alias("rank"), F.col("least.doc_id").alias("least"), F.col("least.row").alias("row")).withColumn("cid", F.monotonically_increasing_id()))
 
     def near(self):
         """Whether two sets a and b that share a first n-gram can be near: by their sizes, by what is left of both after it, and by their parities."""
@@ -160,16 +163,21 @@ class _Join:
         both = F.col("na") + F.col("nb")
         size = 100 * F.least("na", "nb") >= p * F.greatest("na", "nb")
         rest = (100 + p) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= p * both
-        differ = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in (1, 2))
+        differ = sum(F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in _PARITIES)
         return size & rest & ((100 + p) * differ <= (100 - p) * both)
 
     def members(self) -> DataFrame:
-        """gram, hub, cid, n, at, p1, p2: classes that share a first n-gram with others, and the class that has fewest n-grams before it."""
-        first = cut(self.rows.select("row", "first").join(self.classes.select("row", "cid", F.col("n").cast("int").alias("n")), "row").select("cid", "n", "first"))
-        first = first.select("cid", "n", F.posexplode("first").alias("at", "gram"))
-        groups = first.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("at", "cid")).alias("hub")).filter("size > 1")
-        held = cut(first.join(groups.select("gram", F.col("hub.at").alias("hub_at"), F.col("hub.cid").alias("hub")), "gram"))
-        return cut(held.join(self.classes.select("cid", "p1", "p2"), "cid"))
+        """gram, cid, place (n and the n-gram's place in one number), parities and hubs of classes that share a first n-gram with others.
+
+        Hubs are two classes of the n-gram that many others are likely near to: the one that most documents copy as it is
+        (of equal ones that with fewest rare n-grams), and the one with fewest n-grams before it.
+        """
+        first = cut(self.rows.select("row", "first").join(self.classes.select("row", "cid", "n", "rank", *_PARITIES), "row").drop("row"))
+        first = first.select("cid", "n", "rank", *_PARITIES, F.posexplode("first").alias("at", "gram"))
+        groups = first.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("rank", "cid")).alias("most"), F.min(F.struct("at", "cid")).alias("early")).filter("size > 1")
+        groups = groups.select("gram", F.col("most.cid").alias("hub1"), F.col("early.cid").alias("hub2"))
+        place = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long"))
+        return cut(first.select("gram", "cid", place.alias("place"), *_PARITIES).join(groups, "gram"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """a, b, overlap of the pairs (a, b, both) that are near: overlaps are counted in the early fragments, then, of pairs that may still be near, in the rest."""
@@ -204,25 +212,27 @@ class _Join:
 def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, n, k1, k2; classes; links: a, b, overlap; components: node, root) of the self-join at Jaccard >= ``percent`` / 100.
 
-    Texts with equal sets are one class; links are between classes. First each n-gram's classes are tried with the one
-    that has least before it, which joins most of a large group at once; then all candidate pairs that are not yet in one
+    Texts with equal sets are one class; links are between classes. First each n-gram's classes are tried with
+    its two hubs, which joins most of a large group at once; then all candidate pairs that are not yet in one
     component are tried. Links between classes already joined are not listed: components are exact, and no group's pairs
     are all made.
     """
     join = _Join(docs, n, percent)
     members = join.members()
-    left = [F.col("cid").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("p1").alias("a1"), F.col("p2").alias("a2")]
-    hubs = join.classes.select(F.col("cid").alias("hub"), F.col("n").cast("int").alias("nb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-    tried = members.filter("cid <> hub").select(*left, "hub", F.col("hub_at").alias("pb")).join(hubs, "hub")
+    size, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    left = [F.col("cid").alias("a"), size.alias("na"), at.alias("pa"), *[F.col(x).alias(f"a{x}") for x in _PARITIES]]
+    right = [F.col("cid").alias("b"), size.alias("nb"), at.alias("pb"), *[F.col(x).alias(f"b{x}") for x in _PARITIES]]
+    hubs = join.classes.select(F.col("cid").alias("hub"), F.col("n").alias("nb"), F.lit(0).alias("pb"), *[F.col(x).alias(f"b{x}") for x in _PARITIES])
+    tried = members.select(*left, F.explode(F.array_distinct(F.array("hub1", "hub2"))).alias("hub")).filter("a <> hub").join(hubs, "hub")
     star = cut(tried.filter(join.near()).select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), (F.col("na") + F.col("nb")).alias("both")).distinct())
     links = join.links(star)
     roots = components(links)
 
-    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("gram", "cid", "n", "at", "p1", "p2", F.coalesce("root", "cid").alias("root"))
+    rooted = members.drop("hub1", "hub2").join(roots, members["cid"] == roots["node"], "left").select("gram", "cid", "place", *_PARITIES, F.coalesce("root", "cid").alias("root"))
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
     rooted = cut(rooted.join(mixed, "gram"))
     a = rooted.select("gram", *left, F.col("root").alias("ra"))
-    b = rooted.select("gram", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("p1").alias("b1"), F.col("p2").alias("b2"), F.col("root").alias("rb"))
+    b = rooted.select("gram", *right, F.col("root").alias("rb"))
     pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & join.near())
     pairs = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("both")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     pairs = cut(pairs)
