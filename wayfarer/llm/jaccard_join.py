@@ -15,8 +15,8 @@ from wayfarer.llm.components import components
 FRAGMENTS, EARLY = 8, (0, 4)
 #: An n-gram that begins more documents than this goes to the end of the order; at most so many do, those in most documents.
 COMMON, MOST_COMMON = 16, 1 << 21
-#: Words whose hashes a worker keeps.
-VOCABULARY = 1 << 19
+#: Words whose hashes a task keeps.
+VOCABULARY = 1 << 18
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _29, _32 = np.uint64(29), np.uint64(32)
@@ -86,6 +86,7 @@ def _first_grams(texts: DataFrame, n: int, percent: int) -> DataFrame:
             parts = [_signed(g[: -(-prefix_length(len(g), percent) // 2)]) for raw in batch.column(0).to_pylist() if len(g := shingles(raw, n))]
             gram, copies = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(copies.astype(np.int64))], ["gram", "copies"])
+        _words.clear()
 
     return texts.select("text").mapInArrow(run, "gram long, copies long")
 
@@ -121,6 +122,7 @@ def _sets(texts: DataFrame, common, n: int, percent: int) -> DataFrame:
                 first.append(_signed(ordered[: prefix_length(len(g), percent)]) if len(g) else np.zeros(0, np.int64))
             columns = zip(*facts, strict=True) if facts else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(first, pa.list_(pa.int64()))], ["doc_id", *names, "first"])
+        _words.clear()
 
     return texts.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}, first array<long>")
 
@@ -142,6 +144,7 @@ def _segments(texts: DataFrame, common, n: int, fragments) -> DataFrame:
                 out += [(*key, f, _signed(ordered[cuts[f] : cuts[f + 1]])) for f in wanted]
             k1, k2, f, grams = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["k1", "k2", "fragment", "grams"])
+        _words.clear()
 
     return texts.select("text").mapInArrow(run, "k1 long, k2 long, fragment int, grams array<long>")
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Buckets of hashed features, and words whose emissions a worker keeps.
-BUCKETS, VOCABULARY = 1 << 17, 1 << 20
+#: Buckets of hashed features, and words whose emissions a task keeps.
+BUCKETS, VOCABULARY = 1 << 17, 1 << 19
 #: Bounds of the training sample: labelled documents a language, sequences taken of each, words of a sequence.
 SAMPLE_DOCS, SEQUENCES, LENGTH = 600, 4, 40
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -81,6 +81,11 @@ class Crf:
     def table(self) -> np.ndarray:
         return self._table
 
+    def forget(self) -> None:
+        """Frees what was kept for words: a task does so at its end, as its worker goes on to other stages."""
+        self._seen, self._table = {}, None
+        _buckets.clear()
+
     def marginals(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probabilities of the labels of each word of a stream of texts; ``first`` marks each text's first word.
 
@@ -297,6 +302,8 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
         for batch in batches:
             lang, score = _judged(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        if shared.value is not None:
+            shared.value.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -315,6 +322,8 @@ def in_language(docs: DataFrame, model: Crf | None, least: float) -> DataFrame:
                 lang, score = _judged(shared.value, texts)
                 keep = [a != UNKNOWN and s >= least for a, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        if shared.value is not None:
+            shared.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
