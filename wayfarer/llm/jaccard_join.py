@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import cut, utf8, with_ids
+from wayfarer.llm.common import cut, small, utf8, with_ids
 from wayfarer.llm.components import components
 
 #: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
@@ -170,7 +170,7 @@ class _Join:
         return size & rest & ((100 + p) * differ <= (100 - p) * both)
 
     def members(self) -> DataFrame:
-        """gram, cid, place (n and the n-gram's place in one number), parities and hubs of classes that share a first n-gram with others.
+        """gram, cid, place (n and the n-gram's place in one number), parities, size (of the n-gram's group) and hubs of classes that share a first n-gram with others.
 
         Hubs are two classes of the n-gram that many others are likely near to: the one that most documents copy as it is
         (of equal ones that with fewest rare n-grams), and the one with fewest n-grams before it.
@@ -178,7 +178,7 @@ class _Join:
         first = cut(self.rows.select("row", "first").join(self.classes.select("row", "cid", "n", "rank", *_PARITIES), "row").drop("row"))
         first = first.select("cid", "n", "rank", *_PARITIES, F.posexplode("first").alias("at", "gram"))
         groups = first.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("rank", "cid")).alias("most"), F.min(F.struct("at", "cid")).alias("early")).filter("size > 1")
-        groups = groups.select("gram", F.col("most.cid").alias("hub1"), F.col("early.cid").alias("hub2"))
+        groups = groups.select("gram", "size", F.col("most.cid").alias("hub1"), F.col("early.cid").alias("hub2"))
         place = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long"))
         return cut(first.select("gram", "cid", place.alias("place"), *_PARITIES).join(groups, "gram"))
 
@@ -231,9 +231,11 @@ def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[D
     links = join.links(star)
     roots = components(links)
 
-    rooted = members.drop("hub1", "hub2").join(roots, members["cid"] == roots["node"], "left").select("gram", "cid", "place", *_PARITIES, F.coalesce("root", "cid").alias("root"))
-    mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram")
-    rooted = cut(rooted.join(mixed, "gram"))
+    # n-grams all of whose classes are in one component by now need no pairs
+    known = small(roots)
+    inside = members.select("gram", "size", "cid").join(known, members["cid"] == known["node"]).groupBy("gram", "size").agg(F.count("*").alias("linked"), F.min("root").alias("low"), F.max("root").alias("high"))
+    settled = small(inside.filter("linked = size and low = high").select("gram"))
+    rooted = members.drop("hub1", "hub2", "size").join(settled, "gram", "left_anti").join(known, members["cid"] == known["node"], "left").select("gram", "cid", "place", *_PARITIES, F.coalesce("root", "cid").alias("root"))
     a = rooted.select("gram", *left, F.col("root").alias("ra"))
     b = rooted.select("gram", *right, F.col("root").alias("rb"))
     pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & join.near())
