@@ -97,8 +97,8 @@ def mask_of_dates(dates: Column) -> Column:
 
 def walk_seconds(metres: Column) -> Column:
     """Seconds to walk at 1.4 m/s in single precision, at least 1, at most 65535."""
-    speed = F.lit(1.4).cast("float")
-    return F.greatest(F.lit(1), F.least(F.lit(65535), half_up((metres.cast("float") / speed).cast("double"))))
+    seconds = (metres.cast("float") / F.lit(1.4).cast("float")).cast("float")  # Spark divides as doubles; the cast gives the single's quotient
+    return F.greatest(F.lit(1), F.least(F.lit(65535), half_up(seconds.cast("double"))))
 
 
 def clock(seconds: Column) -> Column:

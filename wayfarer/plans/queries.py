@@ -82,7 +82,7 @@ def freq_departures(spark, sf):
     return timetable.departures(freq_legs(spark, sf)).select("trip_id", "leg", "from_stop", "to_stop", "travel", "board")
 
 
-@query(W("st freq", _FREQ_LEGS, "d AS (SELECT trip_id, leg AS first, unnest(range(start_time, end_time, headway)) AS board FROM fl)") + "SELECT d.trip_id, d.first, d.board, fl.to_stop, CAST(d.board + sum(m.travel) AS BIGINT) AS arr FROM d JOIN fl ON fl.trip_id = d.trip_id AND fl.leg >= d.first JOIN fl m ON m.trip_id = d.trip_id AND m.leg BETWEEN d.first AND fl.leg GROUP BY ALL")
+@query(W("st freq", _FREQ_LEGS, "d AS (SELECT trip_id, leg AS first, unnest(range(start_time, end_time, headway)) AS board FROM fl)") + "SELECT d.trip_id, d.first, d.board, fl.to_stop, CAST(d.board + sum(m.travel) AS BIGINT) AS arr FROM d JOIN fl ON fl.trip_id = d.trip_id AND fl.leg >= d.first JOIN fl m ON m.trip_id = d.trip_id AND m.leg BETWEEN d.first AND fl.leg GROUP BY d.trip_id, d.first, d.board, fl.leg, fl.to_stop")
 def freq_rides(spark, sf):
     rows = timetable.as_trips(N.stop_times(spark, sf), N.frequencies(spark, sf)).filter("seq > 0")
     part = lambda k: F.get(F.split("trip_id", "/"), F.lit(k))
@@ -126,7 +126,7 @@ def service_groups(spark, sf):
 _DATES = "SELECT o_custkey % 50 AS service_id, list(DISTINCT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER)) AS d FROM orders WHERE o_orderkey % 211 = 0 GROUP BY 1"
 
 
-@query(f"SELECT service_id, CAST(list_sum(list_distinct(list_transform(d, x -> CAST(pow(2, isodow(strptime(CAST(x AS VARCHAR), '%Y%m%d')) - 1) AS INTEGER)))) AS INTEGER) AS mask FROM ({_DATES})")
+@query(f"SELECT service_id, CAST(list_sum(list_distinct(list_transform(d, lambda x: CAST(pow(2, isodow(strptime(CAST(x AS VARCHAR), '%Y%m%d')) - 1) AS INTEGER)))) AS INTEGER) AS mask FROM ({_DATES})")
 def weekday_mask(spark, sf):
     day = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
     dated = N.table(spark, sf, "orders").filter(F.pmod("o_orderkey", F.lit(211)) == 0).groupBy(F.pmod("o_custkey", F.lit(50)).alias("service_id")).agg(F.collect_set(day).alias("adds"))
@@ -344,7 +344,7 @@ def segment_projection(spark, sf):
     return rows.select("node_id", F.round(t, 6).alias("t"))
 
 
-_SPREAD = "list_sum(list_transform(range(16), i -> (({v} >> CAST(i AS INTEGER)) & 1) << CAST(2 * i AS INTEGER)))"
+_SPREAD = "list_sum(list_transform(range(16), lambda i: (({v} >> CAST(i AS INTEGER)) & 1) << CAST(2 * i AS INTEGER)))"
 
 
 @query(W("nodes", "b AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM nodes)", "g AS (SELECT node_id, CAST(floor((lon - c) / (d - c) * 65535) AS BIGINT) AS x, CAST(floor((lat - a) / (b.b - a) * 65535) AS BIGINT) AS y FROM nodes, b)") + f"SELECT node_id, CAST({_SPREAD.format(v='x')} + 2 * {_SPREAD.format(v='y')} AS BIGINT) AS morton FROM g")
