@@ -60,7 +60,7 @@ def visible_colour(text: Column) -> Column:
     lum = (r * 299 + g * 587 + b * 114) / F.lit(1000.0)
     scale = F.when(lum < 100, F.lit(100.0) / lum).when(lum > 220, F.lit(220.0) / lum).otherwise(F.lit(1.0))
     parts = [half_up(F.least(x * scale, F.lit(255.0))) for x in (r, g, b)]
-    return F.when(lum <= 0, F.lit("#646464")).otherwise(colour_hex(*parts))
+    return F.when(lum <= 0, F.lit("#646464")).when(lum > 0, colour_hex(*parts))
 
 
 def as_date(yyyymmdd: Column) -> Column:
