@@ -24,8 +24,8 @@ def brute(text):
     base = sorted((a, k, b) for k, spans in enumerate((assign, access, hexes)) for a, b in spans)
     found = list(base)
     for k, (kind, (pattern, _, window, bits)) in enumerate(S.CLASSES.items(), 3):
-        for m in re.finditer(pattern, text):
-            if re.search(S.ALLOWED, m[0]) or any(a < m.end() and b > m.start() for a, _, b in base):
+        for m in re.finditer(S.CANDIDATE, text):
+            if not re.search(pattern, m[0]) or len(m[0]) < window or re.search(S.ALLOWED, m[0]) or any(a < m.end() and b > m.start() for a, _, b in base):
                 continue
             hot = [i for i in range(len(m[0]) - window + 1) if -sum(c / window * math.log2(c / window) for c in Counter(m[0][i : i + window]).values()) >= bits - 1e-9]
             if hot:

@@ -23,6 +23,30 @@ def n_words(column: str = "text"):
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
 
 
+def shuffle_hash(seed: int, doc_id, text):
+    """60 bits that deal documents out: from seed, id and text, so that rows without an id are dealt out too."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), text).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def oracle(weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17) -> str:
+    """DuckDB SQL for the rows of ``mix`` over ``documents``."""
+    level = f"({share} * (SELECT sum(size) FROM d) - coalesce(sum(full_) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+              CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ({list(weights)})[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1 AS INTEGER)] AS w0 FROM d GROUP BY source),
+        f AS (SELECT *, CAST(w0 AS DOUBLE) AS w, CAST({repeats} AS DOUBLE) * source_size AS full_ FROM s),
+        l AS (SELECT *, {level} AS level FROM f WINDOW o AS (ORDER BY full_ / w, source NULLS LAST)),
+        t AS (SELECT source, source_size, w, least(full_, coalesce(w * (SELECT arg_min(level, (full_ / w, source IS NULL, source)) FROM l WHERE full_ > w * level), full_)) AS target FROM l),
+        c AS (SELECT d.*, source_size, w, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cum FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT r, h, size, (cum + k * source_size) / w AS e FROM c, range({repeats}) x(k)),
+        q AS (SELECT *, sum(size) OVER (ORDER BY e, h, size ROWS UNBOUNDED PRECEDING) AS run FROM p),
+        cut AS (SELECT max(e) AS e FROM q WHERE run <= {share} * (SELECT sum(size) FROM d))
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target,
+               CAST(size * (SELECT count(*) FROM range({repeats}) x(k) WHERE (cum + k * source_size) / w <= (SELECT e FROM cut)) AS BIGINT) AS taken FROM c"""
+
+
 def targets(sources: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """source, source_size to source, source_size, weight, target: ``share`` of all sizes dealt by weight, none above ``repeats`` times its size.
 
@@ -53,13 +77,13 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    sized = cut(docs.select("doc_id", "source", key.alias("key"), n_words().alias("size"), F.xxhash64(F.lit(seed), "doc_id", text).alias("h")))
+    sized = cut(docs.select("doc_id", "source", key.alias("key"), n_words().alias("size"), shuffle_hash(seed, F.col("doc_id"), text).alias("h")))
     sources = cut(targets(sized.groupBy("source", "key").agg(F.sum("size").alias("source_size")), weights=weights, share=share, repeats=repeats))
     rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets = max(1, math.isqrt(rows))
 
     # words of the source up to a document: those of lower buckets of the hash, and those before it in its own
-    sized = sized.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(n_buckets)))
+    sized = sized.withColumn("bucket", F.shiftright(F.shiftright("h", 30) * n_buckets, 30))  # in the order of the hash
     lower = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("key", "bucket").agg(F.sum("size").alias("words")).select("key", "bucket", F.coalesce(F.sum("words").over(lower), F.lit(0)).alias("low"))
     inside = F.sum("size").over(Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))

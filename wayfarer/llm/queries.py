@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import url_filter
+from wayfarer.llm import mixing, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op6_quality_classifier(spark, sf_dir):
 
 
 def op7_url_filter(spark, sf_dir):
-    from wayfarer.llm import url_filter as U
+    from wayfarer.llm import mixing, secret_scan, url_filter as U
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", U.capture_day("page_id").alias("fetched"))
     return U.evaluate(pages, U.validity(U.sample_entries(spark))).select("page_id", "url", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "host", "n_active", "lists", "blocked")
@@ -89,7 +89,9 @@ QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontaminatio
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLE_SQL = {
+    "op1_secret_scan": secret_scan.oracle(),
     "op7_url_filter": url_filter.oracle(),
+    "op9_source_mixing": mixing.oracle(),
     "op8_ngram_jaccard_join": """
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -14,10 +14,12 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 MIN_VALUE = 6
 
-#: Candidates of the entropy scan by character class: pattern, alphabet, window, bits a character that a window must reach.
+#: Candidates of the entropy scan: whole runs of these characters.
+CANDIDATE = r"[0-9A-Za-z+/_=-]{16,}"
+#: Character classes: what the whole candidate must match, alphabet, window, bits a character that a window must reach.
 CLASSES = {
-    "entropy_hex": (r"(?<![0-9A-Za-z+/_=-])[0-9A-Fa-f]{16,}(?![0-9A-Za-z+/_=-])", "0123456789abcdefABCDEF", 16, 2.75),
-    "entropy_base64": (r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])[0-9A-Za-z+/_=-]{20,}", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 20, 3.8),
+    "entropy_hex": (r"^[0-9A-Fa-f]{16,}$", "0123456789abcdefABCDEF", 16, 2.75),
+    "entropy_base64": (r"^[A-Za-z+/_=-]*[0-9].*$", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-", 20, 3.8),
 }
 #: Candidates that are no secrets: UUIDs, examples and placeholders, dates and numbers, counting alphabets, paths.
 ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|placeholder|your[_-]|changeme|^[0-9_=/+-]+$|0123456789|abcdefgh|^(\/[a-z0-9_-]+){2,}$|^[a-z]+([-_/][a-z0-9]{1,12})+$"
@@ -50,7 +52,7 @@ def _with_spans(df: DataFrame, kind: str, pattern: str, keep_values: bool = Fals
         df = df.withColumn("_v", F.when(F.col("_hit"), F.regexp_extract_all("text", p, F.lit(1))).otherwise(none))
     df = df.withColumn("_l", F.zip_with("_g", "_m", lambda g, m: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(m), F.lit(0))))
     df = df.withColumn("_e", _running(F.col("_l")))
-    spans = F.zip_with("_m", F.slice("_e", F.lit(1), F.size("_m")), lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("k"), e.alias("end")))
+    spans = F.zip_with("_m", F.slice("_e", F.lit(1), F.size("_m")), lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(KINDS.index(kind) if kind in KINDS else -1).alias("k"), e.alias("end")))
     if keep_values:
         spans = F.transform(F.filter(F.zip_with(spans, "_v", lambda s, v: F.struct(s.alias("s"), v.alias("v"))), lambda x: F.length(x["v"]) >= MIN_VALUE), lambda x: x["s"])
     return df.withColumn(kind, spans).withColumn(f"{kind}_m", F.col("_m")).drop("_hit", "_g", "_l", "_e", "_v", "_m")
@@ -97,13 +99,15 @@ def add_spans(df: DataFrame) -> DataFrame:
     df = _with_spans(df, "access", ACCESS)
     df = _with_spans(df, "hex", HEX).drop("assign_m", "access_m", "hex_m")
     df = df.withColumn("base", F.concat("assign", "access", "hex"))
+    df = _with_spans(df, "candidates", CANDIDATE)
+    pairs = F.zip_with("candidates", "candidates_m", lambda s, m: F.struct(s["start"].alias("start"), s["end"].alias("end"), m.alias("m")))
+    df = df.withColumn("fresh", F.filter(pairs, lambda x: ~x["m"].rlike(ALLOWED) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))))
     for kind, (pattern, alphabet, window, bits) in CLASSES.items():
-        df = _with_spans(df, kind, pattern)
-        pairs = F.zip_with(kind, f"{kind}_m", lambda s, m: F.struct(s["start"].alias("start"), s["end"].alias("end"), m.alias("m")))
-        fresh = F.filter(pairs, lambda x: ~x["m"].rlike(ALLOWED) & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-        hot = F.transform(fresh, lambda x: F.struct(x["start"].alias("start"), hot_extent(x["m"], alphabet, window, bits).alias("hot")))  # noqa: B023
+        own = F.filter("fresh", lambda x: x["m"].rlike(pattern) & (F.length(x["m"]) >= window))  # noqa: B023
+        hot = F.transform(own, lambda x: F.struct(x["start"].alias("start"), hot_extent(x["m"], alphabet, window, bits).alias("hot")))  # noqa: B023
         hot = F.filter(hot, lambda x: x["hot"]["last"] >= 0)
-        df = df.withColumn(kind, F.transform(hot, lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), F.lit(KINDS.index(kind)).alias("k"), (x["start"] + x["hot"]["last"] + 1).alias("end")))).drop(f"{kind}_m")  # noqa: B023
+        df = df.withColumn(kind, F.transform(hot, lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), F.lit(KINDS.index(kind)).alias("k"), (x["start"] + x["hot"]["last"] + 1).alias("end"))))  # noqa: B023
+    df = df.drop("candidates", "candidates_m", "fresh")
     return df.withColumn("found", F.array_sort(F.concat("base", *CLASSES)))
 
 
@@ -132,3 +136,26 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     kept = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), mask)
     text = F.when(F.col("row")["text"].isNull(), F.lit(None).cast("string")).when(F.size("cut") > 0, kept).otherwise(F.col("text"))
     return df.withColumn("new", text).select(*[F.col("new").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def oracle() -> str:
+    """DuckDB SQL for the digest columns of ``secret_spans`` over ``documents``: the entropy of every window by its definition."""
+
+    def matches(name: str, pattern: str) -> str:
+        p = pattern.replace("'", "''")
+        return f"{name} AS (SELECT r, m, v, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e FROM (SELECT r, generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(regexp_extract_all(t, '{p}', 1)) AS v, unnest(regexp_split_to_array(t, '{p}')[:len(regexp_extract_all(t, '{p}'))]) AS g FROM d))"
+
+    names = "(['" + "','".join(KINDS) + "'])"
+    spans = lambda where: f"coalesce(string_agg({names}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER ({where}), '')"
+    classes = " UNION ALL ".join(
+        f"SELECT r, min(s + i) AS s, {KINDS.index(kind)} AS k, max(s + i) + {window} AS e FROM (SELECT r, s, i FROM (SELECT r, s, i, c, count(*) AS n FROM (SELECT r, s, i, m[CAST(i + j + 1 AS INTEGER)] AS c FROM (SELECT *, unnest(range(length(m) - {window} + 1)) AS i FROM fresh WHERE regexp_matches(m, '{pattern}') AND length(m) >= {window}), range({window}) w(j)) GROUP BY ALL) GROUP BY r, s, i HAVING sum(n * log2(n)) <= {window * (math.log2(window) - bits) + 1e-9!r}) GROUP BY r, s"
+        for kind, (pattern, _, window, bits) in CLASSES.items()
+    )
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        {matches("a", ASSIGN)}, {matches("b", f"({ACCESS})")}, {matches("c", f"({HEX})")}, {matches("n", f"({CANDIDATE})")},
+        base AS (SELECT r, e - length(m) AS s, 0 AS k, e FROM a WHERE length(v) >= {MIN_VALUE} UNION ALL SELECT r, e - length(m), 1, e FROM b UNION ALL SELECT r, e - length(m), 2, e FROM c),
+        fresh AS (SELECT r, m, e - length(m) AS s FROM n WHERE NOT regexp_matches(m, '{ALLOWED}') AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = n.r AND base.s < n.e AND base.e > n.e - length(m))),
+        al AS (SELECT * FROM base UNION ALL {classes})
+        SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, sha256({spans("k < 3")}) AS base_sha256, {spans("k >= 0")} AS spans
+        FROM d LEFT JOIN al USING (r) GROUP BY d.r, d.doc_id"""

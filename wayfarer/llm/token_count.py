@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,13 @@ def encode(tokenizer, text: str, at: int = 0) -> list[tuple[int, int, int]]:
     if hasattr(tokenizer, "encode_batch"):
         e = tokenizer.encode(text, add_special_tokens=False)
         return [(a + at, b + at, i) for (a, b), i in zip(e.offsets, e.ids, strict=True)]
-    return [(p.begin + at, p.end + at, p.id) for p in tokenizer.encode(text, out_type="immutable_proto").pieces]
+    pieces = tokenizer.encode(text, return_type="proto").pieces
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if len(raw) == len(text):
+        return [(p.begin + at, p.end + at, p.id) for p in pieces]
+    first = np.flatnonzero((raw & 0xC0) != 0x80)  # its offsets are bytes
+    ends = np.searchsorted(first, [(p.begin, p.end) for p in pieces]).tolist()
+    return [(a + at, b + at, p.id) for (a, b), p in zip(ends, pieces, strict=True)]
 
 
 def count(tokenizer, texts: list[str]) -> list[int]:
@@ -66,7 +73,8 @@ def _boundary(text: str, left: list, right: list, stable: int) -> tuple[int, int
     for step in range(n // 2 - stable + 1):
         for k in {middle - step, middle + step}:
             before, after = right[k - 1], right[k]
-            if before[1] <= after[0] and text[after[0] - 1 : after[0]].isspace() and before[1] < after[0]:
+            around = text[max(0, before[1] - 1) : after[0] + 1]
+            if before[1] <= after[0] and any(map(str.isspace, around)):
                 return place[after], k
     return None
 
