@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.functions.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where a session has none."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="wayfarer-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, with a short lineage that survives a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["SMALL_ROWS", "cut", "release", "shared_dir", "small", "utf8", "values", "with_ids"]
 
 
 def utf8(column: str = "text"):
@@ -44,3 +32,16 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     """Rows of ``docs`` whose doc_id is (left_anti: is not) in the first column of ``ids``; null ids are equal."""
     ids = small(ids.select(ids[ids.columns[0]].alias("__id")).distinct())
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
+
+
+def values(column):
+    """The values of an Arrow column one by one: a batch's texts are never all Python objects at once."""
+    return (v.as_py() for v in column)
+
+
+def release() -> None:
+    """Hands memory that a task has freed back to the system: its worker goes on to other stages beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import utf8, with_ids
+from wayfarer.llm.common import utf8, values, with_ids
 
 #: Bytes of a word: digits, lower-case letters and all of a non-ASCII character; A-Z become a-z, the rest white space.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -95,7 +95,7 @@ def _scan_block(docs: DataFrame, block, width: int, spans: bool) -> DataFrame:
         tree = Windows(shared.value, width)
         for batch in batches:
             ids, n, hits, items, offsets = batch.column(0), [], [], [], []
-            for raw in batch.column(1).to_pylist():
+            for raw in values(batch.column(1)):
                 found = words(raw)
                 n.append(len(found))
                 runs, owners = [], set()

@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import cut, small, utf8, with_ids
-from wayfarer.llm.components import components
+from wayfarer.llm.common import cut, release, small, utf8, values, with_ids
+from wayfarer.operators import graph
 
 #: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
 FRAGMENTS, EARLY = 8, (0, 4)
@@ -83,10 +83,11 @@ def _first_grams(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts = [_signed(g[: -(-prefix_length(len(g), percent) // 2)]) for raw in batch.column(0).to_pylist() if len(g := shingles(raw, n))]
+            parts = [_signed(g[: -(-prefix_length(len(g), percent) // 2)]) for raw in values(batch.column(0)) if len(g := shingles(raw, n))]
             gram, copies = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(copies.astype(np.int64))], ["gram", "copies"])
         _words.clear()
+        release()
 
     return texts.select("text").mapInArrow(run, "gram long, copies long")
 
@@ -115,7 +116,7 @@ def _sets(texts: DataFrame, common, n: int, percent: int) -> DataFrame:
         late = common.value
         for batch in batches:
             facts, first = [], []
-            for raw in batch.column(1).to_pylist():
+            for raw in values(batch.column(1)):
                 g = shingles(raw, n)
                 ordered, rare = _common_last(g, late)
                 facts.append((len(g), rare, *set_key(g), *_parity(g)))
@@ -123,6 +124,7 @@ def _sets(texts: DataFrame, common, n: int, percent: int) -> DataFrame:
             columns = zip(*facts, strict=True) if facts else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(first, pa.list_(pa.int64()))], ["doc_id", *names, "first"])
         _words.clear()
+        release()
 
     return texts.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}, first array<long>")
 
@@ -136,7 +138,7 @@ def _segments(texts: DataFrame, common, n: int, fragments) -> DataFrame:
         edges = np.array([i << 62 for i in (1, 2, 3)], np.uint64)
         for batch in batches:
             out = []
-            for raw in batch.column(0).to_pylist():
+            for raw in values(batch.column(0)):
                 g = shingles(raw, n)
                 key = set_key(g)
                 ordered, rare = _common_last(g, late)
@@ -145,10 +147,17 @@ def _segments(texts: DataFrame, common, n: int, fragments) -> DataFrame:
             k1, k2, f, grams = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["k1", "k2", "fragment", "grams"])
         _words.clear()
+        release()
 
     return texts.select("text").mapInArrow(run, "k1 long, k2 long, fragment int, grams array<long>")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """node, root: the least class reachable from each class that has a link."""
+    found = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.select(F.col("node_id").alias("node"), F.col("component").alias("root"))
+
+
 class _Join:
     """What the steps of one self-join share."""
 

@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.llm.common import release, values
+
 UNKNOWN = "und"
 #: Buckets of hashed features, and words whose emissions a task keeps.
-BUCKETS, VOCABULARY = 1 << 17, 1 << 19
+BUCKETS, VOCABULARY = 1 << 17, 1 << 17
 #: Bounds of the training sample: labelled documents a language, sequences taken of each, words of a sequence.
 SAMPLE_DOCS, SEQUENCES, LENGTH = 600, 4, 40
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -272,11 +274,13 @@ def training_rows(docs: DataFrame, *, per_label: int = SAMPLE_DOCS) -> list[tupl
     return [(lang, words) for lang, _, _, words in rows]
 
 
-def _judged(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def _judged(crf: Crf | None, texts) -> tuple[list[str], list[float]]:
     """The most probable label of each text and its mean probability."""
-    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lang, score = [], []
     group, size = [], 0
     for k, text in enumerate(texts):
+        lang.append(UNKNOWN)
+        score.append(0.0)
         words = words_of(text) if crf is not None and text else []
         if words and any(w.isalpha() for w in words):
             ids = crf.numbers(words)
@@ -300,10 +304,11 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lang, score = _judged(shared.value, batch.column(1).to_pylist())
+            lang, score = _judged(shared.value, values(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
         if shared.value is not None:
             shared.value.forget()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -315,15 +320,15 @@ def in_language(docs: DataFrame, model: Crf | None, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(place).to_pylist()
             if shared.value is None:
-                keep = [any(c.isalpha() for c in t or "") for t in texts]
+                keep = [any(c.isalpha() for c in t or "") for t in values(batch.column(place))]
             else:
-                lang, score = _judged(shared.value, texts)
+                lang, score = _judged(shared.value, values(batch.column(place)))
                 keep = [a != UNKNOWN and s >= least for a, s in zip(lang, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
         if shared.value is not None:
             shared.value.forget()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

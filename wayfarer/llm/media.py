@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayfarer.llm.common import utf8
+from wayfarer.llm.common import utf8, values
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 192
@@ -149,7 +149,7 @@ def text_images(docs: DataFrame, *, keep_media: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 size = max(WIDTH, -(-len(raw) // WIDTH) * WIDTH)
                 media = encode_png(np.frombuffer(raw.ljust(size), np.uint8).reshape(-1, WIDTH))
                 image = decode_png(media)
