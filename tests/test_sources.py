@@ -10,6 +10,7 @@ import pytest
 from wayfarer.operators import routing, timetable
 from wayfarer.plans import build
 from wayfarer.plans.catalog import Catalog, file_sizes
+from wayfarer.plans.engine import Engine, cancellable
 from wayfarer.sources import config, gtfs, osm, remote
 
 FEED = {
@@ -65,6 +66,25 @@ def test_city_build_and_catalog(spark, feed_dir, tmp_path):
     assert routing.events_of(state, routing.query_table(spark, [routing.Query(1, 28000, 29000)])).count() == 3
     with pytest.raises(ValueError):
         Catalog({"nodes": city.nodes}).check()
+    ask_the_city(spark, city)
+
+
+def ask_the_city(spark, city):
+    """A Friday from beside the first stop: its trip at eight, repeated by headways from six to seven."""
+    engine = Engine(city, max_walk=600)
+    home, goal = engine.snap(41.0, -87.0), engine.snap(41.0, -86.99)
+    assert home is not None and goal is not None and engine.snap(10.0, 10.0) is None
+    rounds = []
+    with cancellable(spark, "ask"):
+        answer = engine.ask([routing.Query(1, 21600, 30000, 0, 1200, source=home), routing.Query(2, 21600, 21700, 0, 1200, source=home)], 20260605, lambda *x: rounds.append(x))
+    assert rounds and engine.patterns(20260605) == 1
+    iso = engine.isochrone(answer)
+    assert iso.filter(f"node_id = {home} and mean_travel_time = 0 and reachable_fraction = 65535").count() == 2
+    best = engine.journeys(answer, goal).collect()
+    assert best and all(r.segments[0].start_time >= r.home_dep and r.segments[-1].end_time == r.arrival for r in best)
+    assert {s.route_name for r in best for s in r.segments if s.kind == "transit"} == {"Long line"}
+    assert all(len(r.points) >= 2 for r in engine.lines(answer, goal).collect())
+    assert all(r.arrival > r.home_dep for r in engine.walking(answer, goal).collect())
 
 
 def test_xml(spark, tmp_path):

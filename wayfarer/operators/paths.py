@@ -56,10 +56,10 @@ def segments(rides: DataFrame) -> DataFrame:
     """
     keys = ["query_id", "node_id", "home_dep", "arrival"]
     none = F.lit(None)
-    home = rides.filter("first").select(*keys, (-2 * F.col("step") - 1).alias("n"), F.lit("walk").alias("kind"), F.col("home_dep").alias("start_time"), (F.col("home_dep") + F.col("access")).alias("end_time"), none.cast("long").alias("from_stop"), F.col("board_stop").alias("to_stop"), none.cast("int").alias("route_id"), none.cast(rides.schema["trip_id"].dataType).alias("trip_id"))
+    home = rides.filter("first").select(*keys, (-2 * F.col("step") - 1).alias("n"), F.lit("walk").alias("kind"), F.col("home_dep").alias("start_time"), (F.col("home_dep") + F.col("access")).alias("end_time"), none.cast("long").alias("from_stop"), F.col("board_stop").alias("to_stop"), none.cast(rides.schema["route_id"].dataType).alias("route_id"), none.cast(rides.schema["trip_id"].dataType).alias("trip_id"))
     ride = rides.select(*keys, (-2 * F.col("step")).alias("n"), F.lit("transit").alias("kind"), F.col("board_dep").alias("start_time"), F.col("alight_arr").alias("end_time"), F.col("board_stop").alias("from_stop"), F.col("alight_stop").alias("to_stop"), "route_id", "trip_id")
     next_board = F.lag("board_stop").over(Window.partitionBy(*keys).orderBy("step"))
-    walk = rides.withColumn("goal", next_board).select(*keys, (-2 * F.col("step") + 1).alias("n"), F.lit("walk").alias("kind"), F.col("alight_arr").alias("start_time"), (F.col("alight_arr") + F.col("walk_after")).alias("end_time"), F.col("alight_stop").alias("from_stop"), F.col("goal").alias("to_stop"), none.cast("int").alias("route_id"), none.cast(rides.schema["trip_id"].dataType).alias("trip_id"))
+    walk = rides.withColumn("goal", next_board).select(*keys, (-2 * F.col("step") + 1).alias("n"), F.lit("walk").alias("kind"), F.col("alight_arr").alias("start_time"), (F.col("alight_arr") + F.col("walk_after")).alias("end_time"), F.col("alight_stop").alias("from_stop"), F.col("goal").alias("to_stop"), none.cast(rides.schema["route_id"].dataType).alias("route_id"), none.cast(rides.schema["trip_id"].dataType).alias("trip_id"))
     rows = home.unionByName(ride).unionByName(walk).filter("kind = 'transit' or end_time > start_time")
     own = Window.partitionBy(*keys).orderBy("n")
     wait = F.when(F.col("kind") == "transit", F.col("start_time") - F.coalesce(F.lag("end_time").over(own), F.col("home_dep"))).otherwise(F.lit(0))

@@ -83,7 +83,7 @@ def leg_shapes(trips: DataFrame, cos_lat: float) -> DataFrame:
                     out.append((route, stops[k]["stop_id"], stops[k + 1]["stop_id"], float(max(far[k], far[k + 1])), [{"lat": float(y), "lon": float(x)} for y, x in points]))
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
-    rows = trips.select(F.col("route_id").cast("long"), "stops", "line").mapInArrow(run, "route_id long, from_stop long, to_stop long, quality double, points array<struct<lat:double,lon:double>>")
+    rows = trips.select(F.col("route_id").cast("long").alias("route_id"), "stops", "line").mapInArrow(run, "route_id long, from_stop long, to_stop long, quality double, points array<struct<lat:double,lon:double>>")
     return rows.groupBy("route_id", "from_stop", "to_stop").agg(F.min(F.struct("quality", "points")).alias("b")).select("route_id", "from_stop", "to_stop", "b.quality", "b.points")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import geo
 from wayfarer.functions import scalars as X
-from wayfarer.operators import calendar, feeds, graph, paths, routing, series, shapes, spatial, timetable
+from wayfarer.operators import calendar, exports, feeds, graph, paths, routing, series, shapes, spatial, timetable
 from wayfarer.plans import network as N
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -788,3 +788,49 @@ def drawn_segments(spark, sf):
     rows = timetable.legs(N.stop_times(spark, sf)).join(N.trips(spark, sf), "trip_id")
     out = shapes.drawn_once(rows.select("route_id", "from_stop", "to_stop"))
     return out.select("route_id", F.least("from_stop", "to_stop").alias("a"), F.greatest("from_stop", "to_stop").alias("b"))
+
+
+# Exports
+
+
+@query(W("nodes") + "SELECT node_id // 1000 AS chunk, flatten(list([lat, lon] ORDER BY node_id)) AS coordinates FROM nodes GROUP BY 1")
+def flat_coordinates(spark, sf):
+    return exports.flat_coordinates(N.nodes(spark, sf), 1000)
+
+
+_LEFT, _TOP = 256.0 * 2**9 * (-87.9 / 360 + 0.5), 256.0 * 2**9 * 0.371
+_PX = f"131072.0 * (lon / 360 + 0.5) - {_LEFT!r}"
+_PY = f"131072.0 * (0.5 - ln(tan({3.141592653589793 / 4} + lat * {3.141592653589793} / 360)) / {2 * 3.141592653589793}) - {_TOP!r}"
+
+
+@query(_route_sql([QUERY], f"SELECT node_id, round(px * (2 / CAST(200 AS DOUBLE)) - 1, 6) AS x, round(1 - py * (2 / CAST(300 AS DOUBLE)), 6) AS y, CAST(floor(wr * f + cr * (1 - f) + 0.5) AS INTEGER) AS r, CAST(floor(wg * f + cg * (1 - f) + 0.5) AS INTEGER) AS g, CAST(floor(cb * (1 - f) + 0.5) AS INTEGER) AS b FROM wc JOIN (SELECT node_id, {_PX} AS px, {_PY} AS py FROM ({N.SQL['nodes']})) USING (node_id) WHERE px BETWEEN -{geo.dot_size(9)!r} AND 200 + {geo.dot_size(9)!r} AND py BETWEEN -{geo.dot_size(9)!r} AND 300 + {geo.dot_size(9)!r}", *_FRONT, *_ISO, _COLOUR))
+def raster_points(spark, sf):
+    rows = exports.raster_points(isochrone(spark, sf), N.nodes(spark, sf), zoom=9, left=_LEFT, top=_TOP, width=200, height=300, max_time=2700)
+    return rows.withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
+
+
+@query("SELECT 'linear-gradient(to right, rgb(0,255,0), rgb(255,255,0), rgb(255,136,0), rgb(136,0,0), rgb(68,0,0))' AS legend")
+def legend(spark, sf):
+    return spark.range(1).select(exports.legend(2700.0).alias("legend"))
+
+
+@query(W("freq") + "SELECT trip_id, t.t AS board FROM freq, range(21500, 36100, 60) t(t) WHERE t.t >= start_time AND t.t < end_time AND (t.t - start_time) % headway = 0")
+def phase_boardings(spark, sf):
+    times = N.frequencies(spark, sf).withColumn("board", F.explode(F.sequence(F.lit(21500), F.lit(36099), F.lit(60))))
+    return times.filter(exports.on_phase(F.col("board"), F.col("start_time"), F.col("end_time"), F.col("headway"))).select("trip_id", F.col("board").cast("long").alias("board"))
+
+
+@query(_route_sql([QUERY], "SELECT count(*) AS rows, count(*) AS traced FROM fr WHERE node_id < 1000000", *_FRONT))
+def path_census(spark, sf):
+    front, found = _traced(spark, sf)
+    return exports.census(front, found, ["query_id", "node_id", "home_dep", "arrival"])
+
+
+@query()
+def trip_summaries(spark, sf):
+    return exports.trip_summary(_journeys(spark, sf)).drop("query_id")
+
+
+@query("SELECT n_name AS name, CASE WHEN b < 1024 THEN b || 'B' WHEN b < 1048576 THEN printf('%.1fK', b / CAST(1024 AS DOUBLE)) ELSE printf('%.1fM', b / CAST(1048576 AS DOUBLE)) END AS size FROM (SELECT n_name, CAST(sum(c_custkey) AS BIGINT) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)")
+def size_table(spark, sf):
+    return exports.size_table(size_report(spark, sf))
