@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions.session import cut, shared_dir
 
-__all__ = ["SMALL_ROWS", "cut", "release", "shared_dir", "small", "utf8", "values", "with_ids"]
+__all__ = ["BATCH_ROWS", "SMALL_ROWS", "bounded", "cut", "release", "shared_dir", "small", "utf8", "values", "with_ids"]
 
 
 def utf8(column: str = "text"):
@@ -45,3 +45,14 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
         trim(0)
+
+
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python, for every task at once.
+BATCH_ROWS = 2000
+
+
+def bounded(df: DataFrame) -> None:
+    """Sees to it that the session's Arrow batches have at most BATCH_ROWS rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import utf8, values, with_ids
+from wayfarer.llm.common import bounded, utf8, values, with_ids
 
 #: Bytes of a word: digits, lower-case letters and all of a non-ASCII character; A-Z become a-z, the rest white space.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -88,6 +88,7 @@ def _blocks(benchmark: DataFrame):
 
 
 def _scan_block(docs: DataFrame, block, width: int, spans: bool) -> DataFrame:
+    bounded(docs)
     shared = docs.sparkSession.sparkContext.broadcast(block)
     schema = "doc_id long, n_words long, hits array<array<long>>, items array<string>" + (", spans array<array<long>>" if spans else "")
 

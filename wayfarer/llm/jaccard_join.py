@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import cut, release, small, utf8, values, with_ids
+from wayfarer.llm.common import bounded, cut, release, small, utf8, values, with_ids
 from wayfarer.operators import graph
 
 #: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
@@ -162,6 +162,7 @@ class _Join:
     """What the steps of one self-join share."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
+        bounded(docs)
         self.texts, self.n, self.percent = docs.select("doc_id", utf8().alias("text")), n, percent
         self.common = docs.sparkSession.sparkContext.broadcast(common_grams(self.texts, n, percent))
         self.rows = cut(_sets(self.texts, self.common, n, percent).withColumn("row", F.monotonically_increasing_id()))

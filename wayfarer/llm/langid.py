@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import release, values
+from wayfarer.llm.common import bounded, release, values
 
 UNKNOWN = "und"
 #: Buckets of hashed features, and words whose emissions a task keeps.
@@ -250,6 +250,7 @@ def training_rows(docs: DataFrame, *, per_label: int = SAMPLE_DOCS) -> list[tupl
     A text is sampled where its hash is under a share set by its language's count; the stretches lie evenly over the whole
     text. Counts and hashes come from all labelled rows; only the bounded sample reaches the driver, equal texts once.
     """
+    bounded(docs)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     counts = dict(known.groupBy("lang").agg(F.approx_count_distinct("h")).collect())
     if not counts:
@@ -300,6 +301,7 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
     ``und`` with score 0 for null texts, texts without a letter, and where there is no model. One row per input row; only the
     text is read for a prediction, so equal texts get equal rows.
     """
+    bounded(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -315,6 +317,7 @@ def identify(docs: DataFrame, model: Crf | None) -> DataFrame:
 
 def in_language(docs: DataFrame, model: Crf | None, least: float) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text has a language of score ``least`` or more; without a model all rows that have a letter."""
+    bounded(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayfarer.llm.common import utf8, values
+from wayfarer.llm.common import bounded, utf8, values
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 192
@@ -145,6 +145,7 @@ def text_images(docs: DataFrame, *, keep_media: bool = True) -> DataFrame:
     The image is decoded from its stored bytes (signature, every chunk checksum, inflate, unfilter) and all digests are
     of those. Equal texts give equal rows; other columns of ``docs`` are ignored; one row per input row.
     """
+    bounded(docs)
 
     def run(batches):
         for batch in batches:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfarer.llm.common import bounded
+
 #: Characters of a chunk and of its first overlap with the next; equal neighbouring tokens that make a boundary stable.
 CHUNK, OVERLAP, STABLE = 1 << 15, 1 << 9, 8
 
@@ -118,6 +120,7 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int =
     Texts of over two chunks of characters are encoded in overlapping chunks, so memory stays bounded for any length. Null and
     empty texts have 0 bytes and 0 tokens; one row per input row; other columns of ``docs`` are ignored.
     """
+    bounded(docs)
 
     def run(batches):
         tokenizer = load(path)
