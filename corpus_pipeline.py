@@ -2,7 +2,8 @@
 
 1. language: documents without a letter, or whose most probable language the conditional random field gives less than
    ``MIN_SCORE``, go.
-2. near_duplicates: of each group of documents that n-gram Jaccard links join, the one with the least doc_id stays.
+2. near_duplicates: of each group of documents that Jaccard links of at least ``NEAR_PERCENT`` / 100 over shingles of
+   ``NEAR_WORDS`` words join, the one with the least doc_id stays.
 3. decontamination: documents that hold a window of ten benchmark words go.
 4. secrets: spans of secrets in the texts are replaced by ``MASK``; all documents stay.
 5. mixing: the rest is mixed to the target weights of its sources; documents that the mix takes are returned with the
@@ -21,6 +22,8 @@ from wayfarer.llm.common import shared_dir, small
 
 #: Least mean probability of a document's language, and what stands for a secret.
 MIN_SCORE, MASK = 0.35, "[secret]"
+#: Words of a shingle and least Jaccard similarity of near duplicates (op8's own query has 3 words and 90).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

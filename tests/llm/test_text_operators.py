@@ -275,6 +275,23 @@ def test_one_of_each(spark):
     assert not jaccard_join.near_duplicates(docs.limit(0)).count()
 
 
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    rows = near_rows(5)
+    base = [f"x{k}" for k in range(200)]
+    for k in range(6):  # one edit in about 40 words: near at 5 words and 0.8, not at 3 and 0.9
+        words = list(base)
+        for at in rng.choice(200, 5, replace=False) if k else ():
+            words[at] = f"y{k}_{at}"
+        rows.append((900 + k, " ".join(words)))
+    want = {d for d, _, c in brute_components(rows, 5, 80) if d is not None and d == c}
+    assert want != {d for d, _, c in brute_components(rows) if d is not None and d == c}
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
+
+
 # mixing
 
 
