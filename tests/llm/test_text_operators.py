@@ -59,6 +59,17 @@ def test_contamination(spark, monkeypatch):
     assert kept.columns == with_clashes(table(spark, docs)).columns
 
 
+def test_contamination_in_blocks(spark, monkeypatch):
+    """Rows that repeat an id, or have none, are judged each by its own text however many blocks the benchmark has."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30)
+    items = [(k, f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k}") for k in range(3)]
+    docs = [(1, "nothing here", "a"), (1, "x " + items[0][1], "a"), (1, "x " + items[0][1], "a"), (None, None, "a"), (None, items[1][1], "a"), (None, "clean words", "b"), (4, items[2][1] + " " + items[0][1], "b")]
+    found = decontaminate.contamination(with_clashes(table(spark, docs)), table(spark, items, "item_id long, text string"))
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.select("*", decontaminate.n_hit().alias("n_hit")).collect())
+    assert got == Counter((i, n, hit, tuple(x)) for i, t, _ in docs for n, hit, x in [brute_hits(t, items)])
+    assert found.columns == ["doc_id", "n_words", "hits", "items"]
+
+
 # media
 
 

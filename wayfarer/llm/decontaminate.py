@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import bounded, utf8, values, with_ids
+from wayfarer.llm.common import bounded, cut, utf8, values, with_ids
 
 #: Bytes of a word: digits, lower-case letters and all of a non-ASCII character; A-Z become a-z, the rest white space.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -87,16 +87,17 @@ def _blocks(benchmark: DataFrame):
     yield block
 
 
-def _scan_block(docs: DataFrame, block, width: int, spans: bool) -> DataFrame:
-    bounded(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    schema = "doc_id long, n_words long, hits array<array<long>>, items array<string>" + (", spans array<array<long>>" if spans else "")
+def _scan_block(rows: DataFrame, block, width: int, spans: bool) -> DataFrame:
+    """The hits of a block in each of ``rows`` (row, doc_id, text as bytes)."""
+    bounded(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    schema = "row long, doc_id long, n_words long, hits array<array<long>>, items array<string>" + (", spans array<array<long>>" if spans else "")
 
     def run(batches):
         tree = Windows(shared.value, width)
         for batch in batches:
-            ids, n, hits, items, offsets = batch.column(0), [], [], [], []
-            for raw in values(batch.column(1)):
+            n, hits, items, offsets = [], [], [], []
+            for raw in values(batch.column(2)):
                 found = words(raw)
                 n.append(len(found))
                 runs, owners = [], set()
@@ -113,32 +114,34 @@ def _scan_block(docs: DataFrame, block, width: int, spans: bool) -> DataFrame:
                     at = word_offsets(raw) if runs else []
                     offsets.append([[at[a][0], at[b - 1][1]] for a, b in runs])
             longs = pa.list_(pa.list_(pa.int64()))
-            columns = [ids, pa.array(n, pa.int64()), pa.array(hits, longs), pa.array(items, pa.list_(pa.string()))]
-            names = ["doc_id", "n_words", "hits", "items"]
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hits, longs), pa.array(items, pa.list_(pa.string()))]
+            names = ["row", "doc_id", "n_words", "hits", "items"]
             if spans:
                 columns, names = [*columns, pa.array(offsets, longs)], [*names, "spans"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", utf8().alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, spans: bool = False) -> DataFrame:
     """Where each document repeats benchmark text: doc_id, n_words, hits (word ranges, end exclusive), items, and with ``spans`` the byte ranges in the original.
 
     A window is ``width`` consecutive words of an item (an item with fewer words is one window). The benchmark goes to the
-    executors in blocks of BLOCK_BYTES, so no automaton grows with it; more than one block needs distinct doc_ids, whose
-    results are then united by doc_id. Null or empty texts have no words and no hits; repeated rows give repeated rows;
-    an empty benchmark hits nothing; benchmark rows without an item_id mark words but name no item.
+    executors in blocks of BLOCK_BYTES, so no automaton grows with it; for more than one block the texts are written once
+    with a key for each row, by which the blocks' results are united. Null or empty texts have no words and no hits;
+    repeated rows give repeated rows; an empty benchmark hits nothing; benchmark rows without an item_id mark words but
+    name no item.
     """
     blocks = list(_blocks(benchmark))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", utf8().alias("text"))
     if len(blocks) == 1:
-        return _scan_block(docs, blocks[0], width, spans)
-    parts = None
+        return _scan_block(rows, blocks[0], width, spans).drop("row")
+    rows, parts = cut(rows), None
     for block in blocks:
-        part = _scan_block(docs, block, width, spans)
+        part = _scan_block(rows, block, width, spans)
         parts = part if parts is None else parts.unionByName(part)
     merge = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  one list per block: bounded by the number of blocks
-    out = parts.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), merge("hits").alias("hits"), F.array_sort(F.array_distinct(merge("items"))).alias("items"), *([merge("spans").alias("spans")] if spans else []))
+    out = parts.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), merge("hits").alias("hits"), F.array_sort(F.array_distinct(merge("items"))).alias("items"), *([merge("spans").alias("spans")] if spans else [])).drop("row")
     return out.withColumn("hits", _united("hits")).withColumn("spans", _united("spans")) if spans else out.withColumn("hits", _united("hits"))
 
 
