@@ -286,6 +286,32 @@ def test_one_of_each(spark):
     assert not jaccard_join.near_duplicates(docs.limit(0)).count()
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, monkeypatch):
+    item = "one two three four five six seven eight nine ten"
+    text = lambda k: " ".join(f"t{k}_{i}" for i in range(60))
+    docs = [(None, item), (None, "clean"), (7, "x " + item), (7, "also clean"), (8, None)]
+    for size in (1 << 20, 30):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        bench = table(spark, [(1, item), (2, "other words of a benchmark")], "item_id long, text string")
+        kept = decontaminate.clean(with_clashes(table(spark, docs, "doc_id long, text string")), bench)
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, "clean"), (7, "also clean"), (8, None)])
+    rows = [(None, text(0)), (None, text(0)), (None, text(1)), (3, text(1)), (4, text(2)), (4, text(3)), (5, text(4)), (5, text(4)), (6, text(4)), (9, None), (9, ""), (None, text(2) + " more"), (None, " ")]
+    docs = with_clashes(table(spark, rows, "doc_id long, text string"))
+    kept = jaccard_join.one_of_each(docs)
+    want = [(None, text(0)), (3, text(1)), (4, text(2)), (4, text(3)), (5, text(4)), (9, None), (9, ""), (None, " ")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    assert kept.columns == docs.columns
+
+
+def test_a_class_read_again_twice_counts_once(spark):
+    base = [f"b{k}" for k in range(2000)]
+    other = list(base)
+    for at in range(10, 1990, 30):  # Jaccard 0.82: no link
+        other[at] = f"o{at}"
+    rows = [(5, " ".join(base)), (None, " ".join(base)), (None, " ".join(other))]
+    assert Counter(map(tuple, jaccard_join.near_duplicates(table(spark, rows, "doc_id long, text string")).collect())) == brute_components(rows)
+
+
 def test_pipeline_near_duplicates(spark):
     import corpus_pipeline
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import bounded, cut, utf8, values, with_ids
+from wayfarer.llm.common import bounded, cut, small, utf8, values
 
 #: Bytes of a word: digits, lower-case letters and all of a non-ASCII character; A-Z become a-z, the rest white space.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -157,9 +157,34 @@ def n_hit():
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window (for tables without distinct doc_ids too: equal ids go together if any is hit)."""
-    bad = contamination(docs, benchmark, width=width).filter(F.size("hits") > 0).select("doc_id")
-    return with_ids(docs, bad, "left_anti")
+    """The rows of ``docs`` that hold no benchmark window. Rows are judged by their own text, also where ids repeat or are null.
+
+    One block filters in one pass; for more, the rows are written once with a key, by which the rows with a hit go.
+    """
+    blocks = list(_blocks(benchmark))
+    if len(blocks) == 1:
+        return _without_hits(docs, blocks[0], width)
+    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows, bad = keyed.select(F.col("__row").alias("row"), "doc_id", utf8().alias("text")), None
+    for block in blocks:
+        part = _scan_block(rows, block, width, False).filter(F.size("hits") > 0).select(F.col("row").alias("__bad"))
+        bad = part if bad is None else bad.unionByName(part)
+    bad = small(bad.distinct())
+    return keyed.join(bad, keyed["__row"] == bad["__bad"], "left_anti").drop("__row")
+
+
+def _without_hits(docs: DataFrame, block, width: int) -> DataFrame:
+    bounded(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        tree = Windows(shared.value, width)
+        for batch in batches:
+            keep = [not tree.scan(words((text or "").encode())) for text in values(batch.column(place))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def items_digest(items: list[str]) -> str:

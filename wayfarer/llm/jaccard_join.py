@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wayfarer.llm.common import bounded, cut, release, small, utf8, values, with_ids
 from wayfarer.operators import graph
@@ -217,8 +218,8 @@ class _Join:
         return partial.groupBy("a", "b", "both").agg(F.sum("shared").alias("overlap"), F.sum("lost").alias("lost"))
 
     def _repeats(self, asked: DataFrame) -> bool:
-        """Whether a class is met by more than one row of the ids that are read again."""
-        met = self.rows.select("doc_id", "k1", "k2").join(asked, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("least")))
+        """Whether a class is met by more than one row of the ids that are read again, those asked for other classes among them."""
+        met = with_ids(self.rows.select("doc_id", "k1", "k2"), asked.select("least")).join(asked.select("k1", "k2", "cid"), ["k1", "k2"])
         return met.groupBy("cid").count().filter("count > 1").limit(1).count() > 0
 
 
@@ -259,6 +260,11 @@ def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[D
     return join.rows, join.classes, links, roots
 
 
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """k1, k2, cid, least and root of each class."""
+    return classes.join(roots, classes["cid"] == roots["node"], "left").select("k1", "k2", "cid", "least", F.coalesce("root", "cid").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links, its own included) of every row.
 
@@ -267,17 +273,51 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFr
     is their own doc_id. Equal rows are each returned. A null doc_id gets the least id of its component, or null.
     """
     rows, classes, _, roots = linked_classes(docs, n=n, percent=percent)
-    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("k1", "k2", "least", F.coalesce("root", "cid").alias("root"))
+    named = _named(classes, roots)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("k1", "k2", "component")
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _with_set(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with its texts' sets: ``__n`` shingles and the keys ``__k1`` and ``__k2``."""
+    bounded(docs)
+    place = docs.columns.index("text")
+    names = ["__n", "__k1", "__k2"]
+
+    def run(batches):
+        for batch in batches:
+            facts = [(len(g), *set_key(g)) for t in values(batch.column(place)) for g in [shingles((t or "").encode(), n)]]
+            columns = zip(*facts, strict=True) if facts else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*batch.schema.names, *names])
+        _words.clear()
+        release()
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in names)]))
+
+
 def one_of_each(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those whose doc_id is its component. Of rows that repeat a doc_id one stays; rows without a doc_id stay."""
-    found = cut(near_duplicates(docs, n=n, percent=percent).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")))
-    kept = with_ids(docs, found.filter("not stays").select("doc_id"), "left_anti")
-    if found.filter("rows > 1").limit(1).count():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept
+    """The rows of ``docs`` that stand for their group, one for each: that with the least doc_id, or any one of a group without ids.
+
+    Rows are told by their own text's set and doc_id: different texts stay also where they share an id or have none. Null
+    and blank texts have no group and all stay.
+    """
+    rows, classes, _, roots = linked_classes(docs, n=n, percent=percent)
+    named = cut(_named(classes, roots))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "cid")).alias("first")).select(F.col("first.cid").alias("cid"), F.lit(True).alias("stands"))
+    named = named.join(first, "cid", "left").select("k1", "k2", "least", F.coalesce("stands", F.lit(False)).alias("stands"))
+    judged = rows.filter("n > 0").groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("rows")).join(named, ["k1", "k2"])
+    judged = cut(judged.select("k1", "k2", "doc_id", "rows", (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("least"))).alias("stays")))
+    keys = ["__k1", "__k2", "doc_id"]
+    all_ = _with_set(docs, n)
+
+    def met(df, found, how):
+        found = small(found.select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("doc_id").alias("__c")))
+        return df.join(found, (df["__k1"] == found["__a"]) & (df["__k2"] == found["__b"]) & df["doc_id"].eqNullSafe(found["__c"]), how)
+
+    kept = met(all_, judged.filter("not stays"), "left_anti")
+    twice = judged.filter("stays and rows > 1")
+    if twice.limit(1).count():  # equal ids and sets: any one of them
+        kept = met(kept, twice, "left_anti").unionByName(met(kept, twice, "left_semi").dropDuplicates(keys))
+    return kept.drop("__n", "__k1", "__k2")
