@@ -226,6 +226,13 @@ def test_quality(spark):
     assert quality.score(docs, none).count() == 903
 
 
+def test_capitals_are_counted_over_all_words():
+    mark = quality.BUCKETS - 64 + len(quality._MARKS)
+    for at, many in ((0, False), (1, False), (None, True)):  # every fourth word, or all others
+        words = ["WORD" if (k % 4 == at if at is not None else k % 4) else "word" for k in range(1024)]
+        assert (mark in quality.buckets(" ".join(words).encode(), {})) == many
+
+
 # near duplicates
 
 

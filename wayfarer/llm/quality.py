@@ -47,8 +47,7 @@ def buckets(raw: bytes, seen: dict[bytes, tuple[int, int]]) -> np.ndarray:
     for code, k in _MARKS.items():
         if raw.count(code) * 200 > n:
             out.add(BUCKETS - 64 + k)
-    upper = sum(w.isupper() for w in words[:: max(1, len(words) // 256)])
-    if upper * 4 > len(words[:: max(1, len(words) // 256)]):
+    if sum(map(bytes.isupper, words)) * 4 > len(words):
         out.add(BUCKETS - 64 + len(_MARKS))
     return np.fromiter(out, np.int64, len(out))
 
