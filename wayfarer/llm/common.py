@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions.session import cut, shared_dir
 
-__all__ = ["BATCH_ROWS", "SMALL_ROWS", "bounded", "cut", "release", "shared_dir", "small", "utf8", "values", "with_ids"]
+__all__ = ["BATCH_ROWS", "SMALL_ROWS", "Tables", "bounded", "cut", "known", "release", "shared_dir", "small", "utf8", "values", "with_ids"]
 
 
 def utf8(column: str = "text"):
@@ -22,6 +23,27 @@ def utf8(column: str = "text"):
 SMALL_ROWS = 1_000_000
 
 
+class Tables:
+    """Tables that a job writes to the shared folder: computed once, read with their columns pruned, removed when done with."""
+
+    def __init__(self, spark):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def known(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has at most SMALL_ROWS rows."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def small(df: DataFrame) -> DataFrame:
     """``df``, written to the shared folder, to be broadcast if it has at most SMALL_ROWS rows."""
     df = cut(df)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wayfarer.llm.common import bounded, cut, release, small, utf8, values, with_ids
+from wayfarer.llm.common import Tables, bounded, cut, known, release, small, utf8, values, with_ids
 from wayfarer.operators import graph
 
 #: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
@@ -130,23 +130,23 @@ def _sets(texts: DataFrame, common, n: int, percent: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'{x} long' for x in names)}, first array<long>")
 
 
-def _segments(texts: DataFrame, common, n: int, fragments) -> DataFrame:
-    """k1, k2, fragment, grams: the wanted fragments of each text's set, empty ones too."""
-    wanted = sorted(fragments)
+def _segments(texts: DataFrame, common, n: int) -> DataFrame:
+    """k1, k2, fragment, grams: the fragments of each text's set, empty ones too."""
 
     def run(batches):
         late = common.value
         edges = np.array([i << 62 for i in (1, 2, 3)], np.uint64)
         for batch in batches:
-            out = []
+            keys, grams = [], []
             for raw in values(batch.column(0)):
                 g = shingles(raw, n)
-                key = set_key(g)
+                keys.append(set_key(g))
                 ordered, rare = _common_last(g, late)
                 cuts = [0, *np.searchsorted(ordered[:rare], edges).tolist(), rare, *(rare + np.searchsorted(ordered[rare:], edges)).tolist(), len(ordered)]
-                out += [(*key, f, _signed(ordered[cuts[f] : cuts[f + 1]])) for f in wanted]
-            k1, k2, f, grams = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(f, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["k1", "k2", "fragment", "grams"])
+                grams += [_signed(ordered[cuts[f] : cuts[f + 1]]) for f in range(FRAGMENTS)]
+            k1, k2 = (np.repeat(np.array(k, np.int64), FRAGMENTS) for k in (zip(*keys, strict=True) if keys else ((), ())))
+            fragment = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(fragment), pa.array(grams, pa.list_(pa.int64()))], ["k1", "k2", "fragment", "grams"])
         _words.clear()
         release()
 
@@ -159,67 +159,133 @@ def components(links: DataFrame) -> DataFrame:
     return found.select(F.col("node_id").alias("node"), F.col("component").alias("root"))
 
 
+#: Pairs of a class on one side of a join of fragments; a class in more is salted over as many slices as it takes.
+HOT = 10_000
+
+
 class _Join:
-    """What the steps of one self-join share."""
+    """The steps of one self-join. What a step hands on is a table in the shared folder, with no more columns than are read."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         bounded(docs)
         self.texts, self.n, self.percent = docs.select("doc_id", utf8().alias("text")), n, percent
+        self.tables = Tables(docs.sparkSession)
         self.common = docs.sparkSession.sparkContext.broadcast(common_grams(self.texts, n, percent))
-        self.rows = cut(_sets(self.texts, self.common, n, percent).withColumn("row", F.monotonically_increasing_id()))
+        sets = self.tables.write("sets", _sets(self.texts, self.common, n, percent).withColumn("row", F.monotonically_increasing_id()))
+        self.rows = self.tables.write("rows", sets.drop("first", "row", "rare", *_PARITIES))
         # one class for each set; a row of it with the least id, where one has an id, stands for it
-        of_class = self.rows.groupBy("n", "rare", "k1", "k2", *_PARITIES).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
-        self.classes = cut(of_class.select("n", "k1", "k2", *_PARITIES, F.struct(-F.col("copies"), "rare").alias("rank"), F.col("least.doc_id").alias("least"), F.col("least.row").alias("row")).withColumn("cid", F.monotonically_increasing_id()))
+        of_class = sets.groupBy("n", "rare", "k1", "k2", *_PARITIES).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"), F.count("*").alias("copies"))
+        # of classes with as many copies the one with fewest rare n-grams comes first
+        rank = F.col("rare") - F.shiftleft(F.least("copies", F.lit(1 << 30)), 32)
+        self.classes = self.tables.write("classes", of_class.select("n", "k1", "k2", *_PARITIES, rank.alias("rank"), F.col("least.doc_id").alias("least"), F.col("least.row").alias("row")).withColumn("cid", F.monotonically_increasing_id()))
+        entries = sets.select("row", "first").join(known(self.classes.select("row", "cid", "n")), "row").select("cid", "n", F.posexplode("first").alias("at", "gram"))
+        entries = entries.select("gram", "cid", F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+        # most n-grams begin one class only: they are told by themselves, before anything is carried with them
+        repeated = self.tables.write("repeated", entries.groupBy("gram").agg(F.count("*").alias("size")).filter("size > 1").select("gram"))
+        self.members = self.tables.write("members", entries.join(repeated, "gram", "left_semi"))
+        self.tables.drop("sets", "repeated")
+
+    def _sides(self, df: DataFrame, *sides: str) -> DataFrame:
+        """``df`` with n and the parities of the classes in the columns ``sides``, under names that begin with the side's."""
+        of = known(self.classes.select("cid", "n", *_PARITIES))
+        for x in sides:
+            df = df.join(of.select(F.col("cid").alias(x), F.col("n").alias(f"{x}n"), *[F.col(p).alias(f"{x}{p}") for p in _PARITIES]), x)
+        return df
+
+    def _alike(self):
+        """Whether the parities of a and b leave it open that they are near."""
+        differ = sum(F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in _PARITIES)
+        return (100 + self.percent) * differ <= (100 - self.percent) * (F.col("an") + F.col("bn"))
 
-    def near(self):
-        """Whether two sets a and b that share a first n-gram can be near: by their sizes, by what is left of both after it, and by their parities."""
+    def _room(self, na, nb, left_a, left_b):
+        """Whether two sets can be near by their sizes and by what is left of both from a shared first n-gram on."""
         p = self.percent
-        both = F.col("na") + F.col("nb")
-        size = 100 * F.least("na", "nb") >= p * F.greatest("na", "nb")
-        rest = (100 + p) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= p * both
-        differ = sum(F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in _PARITIES)
-        return size & rest & ((100 + p) * differ <= (100 - p) * both)
+        return (100 * F.least(na, nb) >= p * F.greatest(na, nb)) & ((100 + p) * F.least(left_a, left_b) >= p * (na + nb))
 
-    def members(self) -> DataFrame:
-        """gram, cid, place (n and the n-gram's place in one number), parities, size (of the n-gram's group) and hubs of classes that share a first n-gram with others.
+    def star(self) -> DataFrame:
+        """a, b, both: pairs of each class with two hubs of each of its n-grams that may be near, once each.
 
-        Hubs are two classes of the n-gram that many others are likely near to: the one that most documents copy as it is
-        (of equal ones that with fewest rare n-grams), and the one with fewest n-grams before it.
+        Hubs are classes that many others are likely near to: the one that most documents copy as it is, and the one with
+        fewest n-grams before the shared one.
+        """
+        at = F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+        ranked = self.members.join(known(self.classes.select("cid", "rank")), "cid")
+        groups = ranked.groupBy("gram").agg(F.min(F.struct("rank", "cid")).alias("most"), F.min(F.struct(at.alias("at"), "cid")).alias("early"))
+        hubs = self.tables.write("hubs", groups.select("gram", F.array_distinct(F.array("most.cid", "early.cid")).alias("hubs")))
+        tried = self.members.join(hubs, "gram").select(F.col("cid").alias("a"), F.shiftright("place", 32).alias("na"), at.alias("at"), F.explode("hubs").alias("b")).filter("a <> b")
+        tried = self._sides(tried, "a", "b")
+        may = self._room(F.col("na"), F.col("bn"), F.col("na") - F.col("at"), F.col("bn")) & self._alike()
+        found = self.tables.write("star", tried.filter(may).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("bn")).alias("both")).distinct())
+        self.tables.drop("hubs")
+        return found
+
+    def open_pairs(self, star: DataFrame, roots: DataFrame) -> DataFrame:
+        """a, b, both: all pairs of classes that share a first n-gram, may be near and are not in one component of ``roots``.
+
+        N-grams all of whose classes are in one component need no pairs. Pairs meet by n-gram and band of sizes, the
+        smaller set in its own band and the next: sets of more distant bands are not near.
         """
-        first = cut(self.rows.select("row", "first").join(self.classes.select("row", "cid", "n", "rank", *_PARITIES), "row").drop("row"))
-        first = first.select("cid", "n", "rank", *_PARITIES, F.posexplode("first").alias("at", "gram"))
-        groups = first.groupBy("gram").agg(F.count("*").alias("size"), F.min(F.struct("rank", "cid")).alias("most"), F.min(F.struct("at", "cid")).alias("early")).filter("size > 1")
-        groups = groups.select("gram", "size", F.col("most.cid").alias("hub1"), F.col("early.cid").alias("hub2"))
-        place = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long"))
-        return cut(first.select("gram", "cid", place.alias("place"), *_PARITIES).join(groups, "gram"))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
+        reach = known(self.tables.write("reach", roots.select(F.col("node").alias("cid"), "root")))
+        rooted = self.members.join(reach, "cid", "left").select("gram", "cid", "place", F.coalesce("root", "cid").alias("root"))
+        inside = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        mixed = self.tables.write("mixed", inside.filter("low <> high").select("gram"))
+        rooted = rooted.join(mixed, "gram", "left_semi")
+        n, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+        band = F.floor(F.log(n.cast("double")) / float(np.log(100 / self.percent)) * (1 - 1e-9)).cast("int")
+        rooted = self.tables.write("rooted", rooted.select("gram", "cid", "root", n.alias("n"), (n - at).alias("left"), band.alias("band")))
+        a = rooted.select("gram", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+        b = rooted.select("gram", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"), "band")
+        smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        met = a.join(b, ["gram", "band"]).filter(smaller & (F.col("ra") != F.col("rb")) & self._room(F.col("na"), F.col("nb"), F.col("la"), F.col("lb")))
+        pairs = self._sides(met.select("a", "b").distinct(), "a", "b").filter(self._alike())
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("both"))
+        found = self.tables.write("pairs", pairs.join(known(star.select("a", "b")), ["a", "b"], "left_anti"))
+        self.tables.drop("reach", "mixed", "rooted")
+        return found
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """a, b, overlap of the pairs (a, b, both) that are near: overlaps are counted in the early fragments, then, of pairs that may still be near, in the rest."""
-        p = self.percent
-        early = self._counted(pairs, EARLY)
-        open_ = cut(early.filter((100 + p) * F.col("lost") <= (100 - p) * F.col("both")).select("a", "b", "both", F.col("overlap").alias("before")))
-        late = self._counted(open_, [f for f in range(FRAGMENTS) if f not in EARLY])
-        summed = late.join(open_.select("a", "b", "before"), ["a", "b"]).withColumn("overlap", F.col("overlap") + F.col("before"))
-        return cut(summed.filter((100 + p) * F.col("overlap") >= p * F.col("both")).select("a", "b", "overlap"))
-
-    def _counted(self, pairs: DataFrame, fragments) -> DataFrame:
-        """a, b, both, overlap, lost: n-grams shared and not shared in the fragments, counted in each and summed."""
-        asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "k1", "k2", "least"), "cid"))
+        p, late = self.percent, [f for f in range(FRAGMENTS) if f not in EARLY]
+        parts = self._parts(pairs, f"{name}_parts")
+        early = self._counted(pairs, parts.filter(F.col("fragment").isin(list(EARLY))))
+        open_ = self.tables.write(f"{name}_open", early.filter((100 + p) * F.col("lost") <= (100 - p) * F.col("both")).select("a", "b", "both", F.col("overlap").alias("before")))
+        rest = self._counted(open_, parts.filter(F.col("fragment").isin(late)))
+        summed = rest.join(open_.select("a", "b", "before"), ["a", "b"]).withColumn("overlap", F.col("overlap") + F.col("before"))
+        found = self.tables.write(f"{name}_links", summed.filter((100 + p) * F.col("overlap") >= p * F.col("both")).select("a", "b", "overlap"))
+        self.tables.drop(f"{name}_parts", f"{name}_open")
+        return found
+
+    def _parts(self, pairs: DataFrame, name: str) -> DataFrame:
+        """cid, fragment, grams of the classes of ``pairs``: their texts alone are read again, once for all fragments."""
+        asked = self.tables.write(f"{name}_asked", pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(known(self.classes.select("cid", "k1", "k2", "least")), "cid"))
         again = with_ids(self.texts, asked.select("least"))
-        # rows that repeat an id and a text repeat their fragments: max() takes one of equal ones
-        parts = _segments(again, self.common, self.n, fragments).join(asked.select("k1", "k2", "cid"), ["k1", "k2"])
-        if self._repeats(asked):
+        parts = _segments(again, self.common, self.n).join(known(asked.select("k1", "k2", "cid")), ["k1", "k2"])
+        if self._repeats(asked):  # rows that repeat an id and a text repeat their fragments: max() takes one of equal ones
             parts = parts.groupBy("cid", "fragment").agg(F.max("grams").alias("grams"))
-        parts = cut(parts.select("cid", "fragment", "grams"))
-        of_a = parts.select(F.col("cid").alias("a"), "fragment", F.col("grams").alias("ga"))
-        of_b = parts.select(F.col("cid").alias("b"), "fragment", F.col("grams").alias("gb"))
+        return self.tables.write(name, parts.select("cid", "fragment", "grams"))
+
+    def _counted(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """a, b, both, overlap, lost: n-grams shared and not shared in the fragments, counted in each and summed.
+
+        A class in more than HOT pairs is salted: its pairs are dealt over slices, to each of which its fragments go.
+        """
+        of_a, of_b = (parts.select(F.col("cid").alias(x), "fragment", F.col("grams").alias(f"g{x}"), F.lit(0).alias(f"s{x}")) for x in "ab")
+        dealt = pairs.select("a", "b", "both", F.lit(0).alias("sa"), F.lit(0).alias("sb"))
+        load = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("load"))
+        hot = small(load.filter(F.col("load") > HOT).select("cid", F.ceil(F.col("load") / HOT).cast("int").alias("slices")))
+        if hot.limit(1).count():
+            dealt = pairs
+            for x, y in ("ab", "ba"):
+                dealt = dealt.join(hot.select(F.col("cid").alias(x), "slices"), x, "left").withColumn(f"s{x}", F.pmod(F.xxhash64(y), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+            spread = lambda of, x: of.join(hot.select(F.col("cid").alias(x), "slices"), x, "left").withColumn(f"s{x}", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+            of_a, of_b = spread(of_a, "a"), spread(of_b, "b")
         shared = F.size(F.array_intersect("ga", "gb"))
-        partial = pairs.join(of_a, "a").join(of_b, ["b", "fragment"]).select("a", "b", "both", shared.alias("shared"), (F.size("ga") + F.size("gb") - 2 * shared).alias("lost"))
+        partial = of_a.join(known(dealt), ["a", "sa"]).join(of_b, ["b", "sb", "fragment"]).select("a", "b", "both", shared.alias("shared"), (F.size("ga") + F.size("gb") - 2 * shared).alias("lost"))
         return partial.groupBy("a", "b", "both").agg(F.sum("shared").alias("overlap"), F.sum("lost").alias("lost"))
 
     def _repeats(self, asked: DataFrame) -> bool:
         """Whether a class is met by more than one row of the ids that are read again, those asked for other classes among them."""
-        met = with_ids(self.rows.select("doc_id", "k1", "k2"), asked.select("least")).join(asked.select("k1", "k2", "cid"), ["k1", "k2"])
+        met = with_ids(self.rows, asked.select("least")).join(known(asked.select("k1", "k2", "cid")), ["k1", "k2"])
         return met.groupBy("cid").count().filter("count > 1").limit(1).count() > 0
 
 
@@ -228,35 +294,20 @@ def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[D
 
     Texts with equal sets are one class; links are between classes. First each n-gram's classes are tried with
     its two hubs, which joins most of a large group at once; then all candidate pairs that are not yet in one
-    component are tried. Links between classes already joined are not listed: components are exact, and no group's pairs
-    are all made.
+    component are tried. Links between classes already joined are not listed: the links span each component, components
+    are exact, and no group's pairs are all made.
     """
     join = _Join(docs, n, percent)
-    members = join.members()
-    size, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
-    left = [F.col("cid").alias("a"), size.alias("na"), at.alias("pa"), *[F.col(x).alias(f"a{x}") for x in _PARITIES]]
-    right = [F.col("cid").alias("b"), size.alias("nb"), at.alias("pb"), *[F.col(x).alias(f"b{x}") for x in _PARITIES]]
-    hubs = join.classes.select(F.col("cid").alias("hub"), F.col("n").alias("nb"), F.lit(0).alias("pb"), *[F.col(x).alias(f"b{x}") for x in _PARITIES])
-    tried = members.select(*left, F.explode(F.array_distinct(F.array("hub1", "hub2"))).alias("hub")).filter("a <> hub").join(hubs, "hub")
-    star = cut(tried.filter(join.near()).select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b"), (F.col("na") + F.col("nb")).alias("both")).distinct())
-    links = join.links(star)
+    star = join.star()
+    links = join.links(star, "star")
     roots = components(links)
-
-    # n-grams all of whose classes are in one component by now need no pairs
-    known = small(roots)
-    inside = members.select("gram", "size", "cid").join(known, members["cid"] == known["node"]).groupBy("gram", "size").agg(F.count("*").alias("linked"), F.min("root").alias("low"), F.max("root").alias("high"))
-    settled = small(inside.filter("linked = size and low = high").select("gram"))
-    rooted = members.drop("hub1", "hub2", "size").join(settled, "gram", "left_anti").join(known, members["cid"] == known["node"], "left").select("gram", "cid", "place", *_PARITIES, F.coalesce("root", "cid").alias("root"))
-    a = rooted.select("gram", *left, F.col("root").alias("ra"))
-    b = rooted.select("gram", *right, F.col("root").alias("rb"))
-    pairs = a.join(b, (a["gram"] == b["gram"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & join.near())
-    pairs = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("both")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = cut(pairs)
+    pairs = join.open_pairs(star, roots)
     if pairs.limit(1).count():
-        more = join.links(pairs)
+        more = join.links(pairs, "pairs")
         if more.limit(1).count():
             links = links.unionByName(more)
             roots = components(links)
+    join.tables.drop("members", "star", "pairs")
     return join.rows, join.classes, links, roots
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import cut
+from wayfarer.llm.common import Tables, cut, small
 
 #: A source's weight by its place among the sources in code point order, null last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,8 +66,8 @@ def targets(sources: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeat
     return levels.select(*sources.columns, "weight", F.least("full", F.coalesce(F.col("weight") * stop, F.col("full"))).alias("target"))
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document.
+def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document, and the columns named in ``carry``.
 
     Each source's documents are shuffled by a hash. A document's pass ends at the virtual time (words of its source up
     to it) / weight, and its k-th repeat a whole source later. All passes are sorted by that time over the cluster and
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
-    sized = cut(docs.select("doc_id", "source", key.alias("key"), n_words().alias("size"), shuffle_hash(seed, F.col("doc_id"), text).alias("h")))
+    sized = cut(docs.select(*carry, "doc_id", "source", key.alias("key"), n_words().alias("size"), shuffle_hash(seed, F.col("doc_id"), text).alias("h")))
     sources = cut(targets(sized.groupBy("source", "key").agg(F.sum("size").alias("source_size")), weights=weights, share=share, repeats=repeats))
     rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets = max(1, math.isqrt(rows))
@@ -92,11 +92,25 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int
     timed = timed.join(F.broadcast(facts) if facts.count() <= SMALL_ROWS else facts, "key")
     first = (F.col("low") + F.col("inside")).cast("double")
     ends = F.array(*[(first + F.lit(k) * F.col("source_size")) / F.col("weight") for k in range(repeats)])
-    timed = cut(timed.select("doc_id", "size", "h", "source_size", "target", ends.alias("ends")))
+    timed = cut(timed.select(*carry, "doc_id", "size", "h", "source_size", "target", ends.alias("ends")))
 
     last = cutoff(timed.select(F.explode("ends").alias("end"), "h", "size"), share * total)
     taken = F.size(F.filter("ends", lambda e: e <= F.lit(last))).cast("long") * F.col("size")
-    return timed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken.alias("taken"))
+    return timed.select(*carry, "doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken.alias("taken"))
+
+
+def taken(docs: DataFrame, name: str = "times", **settings) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each with how often in a column ``name`` (with underscores before it while it is a name of ``docs``).
+
+    Rows are told by a key of their own, with which the texts are written once: rows that share an id, or lack one, are each
+    judged by themselves.
+    """
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    keyed = Tables(docs.sparkSession).write("keyed", docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = mix(keyed, carry=("__row",), **settings).filter(F.col("taken") > 0)
+    found = small(found.select(F.col("__row").alias("__taken"), (F.col("taken") / F.col("size")).cast("int").alias(name)))
+    return keyed.join(found, keyed["__row"] == found["__taken"]).drop("__row", "__taken")
 
 
 def cutoff(passes: DataFrame, budget: float) -> float:
