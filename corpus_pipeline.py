@@ -7,7 +7,11 @@
 3. decontamination: documents that hold a window of ten benchmark words go.
 4. secrets: spans of secrets in the texts are replaced by ``MASK``; all documents stay.
 5. mixing: the rest is mixed to the target weights of its sources; documents that the mix takes are returned with the
-   number of times it takes them.
+   number of times it takes them (``times``; ``_times`` where documents have such a column).
+
+Rows are judged by their own text in every stage: ids may repeat or be null. Null and empty texts have no letter and go
+in the first stage; of equal rows one stays in the second; an empty table gives an empty table; further columns of the
+documents are handed on as they are.
 """
 
 from __future__ import annotations
@@ -15,10 +19,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wayfarer.llm import decontaminate, jaccard_join, langid, mixing, secret_scan
-from wayfarer.llm.common import shared_dir, small
+from wayfarer.llm.common import shared_dir
 
 #: Least mean probability of a document's language, and what stands for a secret.
 MIN_SCORE, MASK = 0.35, "[secret]"
@@ -45,9 +48,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Columns of the documents that the mix takes, with ``times``."""
-    taken = mixing.mix(docs).filter(F.col("taken") > 0).select(F.col("doc_id").alias("__doc_id"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = small(taken.groupBy("__doc_id", "__size").agg(F.max("times").alias("times")))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__doc_id"]) & (mixing.n_words() == taken["__size"])).drop("__doc_id", "__size")
+    return mixing.taken(docs)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixed)]
