@@ -15,7 +15,7 @@ from wayfarer.operators import graph
 #: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
 FRAGMENTS, EARLY = 8, (0, 4)
 #: An n-gram that begins more documents than this goes to the end of the order; at most so many do, those in most documents.
-COMMON, MOST_COMMON = 16, 1 << 21
+COMMON, MOST_COMMON = 4, 1 << 21
 #: Words whose hashes a task keeps.
 VOCABULARY = 1 << 18
 
@@ -222,23 +222,26 @@ class _Join:
     def open_pairs(self, star: DataFrame, roots: DataFrame) -> DataFrame:
         """a, b, both: all pairs of classes that share a first n-gram, may be near and are not in one component of ``roots``.
 
-        N-grams all of whose classes are in one component need no pairs. Pairs meet by n-gram and band of sizes, the
-        smaller set in its own band and the next: sets of more distant bands are not near.
+        N-grams all of whose classes are in one component need no pairs. Of the others only classes outside of the
+        n-gram's largest component are met with the rest, so a large group of copies is not paired with itself. Pairs meet
+        by n-gram and band of sizes: sets two bands apart are not near.
         """
         reach = known(self.tables.write("reach", roots.select(F.col("node").alias("cid"), "root")))
         rooted = self.members.join(reach, "cid", "left").select("gram", "cid", "place", F.coalesce("root", "cid").alias("root"))
-        inside = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        mixed = self.tables.write("mixed", inside.filter("low <> high").select("gram"))
-        rooted = rooted.join(mixed, "gram", "left_semi")
+        counts = rooted.groupBy("gram", "root").agg(F.count("*").alias("many"))
+        tops = counts.groupBy("gram").agg(F.max(F.struct("many", "root"))["root"].alias("top"), F.count("*").alias("roots"))
+        mixed = self.tables.write("mixed", tops.filter("roots > 1").select("gram", "top"))
         n, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
         band = F.floor(F.log(n.cast("double")) / float(np.log(100 / self.percent)) * (1 - 1e-9)).cast("int")
-        rooted = self.tables.write("rooted", rooted.select("gram", "cid", "root", n.alias("n"), (n - at).alias("left"), band.alias("band")))
-        a = rooted.select("gram", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-        b = rooted.select("gram", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"), "band")
-        smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        met = a.join(b, ["gram", "band"]).filter(smaller & (F.col("ra") != F.col("rb")) & self._room(F.col("na"), F.col("nb"), F.col("la"), F.col("lb")))
-        pairs = self._sides(met.select("a", "b").distinct(), "a", "b").filter(self._alike())
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("both"))
+        rooted = rooted.join(mixed, "gram").select("gram", "cid", "root", "top", n.alias("n"), (n - at).alias("left"), band.alias("band"))
+        rooted = self.tables.write("rooted", rooted.join(known(self.classes.select("cid", *_PARITIES)), "cid"))
+        side = lambda x: [F.col("cid").alias(x), F.col("root").alias(f"{x}root"), F.col("n").alias(f"{x}n"), F.col("left").alias(f"{x}left"), *[F.col(p).alias(f"{x}{p}") for p in _PARITIES]]
+        a = rooted.filter("root <> top").select("gram", *side("a"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+        b = rooted.select("gram", *side("b"), "top", "band")
+        once = (F.col("broot") == F.col("top")) | (F.col("a") < F.col("b"))
+        may = self._room(F.col("an"), F.col("bn"), F.col("aleft"), F.col("bleft")) & self._alike()
+        met = a.join(b, (a["gram"] == b["gram"]) & (a["band"] == b["band"]) & once & (F.col("aroot") != F.col("broot")) & may)
+        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("both")).distinct()
         found = self.tables.write("pairs", pairs.join(known(star.select("a", "b")), ["a", "b"], "left_anti"))
         self.tables.drop("reach", "mixed", "rooted")
         return found
