@@ -89,7 +89,7 @@ def test_every_png_filter(kind):
 
 
 def test_media(spark):
-    rows = [(r.doc_id, r) for r in media.text_images(with_clashes(table(spark, ODD))).collect()]
+    rows = [(r.doc_id, r) for r in media.read_back(media.text_images(with_clashes(table(spark, ODD)))).collect()]
     assert Counter(i for i, _ in rows) == Counter(i for i, *_ in ODD)
     texts = Counter((i, (t or "").encode()) for i, t, _ in ODD)
     for (i, raw), n in texts.items():
@@ -101,7 +101,7 @@ def test_media(spark):
             assert media.decode_png(bytes(r.media)).tobytes() == payload
             assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
             assert (r.media_bytes, r.media_sha256, len(r.feature)) == (len(r.media), hashlib.sha256(r.media).hexdigest(), 16)
-    assert not media.text_images(table(spark, ODD).limit(0)).count()
+    assert not media.read_back(media.text_images(table(spark, ODD).limit(0))).count()
 
 
 def test_broken_images_are_told():

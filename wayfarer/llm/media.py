@@ -135,29 +135,47 @@ def cosine_hash(samples: np.ndarray) -> int:
     return int("".join("1" if v > np.median(low[1:]) else "0" for v in low), 2)
 
 
-SCHEMA = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def _per_row(df: DataFrame, columns: list[str], schema: str, kinds, row) -> DataFrame:
+    """A row of ``schema`` for each row of ``columns``: doc_id, then values that ``row`` makes the others of."""
+    bounded(df)
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            out = [row(*x) for x in zip(*(values(c) for c in batch.columns[1:]), strict=True)]
+            made = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names)
+
+    return df.select(*columns).mapInArrow(run, schema)
 
 
-def text_images(docs: DataFrame, *, keep_media: bool = True) -> DataFrame:
-    """Each text as a 192-wide PNG in a binary column, with digests and a hash of what is read back from it.
+def text_images(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and ``media``, a binary column: each text as a 192-wide PNG.
 
     The text's UTF-8 is filled up with spaces to a positive multiple of 192; null and empty texts give one row of spaces.
-    The image is decoded from its stored bytes (signature, every chunk checksum, inflate, unfilter) and all digests are
-    of those. Equal texts give equal rows; other columns of ``docs`` are ignored; one row per input row.
+    Equal texts give equal images; other columns of ``docs`` are ignored; one row per input row.
     """
-    bounded(docs)
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, raw in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
-                size = max(WIDTH, -(-len(raw) // WIDTH) * WIDTH)
-                media = encode_png(np.frombuffer(raw.ljust(size), np.uint8).reshape(-1, WIDTH))
-                image = decode_png(media)
-                payload = image.tobytes()
-                out.append((doc_id, len(raw), media if keep_media else None, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{cosine_hash(image):016x}"))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names)
-
-    return docs.select("doc_id", utf8().alias("text")).mapInArrow(run, SCHEMA)
+    def row(raw):
+        size = max(WIDTH, -(-len(raw) // WIDTH) * WIDTH)
+        return len(raw), encode_png(np.frombuffer(raw.ljust(size), np.uint8).reshape(-1, WIDTH))
+
+    df = docs.select("doc_id", utf8().alias("text"))
+    return _per_row(df, ["doc_id", "text"], "doc_id long, n_bytes long, media binary", [pa.int64(), pa.binary()], row)
+
+
+def read_back(images: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media of ``images`` with digests and a hash of what their stored bytes hold.
+
+    The image is decoded from the binary column (signature, every chunk checksum, inflate, unfilter) and all digests are of
+    those bytes: payload_bytes, payload_sha256, tail_crc32 (last 16), media_bytes, media_sha256, feature. A null image, or
+    one that is no whole PNG, fails.
+    """
+
+    def row(n, media):
+        image = decode_png(media)
+        payload = image.tobytes()
+        return n, media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{cosine_hash(image):016x}"
+
+    schema = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _per_row(images, ["doc_id", "n_bytes", "media"], schema, [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], row)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.llm import mixing, secret_scan, url_filter
+from wayfarer.llm.common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,9 @@ def op2_benchmark_decontamination(spark, sf_dir):
 
 
 def op3_media_columns(spark, sf_dir):
-    from wayfarer.llm.media import text_images
+    from wayfarer.llm.media import read_back, text_images
 
-    return text_images(_table(spark, sf_dir, "documents"), keep_media=False).drop("media")
+    return read_back(text_images(_table(spark, sf_dir, "documents"))).drop("media")
 
 
 def op4_token_counts(spark, sf_dir):
@@ -59,10 +60,10 @@ def op6_quality_classifier(spark, sf_dir):
 
 
 def op7_url_filter(spark, sf_dir):
-    from wayfarer.llm import mixing, secret_scan, url_filter as U
+    from wayfarer.llm import url_filter as U
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", U.capture_day("page_id").alias("fetched"))
-    return U.evaluate(pages, U.validity(U.sample_entries(spark))).select("page_id", "url", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "host", "n_active", "lists", "blocked")
+    return U.evaluate(pages, cut(U.validity(U.sample_entries(pages)))).select("page_id", "url", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "host", "n_active", "lists", "blocked")
 
 
 def op8_ngram_jaccard_join(spark, sf_dir):
