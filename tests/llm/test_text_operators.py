@@ -150,6 +150,20 @@ def test_token_counts(spark):
     assert not token_count.token_counts(table(spark, ODD).limit(0), path).count()
 
 
+def test_long_documents_of_the_tables_are_spliced(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(F.length("text") > token_count.CHUNK)
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) > 50
+    whole = token_count.count(token_count.load(path), [r.text for r in rows])
+    assert {r.doc_id: r.n_tokens for r in token_count.token_counts(docs, path).collect()} == {r.doc_id: n for r, n in zip(rows, whole, strict=True)}
+    letters = "".join(np.random.default_rng(0).choice(list("abcdefgh"), 40_000))
+    tokenizer = token_count.load(path)
+    assert sum(map(len, token_count.resynchronised(tokenizer, letters + " x"))) == token_count.count(tokenizer, [letters + " x"])[0]
+
+
+
 # language
 
 

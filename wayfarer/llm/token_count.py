@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayfarer.llm.common import bounded
 
 #: Characters of a chunk and of its first overlap with the next; equal neighbouring tokens that make a boundary stable.
-CHUNK, OVERLAP, STABLE = 1 << 15, 1 << 9, 8
+CHUNK, OVERLAP, STABLE = 1 << 14, 1 << 9, 8
 
 _loaded: dict[str, object] = {}
 
@@ -87,6 +87,11 @@ def resynchronised(tokenizer, text: str, *, chunk: int = CHUNK, overlap: int = O
     Chunks of ``chunk`` characters overlap; each is encoded with offsets, and two neighbours are spliced at a boundary
     that both encodings share amid 2 * ``stable`` equal tokens. Where none is found the overlap is doubled, back to the
     last splice; then the chunk is doubled; at last the rest is encoded whole.
+
+    A splice stands where white space parts two tokens of both encodings. It is exact for vocabularies without an entry that
+    reaches over white space after another character: words are then encoded one by one (.json files that split texts into
+    words first, and .model files whose pieces have their space mark in front), and what is encoded before and after the
+    place does not depend on the other side. The equal tokens around it guard rules that look beyond a word's end.
     """
     start, end = 0, min(len(text), chunk)
     left = encode(tokenizer, text[:end])
@@ -117,8 +122,9 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int =
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens) of every text.
 
     No begin, end or added tokens, no truncation; special strings inside texts count as the library's default has them.
-    Texts of over two chunks of characters are encoded in overlapping chunks, so memory stays bounded for any length. Null and
-    empty texts have 0 bytes and 0 tokens; one row per input row; other columns of ``docs`` are ignored.
+    Texts of over a chunk of characters are encoded in overlapping chunks. What is held is a chunk's tokens, as long as the
+    text has a stable boundary within each chunk; without any (no white space) the chunk grows, at last to the rest of the
+    text, and so do memory and time. Null and empty texts have 0 bytes and 0 tokens; one row per input row; other columns of ``docs`` are ignored.
     """
     bounded(docs)
 
@@ -127,13 +133,13 @@ def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int =
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = [0] * len(texts)
-            short = [k for k, t in enumerate(texts) if len(t) <= 2 * chunk]
+            short = [k for k, t in enumerate(texts) if len(t) <= chunk]
             for at in range(0, len(short), 64):
                 group = short[at : at + 64]
                 for k, v in zip(group, count(tokenizer, [texts[k] for k in group]), strict=True):
                     n[k] = v
             for k, t in enumerate(texts):
-                if len(t) > 2 * chunk:
+                if len(t) > chunk:
                     n[k] = sum(map(len, resynchronised(tokenizer, t, chunk=chunk, overlap=overlap)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
