@@ -123,13 +123,13 @@ def service_groups(spark, sf):
     return calendar.patterns(N.services(spark, sf))
 
 
-_DATES = "SELECT o_custkey % 50 AS service_id, list(DISTINCT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER)) AS d FROM orders WHERE o_orderkey % 211 = 0 GROUP BY 1"
+_DATES = "SELECT o_custkey AS service_id, list(DISTINCT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER)) AS d FROM orders GROUP BY 1"
 
 
 @query(f"SELECT service_id, CAST(list_sum(list_distinct(list_transform(d, lambda x: CAST(pow(2, isodow(strptime(CAST(x AS VARCHAR), '%Y%m%d')) - 1) AS INTEGER)))) AS INTEGER) AS mask FROM ({_DATES})")
 def weekday_mask(spark, sf):
     day = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
-    dated = N.table(spark, sf, "orders").filter(F.pmod("o_orderkey", F.lit(211)) == 0).groupBy(F.pmod("o_custkey", F.lit(50)).alias("service_id")).agg(F.collect_set(day).alias("adds"))
+    dated = N.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("service_id")).agg(F.collect_set(day).alias("adds"))
     services = dated.select("service_id", F.lit(0).alias("mask"), F.lit(0).alias("start_date"), F.lit(0).alias("end_date"), "adds", F.expr("cast(array() as array<int>)").alias("removes"))
     return calendar.with_masks(services).select("service_id", "mask")
 
@@ -158,13 +158,13 @@ def active_trips(spark, sf):
     return calendar.active_trips(N.trips(spark, sf), N.services(spark, sf), DATE).groupBy("service_id").agg(F.count("*").alias("trips"))
 
 
-_CUSTOM = "sv AS (SELECT o_custkey AS service_id, CAST(strftime(min(o_orderdate), '%Y%m%d') AS INTEGER) AS s, CAST(strftime(max(o_orderdate), '%Y%m%d') AS INTEGER) AS e FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1), dd AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(strptime(CAST(s AS VARCHAR), '%Y%m%d') AS DATE)) AS sd, date_diff('day', DATE '1970-01-01', CAST(strptime(CAST(e AS VARCHAR), '%Y%m%d') AS DATE)) AS ed FROM sv), hand AS (SELECT service_id, s, e, EXISTS (SELECT 1 FROM dd b WHERE b.service_id <> a.service_id AND b.ed > a.ed AND abs(b.sd - a.ed - 1) <= 7) AS has_successor, EXISTS (SELECT 1 FROM dd b WHERE b.service_id <> a.service_id AND b.sd < a.sd AND abs(b.ed - a.sd + 1) <= 7) AS has_predecessor FROM dd a)"
+_CUSTOM = "sv AS (SELECT o_custkey AS service_id, CAST(strftime(min(o_orderdate), '%Y%m%d') AS INTEGER) AS s, CAST(strftime(max(o_orderdate), '%Y%m%d') AS INTEGER) AS e FROM orders GROUP BY 1), dd AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(strptime(CAST(s AS VARCHAR), '%Y%m%d') AS DATE)) AS sd, date_diff('day', DATE '1970-01-01', CAST(strptime(CAST(e AS VARCHAR), '%Y%m%d') AS DATE)) AS ed FROM sv), hand AS (SELECT service_id, s, e, EXISTS (SELECT 1 FROM dd b WHERE b.service_id <> a.service_id AND b.ed > a.ed AND abs(b.sd - a.ed - 1) <= 7) AS has_successor, EXISTS (SELECT 1 FROM dd b WHERE b.service_id <> a.service_id AND b.sd < a.sd AND abs(b.ed - a.sd + 1) <= 7) AS has_predecessor FROM dd a)"
 
 
 def _customer_services(spark, sf):
     day = F.date_format("o_orderdate", "yyyyMMdd").cast("int")
     none = F.expr("cast(array() as array<int>)")
-    rows = N.table(spark, sf, "orders").filter(F.pmod("o_custkey", F.lit(10)) == 0).groupBy(F.col("o_custkey").alias("service_id")).agg(F.min(day).alias("start_date"), F.max(day).alias("end_date"))
+    rows = N.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("service_id")).agg(F.min(day).alias("start_date"), F.max(day).alias("end_date"))
     return rows.select("service_id", F.lit(127).alias("mask"), "start_date", "end_date", none.alias("adds"), none.alias("removes"))
 
 
@@ -373,13 +373,13 @@ def coord_extent(spark, sf):
     return spatial.extent(N.nodes(spark, sf)).withColumn("cos_lat", F.round("cos_lat", 9))
 
 
-_NEAREST = "p AS (SELECT o_orderkey AS point_id, 41.66 + ((o_orderkey * 31) % 42000) / CAST(100000 AS DOUBLE) AS lat, -87.99 + ((o_orderkey * 71) % 56000) / CAST(100000 AS DOUBLE) AS lon FROM orders WHERE o_orderkey % 10 = 0), m AS (SELECT point_id, node_id, 6371000.0 * sqrt(pow(radians(n.lon - p.lon) * cos(radians(p.lat)), 2) + pow(radians(n.lat - p.lat), 2)) AS dist FROM p JOIN nodes n ON abs(floor(n.lat / 0.0045) - floor(p.lat / 0.0045)) <= 1 AND abs(floor(n.lon / 0.006) - floor(p.lon / 0.006)) <= 1)"
+_NEAREST = "p AS (SELECT o_orderkey AS point_id, 41.66 + ((o_orderkey * 31) % 42000) / CAST(100000 AS DOUBLE) AS lat, -87.99 + ((o_orderkey * 71) % 56000) / CAST(100000 AS DOUBLE) AS lon FROM orders), m AS (SELECT point_id, node_id, 6371000.0 * sqrt(pow(radians(n.lon - p.lon) * cos(radians(p.lat)), 2) + pow(radians(n.lat - p.lat), 2)) AS dist FROM p JOIN nodes n ON abs(floor(n.lat / 0.0045) - floor(p.lat / 0.0045)) <= 1 AND abs(floor(n.lon / 0.006) - floor(p.lon / 0.006)) <= 1)"
 
 
 @query(W("nodes", _NEAREST) + "SELECT point_id, arg_min(node_id, (dist, node_id)) AS node_id, round(min(dist), 3) AS dist FROM m GROUP BY 1")
 def nearest_node(spark, sf):
     k = F.col("o_orderkey")
-    points = N.table(spark, sf, "orders").filter(k % 10 == 0).select(k.alias("point_id"), (F.lit(41.66) + (k * 31) % 42000 / F.lit(100000.0)).alias("lat"), (F.lit(-87.99) + (k * 71) % 56000 / F.lit(100000.0)).alias("lon"))
+    points = N.table(spark, sf, "orders").select(k.alias("point_id"), (F.lit(41.66) + (k * 31) % 42000 / F.lit(100000.0)).alias("lat"), (F.lit(-87.99) + (k * 71) % 56000 / F.lit(100000.0)).alias("lon"))
     return spatial.nearest_nodes(points, N.nodes(spark, sf)).withColumn("dist", F.round("dist", 3))
 
 
@@ -442,12 +442,15 @@ def way_contraction(spark, sf):
     return graph.contract(_ways(spark, sf), places).withColumn("dist", F.round("dist", 2))
 
 
-_LINKS = "lk AS (SELECT l_orderkey + 10000000 AS u, l_partkey AS v FROM lineitem WHERE l_orderkey % 40 = 0 AND l_quantity > 25), bo AS (SELECT u, v FROM lk UNION SELECT v, u FROM lk), co(n, c) USING KEY (n) AS (SELECT DISTINCT u, u FROM bo UNION SELECT bo.v, min(co.c) FROM co JOIN bo ON bo.u = co.n JOIN recurring.co o ON o.n = bo.v WHERE co.c < o.c GROUP BY bo.v)"
+_LINKS = "lk AS (SELECT o_orderkey + 10000000 AS u, o_custkey AS v FROM orders UNION ALL SELECT b.c_custkey, a.c_custkey FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND a.c_mktsegment = b.c_mktsegment), bo AS (SELECT u, v FROM lk UNION SELECT v, u FROM lk), co(n, c) USING KEY (n) AS (SELECT DISTINCT u, u FROM bo UNION SELECT bo.v, min(co.c) FROM co JOIN bo ON bo.u = co.n JOIN recurring.co o ON o.n = bo.v WHERE co.c < o.c GROUP BY bo.v)"
 
 
 def _links(spark, sf):
-    rows = N.table(spark, sf, "lineitem").filter((F.pmod("l_orderkey", F.lit(40)) == 0) & (F.col("l_quantity") > 25))
-    return rows.select((F.col("l_orderkey") + 10_000_000).alias("u"), F.col("l_partkey").alias("v"))
+    """Every order with its customer, and customers of one segment 25 numbers apart: many components, some of them long."""
+    orders, customers = N.table(spark, sf, "orders"), N.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    later = customers.select((F.col("c_custkey") - 25).alias("c_custkey"), "c_mktsegment", F.col("c_custkey").alias("u"))
+    chains = customers.join(later, ["c_custkey", "c_mktsegment"]).select("u", F.col("c_custkey").alias("v"))
+    return orders.select((F.col("o_orderkey") + 10_000_000).alias("u"), F.col("o_custkey").alias("v")).unionByName(chains)
 
 
 @query(f"WITH RECURSIVE {_LINKS} SELECT n AS node_id, c AS component FROM co")
