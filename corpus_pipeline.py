@@ -16,12 +16,10 @@ documents are handed on as they are.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm import decontaminate, jaccard_join, langid, mixing, secret_scan
-from wayfarer.llm.common import shared_dir
+from wayfarer.llm.common import Tables
 
 #: Least mean probability of a document's language, and what stands for a secret.
 MIN_SCORE, MASK = 0.35, "[secret]"
@@ -58,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each result written to the shared folder."""
-    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``. Each result is written to the shared folder and removed when the next one is there."""
+    tables = Tables(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = tables.write(name, stage(spark, docs, sf_dir))
+        if before:
+            tables.drop(before)
+        before = name
     return docs

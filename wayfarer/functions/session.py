@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where a session has none."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where a session of one machine has none."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="wayfarer-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
