@@ -83,7 +83,7 @@ def transfers(arrivals: DataFrame, footpaths: DataFrame) -> DataFrame:
 
 def board_again(events: DataFrame, ready: DataFrame) -> DataFrame:
     """Raises ``h`` of boardable rows to the best of those ready at their stop by then: an as-of join by union and running maximum."""
-    keep = [c for c in events.columns if c not in ("h", "m")]
+    keep = [c for c in events.columns if c != "h"]
     both = events.withColumn("at", F.col("dep")).withColumn("late", F.lit(1)).withColumn("c", F.lit(None).cast("int"))
     more = ready.select("query_id", "stop_id", F.col("ready").alias("at"), F.lit(0).alias("late"), F.col("m").alias("c"))
     so_far = Window.partitionBy("query_id", "stop_id").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,8 +92,11 @@ def board_again(events: DataFrame, ready: DataFrame) -> DataFrame:
 
 
 def fixpoint(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=None) -> DataFrame:
-    """Events with ``h`` and ``m`` of the final state. ``progress(round, boarded, total)`` is called after each round."""
-    state, now = cut(_board(events, access)), None
+    """Events with ``h`` and ``m`` of the final state. ``progress(round, boarded, total)`` is called after each round.
+
+    A round walks on only from arrivals whose ``m`` rose in it: what others offer is in ``h`` already.
+    """
+    state, now = cut(_board(events, access).withColumn("m", F.lit(None).cast("int"))), None
     rounds = 0
     while True:
         total = state.agg(F.count("h"), F.sum(F.col("h").cast("long"))).first()
@@ -102,8 +105,9 @@ def fixpoint(events: DataFrame, access: DataFrame, footpaths: DataFrame, progres
         if tuple(total) == now:
             return cut(ride(state))
         now, rounds = tuple(total), rounds + 1
-        arrivals = ride(state).filter("m is not null").select("query_id", "stop_id", "arr", "m", "slack", "max_time")
-        state = cut(board_again(state, transfers(arrivals, footpaths)))
+        ridden = ride(state.withColumnRenamed("m", "was"))
+        rose = ridden.filter("m is not null and (was is null or m > was)").select("query_id", "stop_id", "arr", "m", "slack", "max_time")
+        state = cut(board_again(ridden.drop("was"), transfers(rose, footpaths)))
 
 
 def frontier(state: DataFrame, egress: DataFrame, walks: DataFrame, *, keep_over_budget: bool = False) -> DataFrame:
