@@ -83,7 +83,9 @@ def ask_the_city(spark, city):
     best = engine.journeys(answer, goal).collect()
     assert best and all(r.segments[0].start_time >= r.home_dep and r.segments[-1].end_time == r.arrival for r in best)
     assert {s.route_name for r in best for s in r.segments if s.kind == "transit"} == {"Long line"}
-    assert all(len(r.points) >= 2 for r in engine.lines(answer, goal).collect())
+    rides = {f"{r.query_id}|{r.home_dep}|{r.step}": r.alight_seq - r.board_seq for r in engine.rides(answer, goal).collect()}
+    lines = {r.ride_id: r.points for r in engine.lines(answer, goal).collect()}
+    assert lines.keys() == rides.keys() and all(len(p) >= rides[k] + 1 >= 2 for k, p in lines.items())
     assert all(r.arrival > r.home_dep for r in engine.walking(answer, goal).collect())
 
 

@@ -87,14 +87,17 @@ class Engine:
     def isochrone(self, answer: Answer) -> DataFrame:
         return routing.isochrone(answer.frontier, answer.walks, answer.queries)
 
-    def segments(self, answer: Answer, node: int) -> DataFrame:
-        """The segments of every best journey to a node."""
+    def rides(self, answer: Answer, node: int) -> DataFrame:
+        """The rides of every best journey to a node."""
         base = F.regexp_replace("trip_id", r"(/\d+){3}$", "")
         names = answer.state.select("trip_id").distinct().withColumn("base", base)
         routes = names.join(self.city.trips.select(F.col("trip_id").alias("base"), "route_id"), "base").select("trip_id", "route_id")
         asked = answer.frontier.filter(F.col("node_id") == node)
-        rides = paths.trace(asked, answer.state, answer.access, self.egress, self.footpaths, routes)
-        return paths.segments(rides)
+        return paths.trace(asked, answer.state, answer.access, self.egress, self.footpaths, routes)
+
+    def segments(self, answer: Answer, node: int) -> DataFrame:
+        """The segments of every best journey to a node."""
+        return paths.segments(self.rides(answer, node))
 
     def journeys(self, answer: Answer, node: int) -> DataFrame:
         return paths.journeys(self.segments(answer, node), self.city.stops, self.city.routes)
@@ -104,6 +107,7 @@ class Engine:
         return answer.walks.filter(F.col("node_id") == node).join(answer.queries, "query_id").select("query_id", F.col("window_start").alias("home_dep"), (F.col("window_start") + F.col("w")).alias("arrival"))
 
     def lines(self, answer: Answer, node: int) -> DataFrame:
-        """ride_id, points: the drawn line of each ride of the journeys to a node."""
-        parts = self.segments(answer, node).filter("kind = 'transit'").select(F.concat_ws("|", "query_id", "home_dep", "n").alias("ride_id"), "route_id", F.array("from_stop", "to_stop").alias("stops"))
-        return shapes.ride_shapes(parts, self.city.leg_shapes, self.city.stops)
+        """ride_id, points: the drawn line of each ride of the journeys to a node, leg by leg through the stops it passes."""
+        rides = self.rides(answer, node).select(F.concat_ws("|", "query_id", "home_dep", "step").alias("ride_id"), "trip_id", "route_id", "board_seq", "alight_seq")
+        parts = paths.ride_stops(rides, answer.state.select("trip_id", "seq", "stop_id").distinct())
+        return shapes.ride_shapes(parts.select("ride_id", "route_id", "stops"), self.city.leg_shapes, self.city.stops)
