@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,30 @@ def count(tokenizer, texts: list[str]) -> list[int]:
     return [len(x) for x in tokenizer.encode(texts, num_threads=1)]
 
 
+class Stretch:
+    """A stretch of a text from ``at`` on, encoded: token ids, and offsets in the whole text that are looked up token by token."""
+
+    def __init__(self, tokenizer, text: str, at: int = 0):
+        self.at = at
+        if hasattr(tokenizer, "encode_batch"):
+            e = tokenizer.encode(text, add_special_tokens=False)
+            self.ids, self.chars = e.ids, e.token_to_chars
+        else:
+            spans = encode(tokenizer, text)
+            self.ids, self.chars = [i for _, _, i in spans], lambda k: spans[k][:2]
+
+    def token(self, k: int) -> tuple[int, int, int]:
+        """(start, end, id) of a token."""
+        a, b = self.chars(k)
+        return a + self.at, b + self.at, self.ids[k]
+
+    def within(self, lo: int, hi: int) -> tuple[int, list[tuple[int, int, int]]]:
+        """The tokens that start at ``lo`` or after it and end at ``hi`` or before it, and the number of the first of them."""
+        first = bisect_left(range(len(self.ids)), lo, key=lambda k: self.token(k)[0])
+        last = bisect_right(range(len(self.ids)), hi, lo=first, key=lambda k: self.token(k)[1])
+        return first, [self.token(k) for k in range(first, last)]
+
+
 def _boundary(text: str, left: list, right: list, stable: int) -> tuple[int, int] | None:
     """(tokens of ``left`` to keep, tokens of ``right`` to skip) at the middle of the longest run of equal tokens.
 
@@ -86,7 +111,8 @@ def resynchronised(tokenizer, text: str, *, chunk: int = CHUNK, overlap: int = O
 
     Chunks of ``chunk`` characters overlap; each is encoded with offsets, and two neighbours are spliced at a boundary
     that both encodings share amid 2 * ``stable`` equal tokens. Where none is found the overlap is doubled, back to the
-    last splice; then the chunk is doubled; at last the rest is encoded whole.
+    last splice; then the chunk is doubled; at last the rest is encoded whole. Tokens of both encodings can be equal only
+    in the overlap, so offsets are looked up there alone.
 
     A splice stands where white space parts two tokens of both encodings. It is exact for vocabularies without an entry that
     reaches over white space after another character: words are then encoded one by one (.json files that split texts into
@@ -94,28 +120,32 @@ def resynchronised(tokenizer, text: str, *, chunk: int = CHUNK, overlap: int = O
     place does not depend on the other side. The equal tokens around it guard rules that look beyond a word's end.
     """
     start, end = 0, min(len(text), chunk)
-    left = encode(tokenizer, text[:end])
+    left, skip = Stretch(tokenizer, text[:end]), 0
     while end < len(text):
         back, more = overlap, chunk
         while True:
             begin, stop = max(start, end - back), min(len(text), end + more)
-            right = encode(tokenizer, text[begin:stop], begin)
+            right = Stretch(tokenizer, text[begin:stop], begin)
             # what touches a cut end of either chunk may differ from the whole text's tokens and is never in a run of equal ones
-            if cut := _boundary(text, left, right, stable):
-                yield [i for _, _, i in left[: cut[0]]]
-                left, start, end = right[cut[1] :], right[cut[1]][0], stop
+            (a, ours), (b, theirs) = left.within(begin, end), right.within(begin, end)
+            if a < skip:
+                a, ours = skip, ours[skip - a :]
+            if cut := _boundary(text, ours, theirs, stable):
+                yield left.ids[skip : a + cut[0]]
+                left, skip = right, b + cut[1]
+                start, end = right.token(skip)[0], stop
                 break
             if begin > start:
                 back *= 2
             elif stop < len(text):
-                left, end = encode(tokenizer, text[start:stop], start), stop
+                left, skip, end = Stretch(tokenizer, text[start:stop], start), 0, stop
                 more *= 2
                 back = overlap
                 continue
             else:
-                left, end = encode(tokenizer, text[start:], start), len(text)
+                left, skip, end = Stretch(tokenizer, text[start:], start), 0, len(text)
                 break
-    yield [i for _, _, i in left]
+    yield left.ids[skip:]
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
