@@ -175,3 +175,19 @@ def test_feeds(spark):
     cities = frame(spark, [("A town", "by the sea", ["x", "y"]), ("B", "inland", ["x"])], "name string, detail string, tags array<string>")
     assert [r.name for r in feeds.search(cities, ["x"], " SEA ").collect()] == ["A town"]
     assert feeds.search(cities, [], "").count() == 2
+
+
+def test_offsets_are_prefix_sums_over_partitions(spark):
+    rows = [(k, k % 5) for k in range(300, 0, -1)]
+    got = timetable.offsets(spark.createDataFrame(rows, "key long, n long"), "key", "n", "first").collect()
+    assert {r.key: r["first"] for r in got} == {k: sum(x % 5 for x in range(1, k)) for k in range(1, 301)}
+    assert not timetable.offsets(spark.createDataFrame([], "key long, n long"), "key", "n", "first").count()
+
+
+def test_hover_and_untraced(spark):
+    keys = "query_id long, node_id long"
+    front = spark.createDataFrame([(1, 7, 100, 400), (1, 7, 200, 300)], f"{keys}, home_dep int, arrival int")
+    iso = spark.createDataFrame([(1, 7, 150), (1, 8, 60)], f"{keys}, mean_travel_time int")
+    assert {r.node_id: r.travel_times for r in series.hover(iso, front).collect()} == {7: [100, 300], 8: []}
+    wanted, traced = spark.createDataFrame([(1, k) for k in range(9)], keys), spark.createDataFrame([(1, 0), (1, 2)], keys)
+    assert [r.node_id for r in exports.untraced(wanted, traced, ["query_id", "node_id"]).collect()] == [1, 3, 4, 5, 6]

@@ -31,6 +31,13 @@ def date_range(services: DataFrame) -> DataFrame:
     return services.agg(F.coalesce(F.min(F.nullif("start_date", F.lit(0))), F.lit(0)).alias("start_date"), F.coalesce(F.max("end_date"), F.lit(0)).alias("end_date"))
 
 
+def time_ranges(services: DataFrame, trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """service_id, min_time, max_time of the departures of a service's trips; 0 and 0 without any. Times are reduced to a row a trip before they meet the services."""
+    of_trip = stop_times.groupBy("trip_id").agg(F.min("dep").alias("least"), F.max("dep").alias("most"))
+    ranges = trips.select("trip_id", "service_id").join(of_trip, "trip_id").groupBy("service_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    return services.select("service_id").distinct().join(ranges, "service_id", "left").select("service_id", F.coalesce("least", F.lit(0)).alias("min_time"), F.coalesce("most", F.lit(0)).alias("max_time"))
+
+
 def is_active(date: int) -> Column:
     """Whether a calendar row holds on a date: not removed, and added or on its weekday within its range, where 0 is no bound."""
     d = F.lit(date)

@@ -54,6 +54,11 @@ def census(wanted: DataFrame, traced: DataFrame, keys: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), F.count("ok").alias("traced"))
 
 
+def untraced(wanted: DataFrame, traced: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """The first ``most`` frontier rows, by their keys, that have no journey: a report of what failed."""
+    return wanted.select(*keys).join(traced.select(*keys), keys, "left_anti").orderBy(*keys).limit(most)
+
+
 def size_table(files: DataFrame) -> DataFrame:
     """name, size: rows of a table of sizes, by name in any case."""
     return files.select("name", X.human_size(F.col("bytes")).alias("size")).orderBy(F.lower("name"))

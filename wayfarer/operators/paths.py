@@ -73,8 +73,8 @@ def journeys(parts: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame
     """
     keys = ["query_id", "node_id", "home_dep", "arrival"]
     names = stops.select("stop_id", "name")
-    rows = parts.join(F.broadcast(names.toDF("from_stop", "from_name")), "from_stop", "left").join(F.broadcast(names.toDF("to_stop", "to_name")), "to_stop", "left")
-    rows = rows.join(F.broadcast(routes.select("route_id", F.col("name").alias("route_name"))), "route_id", "left")
+    rows = parts.join(names.toDF("from_stop", "from_name"), "from_stop", "left").join(names.toDF("to_stop", "to_name"), "to_stop", "left")
+    rows = rows.join(routes.select("route_id", F.col("name").alias("route_name")), "route_id", "left")
     part = F.struct("n", "kind", "start_time", "end_time", "wait_time", F.coalesce("from_name", F.lit("")).alias("from_name"), F.coalesce("to_name", F.lit("")).alias("to_name"), "route_id", F.coalesce("route_name", F.lit("")).alias("route_name"))
     longest = F.max(F.when(F.col("kind") == "transit", F.struct((F.col("end_time") - F.col("start_time")).alias("d"), "n", "route_id")))
     out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("segments"), F.count_if(F.col("kind") == "transit").alias("rides"), longest.alias("longest"))

@@ -47,6 +47,15 @@ def median(front: DataFrame) -> DataFrame:
     return front.withColumn("place", place).withColumn("n", F.count("*").over(own)).filter("place = n div 2").drop("place", "n")
 
 
+def hover(iso: DataFrame, front: DataFrame) -> DataFrame:
+    """Adds ``travel_times`` to an isochrone: the times of a node's journeys, least first; none where it is reached by walking alone.
+
+    A node has at most one journey for each second of the window.
+    """
+    times = front.groupBy("query_id", "node_id").agg(F.array_sort(F.collect_list((F.col("arrival") - F.col("home_dep")).cast("int"))).alias("travel_times"))
+    return iso.join(times, ["query_id", "node_id"], "left").withColumn("travel_times", F.coalesce("travel_times", F.expr("cast(array() as array<int>)")))
+
+
 def join_chunks(chunks: DataFrame) -> DataFrame:
     """Journeys of neighbouring windows as one list: of two in a row with one arrival the later departure stays."""
     own = Window.partitionBy("node_id").orderBy("home_dep", "arrival")

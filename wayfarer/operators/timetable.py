@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.functions.session import cut
+
 
 def _trip(order: str = "seq"):
     return Window.partitionBy("trip_id").orderBy(order)
@@ -98,9 +100,24 @@ def dense_ids(rows: DataFrame, key: str, name: str) -> DataFrame:
     Keys are range-partitioned and counted; a partition's ids begin after those of the ones before, so no task sees all keys.
     """
     keys = rows.select(key).distinct()
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.repartitionByRange(n, key).withColumn("part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("part").count()
-    before = sizes.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = ranged.join(F.broadcast(before), "part").select(key, (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1).alias(name))
-    return rows.join(ranked, key)
+    return rows.join(offsets(keys.withColumn("_one", F.lit(1)), key, "_one", name).drop("_one"), key)
+
+
+def offsets(counts: DataFrame, key: str, n: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``n`` over all rows with a lesser ``key``, keys being distinct.
+
+    Rows are range-partitioned, written with their partition, and summed in it; the partitions' sums, a row each, are put before.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(counts.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(F.sum(n).alias("_sum"))
+    base = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier(Window.orderBy("_part"))), F.lit(0)).alias("_base"))
+    before = F.coalesce(F.sum(n).over(earlier(Window.partitionBy("_part").orderBy(key))), F.lit(0))
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + before).drop("_part", "_base")
+
+
+def with_route_names(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """Stop times with ``route_id`` and the ``route``'s name; rows of unknown trips or routes are skipped."""
+    named = trips.select("trip_id", "route_id").join(routes.select("route_id", F.col("name").alias("route")), "route_id")
+    return stop_times.join(named, "trip_id")

@@ -101,7 +101,7 @@ def unmapped_drop(spark, sf):
 
 @query(W("st trips routes") + "SELECT st.trip_id, seq, stop_id, name AS route FROM st JOIN trips USING (trip_id) JOIN routes USING (route_id)")
 def route_of_stop_times(spark, sf):
-    return N.stop_times(spark, sf).join(N.trips(spark, sf), "trip_id").join(F.broadcast(N.routes(spark, sf)), "route_id").select("trip_id", "seq", "stop_id", F.col("name").alias("route"))
+    return timetable.with_route_names(N.stop_times(spark, sf), N.trips(spark, sf), N.routes(spark, sf)).select("trip_id", "seq", "stop_id", "route")
 
 
 @query(W("st") + "SELECT stop_id, dense_rank() OVER (ORDER BY stop_id) - 1 AS stop_index FROM (SELECT DISTINCT stop_id FROM st)")
@@ -111,8 +111,7 @@ def dense_stop_ids(spark, sf):
 
 @query(W("st") + "SELECT stop_id, n, CAST(coalesce(sum(n) OVER (ORDER BY stop_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT stop_id, count(*) AS n FROM st GROUP BY 1)")
 def stop_offsets(spark, sf):
-    counts = N.stop_times(spark, sf).groupBy("stop_id").agg(F.count("*").alias("n"))  # one row a stop
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("stop_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return timetable.offsets(N.stop_times(spark, sf).groupBy("stop_id").agg(F.count("*").alias("n")), "stop_id", "n", "first")
 
 
 # Calendars
@@ -141,8 +140,7 @@ def pattern_ranges(spark, sf):
 
 @query(W("st trips services") + "SELECT service_id, CAST(coalesce(min(dep), 0) AS INTEGER) AS min_time, CAST(coalesce(max(dep), 0) AS INTEGER) AS max_time FROM services LEFT JOIN trips USING (service_id) LEFT JOIN st USING (trip_id) GROUP BY 1")
 def pattern_times(spark, sf):
-    rows = N.services(spark, sf).join(N.trips(spark, sf), "service_id", "left").join(N.stop_times(spark, sf), "trip_id", "left")
-    return rows.groupBy("service_id").agg(F.coalesce(F.min("dep"), F.lit(0)).alias("min_time"), F.coalesce(F.max("dep"), F.lit(0)).alias("max_time"))
+    return calendar.time_ranges(N.services(spark, sf), N.trips(spark, sf), N.stop_times(spark, sf))
 
 
 _ACTIVE = f"NOT list_contains(removes, {DATE}) AND (list_contains(adds, {DATE}) OR ((mask >> (isodow(strptime('{DATE}', '%Y%m%d')) - 1)) & 1 = 1 AND start_date <= {DATE} AND end_date >= {DATE}))"
@@ -206,9 +204,9 @@ def _cities(spark, sf):
     return N.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("city")).agg(F.array_sort(F.collect_set(F.pmod("c_custkey", F.lit(97)))).alias("feed_ids"))
 
 
-@query(f"WITH {_CITIES} SELECT DISTINCT u.feed_id FROM ct, LATERAL (SELECT unnest(feed_ids) AS feed_id) u WHERE u.feed_id NOT IN (SELECT s_suppkey FROM supplier)")
+@query(f"WITH {_CITIES} SELECT DISTINCT u.feed_id FROM ct, LATERAL (SELECT unnest(feed_ids) AS feed_id) u WHERE u.feed_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 1000)")
 def feeds_needed(spark, sf):
-    return feeds.needed_feeds(_cities(spark, sf), N.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("feed_id")))
+    return feeds.needed_feeds(_cities(spark, sf), N.table(spark, sf, "supplier").filter("s_acctbal >= 1000").select(F.col("s_suppkey").alias("feed_id")))
 
 
 @query(f"WITH {_CITIES} SELECT u.feed_id, list_sort(list(DISTINCT city)) AS cities FROM ct, LATERAL (SELECT unnest(feed_ids) AS feed_id) u GROUP BY 1")
@@ -235,10 +233,10 @@ def rebuild_reason(spark, sf):
     return feeds.rebuild_reasons(c.select(key.alias("city"), F.when(F.pmod(key, F.lit(11)) != 0, F.pmod(key, F.lit(100))).alias("built_at"), (F.pmod(key, F.lit(7)) == 0).cast("int").alias("stale_feeds"), F.lit(50).alias("code_at"), (F.col("c_nationkey") + 60).alias("config_at")))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#13' AND contains(lower(p_name || ' ' || p_type), 'steel')")
+@query("SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#13' AND contains(lower(p_name || ' ' || p_type), 'widget eco')")
 def city_search(spark, sf):
     rows = N.table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_name").alias("name"), F.col("p_type").alias("detail"), F.array("p_brand").alias("tags"))
-    return feeds.search(rows, ["Brand#13"], "STEEL").select("p_partkey", "p_name")
+    return feeds.search(rows, ["Brand#13"], " WIDGET eco").select("p_partkey", "p_name")
 
 
 @query("WITH f AS (SELECT n_name AS name, CAST(sum(c_custkey) AS BIGINT) AS bytes FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT name, bytes, round(bytes * 100.0 / (SELECT sum(bytes) FROM f), 2) AS percent FROM f")
@@ -687,6 +685,13 @@ def place_titles(spark, sf):
     return isochrone(spark, sf).select("node_id", series.title(F.col("mean_travel_time"), F.col("reachable_fraction") / F.lit(65535.0)).alias("title"))
 
 
+@query(_route_sql([QUERY], "SELECT node_id, mean_travel_time, reachable_fraction, coalesce(t, CAST([] AS INTEGER[])) AS travel_times FROM iso LEFT JOIN (SELECT node_id, list_sort(list(CAST(arrival - home_dep AS INTEGER))) AS t FROM fr GROUP BY 1) USING (node_id)", *_FRONT, *_ISO))
+def hover_summary(spark, sf):
+    queries, walks, _, _, state = _searched(spark, sf, [QUERY])
+    front = routing.frontier(state, egress(spark, sf), walks)
+    return series.hover(routing.isochrone(front, walks, queries), front).select("node_id", "mean_travel_time", "reachable_fraction", "travel_times")
+
+
 @query(W("nodes") + f"SELECT node_id, round(262144.0 * (lon / 360 + 0.5), 4) AS x, round(262144.0 * (0.5 - ln(tan({3.141592653589793 / 4} + lat * {3.141592653589793} / 360)) / {2 * 3.141592653589793}), 4) AS y FROM nodes WHERE {_IN}")
 def mercator(spark, sf):
     x, y = geo.mercator(F.col("lat"), F.col("lon"), 256.0 * 2**10)
@@ -817,9 +822,9 @@ def legend(spark, sf):
     return spark.range(1).select(exports.legend(2700.0).alias("legend"))
 
 
-@query(W("freq") + "SELECT trip_id, t.t AS board FROM freq, range(21500, 36100, 60) t(t) WHERE t.t >= start_time AND t.t < end_time AND (t.t - start_time) % headway = 0")
+@query(W("freq") + "SELECT trip_id, t.t AS board FROM freq, range(21480, 36100, 60) t(t) WHERE t.t >= start_time AND t.t < end_time AND (t.t - start_time) % headway = 0")
 def phase_boardings(spark, sf):
-    times = N.frequencies(spark, sf).withColumn("board", F.explode(F.sequence(F.lit(21500), F.lit(36099), F.lit(60))))
+    times = N.frequencies(spark, sf).withColumn("board", F.explode(F.sequence(F.lit(21480), F.lit(36099), F.lit(60))))
     return times.filter(exports.on_phase(F.col("board"), F.col("start_time"), F.col("end_time"), F.col("headway"))).select("trip_id", F.col("board").cast("long").alias("board"))
 
 
