@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import scalars as X
 from wayfarer.functions import texts
-from wayfarer.operators import calendar, feeds, graph, series, shapes, spatial, timetable
+from wayfarer.operators import calendar, exports, feeds, graph, series, shapes, spatial, timetable
 
 
 def frame(spark, rows, schema):
