@@ -1,5 +1,6 @@
 import io
 import json
+import os
 import struct
 import zipfile
 import zlib
@@ -7,8 +8,9 @@ from datetime import date
 
 import pytest
 
+from wayfarer.functions.texts import cache_name
 from wayfarer.operators import routing, timetable
-from wayfarer.plans import build
+from wayfarer.plans import build, refresh
 from wayfarer.plans.catalog import Catalog, file_sizes
 from wayfarer.plans.engine import Engine, cancellable
 from wayfarer.sources import config, gtfs, osm, remote
@@ -163,3 +165,106 @@ def test_remote(tmp_path):
     assert remote.latest_sha1(lambda p, q: {"feeds": [{"feed_versions": [{"sha1": "9"}]}]}, "f-a") == "9"
     assert remote.geocode(lambda p, q: {"places": [{"display_name": "n", "lat": "1", "lon": "2"}]}, "n", (1, 2, 3, 4)) == [{"name": "n", "lat": 1.0, "lon": 2.0}]
     assert io.BytesIO(b"").read() == b""
+
+
+def a_source(folder):
+    """A catalogue and a map server played by files: hashes in ``sha``, one line in ``log`` a download or request."""
+
+    def latest(feed):
+        return (folder / "sha" / feed).read_text()
+
+    def note(what):
+        with open(folder / "log", "a") as f:
+            f.write(what + "\n")
+
+    def download(feed):
+        note(feed)
+        return (folder / "feed.zip").read_bytes()
+
+    def ask(url, body):
+        note(url)
+        if "extract" in url or "kumi" not in url:
+            raise OSError("down")
+        return (folder / "map.xml").read_bytes()
+
+    return refresh.Remote(latest, download, ask)
+
+
+def test_refresh(spark, feed_dir, tmp_path):
+    far = tmp_path / "far"
+    (far / "sha").mkdir(parents=True)
+    for feed in ("f-one", "f-two"):
+        (far / "sha" / feed).write_text("s1")
+    (far / "feed.zip").write_bytes(open(f"{feed_dir}/f-one.gtfs.zip", "rb").read())
+    # a street whose places are all crossings of two ways, so that it is no small component
+    places = [(k, 41.0001, -87.001 + 0.0001 * k) for k in range(1, 121)]
+    xml = "".join(f'<node id="{i}" lat="{y}" lon="{x}"/>' for i, y, x in places)
+    xml += "".join(f'<way id="{k}"><nd ref="{k}"/><nd ref="{k + 1}"/><tag k="highway" v="path"/></way>' for k in range(1, 120))
+    (far / "map.xml").write_text(f"<osm>{xml}</osm>")
+    configs = tmp_path / "configs"
+    configs.mkdir()
+    (configs / "x.jsonc").write_text(config.write_city("x", "X", (-88, 40, -86, 42), [("f-one", "Metro"), ("https://a/b.zip", "")], bbbike_name="extract"))
+    cache, out = tmp_path / "cache", tmp_path / "out"
+
+    def job(day, code_at=0.0):
+        return refresh.Refresh(spark, str(configs), str(cache), str(out), a_source(far), today=date(2026, 6, day), code_at=code_at)
+
+    def reasons(job):
+        return {r.city: r.reason for r in job.run(check_only=True).collect()}
+
+    first = job(1)
+    assert reasons(first) == {"x": "missing"} and not (far / "log").exists()
+    first.run()
+    log = (far / "log").read_text().splitlines()
+    assert sorted(log[:2]) == ["f-one", "https://a/b.zip"] and len(log) == 5 and "kumi" in log[-1]  # extract and first mirror were down
+    city = Catalog.load(spark, str(out / "x"))
+    assert city.stops.count() == 6 and city.edges.count() > 0  # three of each feed
+    assert reasons(job(2)) == {"x": None} and (far / "log").read_text().splitlines() == log
+    (far / "sha" / "f-one").write_text("s2")
+    assert reasons(job(2)) == {"x": None}  # compared lately
+    assert reasons(job(4)) == {"x": "stale feed"}
+    (far / "sha" / "f-one").unlink()
+    assert reasons(job(4)) == {"x": None}  # no answer
+    (far / "sha" / "f-one").write_text("s1")
+    assert reasons(job(4)) == {"x": None} and (cache / "sha1" / "f-one.sha1").read_text() == f"s1 {date(2026, 6, 4).toordinal()}"
+    built = (out / "x" / "_meta_version" / "_SUCCESS").stat().st_mtime
+    assert reasons(job(5, built + 1)) == {"x": "code changed"}
+    os.utime(configs / "x.jsonc", (built + 5, built + 5))
+    assert reasons(job(5)) == {"x": "config changed"}
+    # another city takes the place of the first
+    (configs / "x.jsonc").unlink()
+    (configs / "y.jsonc").write_text(config.write_city("y", "Y", (-88, 40, -86, 42), [("f-two", "")]))
+    assert job(5).clean() == ["f-one.gtfs.zip", "out/x", "sha1/f-one.sha1", cache_name("https://a/b.zip")]
+    assert not (out / "x").exists() and sorted(p.name for p in cache.iterdir() if p.is_file()) == ["box_-88.0000_40.0000_-86.0000_42.0000.osm.xml"]
+    (configs / "y.jsonc").unlink()
+    assert job(5).run().count() == 0
+
+
+def test_street_map_and_generate(tmp_path):
+    city = config.City("a b", "A", [], (1.0, 2.0, 3.0, 4.0), bbbike_name="B")
+    asked = []
+
+    def get(url, body):
+        asked.append((url, body))
+        return b"map"
+
+    path = remote.street_map(city, tmp_path, get)
+    assert path.name == "a_b.osm.pbf" and asked == [(f"{remote.EXTRACTS}/B/B.osm.pbf", None)]
+    assert remote.street_map(city, tmp_path, get) == path and len(asked) == 1
+    own = config.City("c", "C", [], (1.0, 2.0, 3.0, 4.0), osm_url="https://m/c.xml")
+    assert remote.street_map(own, tmp_path, get).name == "c.osm.xml" and asked[-1][0] == "https://m/c.xml"
+    box = config.City("d", "D", [], (1.0, 2.0, 3.0, 4.5))
+    assert remote.street_map(box, tmp_path, get, ("https://one",)).name == "box_1.0000_2.0000_3.0000_4.5000.osm.xml"
+    assert asked[-1][0] == "https://one" and "footway" in asked[-1][1]
+
+    def down(url, body):
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        remote.street_map(config.City("e", "E", [], (0.0, 0.0, 1.0, 1.0)), tmp_path, down)
+    assert not list(tmp_path.glob("*.part"))
+
+    listing = {"feeds": [{"onestop_id": "f-a", "urls": {"static_current": "https://a"}}, {"onestop_id": "f-b"}, {"onestop_id": "f-c", "urls": {"static_current": "https://c"}}], "operators": [{"name": "Metro", "feeds": [{"onestop_id": "f-a"}]}]}
+    text = refresh.generate(lambda p, q: listing, "n", "N", (1.0, 2.0, 3.0, 4.0), date(2026, 1, 1), osm_url="https://m")
+    made = config.parse_city(text)
+    assert made.feed_ids == ["f-a", "f-c"] and made.osm_url == "https://m" and "// Metro" in text

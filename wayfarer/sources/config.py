@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from wayfarer.functions.texts import strip_comments
 
@@ -44,15 +45,23 @@ def parse_city(text: str) -> City:
     return City(**known | {"bbox": parse_bbox(raw["bbox"]), "center": tuple(raw["center"]) if raw.get("center") else None, "id": raw.get("id") or raw.get("file", "")})
 
 
+def read_dated(spark: SparkSession, path: str) -> list[tuple[City, float]]:
+    """The enabled cities of a folder and when their configs last changed, in seconds, by name. Configs are a few small files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path)
+    rows = files.select(F.col("content").cast("string").alias("text"), F.col("modificationTime").cast("double").alias("at")).collect()
+    return sorted(((c, r["at"]) for r in rows if (c := parse_city(r["text"])).enabled), key=lambda x: x[0].name)
+
+
 def read_cities(spark: SparkSession, path: str) -> list[City]:
-    """The enabled cities of a folder, by name. Configs are a few small files."""
-    texts = [r.value for r in spark.read.text(path, wholetext=True).collect()]
-    return sorted((c for c in map(parse_city, texts) if c.enabled), key=lambda c: c.name)
+    """The enabled cities of a folder, by name."""
+    return [city for city, _ in read_dated(spark, path)]
 
 
-def write_city(city_id: str, name: str, bbox: tuple[float, float, float, float], feeds: list[tuple[str, str]]) -> str:
+def write_city(city_id: str, name: str, bbox: tuple[float, float, float, float], feeds: list[tuple[str, str]], *, bbbike_name: str | None = None, osm_url: str | None = None) -> str:
     """A config's text: feeds with their operators as comments, and the box's centre."""
-    lines = ["{", f"  {json.dumps('id')}: {json.dumps(city_id)},", f'  "name": {json.dumps(name)},', f'  "file": {json.dumps(city_id + ".bin")},', '  "feed_ids": [']
-    lines += [f"    {json.dumps(feed)}{',' if k < len(feeds) - 1 else ''} // {operators}" for k, (feed, operators) in enumerate(feeds)]
+    lines = ["{", f"  {json.dumps('id')}: {json.dumps(city_id)},", f'  "name": {json.dumps(name)},', f'  "file": {json.dumps(city_id + ".bin")},']
+    lines += [f"  {json.dumps(k)}: {json.dumps(v)}," for k, v in (("bbbike_name", bbbike_name), ("osm_url", osm_url)) if v]
+    lines.append('  "feed_ids": [')
+    lines += [f"    {json.dumps(feed)}{',' if k < len(feeds) - 1 else ''}{f' // {operators}' if operators else ''}" for k, (feed, operators) in enumerate(feeds)]
     lines += ["  ],", f'  "bbox": "{",".join(f"{v:g}" for v in bbox)}",', f'  "center": [{(bbox[1] + bbox[3]) / 2:.4f}, {(bbox[0] + bbox[2]) / 2:.4f}],', '  "zoom": 11', "}"]
     return "\n".join(lines) + "\n"

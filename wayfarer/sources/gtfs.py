@@ -27,7 +27,7 @@ def member(names: list[str], table: str) -> str | None:
     return next((n for n in names if n.lower() == wanted or n.lower().endswith("/" + wanted)), None)
 
 
-def raw_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+def raw_table(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
     """feed, cells: a row of a table of every zip under ``path`` as a map of trimmed texts; ragged rows keep the cells they have.
 
     Each zip is one row of a binary scan, read where the scan runs and streamed row by row.
@@ -81,7 +81,7 @@ class Feed:
     info: DataFrame
 
 
-def read(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None) -> Feed:
+def read(spark: SparkSession, path: str | list[str], bbox: tuple[float, float, float, float] | None = None) -> Feed:
     """The feeds under ``path``.
 
     Stops are places (no stations or entrances) with coordinates. Stop times of unknown trips or stops are left out, unknown
