@@ -121,3 +121,9 @@ def with_route_names(stop_times: DataFrame, trips: DataFrame, routes: DataFrame)
     """Stop times with ``route_id`` and the ``route``'s name; rows of unknown trips or routes are skipped."""
     named = trips.select("trip_id", "route_id").join(routes.select("route_id", F.col("name").alias("route")), "route_id")
     return stop_times.join(named, "trip_id")
+
+
+def search_rows(stop_times: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Rows a search runs on: scheduled trips, and frequency trips as one for each leg and departure; trip ids are texts."""
+    fixed = boardable_rows(scheduled(stop_times, frequencies).withColumn("trip_id", F.col("trip_id").cast("string")))
+    return fixed.unionByName(as_trips(stop_times, frequencies).withColumn("segment", F.lit(0)))

@@ -70,9 +70,7 @@ class Engine:
         """Timetable rows of a date: scheduled trips, and frequency trips as one for each leg and departure."""
         trips = calendar.active_trips(self.city.trips, self.city.services, date)
         times = self.city.stop_times.join(trips.select("trip_id"), "trip_id", "left_semi")
-        fixed = timetable.boardable_rows(timetable.scheduled(times, self.city.frequencies).withColumn("trip_id", F.col("trip_id").cast("string")))
-        headed = timetable.as_trips(times, self.city.frequencies.join(trips.select("trip_id"), "trip_id", "left_semi")).withColumn("segment", F.lit(0))
-        return fixed.unionByName(headed)
+        return timetable.search_rows(times, self.city.frequencies.join(trips.select("trip_id"), "trip_id", "left_semi"))
 
     def ask(self, queries: list[routing.Query], date: int, progress=None) -> Answer:
         """One search for all queries; ``source`` is a node."""

@@ -526,28 +526,43 @@ def home_walks(spark, sf, queries: DataFrame) -> DataFrame:
     return rows.filter("w <= max_time").groupBy("query_id", "node_id").agg(F.min("w").alias("w"))
 
 
-def _searched(spark, sf, asked):
+def _searched(spark, sf, asked, rows=timetable_rows):
     queries = routing.query_table(spark, asked)
     walks = home_walks(spark, sf, queries)
     access = walks.filter("node_id < 1000000").select("query_id", F.col("node_id").alias("stop_id"), "w")
     feet = footpaths(spark, sf)
-    state = routing.fixpoint(routing.events_of(timetable_rows(spark, sf), queries), access, feet)
+    state = routing.fixpoint(routing.events_of(rows(spark, sf), queries), access, feet)
     return queries, walks, access, feet, state
 
 
+def mixed_rows(spark, sf) -> DataFrame:
+    """Timetable rows of scheduled and of frequency trips."""
+    return timetable.search_rows(N.stop_times(spark, sf).drop("l_partkey"), N.frequencies(spark, sf))
+
+
+_FIXED = ("stl AS (SELECT *, seq < max(seq) OVER (PARTITION BY trip_id) AS board FROM st)",)
+_MIXED = (
+    _FREQ_LEGS,
+    "fe AS (SELECT *, sum(travel) OVER (PARTITION BY trip_id ORDER BY leg) AS ends FROM fl)",
+    "fb AS (SELECT trip_id || '/' || start_time || '/' || leg AS name, trip_id, leg AS first, from_stop, ends - travel AS base, unnest(range(start_time, end_time, headway)) AS b FROM fe)",
+    """stl AS (
+        SELECT CAST(trip_id AS VARCHAR) AS trip_id, seq, stop_id, arr, dep, seq < max(seq) OVER (PARTITION BY trip_id) AS board FROM st WHERE trip_id NOT IN (SELECT trip_id FROM freq)
+        UNION ALL SELECT name || '/' || b, 0, from_stop, b, b, true FROM fb
+        UNION ALL SELECT name || '/' || b, leg - first + 1, to_stop, b + ends - base, b + ends - base, false FROM fb JOIN fe ON fe.trip_id = fb.trip_id AND leg >= first)""",
+)
 _PARAMS = "qs(query_id, ws, we, slack, mt, source) AS (VALUES {rows})"
 
 
-def _route_sql(asked, tail: str, *more: str) -> str:
+def _route_sql(asked, tail: str, *more: str, rows_sql: tuple[str, ...] = _FIXED) -> str:
     rows = ", ".join(f"({q.query_id}, {q.window_start}, {q.window_end}, {q.slack}, {q.max_time}, {q.source})" for q in asked)
     return W(
-        "stops st",
+        "stops st freq" if rows_sql is _MIXED else "stops st",
         _PARAMS.format(rows=rows),
         "sn AS (SELECT count(*) AS n FROM supplier)",
         "foot AS (SELECT s_suppkey AS a, (s_suppkey + k + 2 * n) % n AS b, CAST(min(abs(k) * 90) AS INTEGER) AS w FROM supplier, sn, range(-2, 3) r(k) GROUP BY 1, 2)",
         "eg AS (SELECT a AS stop_id, b AS node_id, w FROM foot UNION ALL SELECT c_custkey % n, c_custkey + 1000000, CAST((c_custkey * 37) % 300 + 20 AS INTEGER) FROM customer, sn)",
         "walk AS (SELECT query_id, node_id, min(w) AS w FROM qs JOIN eg ON stop_id = source WHERE w <= mt GROUP BY 1, 2)",
-        "stl AS (SELECT *, seq < max(seq) OVER (PARTITION BY trip_id) AS board FROM st)",
+        *rows_sql,
         "ev AS (SELECT qs.query_id, ws, we, slack, mt, trip_id, seq, stop_id, arr, dep, board FROM stl, qs WHERE dep >= ws AND arr <= we + mt)",
         """x(q, t, s, h) USING KEY (q, t, s) AS (
             SELECT ev.query_id, trip_id, seq, least(we, dep - w) FROM ev JOIN walk ON walk.query_id = ev.query_id AND node_id = stop_id WHERE board AND dep >= ws + w AND dep <= we + mt
@@ -616,6 +631,17 @@ def profile_frontier(spark, sf):
     return routing.frontier(state, egress(spark, sf), walks)
 
 
+@query(_route_sql([QUERY], "SELECT CAST(query_id AS BIGINT) AS query_id, node_id, CAST(home_dep AS BIGINT) AS home_dep, CAST(arrival AS BIGINT) AS arrival, freq FROM (SELECT fr.*, EXISTS (SELECT 1 FROM ar JOIN eg USING (stop_id) WHERE ar.query_id = fr.query_id AND eg.node_id = fr.node_id AND m = home_dep AND arr + eg.w = arrival AND trip_id LIKE '%/%') AS freq FROM fr)", *_FRONT, rows_sql=_MIXED))
+def freq_frontier(spark, sf):
+    """A search over scheduled and frequency trips; ``freq`` tells whether a frequency trip can be the last ride."""
+    _, walks, _, _, state = _searched(spark, sf, [QUERY], mixed_rows)
+    out = egress(spark, sf)
+    front = routing.frontier(state, out, walks)
+    last = state.filter("m is not null and trip_id like '%/%'").join(out, "stop_id").select("query_id", "node_id", F.col("m").alias("home_dep"), (F.col("arr") + F.col("w")).alias("arrival")).distinct()
+    rows = front.join(last.withColumn("freq", F.lit(True)), ["query_id", "node_id", "home_dep", "arrival"], "left")
+    return rows.select("query_id", "node_id", F.col("home_dep").cast("long").alias("home_dep"), F.col("arrival").cast("long").alias("arrival"), F.coalesce("freq", F.lit(False)).alias("freq"))
+
+
 @query(_route_sql([QUERY], "SELECT * FROM iso", *_FRONT, *_ISO))
 def isochrone(spark, sf):
     queries, walks, _, _, state = _searched(spark, sf, [QUERY])
@@ -707,26 +733,41 @@ def pareto_front(spark, sf):
 # Journeys
 
 
-def _traced(spark, sf):
+def _traced(spark, sf, rows=timetable_rows):
     """Rides of every frontier row at stops, and what they were traced from."""
-    queries, walks, access, feet, state = _searched(spark, sf, [QUERY])
+    queries, walks, access, feet, state = _searched(spark, sf, [QUERY], rows)
     out = egress(spark, sf)
     front = routing.frontier(state, out, walks).filter("node_id < 1000000")
-    found = paths.trace(front, state, access, out, feet, N.trips(spark, sf))
+    routes = N.trips(spark, sf)
+    if rows is mixed_rows:  # a frequency trip's id begins with that of the trip it repeats
+        base = state.select("trip_id").distinct().withColumn("base", F.split("trip_id", "/")[0].cast("long"))
+        routes = base.join(routes.select(F.col("trip_id").alias("base"), "route_id"), "base").select("trip_id", "route_id")
+    found = paths.trace(front, state, access, out, feet, routes)
     return front, found
 
 
-@query(_route_sql([QUERY], "SELECT node_id, home_dep, arrival FROM fr WHERE node_id < 1000000", *_FRONT))
-def optimal_paths(spark, sf):
-    """Every frontier row at a stop has a journey that leaves at its departure, arrives at its arrival, and whose segments join."""
-    _, found = _traced(spark, sf)
-    parts = paths.segments(found)
+def _sound(rides: DataFrame) -> DataFrame:
+    """node_id, home_dep, arrival of the journeys that leave at their departure, arrive at their arrival, and whose segments join."""
+    parts = paths.segments(rides)
     own = Window.partitionBy("query_id", "node_id", "home_dep", "arrival").orderBy("n")
     parts = parts.withColumn("joined", F.col("start_time") - F.col("wait_time") >= F.coalesce(F.lag("end_time").over(own), F.col("home_dep")))
     ended = parts.groupBy("query_id", "node_id", "home_dep", "arrival").agg(F.bool_and("joined").alias("ok"), F.max("end_time").alias("end"), F.min("start_time").alias("start"))
     return ended.filter((F.col("ok")) & (F.col("end") == F.col("arrival")) & (F.col("start") >= F.col("home_dep"))).select("node_id", "home_dep", "arrival")
 
 
+@query(_route_sql([QUERY], "SELECT node_id, home_dep, arrival FROM fr WHERE node_id < 1000000", *_FRONT))
+def optimal_paths(spark, sf):
+    """Every frontier row at a stop has a sound journey."""
+    return _sound(_traced(spark, sf)[1])
+
+
+@query(_route_sql([QUERY], "SELECT node_id, CAST(home_dep AS BIGINT) AS home_dep, CAST(arrival AS BIGINT) AS arrival FROM fr WHERE node_id < 1000000", *_FRONT, rows_sql=_MIXED))
+def freq_paths(spark, sf):
+    """The same with frequency trips among the rides."""
+    found = _sound(_traced(spark, sf, mixed_rows)[1])
+    return found.select("node_id", F.col("home_dep").cast("long").alias("home_dep"), F.col("arrival").cast("long").alias("arrival"))
+
+
 def _journeys(spark, sf):
     _, found = _traced(spark, sf)
     return paths.journeys(paths.segments(found), N.stops(spark, sf), N.routes(spark, sf))
