@@ -55,6 +55,9 @@ def test_city_build_and_catalog(spark, feed_dir, tmp_path):
     city = build.build_city(spark, feed, nodes, ways, today=20260601, least_nodes=2)
     city.save(str(tmp_path / "city"))
     city = Catalog.load(spark, str(tmp_path / "city"))
+    files = sorted((tmp_path / "city" / "nodes").glob("*.parquet"))
+    laid = [r for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert [r.stop_id is None for r in laid] == sorted(r.stop_id is None for r in laid) and set(laid[0].asDict()) == {"node_id", "lat", "lon", "stop_id"}
     assert city.stops.count() == 3 and city.stop_times.count() == 5
     ends = {r.node_id for r in city.edges.selectExpr("explode(array(u, v)) as node_id").collect()}
     assert ends == {r.node_id for r in city.nodes.collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.functions.scalars import load_size
+from wayfarer.operators import spatial
 
 VERSION = 1
 #: Tables of a city, and the columns each must have.
@@ -22,8 +23,9 @@ SCHEMAS = {
     "frequencies": {"trip_id", "start_time", "end_time", "headway"},
     "leg_shapes": {"route_id", "from_stop", "to_stop", "points"},
 }
-#: How tables are laid out: rows that are read together lie together, and range statistics prune the rest.
-_ORDER = {"nodes": ["node_id"], "edges": ["u", "v"], "stop_times": ["trip_id", "seq"], "leg_shapes": ["route_id", "from_stop", "to_stop"]}
+#: How tables are laid out: rows that are read together lie together, and range statistics prune the rest. Nodes at stops
+#: come first, and then both run along a Morton curve.
+_ORDER = {"nodes": ["other", "morton"], "edges": ["u", "v"], "stop_times": ["trip_id", "seq"], "leg_shapes": ["route_id", "from_stop", "to_stop"]}
 
 
 @dataclass(frozen=True)
@@ -50,9 +52,12 @@ class Catalog:
         self.check()
         spark = next(iter(self.tables.values())).sparkSession
         for name, df in self.tables.items():
+            kept = df.columns
+            if name == "nodes":
+                df = spatial.morton_layout(df).withColumn("other", F.col("stop_id").isNull())
             if name in _ORDER:
                 n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-                df = df.repartitionByRange(n, *_ORDER[name]).sortWithinPartitions(*_ORDER[name])
+                df = df.repartitionByRange(n, *_ORDER[name]).sortWithinPartitions(*_ORDER[name]).select(*kept)
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
         spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta_version")
 
