@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each applies its operator to its whole table and derives the columns of its contract."""
+"""The registered queries op1 to op13: each applies its operator to its whole table and derives the columns of its contract."""
 
 from __future__ import annotations
 
@@ -84,7 +84,15 @@ def op10_html_extraction(spark, sf_dir):
     return main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing, op10_html_extraction)}
+def op13_cross_tokenizer_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from wayfarer.llm.token_align import alignment
+
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing, op10_html_extraction, op13_cross_tokenizer_alignment)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
