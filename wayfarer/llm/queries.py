@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfarer.llm import mixing, secret_scan, url_filter
+from wayfarer.llm import mixing, prefix_trie, secret_scan, url_filter
 from wayfarer.llm.common import cut
 
 
@@ -84,6 +84,12 @@ def op10_html_extraction(spark, sf_dir):
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_prefix_trie(spark, sf_dir):
+    from wayfarer.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_cross_tokenizer_alignment(spark, sf_dir):
     import public_tokenizers
 
@@ -92,7 +98,7 @@ def op13_cross_tokenizer_alignment(spark, sf_dir):
     return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing, op10_html_extraction, op13_cross_tokenizer_alignment)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing, op10_html_extraction, op11_conversation_prefix_trie, op13_cross_tokenizer_alignment)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -101,6 +107,7 @@ ORACLE_SQL = {
     "op1_secret_scan": secret_scan.oracle(),
     "op7_url_filter": url_filter.oracle(),
     "op9_source_mixing": mixing.oracle(),
+    "op11_conversation_prefix_trie": prefix_trie.oracle(),
     "op8_ngram_jaccard_join": """
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
