@@ -90,6 +90,12 @@ def op11_conversation_prefix_trie(spark, sf_dir):
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_embedding_near_dedup(spark, sf_dir):
+    from wayfarer.llm.vector_join import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_cross_tokenizer_alignment(spark, sf_dir):
     import public_tokenizers
 
@@ -98,7 +104,7 @@ def op13_cross_tokenizer_alignment(spark, sf_dir):
     return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing, op10_html_extraction, op11_conversation_prefix_trie, op13_cross_tokenizer_alignment)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_benchmark_decontamination, op3_media_columns, op4_token_counts, op5_language_id, op6_quality_classifier, op7_url_filter, op8_ngram_jaccard_join, op9_source_mixing, op10_html_extraction, op11_conversation_prefix_trie, op12_embedding_near_dedup, op13_cross_tokenizer_alignment)}
 
 #: Lower-cased (A-Z only) text and its words, as the decontamination contract has them.
 _OP2_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -121,6 +127,17 @@ ORACLE_SQL = {
             SELECT l.b, min(c.root) FROM c JOIN l ON l.a = c.r JOIN recurring.c o ON o.r = l.b WHERE c.root < o.root GROUP BY l.b),
         m AS (SELECT c.r, min(d2.doc_id) OVER (PARTITION BY c.root) AS component_id FROM c JOIN d d2 ON d2.r = c.r)
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        f AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.r AS a, b.r AS b FROM f a JOIN f b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY 1),
+        c(r, root) USING KEY (r) AS (
+            SELECT r, r FROM v
+            UNION
+            SELECT l.b, min(c.root) FROM c JOIN l ON l.a = c.r JOIN recurring.c o ON o.r = l.b WHERE c.root < o.root GROUP BY l.b),
+        m AS (SELECT c.r, min(v2.vec_id) OVER (PARTITION BY c.root) AS component_id FROM c JOIN v v2 ON v2.r = c.r)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN m USING (r) LEFT JOIN n USING (r)""",
     "op2_benchmark_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_OP2_WORDS} AS w FROM documents),
         b AS (SELECT item_id, {_OP2_WORDS} AS w FROM benchmark),
