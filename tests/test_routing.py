@@ -20,8 +20,8 @@ def search(spark, trips, foot, egress, walks, queries):
     access = spark.createDataFrame([(q_, n, x) for q_, n, x in walks if n in stops], "query_id long, stop_id long, w int")
     feet = spark.createDataFrame(foot, "a long, b long, w int")
     out = spark.createDataFrame(egress, "stop_id long, node_id long, w int")
-    state = routing.fixpoint(routing.events_of(st, q), access, feet)
-    return q, w, access, feet, out, state, routing.frontier(state, out, w)
+    found = routing.search(routing.events_of(st, q), access, feet)
+    return q, w, found, out, routing.frontier(found.state, out, w)
 
 
 def golden(spark, slack=60, max_time=900):
@@ -108,18 +108,18 @@ def test_frontier_equals_every_second(spark, seed):
 
 
 def test_every_frontier_row_has_a_journey(spark):
-    q, w, access, feet, out, state, front = golden(spark)
+    _, w, found, out, front = golden(spark)
     trips = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "trip_id long, route_id int")
-    parts = paths.segments(paths.trace(front, state, access, out, feet, trips)).collect()
-    found = {}
+    parts = paths.segments(paths.trace(routing.frontier(found.state, out, w, rides=True), found.boards, trips)).collect()
+    journeys = {}
     for r in sorted(parts, key=lambda r: (r.node_id, r.home_dep, r.n)):
-        found.setdefault((r.node_id, r.home_dep, r.arrival), []).append(r)
-    assert set(found) == {(r.node_id, r.home_dep, r.arrival) for r in front.collect()}
-    for (_, home, arrival), segments in found.items():
+        journeys.setdefault((r.node_id, r.home_dep, r.arrival), []).append(r)
+    assert set(journeys) == {(r.node_id, r.home_dep, r.arrival) for r in front.collect()}
+    for (_, home, arrival), segments in journeys.items():
         assert segments[0].start_time == home and segments[-1].end_time == arrival
         for a, b in zip(segments, segments[1:], strict=False):
             assert b.start_time - b.wait_time == a.end_time
-    assert [(r.kind, r.route_id) for r in found[2, 28860, 29340]] == [("walk", None), ("transit", 0), ("transit", 2)]
+    assert [(r.kind, r.route_id) for r in journeys[2, 28860, 29340]] == [("walk", None), ("transit", 0), ("transit", 2)]
 
 
 def test_queries_are_validated():

@@ -1,4 +1,4 @@
-"""Journeys behind frontier rows: traced backwards a ride at a time for all rows at once."""
+"""Journeys behind frontier rows: the boardings that they came from, resolved for all rows at once."""
 
 from __future__ import annotations
 
@@ -8,43 +8,33 @@ from pyspark.sql import functions as F
 from wayfarer.functions.session import cut
 
 
-def trace(front: DataFrame, state: DataFrame, access: DataFrame, egress: DataFrame, footpaths: DataFrame, routes_of_trips: DataFrame) -> DataFrame:
+def trace(front: DataFrame, boards: DataFrame, routes_of_trips: DataFrame) -> DataFrame:
     """query_id, node_id, home_dep, arrival, step, trip_id, route_id, board_seq, board_stop, board_dep, alight_seq, alight_stop, alight_arr, walk_after of every ride.
 
-    ``front`` holds the frontier rows asked for. Steps count back from the destination: step 0 is the last ride. Each round
-    finds the ride that brought a row to its place with its home departure (of several the one that arrives last, then the
-    least trip), the row it was boarded at (the last one possible), and whether that was the first. Rows of the state carry
-    no predecessors; they are found by joins with what the search has left.
+    ``front`` holds the frontier rows asked for, with their last rides; ``boards`` is what the search left. Steps count back from
+    the destination: step 0 is the last ride. A boarding names the one it came from, with the same home departure; chains are
+    resolved by pointer doubling: each round joins every boarding to what its chain ends at so far, so chains of n rides take
+    log2(n) joins. Only boardings with a home departure asked for take part.
     """
-    keys = ["query_id", "node_id", "home_dep", "arrival"]
-    rides = state.filter("m is not null").select("query_id", "trip_id", "segment", F.col("seq").alias("alight_seq"), F.col("stop_id").alias("alight_stop"), F.col("arr").alias("alight_arr"), F.col("m").alias("home_dep"))
-    boards = state.filter("h is not null").select("query_id", "trip_id", "segment", F.col("seq").alias("board_seq"), F.col("stop_id").alias("board_stop"), F.col("dep").alias("board_dep"), F.col("h").alias("home_dep"), "slack", "window_start", "window_end")
-    reach = access.select("query_id", F.col("stop_id").alias("board_stop"), F.col("w").alias("access"))
-
-    def ridden(ends: DataFrame, pick) -> DataFrame:
-        """The chosen ride of each (keys, alight candidates), with its boarding row."""
-        chosen = ends.groupBy(*keys, "step").agg(F.min(pick).alias("c"))
-        chosen = chosen.select(*keys, "step", F.col("c.trip_id").alias("trip_id"), F.col("c.segment").alias("segment"), F.col("c.alight_seq").alias("alight_seq"), F.col("c.alight_stop").alias("alight_stop"), (-F.col("c.late")).alias("alight_arr"), F.col("c.walk_after").alias("walk_after"))
-        met = chosen.join(boards, ["query_id", "trip_id", "segment", "home_dep"]).filter("board_seq < alight_seq")
-        last = met.groupBy(*keys, "step", "trip_id", "segment", "alight_seq", "alight_stop", "alight_arr", "walk_after").agg(F.max(F.struct("board_seq", "board_stop", "board_dep", "slack", "window_start", "window_end")).alias("b"))
-        flat = last.select(*keys, "step", "trip_id", "segment", "alight_seq", "alight_stop", "alight_arr", "walk_after", "b.*").join(reach, ["query_id", "board_stop"], "left")
-        start = F.col("access").isNotNull() & (F.least("window_end", F.col("board_dep") - F.col("access")) == F.col("home_dep")) & (F.col("board_dep") >= F.col("window_start") + F.col("access"))
-        return cut(flat.withColumn("first", F.coalesce(start, F.lit(False))))
-
-    pick = F.struct((-F.col("alight_arr")).alias("late"), "trip_id", "segment", "alight_seq", "alight_stop", "walk_after")
-    last = front.select(*keys).join(egress.select(F.col("stop_id").alias("alight_stop"), "node_id", F.col("w").alias("walk_after")), "node_id")
-    ends = last.join(rides, ["query_id", "alight_stop", "home_dep"]).filter(F.col("alight_arr") + F.col("walk_after") == F.col("arrival")).withColumn("step", F.lit(0))
-    found = ridden(ends, pick)
-    done = found
-    while True:
-        open_ = found.filter(~F.col("first"))
-        if not open_.limit(1).count():
-            break
-        before = open_.select(*keys, F.col("board_stop").alias("b"), F.col("board_dep").alias("by"), "slack", (F.col("step") + 1).alias("step"))
-        ends = before.join(footpaths.select(F.col("a").alias("alight_stop"), "b", F.col("w").alias("walk_after")), "b").join(rides, ["query_id", "alight_stop", "home_dep"]).filter(F.col("alight_arr") + F.col("walk_after") + F.col("slack") <= F.col("by"))
-        found = ridden(ends, pick)
-        done = done.unionByName(found)
-    out = done.join(routes_of_trips.select("trip_id", "route_id"), "trip_id", "left")
+    keys, own = ["query_id", "node_id", "home_dep", "arrival"], ["query_id", "trip_id", "segment", "board_seq", "home_dep"]
+    asked = front.select("query_id", "home_dep").distinct()
+    rows = boards.withColumnRenamed("h", "home_dep").join(asked, ["query_id", "home_dep"], "left_semi")
+    link = F.struct("trip_id", F.col("seq").alias("board_seq"), F.col("stop_id").alias("board_stop"), F.col("dep").alias("board_dep"), "access", "came")
+    before = F.when(F.col("came").isNotNull(), F.struct("came.trip_id", "came.segment", "came.board_seq"))
+    chains = cut(rows.select("query_id", "trip_id", "segment", F.col("seq").alias("board_seq"), "home_dep", F.array(link).alias("chain"), before.alias("before")))
+    while chains.filter("before is not null").limit(1).count():
+        ends = chains.select("query_id", "home_dep", F.struct("trip_id", "segment", "board_seq").alias("before"), F.col("chain").alias("more"), F.col("before").alias("next"))
+        open_ = chains.filter("before is not null").join(ends, ["query_id", "home_dep", "before"])
+        chains = cut(chains.filter("before is null").unionByName(open_.select(*own, F.concat("chain", "more").alias("chain"), F.col("next").alias("before"))))
+    last = front.select(*keys, "last.end.trip_id", "last.end.segment", "last.end.board_seq", "last")
+    met = last.join(chains, own).select(*keys, "last", "chain", F.posexplode("chain").alias("step", "ride"))
+    after = F.get("chain", F.col("step") - 1)["came"]  # how the ride after this one came from it; none after the last
+    end = lambda mine, name: F.when(F.col("step") == 0, mine).otherwise(after[name]).alias(name)
+    rides = met.select(
+        *keys, "step", "ride.trip_id", "ride.board_seq", "ride.board_stop", "ride.board_dep", end(F.col("last.end.alight_seq"), "alight_seq"), end(F.col("last.alight_stop"), "alight_stop"), end(F.col("last.end.arr"), "alight_arr"),
+        end(F.col("last.walk_after"), "walk_after"), F.col("ride.came").isNull().alias("first"), "ride.access",
+    )
+    out = rides.join(routes_of_trips.select("trip_id", "route_id"), "trip_id", "left")
     return out.select(*keys, "step", "trip_id", "route_id", "board_seq", "board_stop", "board_dep", "alight_seq", "alight_stop", "alight_arr", "walk_after", "first", F.when(F.col("first"), F.col("access")).alias("access"))
 
 

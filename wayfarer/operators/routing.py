@@ -1,19 +1,21 @@
 """Profile routing: for every departure second of a window at once, the latest departures and earliest arrivals at every place.
 
-The search is a monotone fixpoint over timetable rows. Each row holds ``h``, the latest home departure with which it can
-be boarded. A round rides (running maximum along each trip), walks (a join with footpaths) and boards again (running
-maximum along each stop's events and arrivals in time order), until nothing rises. All queries of a batch run together:
-``query_id`` is part of every key.
+The search is a monotone fixpoint over timetable rows. Each row has ``h``, the latest home departure with which it can be
+boarded, and ``m``, the latest with which one is aboard on arrival. Only what rises is handled: the rows of one trip of a
+query lie in one bucket with the log of its boardings, those of one stop with the log of when riders are ready there, and
+a round reads the trips and stops that its rises touch and shuffles these rises alone. Every rise keeps the boarding it
+came from. All queries of a batch run together: ``query_id`` is part of every key.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions.session import cut
+from wayfarer.functions.session import cut, shared_dir
 
 #: Values of a query that gives none: the whole service day, 45 minutes, one minute to change.
 DEFAULT_WINDOW, DEFAULT_MAX_TIME, DEFAULT_SLACK = (0, 27 * 3600), 45 * 60, 60
@@ -91,39 +93,151 @@ def board_again(events: DataFrame, ready: DataFrame) -> DataFrame:
     return seen.select(*keep, F.when(F.col("boardable"), F.greatest("h", "best")).otherwise(F.col("h")).alias("h"))
 
 
-def fixpoint(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=None) -> DataFrame:
-    """Events with ``h`` and ``m`` of the final state. ``progress(round, boarded, total)`` is called after each round.
+#: Footpaths up to which they are broadcast (three numbers each); more are joined by a shuffle.
+BROADCAST_PATHS = 1_000_000
+
+_TRIP, _STOP = ["query_id", "trip_id", "segment"], ["query_id", "stop_id"]
+
+
+class _Buckets:
+    """Tables of one search in the shared folder, bucketed by hash: what has the same key is joined and grouped where it lies."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.key = spark, f"search_{uuid.uuid4().hex}"
+        self.folder, self.rows = f"{shared_dir(spark)}/{self.key}", {}
+        self.number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, name: str, rows: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, int]:
+        """Appends rows to a table: the one shuffle that they take. Gives the table and the number of rows added."""
+        before = self.rows.setdefault(name, 0)
+        writer = rows.repartition(self.number, *keys).write.bucketBy(self.number, *keys).sortBy(order).option("path", f"{self.folder}/{name}")
+        writer.mode("append").format("parquet").saveAsTable(f"{self.key}_{name}")
+        table = self.spark.table(f"{self.key}_{name}")
+        self.rows[name] = table.count()  # of the files' footers
+        return table, self.rows[name] - before
+
+    def drop(self) -> None:
+        for name in self.rows:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.key}_{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@dataclass(frozen=True)
+class Found:
+    """``state``: rows of all trips that can be boarded, with ``h``, ``m`` and ``board_seq``, the last row at which ``m`` can be had; ``boards``: every rise of a boarding and what it came from."""
+
+    state: DataFrame
+    boards: DataFrame
+
+
+def _best_before(boards: str, seq: Column, keep=lambda b: F.lit(True)) -> Column:
+    """(h, seq) of the best of a trip's boardings before a row, of equal ones the last."""
+    return F.array_max(F.transform(F.filter(boards, lambda b: (b["seq"] < seq) & keep(b)), lambda b: F.struct(b["h"].alias("h"), b["seq"].alias("seq"))))
 
-    A round walks on only from arrivals whose ``m`` rose in it: what others offer is in ``h`` already.
+
+def _arrivals(by_trip: DataFrame, boards: DataFrame, number: int) -> DataFrame:
+    """Rows of the trips boarded anew in round ``number`` whose ``m`` rose in it, with ``m`` and where that was boarded."""
+    of_trip = boards.groupBy(*_TRIP).agg(F.collect_list(F.struct("seq", "h", "round")).alias("boards"), F.max("round").alias("last")).filter(F.col("last") == number)
+    rows = by_trip.join(of_trip, _TRIP)
+    now, was = _best_before("boards", F.col("seq")), _best_before("boards", F.col("seq"), lambda b: b["round"] < number)
+    rose = rows.select(*_TRIP, "seq", "stop_id", "arr", "slack", "max_time", now.alias("now"), was["h"].alias("was")).filter("now is not null and (was is null or now.h > was)")
+    return rose.select(*_TRIP, "seq", "stop_id", "arr", "slack", "max_time", F.col("now.h").alias("m"), F.col("now.seq").alias("board_seq"))
+
+
+def _ready(arrivals: DataFrame, feet: DataFrame, number: int) -> DataFrame:
+    """When riders who arrived can board again within walking reach, with the ride and the walk that brought them."""
+    walked = arrivals.join(feet, "stop_id").filter(F.col("arr") + F.col("walk") - F.col("m") <= F.col("max_time"))
+    came = F.struct("trip_id", "segment", "board_seq", F.col("seq").alias("alight_seq"), F.col("stop_id").alias("alight_stop"), F.col("arr").alias("alight_arr"), F.col("walk").alias("walk_after"))
+    return walked.select("query_id", F.col("b").alias("stop_id"), (F.col("arr") + F.col("walk") + F.col("slack")).alias("ready"), "m", came.alias("came"), F.lit(number).alias("round"))
+
+
+def _boarded(by_stop: DataFrame, steps: DataFrame, number: int) -> DataFrame:
+    """Rows of the stops at which round ``number`` made someone ready earlier or with a later home departure, where that raises ``h``.
+
+    Of a stop's log those count that no earlier one matches: a few steps in time, which all rows of the stop look up.
     """
-    state, now = cut(_board(events, access).withColumn("m", F.lit(None).cast("int"))), None
-    rounds = 0
-    while True:
-        total = state.agg(F.count("h"), F.sum(F.col("h").cast("long"))).first()
-        if progress:
-            progress(rounds, *total)
-        if tuple(total) == now:
-            return cut(ride(state))
-        now, rounds = tuple(total), rounds + 1
-        ridden = ride(state.withColumnRenamed("m", "was"))
-        rose = ridden.filter("m is not null and (was is null or m > was)").select("query_id", "stop_id", "arr", "m", "slack", "max_time")
-        state = cut(board_again(ridden.drop("was"), transfers(rose, footpaths)))
-
-
-def frontier(state: DataFrame, egress: DataFrame, walks: DataFrame, *, keep_over_budget: bool = False) -> DataFrame:
+    own = Window.partitionBy(*_STOP).orderBy("ready", "round", F.col("m").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("round") == number
+    best, old = F.max("m").over(own), F.max(F.when(~new, F.col("m"))).over(own)
+    above = F.when(new, best).otherwise(old)
+    kept = steps.withColumn("above", above).filter(F.col("above").isNull() | (F.col("m") > F.col("above")))
+    step = F.struct("m", "ready", "came")
+    of_stop = kept.groupBy(*_STOP).agg(F.collect_list(F.when(new, step)).alias("news"), F.collect_list(F.when(~new, F.struct("m", "ready"))).alias("olds")).filter(F.size("news") > 0)
+    rows = by_stop.join(of_stop, _STOP)
+    now = F.array_max(F.filter("news", lambda x: x["ready"] <= F.col("dep")))
+    was = F.greatest("first", F.array_max(F.filter("olds", lambda x: x["ready"] <= F.col("dep")))["m"])
+    rose = rows.withColumn("now", now).withColumn("was", was).filter("now is not null and (was is null or now.m > was)")
+    return rose.select(*_TRIP, "seq", "stop_id", "dep", F.col("now.m").alias("h"), F.lit(None).cast("int").alias("access"), F.col("now.came").alias("came"), F.lit(number + 1).alias("round"))
+
+
+def search(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=None) -> Found:
+    """The fixpoint. ``progress(round, risen, total)`` is called after each round with the boardings that rose in it and so far.
+
+    What a round writes is what rose in it. Both logs, and the rows they are looked up for, are bucketed tables: trips by
+    (query, trip, segment), stops by (query, stop).
+    """
+    spark = events.sparkSession
+    store = _Buckets(spark)
+    try:
+        walk = access.select("query_id", "stop_id", F.col("w").alias("access"))
+        columns = [*_TRIP, "seq", "stop_id", "arr", "dep", "boardable", "window_start", "window_end", "slack", "max_time"]
+        by_trip, _ = store.add("trips", events.select(*columns), _TRIP, "seq")
+        can = (F.col("dep") >= F.col("window_start") + F.col("access")) & (F.col("dep") <= F.col("window_end") + F.col("max_time"))
+        first = F.when(can, F.least(F.col("window_end"), F.col("dep") - F.col("access")))
+        at_stops = by_trip.filter("boardable").join(walk, _STOP, "left").select(*_TRIP, "seq", "stop_id", "dep", first.alias("first"), "access")
+        by_stop, _ = store.add("stops", at_stops, _STOP, "dep")
+        kind = {c: by_trip.schema[c].dataType.simpleString() for c in ("trip_id", "segment", "seq", "stop_id", "arr")}
+        came = f"struct<trip_id: {kind['trip_id']}, segment: {kind['segment']}, board_seq: {kind['seq']}, alight_seq: {kind['seq']}, alight_stop: {kind['stop_id']}, alight_arr: {kind['arr']}, walk_after: int>"
+        begun = by_stop.filter("first is not null").select(*_TRIP, "seq", "stop_id", "dep", F.col("first").alias("h"), "access", F.lit(None).cast(came).alias("came"), F.lit(0).alias("round"))
+        boards, risen = store.add("boards", begun, _TRIP, "seq")
+        feet = footpaths.select(F.col("a").alias("stop_id"), "b", F.col("w").alias("walk"))
+        feet = F.broadcast(feet) if footpaths.count() <= BROADCAST_PATHS else feet
+        number, total = 0, risen
+        while risen:
+            if progress:
+                progress(number, risen, total)
+            ready = _ready(_arrivals(by_trip, boards, number), feet, number)
+            ready = ready.withColumn("came", F.col("came").cast(came))
+            steps, more = store.add("steps", ready, _STOP, "ready")
+            if not more:
+                break
+            boards, risen = store.add("boards", _boarded(by_stop, steps, number), _TRIP, "seq")
+            number, total = number + 1, total + risen
+        of_trip = boards.groupBy(*_TRIP).agg(F.collect_list(F.struct("seq", "h")).alias("boards"))
+        own = F.array_max(F.transform(F.filter("boards", lambda b: b["seq"] == F.col("seq")), lambda b: b["h"]))
+        best = _best_before("boards", F.col("seq"))
+        state = by_trip.join(of_trip, _TRIP).withColumn("h", own).withColumn("best", best).select(*columns, "h", F.col("best.h").alias("m"), F.col("best.seq").alias("board_seq"))
+        return Found(cut(state), cut(boards.drop("round")))
+    finally:
+        store.drop()
+
+
+def fixpoint(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=None) -> DataFrame:
+    """The state that ``search`` leaves."""
+    return search(events, access, footpaths, progress).state
+
+
+def frontier(state: DataFrame, egress: DataFrame, walks: DataFrame, *, keep_over_budget: bool = False, rides: bool = False) -> DataFrame:
     """query_id, node_id, home_dep, arrival: what no later departure with an earlier arrival beats, and walking does not.
 
-    ``egress`` (stop_id, node_id, w) walks from stops to nodes; ``walks`` (query_id, node_id, w) from home to nodes.
+    ``egress`` (stop_id, node_id, w) walks from stops to nodes; ``walks`` (query_id, node_id, w) from home to nodes. With
+    ``rides`` each row has its last ride: of those that arrive in time the one that ends latest.
     """
-    ended = state.filter("m is not null").groupBy("query_id", "stop_id", "m", "max_time").agg(F.min("arr").alias("arr"))
+    ends = F.struct("arr", "trip_id", "segment", F.col("seq").alias("alight_seq"), "board_seq") if rides else F.struct("arr")
+    ended = state.filter("m is not null").groupBy("query_id", "stop_id", "m", "max_time").agg(F.min(ends).alias("end"))
     reached = ended.join(egress.withColumnRenamed("w", "out"), "stop_id")
     met = reached.join(walks.withColumnRenamed("w", "walk"), ["query_id", "node_id"], "left")
-    arrival = F.col("arr") + F.col("out")
-    rows = met.select("query_id", "node_id", F.col("m").alias("home_dep"), arrival.alias("arrival"), "walk", "max_time")
+    arrival = F.col("end.arr") + F.col("out")
+    rows = met.select("query_id", "node_id", F.col("m").alias("home_dep"), arrival.alias("arrival"), "walk", "max_time", F.col("out").alias("walk_after"), "stop_id", "end")
     if not keep_over_budget:
         rows = rows.filter(F.col("arrival") - F.col("home_dep") <= F.col("max_time"))
     rows = rows.filter(F.col("walk").isNull() | (F.col("arrival") - F.col("home_dep") < F.col("walk")))
-    return pareto(rows.groupBy("query_id", "node_id", "home_dep").agg(F.min("arrival").alias("arrival")), ["query_id", "node_id"])
+    if not rides:
+        return pareto(rows.groupBy("query_id", "node_id", "home_dep").agg(F.min("arrival").alias("arrival")), ["query_id", "node_id"])
+    last = F.struct("arrival", "walk_after", "end", F.col("stop_id").alias("alight_stop"))
+    least = rows.groupBy("query_id", "node_id", "home_dep").agg(F.min(last).alias("last"))
+    return pareto(least.select("query_id", "node_id", "home_dep", F.col("last.arrival").alias("arrival"), "last"), ["query_id", "node_id"])
 
 
 def pareto(rows: DataFrame, keys: list[str], late: str = "home_dep", early: str = "arrival") -> DataFrame:

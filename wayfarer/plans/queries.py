@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions import geo
 from wayfarer.functions import scalars as X
+from wayfarer.functions.session import cut
 from wayfarer.operators import calendar, exports, feeds, graph, paths, routing, series, shapes, spatial, timetable
 from wayfarer.plans import network as N
 
@@ -526,13 +527,17 @@ def home_walks(spark, sf, queries: DataFrame) -> DataFrame:
     return rows.filter("w <= max_time").groupBy("query_id", "node_id").agg(F.min("w").alias("w"))
 
 
-def _searched(spark, sf, asked, rows=timetable_rows):
+def _found(spark, sf, asked, rows=timetable_rows):
     queries = routing.query_table(spark, asked)
     walks = home_walks(spark, sf, queries)
     access = walks.filter("node_id < 1000000").select("query_id", F.col("node_id").alias("stop_id"), "w")
     feet = footpaths(spark, sf)
-    state = routing.fixpoint(routing.events_of(rows(spark, sf), queries), access, feet)
-    return queries, walks, access, feet, state
+    return queries, walks, access, feet, routing.search(routing.events_of(rows(spark, sf), queries), access, feet)
+
+
+def _searched(spark, sf, asked, rows=timetable_rows):
+    *more, found = _found(spark, sf, asked, rows)
+    return *more, found.state
 
 
 def mixed_rows(spark, sf) -> DataFrame:
@@ -735,15 +740,13 @@ def pareto_front(spark, sf):
 
 def _traced(spark, sf, rows=timetable_rows):
     """Rides of every frontier row at stops, and what they were traced from."""
-    queries, walks, access, feet, state = _searched(spark, sf, [QUERY], rows)
-    out = egress(spark, sf)
-    front = routing.frontier(state, out, walks).filter("node_id < 1000000")
+    _, walks, _, _, found = _found(spark, sf, [QUERY], rows)
+    front = cut(routing.frontier(found.state, egress(spark, sf), walks, rides=True).filter("node_id < 1000000"))
     routes = N.trips(spark, sf)
     if rows is mixed_rows:  # a frequency trip's id begins with that of the trip it repeats
-        base = state.select("trip_id").distinct().withColumn("base", F.split("trip_id", "/")[0].cast("long"))
+        base = found.state.select("trip_id").distinct().withColumn("base", F.split("trip_id", "/")[0].cast("long"))
         routes = base.join(routes.select(F.col("trip_id").alias("base"), "route_id"), "base").select("trip_id", "route_id")
-    found = paths.trace(front, state, access, out, feet, routes)
-    return front, found
+    return front, paths.trace(front, found.boards, routes)
 
 
 def _sound(rides: DataFrame) -> DataFrame:
