@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -191,3 +192,14 @@ def test_hover_and_untraced(spark):
     assert {r.node_id: r.travel_times for r in series.hover(iso, front).collect()} == {7: [100, 300], 8: []}
     wanted, traced = spark.createDataFrame([(1, k) for k in range(9)], keys), spark.createDataFrame([(1, 0), (1, 2)], keys)
     assert [r.node_id for r in exports.untraced(wanted, traced, ["query_id", "node_id"]).collect()] == [1, 3, 4, 5, 6]
+
+
+def test_days_of_services_over_several_words(spark):
+    """A bitmap over more dates than a word has bits, against each date by itself."""
+    services = spark.createDataFrame([(1, 31, 20260101, 20261231, [20260104], [20260105]), (2, 0, 0, 0, [20260301], []), (3, 96, 20260201, 0, [], [])], "service_id int, mask int, start_date int, end_date int, adds array<int>, removes array<int>")
+    first = datetime.date(2026, 1, 1)
+    dates = [int((first + datetime.timedelta(days=k)).strftime("%Y%m%d")) for k in range(130)]
+    for strict in (False, True):
+        days = calendar.service_days(services, dates, strict_dates=strict)
+        got = {k: {r.service_id for r in days.filter(calendar.runs_on("days", F.lit(k))).collect()} for k in (0, 3, 4, 59, 60, 61, 119, 120, 129)}
+        assert got == {k: {r.service_id for r in calendar.active_services(services, dates[k], strict_dates=strict).collect()} for k in got}

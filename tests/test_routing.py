@@ -20,7 +20,7 @@ def search(spark, trips, foot, egress, walks, queries):
     access = spark.createDataFrame([(q_, n, x) for q_, n, x in walks if n in stops], "query_id long, stop_id long, w int")
     feet = spark.createDataFrame(foot, "a long, b long, w int")
     out = spark.createDataFrame(egress, "stop_id long, node_id long, w int")
-    found = routing.search(routing.events_of(st, q), access, feet)
+    found = routing.search(routing.events_of(st, q), access, feet, journeys=True)
     return q, w, found, out, routing.frontier(found.state, out, w)
 
 

@@ -1,3 +1,4 @@
+import csv
 import io
 import json
 import os
@@ -92,6 +93,13 @@ def ask_the_city(spark, city):
     lines = {r.ride_id: r.points for r in engine.lines(answer, goal).collect()}
     assert lines.keys() == rides.keys() and all(len(p) >= rides[k] + 1 >= 2 for k, p in lines.items())
     assert all(r.arrival > r.home_dep for r in engine.walking(answer, goal).collect())
+    # several dates in one search, of which the middle one, a Sunday, has no service
+    dates = (20260605, 20260607, 20260612)
+    both = engine.ask([routing.Query(k, 21600, 30000, 0, 1200, source=home, date=d) for k, d in enumerate(dates)])
+    front = lambda a, k: sorted((r.node_id, r.home_dep, r.arrival) for r in a.frontier.filter(f"query_id = {k}").collect())
+    assert front(answer, 1) == front(both, 0) == front(both, 2) and not front(both, 1)
+    with pytest.raises(ValueError):
+        engine.ask([routing.Query(1, source=home)])
 
 
 def test_xml(spark, tmp_path):
@@ -137,6 +145,42 @@ def test_pbf(spark, tmp_path):
     assert inside.count() == 2 and walked.count() == 1
 
 
+def test_pbf_by_ranges_of_blobs(spark, tmp_path):
+    """Many blobs in two files: several tasks, each blob once, a range's end wherever a blob ends."""
+    for k, name in enumerate(("a b.pbf", "c.pbf")):
+        blocks = []
+        for j in range(30):
+            dense = _f(1, _z(1000 * k + 10 * j) + _z(1)) + _f(8, _z(10 * j) + _z(1)) + _f(9, _z(0) + _z(0))
+            way = _v(1 << 3) + _v(1000 * k + j) + _f(8, _z(1000 * k + 10 * j) + _z(1))
+            blocks.append(_blob("OSMData", _f(1, _f(1, b"")) + _f(2, _f(2, dense)) + _f(2, _f(3, way))))
+        (tmp_path / name).write_bytes(_blob("OSMHeader", b"") + b"".join(blocks))
+    items = osm.pbf_items(spark, str(tmp_path / "*.pbf"), 300)
+    assert items.rdd.getNumPartitions() > 10
+    nodes, ways = osm.read_pbf(spark, str(tmp_path / "*.pbf"), 300)
+    assert sorted(r.node_id for r in nodes.collect()) == sorted(1000 * k + 10 * j + x for k in range(2) for j in range(30) for x in range(2))
+    assert sorted((r.id, r.refs) for r in ways.collect()) == sorted((1000 * k + j, [1000 * k + 10 * j, 1000 * k + 10 * j + 1]) for k in range(2) for j in range(30))
+    (tmp_path / "empty.pbf").write_bytes(b"")
+    assert osm.pbf_items(spark, str(tmp_path / "empty.pbf")).count() == 0
+
+
+def test_feed_tables_in_parts(spark, tmp_path, monkeypatch):
+    """Rows of a table cut into many parts, with quotes, line ends within quotes, and no line end at the end."""
+    texts = ['a "b", c', "two\nlines", "plain", 'x""', "\r\n", ""] * 30
+    text = io.StringIO(newline="")
+    csv.writer(text).writerows([["stop_id", "stop_name"], *([str(k), t] for k, t in enumerate(texts))])
+    with zipfile.ZipFile(tmp_path / "f.gtfs.zip", "w") as z:
+        z.writestr("in/Stops.TXT", "\ufeff" + text.getvalue().rstrip("\r\n"))
+        z.writestr("trips.txt", "trip_id\n")
+    monkeypatch.setattr(gtfs, "PART", 64)
+    parts = gtfs.unzipped(spark, str(tmp_path / "f.gtfs.zip"))
+    assert parts.filter("table = 'stops'").count() > 20
+    rows = {int(r.cells["stop_id"]): r.cells.get("stop_name") for r in gtfs.raw_table(parts, "stops").collect()}
+    assert rows == {k: t.strip() for k, t in enumerate(texts)}
+    assert gtfs.raw_table(parts, "trips").count() == 0 and gtfs.raw_table(parts, "routes").count() == 0
+    for size in (1, 7, 1000):
+        assert "".join(gtfs.cut_at_rows(io.StringIO(text.getvalue(), newline=""), size)) == text.getvalue()
+
+
 def test_config(spark, tmp_path):
     text = config.write_city("x", "X", (-88, 41, -87, 42), [("f-a", "Metro"), ("f-b", "Bus")])
     (tmp_path / "x.jsonc").write_text(text)

@@ -38,9 +38,9 @@ def time_ranges(services: DataFrame, trips: DataFrame, stop_times: DataFrame) ->
     return services.select("service_id").distinct().join(ranges, "service_id", "left").select("service_id", F.coalesce("least", F.lit(0)).alias("min_time"), F.coalesce("most", F.lit(0)).alias("max_time"))
 
 
-def is_active(date: int) -> Column:
+def is_active(date: int | Column) -> Column:
     """Whether a calendar row holds on a date: not removed, and added or on its weekday within its range, where 0 is no bound."""
-    d = F.lit(date)
+    d = F.lit(date) if isinstance(date, int) else date
     on_day = F.col("mask").bitwiseAND(X.day_bit(d)) != 0
     ranged = ((F.col("start_date") == 0) | (F.col("start_date") <= d)) & ((F.col("end_date") == 0) | (F.col("end_date") >= d))
     return ~F.array_contains("removes", d) & (F.array_contains("adds", d) | (on_day & ranged))
@@ -52,6 +52,38 @@ def active_services(services: DataFrame, date: int, *, strict_dates: bool = Fals
     return rows.filter(is_active(date))
 
 
+#: Dates of one word of a bitmap of days.
+WORD = 60
+
+
+def service_days(services: DataFrame, dates: list[int], *, strict_dates: bool = False) -> DataFrame:
+    """service_id, days: on which of ``dates`` a service runs, as words of WORD bits, the k-th date being bit k % WORD of word k // WORD. Services that run on none are left out."""
+    rows = services if strict_dates else with_masks(services)
+    runs = F.transform(F.array(*map(F.lit, dates)), is_active)
+    bits = lambda word: F.transform(F.slice("runs", word * WORD + 1, WORD), lambda on, k: F.when(on, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    words = F.array(*[F.aggregate(bits(k), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)) for k in range(-(-len(dates) // WORD))])
+    return rows.withColumn("runs", runs).filter(F.exists("runs", lambda on: on)).select("service_id", words.alias("days"))
+
+
+def runs_on(days: str, number: str | Column) -> Column:
+    """Whether a bitmap of days has the date with a number."""
+    k = F.col(number) if isinstance(number, str) else number
+    return F.getbit(F.element_at(days, F.floor(k / WORD).cast("int") + 1), (k % WORD).cast("int")) == 1
+
+
+def trip_days(trips: DataFrame, services: DataFrame, dates: list[int]) -> DataFrame:
+    """trip_id, days of the trips that run on any of ``dates``: services are few, so the join is one pass over the trips."""
+    return trips.join(service_days(services, dates), "service_id").select("trip_id", "days")
+
+
+def stop_days(stop_times: DataFrame, trips: DataFrame, services: DataFrame, dates: list[int]) -> DataFrame:
+    """stop_id, days: on which of ``dates`` any trip calls at a stop. Trips are reduced to a row for each stop and service before the bitmaps meet."""
+    served = stop_times.select("trip_id", "stop_id").join(trips.select("trip_id", "service_id"), "trip_id").select("stop_id", "service_id").distinct()
+    met = served.join(service_days(services, dates), "service_id")
+    words = [F.bit_or(F.col("days")[k]).alias(f"w{k}") for k in range(-(-len(dates) // WORD))]
+    return met.groupBy("stop_id").agg(*words).select("stop_id", F.array(*[f"w{k}" for k in range(len(words))]).alias("days"))
+
+
 def active_trips(trips: DataFrame, services: DataFrame, date: int) -> DataFrame:
     """Trips of the active services: services are few, so the join is one pass over the trips."""
     return trips.join(active_services(services, date).select("service_id"), "service_id", "left_semi")

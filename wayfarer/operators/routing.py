@@ -2,20 +2,22 @@
 
 The search is a monotone fixpoint over timetable rows. Each row has ``h``, the latest home departure with which it can be
 boarded, and ``m``, the latest with which one is aboard on arrival. Only what rises is handled: the rows of one trip of a
-query lie in one bucket with the log of its boardings, those of one stop with the log of when riders are ready there, and
-a round reads the trips and stops that its rises touch and shuffles these rises alone. Every rise keeps the boarding it
-came from. All queries of a batch run together: ``query_id`` is part of every key.
+query lie in one bucket with the log of its boardings, those of one stop in another, and a round reads the trips and stops that
+its rises touch: what is shuffled is who is ready at stops anew, and the rows that this may raise. Every rise keeps the
+boarding it came from. All queries of a batch run together: ``query_id`` is part of every key.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions.session import cut, shared_dir
+from wayfarer.operators import calendar
 
 #: Values of a query that gives none: the whole service day, 45 minutes, one minute to change.
 DEFAULT_WINDOW, DEFAULT_MAX_TIME, DEFAULT_SLACK = (0, 27 * 3600), 45 * 60, 60
@@ -23,7 +25,7 @@ DEFAULT_WINDOW, DEFAULT_MAX_TIME, DEFAULT_SLACK = (0, 27 * 3600), 45 * 60, 60
 
 @dataclass(frozen=True)
 class Query:
-    """One question: from a source, departing in a window of seconds (ends included), how far within ``max_time``."""
+    """One question: from a source, departing in a window of seconds (ends included) of a date, how far within ``max_time``."""
 
     query_id: int
     window_start: int = DEFAULT_WINDOW[0]
@@ -31,6 +33,7 @@ class Query:
     slack: int = DEFAULT_SLACK
     max_time: int = DEFAULT_MAX_TIME
     source: int = 0
+    date: int | None = None
 
     def __post_init__(self):
         if self.window_end < self.window_start:
@@ -41,9 +44,15 @@ class Query:
             raise ValueError("slack must not be negative")
 
 
+def dates_of(queries: list[Query]) -> list[int]:
+    """The dates that a batch asks for, in order."""
+    return sorted({q.date for q in queries if q.date is not None})
+
+
 def query_table(spark: SparkSession, queries: list[Query]) -> DataFrame:
-    schema = "query_id long, window_start int, window_end int, slack int, max_time int, source long"
-    return spark.createDataFrame([(q.query_id, q.window_start, q.window_end, q.slack, q.max_time, q.source) for q in queries], schema)
+    """A row for each query; ``day`` is its date's number among those of the batch."""
+    schema, dates = "query_id long, window_start int, window_end int, slack int, max_time int, source long, day int", dates_of(queries)
+    return spark.createDataFrame([(q.query_id, q.window_start, q.window_end, q.slack, q.max_time, q.source, dates.index(q.date) if q.date is not None else None) for q in queries], schema)
 
 
 def split_window(query: Query, parts: int) -> list[Query]:
@@ -51,15 +60,17 @@ def split_window(query: Query, parts: int) -> list[Query]:
     seconds = query.window_end - query.window_start + 1
     parts = max(1, min(parts, seconds // 900))
     cuts = [query.window_start + seconds * k // parts for k in range(parts + 1)]
-    return [Query(query.query_id * parts + k, a, b - 1, query.slack, query.max_time, query.source) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return [Query(query.query_id * parts + k, a, b - 1, query.slack, query.max_time, query.source, query.date) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
 def events_of(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """Timetable rows (trip_id, segment, seq, stop_id, arr, dep, boardable) that each query can use.
 
-    Queries are a driver's list, so they are broadcast; rows outside of all windows end at the scan's side of the join.
+    Queries are a driver's list, so they are broadcast; rows outside of all windows end at the scan's side of the join. Rows
+    with ``days``, a bitmap over the batch's dates, are used by the queries of those dates alone.
     """
     near = (F.col("dep") >= F.col("window_start")) & (F.col("arr") <= F.col("window_end") + F.col("max_time"))
+    near = near & calendar.runs_on("days", "day") if "days" in rows.columns else near
     return rows.join(F.broadcast(queries.drop("source")), near)
 
 
@@ -99,6 +110,18 @@ BROADCAST_PATHS = 1_000_000
 _TRIP, _STOP = ["query_id", "trip_id", "segment"], ["query_id", "stop_id"]
 
 
+@contextmanager
+def _fixed_plans(spark: SparkSession):
+    """Plans as they are made: the buckets fix the number of partitions, so there is nothing to adapt between a round's few stages."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class _Buckets:
     """Tables of one search in the shared folder, bucketed by hash: what has the same key is joined and grouped where it lies."""
 
@@ -107,16 +130,29 @@ class _Buckets:
         self.folder, self.rows = f"{shared_dir(spark)}/{self.key}", {}
         self.number = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def add(self, name: str, rows: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, int]:
-        """Appends rows to a table: the one shuffle that they take. Gives the table and the number of rows added."""
-        before = self.rows.setdefault(name, 0)
-        writer = rows.repartition(self.number, *keys).write.bucketBy(self.number, *keys).sortBy(order).option("path", f"{self.folder}/{name}")
+    def add(self, name: str, rows: DataFrame, keys: list[str], order: str, *, deal: bool = True) -> DataFrame:
+        """Appends rows to a table, which it gives. Without ``deal`` they lie in buckets already."""
+        self.rows.setdefault(name, 0)
+        rows = rows.repartition(self.number, *keys) if deal else rows
+        writer = rows.write.bucketBy(self.number, *keys).sortBy(order).option("path", f"{self.folder}/{name}")
         writer.mode("append").format("parquet").saveAsTable(f"{self.key}_{name}")
-        table = self.spark.table(f"{self.key}_{name}")
-        self.rows[name] = table.count()  # of the files' footers
-        return table, self.rows[name] - before
+        return self.spark.table(f"{self.key}_{name}")
+
+    def added(self, name: str) -> int:
+        """Rows added since this was last asked, from the files' footers."""
+        before, self.rows[name] = self.rows[name], self.spark.table(f"{self.key}_{name}").count()
+        return self.rows[name] - before
+
+    def write(self, name: str, rows: DataFrame) -> int:
+        """Writes rows as they are, to be read by name; gives how many they are."""
+        rows.write.parquet(f"{self.folder}/{name}")
+        table = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+        table.createOrReplaceTempView(f"{self.key}_{name}")
+        return table.count()
 
     def drop(self) -> None:
+        for name in ("feet", "now"):
+            self.spark.catalog.dropTempView(f"{self.key}_{name}")
         for name in self.rows:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.key}_{name}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -128,91 +164,86 @@ class Found:
     """``state``: rows of all trips that can be boarded, with ``h``, ``m`` and ``board_seq``, the last row at which ``m`` can be had; ``boards``: every rise of a boarding and what it came from."""
 
     state: DataFrame
-    boards: DataFrame
-
-
-def _best_before(boards: str, seq: Column, keep=lambda b: F.lit(True)) -> Column:
-    """(h, seq) of the best of a trip's boardings before a row, of equal ones the last."""
-    return F.array_max(F.transform(F.filter(boards, lambda b: (b["seq"] < seq) & keep(b)), lambda b: F.struct(b["h"].alias("h"), b["seq"].alias("seq"))))
-
-
-def _arrivals(by_trip: DataFrame, boards: DataFrame, number: int) -> DataFrame:
-    """Rows of the trips boarded anew in round ``number`` whose ``m`` rose in it, with ``m`` and where that was boarded."""
-    of_trip = boards.groupBy(*_TRIP).agg(F.collect_list(F.struct("seq", "h", "round")).alias("boards"), F.max("round").alias("last")).filter(F.col("last") == number)
-    rows = by_trip.join(of_trip, _TRIP)
-    now, was = _best_before("boards", F.col("seq")), _best_before("boards", F.col("seq"), lambda b: b["round"] < number)
-    rose = rows.select(*_TRIP, "seq", "stop_id", "arr", "slack", "max_time", now.alias("now"), was["h"].alias("was")).filter("now is not null and (was is null or now.h > was)")
-    return rose.select(*_TRIP, "seq", "stop_id", "arr", "slack", "max_time", F.col("now.h").alias("m"), F.col("now.seq").alias("board_seq"))
-
-
-def _ready(arrivals: DataFrame, feet: DataFrame, number: int) -> DataFrame:
-    """When riders who arrived can board again within walking reach, with the ride and the walk that brought them."""
-    walked = arrivals.join(feet, "stop_id").filter(F.col("arr") + F.col("walk") - F.col("m") <= F.col("max_time"))
-    came = F.struct("trip_id", "segment", "board_seq", F.col("seq").alias("alight_seq"), F.col("stop_id").alias("alight_stop"), F.col("arr").alias("alight_arr"), F.col("walk").alias("walk_after"))
-    return walked.select("query_id", F.col("b").alias("stop_id"), (F.col("arr") + F.col("walk") + F.col("slack")).alias("ready"), "m", came.alias("came"), F.lit(number).alias("round"))
-
+    boards: DataFrame | None
+
+
+#: One round as one statement. ``log``: each trip's boardings so far. ``touched``: of trips boarded anew in round ``now``. ``rides``:
+#: their rows, with what is best aboard there now and before it. ``ready``: who can board again after a walk, and how they came. ``steps``: of
+#: those at a stop, the ones that no earlier one matches. ``raised``: the best step for each row of these stops.
+#: Rows rise that beat their first boarding and their trip's log. Joins are by hash where the rows lie: nothing of the tables moves.
+_ROUND = """
+WITH log AS (
+  SELECT query_id, trip_id, segment, collect_list(struct(seq, h, round)) AS boards, max(round) AS last FROM {key}_boards GROUP BY query_id, trip_id, segment),
+touched AS (SELECT /*+ BROADCAST(n) */ l.*, n.now FROM log l JOIN {key}_now n ON l.last = n.now),
+rides AS (
+  SELECT /*+ SHUFFLE_HASH(l) */ t.query_id, t.trip_id, t.segment, t.seq, t.stop_id, t.arr, t.slack, t.max_time, l.now,
+    array_max(transform(filter(boards, b -> b.seq < t.seq), b -> struct(b.h AS h, b.seq AS seq))) AS best,
+    array_max(transform(filter(boards, b -> b.seq < t.seq AND b.round < l.now), b -> b.h)) AS was
+  FROM {key}_trips t JOIN touched l ON t.query_id = l.query_id AND t.trip_id = l.trip_id AND t.segment = l.segment),
+ready AS (
+  SELECT {hint} r.query_id, f.b AS stop_id, arr + walk + slack AS ready, best.h AS m, now,
+    struct(trip_id, segment, best.seq AS board_seq, seq AS alight_seq, r.stop_id AS alight_stop, arr AS alight_arr, walk AS walk_after) AS came
+  FROM rides r JOIN {key}_feet f ON r.stop_id = f.stop_id WHERE best IS NOT NULL AND (was IS NULL OR best.h > was) AND arr + walk - best.h <= max_time),
+above AS (
+  SELECT *, max(m) OVER (PARTITION BY query_id, stop_id ORDER BY ready, m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM ready),
+steps AS (
+  SELECT query_id, stop_id, collect_list(struct(m, ready, came)) AS steps, max(now) AS now FROM above WHERE above IS NULL OR m > above GROUP BY query_id, stop_id),
+raised AS (
+  SELECT /*+ SHUFFLE_HASH(p) */ s.query_id, s.trip_id, s.segment, s.seq, s.stop_id, s.dep, s.first, array_max(filter(steps, x -> x.ready <= s.dep)) AS best, now
+  FROM {key}_stops s JOIN steps p ON s.query_id = p.query_id AND s.stop_id = p.stop_id)
+SELECT /*+ SHUFFLE_HASH(l) */ r.query_id, r.trip_id, r.segment, r.seq, r.stop_id, r.dep, best.m AS h, CAST(NULL AS INT) AS access, CAST(best.came AS {came}) AS came, now + 1 AS round
+FROM raised r LEFT JOIN log l ON r.query_id = l.query_id AND r.trip_id = l.trip_id AND r.segment = l.segment
+WHERE best IS NOT NULL AND (first IS NULL OR best.m > first) AND coalesce(array_max(transform(filter(boards, b -> b.seq = r.seq), b -> b.h)) < best.m, true)
+"""
 
-def _boarded(by_stop: DataFrame, steps: DataFrame, number: int) -> DataFrame:
-    """Rows of the stops at which round ``number`` made someone ready earlier or with a later home departure, where that raises ``h``.
 
-    Of a stop's log those count that no earlier one matches: a few steps in time, which all rows of the stop look up.
-    """
-    own = Window.partitionBy(*_STOP).orderBy("ready", "round", F.col("m").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    new = F.col("round") == number
-    best, old = F.max("m").over(own), F.max(F.when(~new, F.col("m"))).over(own)
-    above = F.when(new, best).otherwise(old)
-    kept = steps.withColumn("above", above).filter(F.col("above").isNull() | (F.col("m") > F.col("above")))
-    step = F.struct("m", "ready", "came")
-    of_stop = kept.groupBy(*_STOP).agg(F.collect_list(F.when(new, step)).alias("news"), F.collect_list(F.when(~new, F.struct("m", "ready"))).alias("olds")).filter(F.size("news") > 0)
-    rows = by_stop.join(of_stop, _STOP)
-    now = F.array_max(F.filter("news", lambda x: x["ready"] <= F.col("dep")))
-    was = F.greatest("first", F.array_max(F.filter("olds", lambda x: x["ready"] <= F.col("dep")))["m"])
-    rose = rows.withColumn("now", now).withColumn("was", was).filter("now is not null and (was is null or now.m > was)")
-    return rose.select(*_TRIP, "seq", "stop_id", "dep", F.col("now.m").alias("h"), F.lit(None).cast("int").alias("access"), F.col("now.came").alias("came"), F.lit(number + 1).alias("round"))
-
-
-def search(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=None) -> Found:
+def search(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=None, *, journeys: bool = False) -> Found:
     """The fixpoint. ``progress(round, risen, total)`` is called after each round with the boardings that rose in it and so far.
 
-    What a round writes is what rose in it. Both logs, and the rows they are looked up for, are bucketed tables: trips by
-    (query, trip, segment), stops by (query, stop).
+    What a round writes is what rose in it. The log of boardings and the rows that it is looked up for are tables bucketed by
+    (query, trip, segment), rows that can be boarded are once more by (query, stop): neither is shuffled again. ``boards`` is kept for ``journeys`` alone.
     """
     spark = events.sparkSession
     store = _Buckets(spark)
+    columns = [*_TRIP, "seq", "stop_id", "arr", "dep", "boardable", "window_start", "window_end", "slack", "max_time"]
     try:
+        by_trip = store.add("trips", events.select(*columns), _TRIP, "seq")
         walk = access.select("query_id", "stop_id", F.col("w").alias("access"))
-        columns = [*_TRIP, "seq", "stop_id", "arr", "dep", "boardable", "window_start", "window_end", "slack", "max_time"]
-        by_trip, _ = store.add("trips", events.select(*columns), _TRIP, "seq")
         can = (F.col("dep") >= F.col("window_start") + F.col("access")) & (F.col("dep") <= F.col("window_end") + F.col("max_time"))
         first = F.when(can, F.least(F.col("window_end"), F.col("dep") - F.col("access")))
         at_stops = by_trip.filter("boardable").join(walk, _STOP, "left").select(*_TRIP, "seq", "stop_id", "dep", first.alias("first"), "access")
-        by_stop, _ = store.add("stops", at_stops, _STOP, "dep")
-        kind = {c: by_trip.schema[c].dataType.simpleString() for c in ("trip_id", "segment", "seq", "stop_id", "arr")}
-        came = f"struct<trip_id: {kind['trip_id']}, segment: {kind['segment']}, board_seq: {kind['seq']}, alight_seq: {kind['seq']}, alight_stop: {kind['stop_id']}, alight_arr: {kind['arr']}, walk_after: int>"
-        begun = by_stop.filter("first is not null").select(*_TRIP, "seq", "stop_id", "dep", F.col("first").alias("h"), "access", F.lit(None).cast(came).alias("came"), F.lit(0).alias("round"))
-        boards, risen = store.add("boards", begun, _TRIP, "seq")
-        feet = footpaths.select(F.col("a").alias("stop_id"), "b", F.col("w").alias("walk"))
-        feet = F.broadcast(feet) if footpaths.count() <= BROADCAST_PATHS else feet
-        number, total = 0, risen
-        while risen:
-            if progress:
-                progress(number, risen, total)
-            ready = _ready(_arrivals(by_trip, boards, number), feet, number)
-            ready = ready.withColumn("came", F.col("came").cast(came))
-            steps, more = store.add("steps", ready, _STOP, "ready")
-            if not more:
-                break
-            boards, risen = store.add("boards", _boarded(by_stop, steps, number), _TRIP, "seq")
-            number, total = number + 1, total + risen
+        by_stop = store.add("stops", at_stops, _STOP, "dep")
+        feet = store.write("feet", footpaths.select(F.col("a").alias("stop_id"), "b", F.col("w").alias("walk")))
+        hint = "/*+ BROADCAST(f) */" if feet <= BROADCAST_PATHS else ""
+        with _fixed_plans(spark):
+            boards = _rounds(store, by_trip, by_stop, hint, progress)
         of_trip = boards.groupBy(*_TRIP).agg(F.collect_list(F.struct("seq", "h")).alias("boards"))
+        best = F.array_max(F.transform(F.filter("boards", lambda b: b["seq"] < F.col("seq")), lambda b: F.struct(b["h"].alias("h"), b["seq"].alias("seq"))))
         own = F.array_max(F.transform(F.filter("boards", lambda b: b["seq"] == F.col("seq")), lambda b: b["h"]))
-        best = _best_before("boards", F.col("seq"))
         state = by_trip.join(of_trip, _TRIP).withColumn("h", own).withColumn("best", best).select(*columns, "h", F.col("best.h").alias("m"), F.col("best.seq").alias("board_seq"))
-        return Found(cut(state), cut(boards.drop("round")))
+        return Found(cut(state), cut(boards.drop("round")) if journeys else None)
     finally:
         store.drop()
 
 
+def _rounds(store: _Buckets, by_trip: DataFrame, by_stop: DataFrame, hint: str, progress) -> DataFrame:
+    """The log of all boardings, once a round adds none."""
+    kind = {c: by_trip.schema[c].dataType.simpleString() for c in ("trip_id", "segment", "seq", "stop_id", "arr")}
+    came = f"struct<trip_id: {kind['trip_id']}, segment: {kind['segment']}, board_seq: {kind['seq']}, alight_seq: {kind['seq']}, alight_stop: {kind['stop_id']}, alight_arr: {kind['arr']}, walk_after: int>"
+    begun = by_stop.filter("first is not null").select(*_TRIP, "seq", "stop_id", "dep", F.col("first").alias("h"), "access", F.lit(None).cast(came).alias("came"), F.lit(0).alias("round"))
+    boards = store.add("boards", begun, _TRIP, "seq")
+    number, total = 0, 0
+    while risen := store.added("boards"):
+        total += risen
+        if progress:
+            progress(number, risen, total)
+        # the number is a row and no literal: the code made for a round serves the next one
+        store.spark.createDataFrame([(number,)], "now int").createOrReplaceTempView(f"{store.key}_now")
+        boards = store.add("boards", store.spark.sql(_ROUND.format(key=store.key, hint=hint, came=came)), _TRIP, "seq", deal=False)
+        number += 1
+    return boards
+
+
 def fixpoint(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=None) -> DataFrame:
     """The state that ``search`` leaves."""
     return search(events, access, footpaths, progress).state

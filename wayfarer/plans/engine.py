@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,11 @@ from wayfarer.operators import calendar, graph, paths, routing, shapes, spatial,
 from wayfarer.plans.catalog import Catalog
 
 
+def _base():
+    """The trip that a row's trip id names: a frequency trip's has the numbers of its start, leg and departure behind it."""
+    return F.regexp_replace("trip_id", r"(/\d+){3}$", "")
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
     """Jobs inside carry ``tag``; ``spark.interruptTag(tag)`` from another thread ends them."""
@@ -32,6 +37,7 @@ class Answer:
     walks: DataFrame
     access: DataFrame
     state: DataFrame
+    boards: DataFrame
     frontier: DataFrame
 
 
@@ -66,32 +72,35 @@ class Engine:
         active = calendar.active_services(self.city.services, date).select("service_id")
         return calendar.patterns(self.city.services).select(F.explode("services").alias("service_id"), "mask", "start_date", "end_date", "adds", "removes").join(active, "service_id").select("mask", "start_date", "end_date", "adds", "removes").distinct().count()
 
-    def rows(self, date: int) -> DataFrame:
-        """Timetable rows of a date: scheduled trips, and frequency trips as one for each leg and departure."""
-        trips = calendar.active_trips(self.city.trips, self.city.services, date)
-        times = self.city.stop_times.join(trips.select("trip_id"), "trip_id", "left_semi")
-        return timetable.search_rows(times, self.city.frequencies.join(trips.select("trip_id"), "trip_id", "left_semi"))
-
-    def ask(self, queries: list[routing.Query], date: int, progress=None) -> Answer:
-        """One search for all queries; ``source`` is a node."""
+    def rows(self, dates: list[int]) -> DataFrame:
+        """Timetable rows of all dates, once each, with the ``days`` they run on: scheduled trips, and frequency trips as one for each leg and departure."""
+        days = calendar.trip_days(self.city.trips, self.city.services, dates)
+        times = self.city.stop_times.join(days.select("trip_id"), "trip_id", "left_semi")
+        rows = timetable.search_rows(times, self.city.frequencies.join(days.select("trip_id"), "trip_id", "left_semi"))
+        return rows.withColumn("base", _base()).join(days.withColumn("base", F.col("trip_id").cast("string")).select("base", "days"), "base").drop("base")
+
+    def ask(self, queries: list[routing.Query], date: int | None = None, progress=None) -> Answer:
+        """One search for all queries, each on its own date or else on ``date``; ``source`` is a node."""
+        queries = [q if q.date is not None else replace(q, date=date) for q in queries]
+        if any(q.date is None for q in queries):
+            raise ValueError("a query has no date")
         asked = routing.query_table(self.spark, queries)
         found = graph.walk_times(self.city.edges, asked.select("source"), max(q.max_time for q in queries))
         walks = cut(found.join(F.broadcast(asked), "source").filter("w <= max_time").select("query_id", "node_id", "w"))
         at = self.city.nodes.filter("stop_id is not null").select("node_id", "stop_id")
         access = cut(walks.join(at, "node_id").select("query_id", "stop_id", "w"))
-        state = routing.fixpoint(routing.events_of(self.rows(date), asked), access, self.footpaths, progress)
-        return Answer(asked, walks, access, state, cut(routing.frontier(state, self.egress, walks)))
+        left = routing.search(routing.events_of(self.rows(routing.dates_of(queries)), asked), access, self.footpaths, progress, journeys=True)
+        return Answer(asked, walks, access, left.state, left.boards, cut(routing.frontier(left.state, self.egress, walks, rides=True)))
 
     def isochrone(self, answer: Answer) -> DataFrame:
         return routing.isochrone(answer.frontier, answer.walks, answer.queries)
 
     def rides(self, answer: Answer, node: int) -> DataFrame:
         """The rides of every best journey to a node."""
-        base = F.regexp_replace("trip_id", r"(/\d+){3}$", "")
-        names = answer.state.select("trip_id").distinct().withColumn("base", base)
+        names = answer.state.select("trip_id").distinct().withColumn("base", _base())
         routes = names.join(self.city.trips.select(F.col("trip_id").alias("base"), "route_id"), "base").select("trip_id", "route_id")
         asked = answer.frontier.filter(F.col("node_id") == node)
-        return paths.trace(asked, answer.state, answer.access, self.egress, self.footpaths, routes)
+        return paths.trace(asked, answer.boards, routes)
 
     def segments(self, answer: Answer, node: int) -> DataFrame:
         """The segments of every best journey to a node."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -527,12 +528,12 @@ def home_walks(spark, sf, queries: DataFrame) -> DataFrame:
     return rows.filter("w <= max_time").groupBy("query_id", "node_id").agg(F.min("w").alias("w"))
 
 
-def _found(spark, sf, asked, rows=timetable_rows):
+def _found(spark, sf, asked, rows=timetable_rows, **more):
     queries = routing.query_table(spark, asked)
     walks = home_walks(spark, sf, queries)
     access = walks.filter("node_id < 1000000").select("query_id", F.col("node_id").alias("stop_id"), "w")
     feet = footpaths(spark, sf)
-    return queries, walks, access, feet, routing.search(routing.events_of(rows(spark, sf), queries), access, feet)
+    return queries, walks, access, feet, routing.search(routing.events_of(rows(spark, sf), queries), access, feet, **more)
 
 
 def _searched(spark, sf, asked, rows=timetable_rows):
@@ -558,17 +559,24 @@ _MIXED = (
 _PARAMS = "qs(query_id, ws, we, slack, mt, source) AS (VALUES {rows})"
 
 
+#: Trips that run on each date of a batch of dated queries; a query's last value is then its date.
+_RUNS = "runs AS (SELECT DISTINCT trip_id, d FROM trips JOIN services USING (service_id), qs WHERE NOT list_contains(removes, d) AND (list_contains(adds, d) OR ((mask >> (isodow(strptime(CAST(d AS VARCHAR), '%Y%m%d')) - 1)) & 1 = 1 AND start_date <= d AND end_date >= d)))"
+
+
 def _route_sql(asked, tail: str, *more: str, rows_sql: tuple[str, ...] = _FIXED) -> str:
-    rows = ", ".join(f"({q.query_id}, {q.window_start}, {q.window_end}, {q.slack}, {q.max_time}, {q.source})" for q in asked)
+    dated = asked[0].date is not None
+    rows = ", ".join(f"({q.query_id}, {q.window_start}, {q.window_end}, {q.slack}, {q.max_time}, {q.source}{f', {q.date}' if dated else ''})" for q in asked)
+    on_date = " AND EXISTS (FROM runs WHERE runs.trip_id = stl.trip_id AND runs.d = qs.d)" if dated else ""
     return W(
-        "stops st freq" if rows_sql is _MIXED else "stops st",
-        _PARAMS.format(rows=rows),
+        f"stops st{' freq' if rows_sql is _MIXED else ''}{' trips services' if dated else ''}",
+        _PARAMS.format(rows=rows).replace("source)", "source, d)" if dated else "source)"),
+        *([_RUNS] if dated else []),
         "sn AS (SELECT count(*) AS n FROM supplier)",
         "foot AS (SELECT s_suppkey AS a, (s_suppkey + k + 2 * n) % n AS b, CAST(min(abs(k) * 90) AS INTEGER) AS w FROM supplier, sn, range(-2, 3) r(k) GROUP BY 1, 2)",
         "eg AS (SELECT a AS stop_id, b AS node_id, w FROM foot UNION ALL SELECT c_custkey % n, c_custkey + 1000000, CAST((c_custkey * 37) % 300 + 20 AS INTEGER) FROM customer, sn)",
         "walk AS (SELECT query_id, node_id, min(w) AS w FROM qs JOIN eg ON stop_id = source WHERE w <= mt GROUP BY 1, 2)",
         *rows_sql,
-        "ev AS (SELECT qs.query_id, ws, we, slack, mt, trip_id, seq, stop_id, arr, dep, board FROM stl, qs WHERE dep >= ws AND arr <= we + mt)",
+        "ev AS (SELECT qs.query_id, ws, we, slack, mt, trip_id, seq, stop_id, arr, dep, board FROM stl, qs WHERE dep >= ws AND arr <= we + mt" + on_date + ")",
         """x(q, t, s, h) USING KEY (q, t, s) AS (
             SELECT ev.query_id, trip_id, seq, least(we, dep - w) FROM ev JOIN walk ON walk.query_id = ev.query_id AND node_id = stop_id WHERE board AND dep >= ws + w AND dep <= we + mt
             UNION
@@ -660,6 +668,30 @@ def batch_isochrone(spark, sf):
     return routing.isochrone(routing.frontier(state, egress(spark, sf), walks), walks, queries)
 
 
+#: The batch's questions on four days of one week and one of the next.
+DATED = [replace(q, query_id=q.query_id + 4 * k, date=d) for k, d in enumerate((19960603, 19960605, 19960608, 19960609, 19960610)) for q in BATCH[:2]]
+
+
+def dated_rows(spark, sf) -> DataFrame:
+    """Timetable rows of the trips that run on any of the dates, once each, with a bitmap of these."""
+    days = calendar.trip_days(N.trips(spark, sf), N.services(spark, sf), routing.dates_of(DATED))
+    return timetable_rows(spark, sf).join(days, "trip_id")
+
+
+@query(_route_sql(DATED, "SELECT * FROM iso", *_FRONT, *_ISO))
+def dated_isochrone(spark, sf):
+    """Two sources and windows on each of five dates, in one search: each trip's rows are read once for all of its dates."""
+    queries, walks, _, _, state = _searched(spark, sf, DATED, dated_rows)
+    return routing.isochrone(routing.frontier(state, egress(spark, sf), walks), walks, queries)
+
+
+@query(_route_sql(DATED, "SELECT stop_id, CAST(sum(DISTINCT CAST(1 AS BIGINT) << CAST(array_position([19960603, 19960605, 19960608, 19960609, 19960610], d) - 1 AS INTEGER)) AS BIGINT) AS days FROM st JOIN runs USING (trip_id) GROUP BY 1"))
+def stop_days(spark, sf):
+    """On which of the dates any trip calls at a stop."""
+    found = calendar.stop_days(N.stop_times(spark, sf), N.trips(spark, sf), N.services(spark, sf), routing.dates_of(DATED))
+    return found.select("stop_id", F.col("days")[0].alias("days"))
+
+
 @query(_route_sql([QUERY], "SELECT CAST(query_id AS BIGINT) AS query_id, node_id, num, den FROM tr", *_FRONT, *_ISO))
 def isochrone_exploded(spark, sf):
     queries, walks, _, _, state = _searched(spark, sf, [QUERY])
@@ -740,7 +772,7 @@ def pareto_front(spark, sf):
 
 def _traced(spark, sf, rows=timetable_rows):
     """Rides of every frontier row at stops, and what they were traced from."""
-    _, walks, _, _, found = _found(spark, sf, [QUERY], rows)
+    _, walks, _, _, found = _found(spark, sf, [QUERY], rows, journeys=True)
     front = cut(routing.frontier(found.state, egress(spark, sf), walks, rides=True).filter("node_id < 1000000"))
     routes = N.trips(spark, sf)
     if rows is mixed_rows:  # a frequency trip's id begins with that of the trip it repeats

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 import zipfile
 from dataclasses import dataclass
 
@@ -12,13 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfarer.functions import scalars as X
+from wayfarer.functions.session import shared_dir
 from wayfarer.operators import timetable
 
 #: Tables of a feed, and those it may lack.
 TABLES = ("stops", "routes", "trips", "stop_times", "calendar", "calendar_dates", "frequencies", "shapes", "feed_info")
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-#: Rows in one batch that an executor hands on.
-_ROWS = 20_000
+#: Rows in one batch that an executor hands on; characters of a part of a table, about.
+_ROWS, PART = 20_000, 1 << 20
 
 
 def member(names: list[str], table: str) -> str | None:
@@ -27,36 +29,72 @@ def member(names: list[str], table: str) -> str | None:
     return next((n for n in names if n.lower() == wanted or n.lower().endswith("/" + wanted)), None)
 
 
-def raw_table(spark: SparkSession, path: str | list[str], table: str) -> DataFrame:
-    """feed, cells: a row of a table of every zip under ``path`` as a map of trimmed texts; ragged rows keep the cells they have.
-
-    Each zip is one row of a binary scan, read where the scan runs and streamed row by row.
+def cut_at_rows(stream, size: int):
+    """A table's text in parts of about ``size`` characters that end where a row does: a line end within quotes is none."""
+    held = ""
+    while chunk := stream.read(size):
+        held += chunk
+        at = held.rfind("\n")
+        odd = held.count('"', 0, at + 1) % 2  # of quotes before the end
+        while at >= 0 and odd:
+            before = held.rfind("\n", 0, at)
+            odd ^= held.count('"', before + 1, at + 1) % 2
+            at = before
+        if at >= 0:
+            yield held[: at + 1]
+            held = held[at + 1 :]
+    if held:
+        yield held
+
+
+def unzipped(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """feed, part, header, lines, table: the tables of every zip under ``path``, unzipped once into the shared folder, in parts that are spread over the cluster.
+
+    A zip is one row of a binary scan, so none may have over 2 GB; of its tables a part at a time is in memory as text.
     """
 
     def run(batches):
         for batch in batches:
             for feed, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    name = member(z.namelist(), table)
-                    if name is None:
-                        continue
-                    with z.open(name) as f:
-                        rows = csv.reader(io.TextIOWrapper(f, "utf-8-sig", errors="replace", newline=""))
-                        header = [h.strip() for h in next(rows, [])]
-                        out: list[list[tuple[str, str]]] = []
-                        for row in rows:
-                            if row:
-                                out.append([(h, v.strip()) for h, v in zip(header, row, strict=False)])
-                            if len(out) >= _ROWS:
-                                yield record(feed, out)
-                                out = []
+                    names = z.namelist()
+                    for table in TABLES:
+                        if name := member(names, table):
+                            with z.open(name) as f:
+                                header = None
+                                for k, lines in enumerate(cut_at_rows(io.TextIOWrapper(f, "utf-8-sig", errors="replace", newline=""), PART)):
+                                    header = header or [h.strip() for h in next(csv.reader(io.StringIO(lines, newline="")), [])]
+                                    yield pa.RecordBatch.from_pydict({"feed": [feed], "part": pa.array([k], pa.int32()), "header": pa.array([header], pa.list_(pa.string())), "lines": [lines], "table": [table]})
+
+    scan = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.gtfs)?\.zip$", 1).alias("feed"), "content")
+    folder = f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    parts = scan.mapInArrow(run, "feed string, part int, header array<string>, lines string, table string")
+    parts.repartition(spark.sparkContext.defaultParallelism, "feed", "table", "part").write.partitionBy("table").parquet(folder)
+    return spark.read.schema(parts.schema).parquet(folder)
+
+
+def raw_table(parts: DataFrame, table: str) -> DataFrame:
+    """feed, cells: a row of a table of every feed as a map of trimmed texts; ragged rows keep the cells they have. A table's parts alone are read, each in its own place."""
+
+    def run(batches):
+        for batch in batches:
+            for feed, part, header, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = csv.reader(io.StringIO(lines, newline=""))
+                if part == 0:
+                    next(rows, None)
+                out: list[list[tuple[str, str]]] = []
+                for row in rows:
+                    if row:
+                        out.append([(h, v.strip()) for h, v in zip(header, row, strict=False)])
+                    if len(out) >= _ROWS:
                         yield record(feed, out)
+                        out = []
+                yield record(feed, out)
 
     def record(feed, out):
         return pa.RecordBatch.from_arrays([pa.array([feed] * len(out), pa.string()), pa.array(out, pa.map_(pa.string(), pa.string()))], ["feed", "cells"])
 
-    scan = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.gtfs)?\.zip$", 1).alias("feed"), "content")
-    return scan.mapInArrow(run, "feed string, cells map<string,string>")
+    return parts.filter(F.col("table") == table).select("feed", "part", "header", "lines").mapInArrow(run, "feed string, cells map<string,string>")
 
 
 def _cell(name: str) -> Column:
@@ -87,7 +125,8 @@ def read(spark: SparkSession, path: str | list[str], bbox: tuple[float, float, f
     Stops are places (no stations or entrances) with coordinates. Stop times of unknown trips or stops are left out, unknown
     times between known ones are filled in, and only then are stops outside of ``bbox`` dropped.
     """
-    raw = {t: raw_table(spark, path, t) for t in TABLES}
+    parts = unzipped(spark, path)
+    raw = {t: raw_table(parts, t) for t in TABLES}
     place = F.coalesce(_cell("location_type"), F.lit("")).isin("", "0")
     lat, lon = X.number(_cell("stop_lat")), X.number(_cell("stop_lon"))
     stops = raw["stops"].filter(place & lat.isNotNull() & lon.isNotNull()).select("feed", _cell("stop_id").alias("stop_id"), _text("stop_name").alias("name"), lat.alias("lat"), lon.alias("lon"))

@@ -1,15 +1,21 @@
-"""Street maps: XML extracts by Spark's reader, PBF extracts by a decoder of their blocks."""
+"""Street maps: XML extracts by Spark's reader, PBF extracts by ranges of their blobs."""
 
 from __future__ import annotations
 
+import json
 import struct
+import uuid
 import zlib
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from wayfarer.functions.scalars import in_bbox
+from wayfarer.functions.session import shared_dir
 from wayfarer.operators.graph import pedestrian_ways
 
 
@@ -130,25 +136,94 @@ def decode(block: bytes):
                 yield "way", f[1], sums(packed(f.get(8, b""))), {texts[a]: texts[b] for a, b in zip(keys, values, strict=True)}
 
 
-def read_pbf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, ways) of PBF files. Files are cut into their blocks where they are scanned; blocks are then spread and decoded in parallel."""
-
-    def split(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                for kind, data in blobs(content):
-                    if kind == "OSMData":
-                        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["block"])
-
-    def unpack(batches):
-        for batch in batches:
-            for block in batch.column(0).to_pylist():
-                nodes, ways = [], []
-                for item in decode(block):
-                    (nodes if item[0] == "node" else ways).append(item[1:])
-                rows = [{"id": i, "lat": y, "lon": x} for i, y, x in nodes] + [{"id": i, "refs": r, "tags": list(t.items())} for i, r, t in ways]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("refs", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))]))
-
-    blocks = spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "block binary")
-    rows = blocks.repartition(spark.sparkContext.defaultParallelism).mapInArrow(unpack, "id long, lat double, lon double, refs array<long>, tags map<string,string>")
-    return rows.filter("refs is null").select(F.col("id").alias("node_id"), "lat", "lon"), rows.filter("refs is not null").select("id", "refs", "tags")
+#: Bytes of a range of blobs that one task reads, about.
+RANGE = 16 << 20
+
+_ITEMS = "id long, lat double, lon double, refs array<long>, tags map<string,string>"
+
+
+def _opened(path: str):
+    """A file by its address, on this machine or in a store that Arrow knows."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(unquote("/" + path[5:].lstrip("/")))
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def ranges(file, size: int):
+    """(start, end) of neighbouring blobs of about ``size`` bytes: one pass over the headers, which skips the blobs."""
+    start = at = 0
+    while len(head := file.read_at(4, at)) == 4:
+        (n,) = struct.unpack(">I", head)
+        at += 4 + n + dict(fields(file.read_at(n, at + 4)))[3]
+        if at - start >= size:
+            yield start, at
+            start = at
+    if at > start:
+        yield start, at
+
+
+@dataclass
+class Blobs(InputPartition):
+    """Some neighbouring blobs of a file."""
+
+    path: str
+    start: int
+    end: int
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.paths, self.size = json.loads(options["paths"]), int(options["range"])
+
+    def partitions(self) -> list[Blobs]:
+        out = []
+        for path in self.paths:
+            with _opened(path) as file:
+                out += [Blobs(path, *x) for x in ranges(file, self.size)]
+        return out or [Blobs("", 0, 0)]
+
+    def read(self, part: Blobs):
+        if part.end == part.start:
+            return
+        with _opened(part.path) as file:
+            data = file.read_at(part.end - part.start, part.start)
+        kinds = pa.schema([("id", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("refs", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))])
+        for kind, block in blobs(data):
+            if kind == "OSMData":
+                rows = [dict(zip(("id", "lat", "lon") if x[0] == "node" else ("id", "refs", "tags"), x[1:], strict=True)) for x in decode(block)]
+                for row in rows:
+                    if "tags" in row:
+                        row["tags"] = list(row["tags"].items())
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+
+class PbfSource(DataSource):
+    """Nodes and ways of PBF files (``paths``, as JSON), a partition for each range of blobs of about ``range`` bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wayfarer_pbf"
+
+    def schema(self) -> str:
+        return _ITEMS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options)
+
+
+def pbf_items(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """id and lat, lon of every node, id, refs and tags of every way of the PBF files at ``path``; each blob is read by one task."""
+    spark.dataSource.register(PbfSource)
+    found = sorted(r.path for r in spark.read.format("binaryFile").load(path).select("path").collect())  # listed, not read
+    return spark.read.format(PbfSource.name()).option("paths", json.dumps(found)).option("range", str(size)).load()
+
+
+def read_pbf(spark: SparkSession, path: str, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ways) of PBF files, decoded once into Parquet in the shared folder, from which both are read."""
+    folder = f"{shared_dir(spark)}/map-{uuid.uuid4().hex}"
+    pbf_items(spark, path, size).withColumn("way", F.col("refs").isNotNull()).write.partitionBy("way").parquet(folder)
+    rows = spark.read.schema(f"{_ITEMS}, way boolean").parquet(folder)
+    return rows.filter("not way").select(F.col("id").alias("node_id"), "lat", "lon"), rows.filter("way").select("id", "refs", "tags")
