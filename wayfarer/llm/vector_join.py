@@ -18,7 +18,7 @@ FIT_ROWS, LISTS, PARTS, CODES, ROUNDS = 16_384, 1024, 8, 256, 8
 #: Vectors of a list, and vectors that look into one, that a task takes at once; more are dealt over slices.
 BLOCK, ASKING = 2048, 8192
 #: A list is looked into if the vector is no further than REACH / sqrt(dimensions) from the plane between that list and its own.
-REACH = 1.0
+REACH = 0.7
 #: Vectors of a slice that are so near to each other that all are linked are one unit, from as many on.
 UNIT = 8
 
@@ -32,6 +32,18 @@ def unit_vectors(raw: list[bytes], kind: str) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _centres(raw: list[bytes], radius: np.ndarray, kind: str) -> np.ndarray:
+    """Centres of units: a single vector's is its own bytes, a group's is in double precision."""
+    single = radius == 0
+    dim = len(raw[0]) // np.dtype(kind if single[0] else "<f8").itemsize
+    out = np.empty((len(raw), dim))
+    if single.any():
+        out[single] = unit_vectors([r for r, x in zip(raw, single, strict=True) if x], kind)
+    if not single.all():
+        out[~single] = np.frombuffer(b"".join(r for r, x in zip(raw, single, strict=True) if not x)).reshape(-1, dim)
+    return out
+
+
 def _kind(vectors: DataFrame, column: str) -> str:
     return "<f4" if dict(vectors.dtypes)[column] == "array<float>" else "<f8"
 
@@ -199,7 +211,7 @@ def _unified(model, kind: str, cosine: float):
                 probes[i], codes[i] = (np.flatnonzero(asks[k]) + lists.base).tolist(), code[k].tobytes()
         return pa.table(
             {
-                "cid": table["cid"], "uid": uid, "cell": table["cell"], "copies": table["copies"], "vec": table["vec"], "lead": lead, "centre": pa.array([c.tobytes() if x else None for c, x in zip(centre, lead, strict=True)], pa.binary()),
+                "cid": table["cid"], "uid": uid, "cell": table["cell"], "copies": table["copies"], "vec": table["vec"], "lead": lead, "centre": pa.array([(c.tobytes() if r else own) if x else None for c, r, own, x in zip(centre, radius, raw, lead, strict=True)], pa.binary()),
                 "radius": radius, "weight": weight, "probes": pa.array(probes, _MEMBER["probes"]), "codes": pa.array(codes, pa.binary()), "off": off,
             }, pa.schema(_MEMBER.items()),
         )
@@ -245,8 +257,8 @@ def _compared(model, cosine: float, kind: str):
         if not len(asking) or not len(asked):
             return _Links(np.zeros(0, np.int64)).table()
         cell = asked["home"][0].as_py()
-        x, uid = np.frombuffer(b"".join(asked["centre"].to_pylist())).reshape(len(asked), -1), asked["uid"].to_numpy()
-        rx, wx = asked["radius"].to_numpy(), asked["weight"].to_numpy()
+        uid, rx, wx = asked["uid"].to_numpy(), asked["radius"].to_numpy(), asked["weight"].to_numpy()
+        x = _centres(asked["centre"].to_pylist(), rx, kind)
         lists = model.value.get(x.shape[1] * np.dtype(kind).itemsize)
         if lists is not None:
             codes, off = np.frombuffer(b"".join(asked["codes"].to_pylist()), np.uint8).reshape(len(asked), -1), asked["off"].to_numpy()
@@ -255,8 +267,8 @@ def _compared(model, cosine: float, kind: str):
             asks[np.repeat(np.arange(len(asked)), many), asked["probes"].combine_chunks().flatten().to_numpy() - lists.base] = True
         found = _Links(uid)
         for batch in asking.to_batches(max_chunksize=512):
-            q, of = np.frombuffer(b"".join(batch["centre"].to_pylist())).reshape(batch.num_rows, -1), batch["uid"].to_numpy()
-            rq, wq, home = batch["radius"].to_numpy(), batch["weight"].to_numpy(), batch["home"].to_numpy()
+            of, rq, wq, home = batch["uid"].to_numpy(), batch["radius"].to_numpy(), batch["weight"].to_numpy(), batch["home"].to_numpy()
+            q = _centres(batch["centre"].to_pylist(), rq, kind)
             may = of[:, None] != uid
             if lists is not None:
                 # no vector that a code's cell leaves within reach is lost: a code is off by no more than ``off``
