@@ -282,8 +282,9 @@ def _judged(crf: Crf | None, texts) -> tuple[list[str], list[float]]:
     for k, text in enumerate(texts):
         lang.append(UNKNOWN)
         score.append(0.0)
-        words = words_of(text) if crf is not None and text else []
-        if words and any(w.isalpha() for w in words):
+        # a text with any letter has a label, also where its letters stand beside numerals in all words
+        if crf is not None and text and any(map(str.isalpha, text)):
+            words = words_of(text) or [text.lower()]
             ids = crf.numbers(words)
             group.append((k, crf.table()[ids]))
             size += len(words)
