@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from wayfarer.llm import mixing
 
@@ -99,6 +100,9 @@ def test_no_text_at_all(spark, tmp_path):
 def test_rows_of_one_id_and_size_keep_their_own_times(spark):
     docs = spark.createDataFrame([(1, f"{k} b c", s) for k, s in enumerate("aaaabbbbcccc")] + [(None, "x", None)] * 3, "doc_id long, text string, source string")
     got = mixing.taken(docs).collect()
+    clashing = mixing.taken(docs.withColumn("__row", F.lit("mine")).withColumn("__TAKEN", F.lit("too")).withColumn("times", F.lit(9)))
+    assert clashing.columns == [*docs.columns, "__row", "__TAKEN", "times", "_times"] and clashing.count() == len(got)
+    assert {(r["__row"], r["__TAKEN"], r.times) for r in clashing.collect()} == {("mine", "too", 9)}
     want = Counter()
     for r in mixing.mix(docs).collect():
         want[r.source_size] += r.taken

@@ -18,7 +18,7 @@ def table(spark, rows, schema="doc_id long, text string, source string"):
 
 def with_clashes(df):
     """The same rows with columns named like an operator's own."""
-    return df.withColumns({c: F.lit(0) for c in ("n", "size", "hits", "items", "key", "gram", "cid", "root", "row", "spans", "score", "h", "bucket", "ends", "__id")})
+    return df.withColumns({c: F.lit(0) for c in ("n", "size", "hits", "items", "key", "gram", "cid", "root", "row", "spans", "score", "h", "bucket", "ends", "__id", "__n", "__k1", "__K2", "__a", "__row", "__bad", "__taken")})
 
 
 # decontamination
@@ -182,6 +182,8 @@ def test_language(spark):
     words = model.label_words("the dog and the cat der hund und die katze")
     assert [x for _, x, _ in words] == ["en"] * 5 + ["de"] * 5
     assert sorted(r.doc_id or 0 for r in langid.in_language(with_clashes(odd), model, 0.35).collect()) == [0, 4, 4, 5]
+    beside = table(spark, [(1, "m² x²"), (2, "2x³"), (3, "² 3 _"), (4, "ª")], "doc_id long, text string")  # letters beside numerals are letters
+    assert {r.doc_id: r.lang_pred in ("de", "en") for r in langid.identify(beside, model).collect()} == {1: True, 2: True, 3: False, 4: True}
     assert langid.train(docs.limit(0)) is None
     assert {r.lang_pred for r in langid.identify(odd, None).collect()} == {"und"}
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wayfarer.functions.session import cut, shared_dir
 
-__all__ = ["BATCH_ROWS", "SMALL_ROWS", "Tables", "bounded", "cut", "known", "release", "shared_dir", "small", "utf8", "values", "with_ids"]
+__all__ = ["BATCH_ROWS", "SMALL_ROWS", "Tables", "bounded", "cut", "known", "release", "shared_dir", "small", "unused", "utf8", "values", "with_ids"]
 
 
 def utf8(column: str = "text"):
@@ -56,6 +56,17 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it while it is a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def values(column):
     """The values of an Arrow column one by one: a batch's texts are never all Python objects at once."""
     return (v.as_py() for v in column)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import bounded, cut, small, utf8, values
+from wayfarer.llm.common import bounded, cut, small, unused, utf8, values
 
 #: Bytes of a word: digits, lower-case letters and all of a non-ASCII character; A-Z become a-z, the rest white space.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -164,13 +164,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFram
     blocks = list(_blocks(benchmark))
     if len(blocks) == 1:
         return _without_hits(docs, blocks[0], width)
-    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows, bad = keyed.select(F.col("__row").alias("row"), "doc_id", utf8().alias("text")), None
+    row, other = unused(docs, "__row", "__bad")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows, bad = keyed.select(F.col(row).alias("row"), "doc_id", utf8().alias("text")), None
     for block in blocks:
-        part = _scan_block(rows, block, width, False).filter(F.size("hits") > 0).select(F.col("row").alias("__bad"))
+        part = _scan_block(rows, block, width, False).filter(F.size("hits") > 0).select(F.col("row").alias(other))
         bad = part if bad is None else bad.unionByName(part)
     bad = small(bad.distinct())
-    return keyed.join(bad, keyed["__row"] == bad["__bad"], "left_anti").drop("__row")
+    return keyed.join(bad, keyed[row] == bad[other], "left_anti").drop(row)
 
 
 def _without_hits(docs: DataFrame, block, width: int) -> DataFrame:

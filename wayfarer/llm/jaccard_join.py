@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wayfarer.llm.common import Tables, bounded, cut, known, release, small, utf8, values, with_ids
+from wayfarer.llm.common import Tables, bounded, cut, known, release, small, unused, utf8, values, with_ids
 from wayfarer.operators import graph
 
 #: Fragments of the n-gram order: quarters by hash of the rare n-grams, then of the common ones; those counted first.
@@ -334,11 +334,10 @@ def near_duplicates(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def _with_set(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with its texts' sets: ``__n`` shingles and the keys ``__k1`` and ``__k2``."""
+def _with_set(docs: DataFrame, n: int, names: list[str]) -> DataFrame:
+    """``docs`` with its texts' sets under three names: the number of shingles and the two keys."""
     bounded(docs)
     place = docs.columns.index("text")
-    names = ["__n", "__k1", "__k2"]
 
     def run(batches):
         for batch in batches:
@@ -363,15 +362,16 @@ def one_of_each(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     named = named.join(first, "cid", "left").select("k1", "k2", "least", F.coalesce("stands", F.lit(False)).alias("stands"))
     judged = rows.filter("n > 0").groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("rows")).join(named, ["k1", "k2"])
     judged = cut(judged.select("k1", "k2", "doc_id", "rows", (F.col("stands") & F.col("doc_id").eqNullSafe(F.col("least"))).alias("stays")))
-    keys = ["__k1", "__k2", "doc_id"]
-    all_ = _with_set(docs, n)
+    size, k1, k2, a, b, c = unused(docs, "__n", "__k1", "__k2", "__a", "__b", "__c")
+    keys = [k1, k2, "doc_id"]
+    all_ = _with_set(docs, n, [size, k1, k2])
 
     def met(df, found, how):
-        found = small(found.select(F.col("k1").alias("__a"), F.col("k2").alias("__b"), F.col("doc_id").alias("__c")))
-        return df.join(found, (df["__k1"] == found["__a"]) & (df["__k2"] == found["__b"]) & df["doc_id"].eqNullSafe(found["__c"]), how)
+        found = small(found.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("doc_id").alias(c)))
+        return df.join(found, (df[k1] == found[a]) & (df[k2] == found[b]) & df["doc_id"].eqNullSafe(found[c]), how)
 
     kept = met(all_, judged.filter("not stays"), "left_anti")
     twice = judged.filter("stays and rows > 1")
     if twice.limit(1).count():  # equal ids and sets: any one of them
         kept = met(kept, twice, "left_anti").unionByName(met(kept, twice, "left_semi").dropDuplicates(keys))
-    return kept.drop("__n", "__k1", "__k2")
+    return kept.drop(size, k1, k2)

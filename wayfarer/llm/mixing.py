@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import Tables, cut, small
+from wayfarer.llm.common import Tables, cut, small, unused
 
 #: A source's weight by its place among the sources in code point order, null last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -105,12 +105,11 @@ def taken(docs: DataFrame, name: str = "times", **settings) -> DataFrame:
     Rows are told by a key of their own, with which the texts are written once: rows that share an id, or lack one, are each
     judged by themselves.
     """
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = f"_{name}"
-    keyed = Tables(docs.sparkSession).write("keyed", docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = mix(keyed, carry=("__row",), **settings).filter(F.col("taken") > 0)
-    found = small(found.select(F.col("__row").alias("__taken"), (F.col("taken") / F.col("size")).cast("int").alias(name)))
-    return keyed.join(found, keyed["__row"] == found["__taken"]).drop("__row", "__taken")
+    name, row, other = unused(docs, name, "__row", "__taken")
+    keyed = Tables(docs.sparkSession).write("keyed", docs.withColumn(row, F.monotonically_increasing_id()))
+    found = mix(keyed, carry=(row,), **settings).filter(F.col("taken") > 0)
+    found = small(found.select(F.col(row).alias(other), (F.col("taken") / F.col("size")).cast("int").alias(name)))
+    return keyed.join(found, keyed[row] == found[other]).drop(row, other)
 
 
 def cutoff(passes: DataFrame, budget: float) -> float:
