@@ -1,8 +1,13 @@
+import os
 import random
+import threading
 
 import pytest
+from pyspark import InheritableThread
 
+from wayfarer.functions.session import shared_dir
 from wayfarer.operators import paths, routing, timetable
+from wayfarer.plans.engine import cancel, cancellable, progress
 
 GOLDEN_TRIPS = {1: [(0, 28920), (1, 29100), (2, 29400)], 2: [(0, 29220), (1, 29400)], 3: [(1, 29220), (2, 29340)]}
 GOLDEN_FOOT = [(s, s, 0) for s in range(3)]
@@ -133,3 +138,60 @@ def test_split_windows_cover_the_window():
     assert len(parts) == 8 and parts[0].window_start == 0 and parts[-1].window_end == 7199
     assert all(a.window_end + 1 == b.window_start for a, b in zip(parts, parts[1:], strict=False))
     assert len(routing.split_window(routing.Query(1, 0, 600), 8)) == 1
+
+
+def test_a_running_search_is_cancelled_and_leaves_nothing(spark):
+    trips = {t: [(k, 100 * k + t, 100 * k + t) for k in range(8)] for t in range(50)}
+    foot, queries = [(k, k, 0) for k in range(8)], [routing.Query(1, 0, 500, 0, 2000)]
+    begun, failed, seen = threading.Event(), [], []
+
+    def run():
+        with cancellable(spark, "to-cancel"):
+            try:
+                rows = [(t, k, *x) for t, stops in trips.items() for k, x in enumerate(stops)]
+                st = timetable.boardable_rows(spark.createDataFrame(rows, "trip_id long, seq int, stop_id long, arr int, dep int"))
+                access = spark.createDataFrame([(1, 0, 0)], "query_id long, stop_id long, w int")
+                routing.search(routing.events_of(st, routing.query_table(spark, queries)), access, spark.createDataFrame(foot, "a long, b long, w int"), lambda *x: (seen.append(x), begun.set()))
+            except Exception as e:
+                failed.append(e)
+
+    thread = InheritableThread(target=run)
+    thread.start()
+    assert begun.wait(120)
+    while thread.is_alive():
+        done, total = progress(spark, "to-cancel")
+        assert 0 <= done <= total
+        cancel(spark, "to-cancel")
+        thread.join(0.02)
+    assert failed and seen
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("search_")]
+    assert not [x for x in os.listdir(shared_dir(spark)) if x.startswith("search_")]
+
+
+def test_rounds_leave_the_tables_where_they_are(spark, monkeypatch):
+    """The plan of a round: what is shuffled is who is ready at stops and the rows that this may raise, never the timetable or the log."""
+    plans, add = [], routing._Buckets.add
+
+    def watched(self, name, rows, keys, order, *, deal=True):
+        if not deal:
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return add(self, name, rows, keys, order, deal=deal)
+
+    monkeypatch.setattr(routing._Buckets, "add", watched)
+    risen = []
+    trips = {t: [(s, x, x) for s, x in v] for t, v in GOLDEN_TRIPS.items()}
+    rows = [(t, k, *x) for t, stops in trips.items() for k, x in enumerate(stops)]
+    st = timetable.boardable_rows(spark.createDataFrame(rows, "trip_id long, seq int, stop_id long, arr int, dep int"))
+    access = spark.createDataFrame([(1, 0, 60)], "query_id long, stop_id long, w int")
+    feet = spark.createDataFrame(GOLDEN_FOOT, "a long, b long, w int")
+    routing.search(routing.events_of(st, routing.query_table(spark, [routing.Query(1, 28800, 29400, 60, 900)])), access, feet, lambda *x: risen.append(x))
+    assert plans and risen and risen[-1][2] == sum(n for _, n, _ in risen)
+    for plan in plans:
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Bucketed: true") >= 3 and "SortMergeJoin" not in plan
+
+
+def test_departures_of_frequencies_come_in_order(spark):
+    st = spark.createDataFrame([(1, 0, 5, 0, 0), (1, 1, 6, 60, 60), (2, 0, 6, 0, 0), (2, 1, 7, 30, 30)], "trip_id long, seq int, stop_id long, arr int, dep int")
+    freq = spark.createDataFrame([(1, 0, 600, 70), (2, 0, 600, 110)], "trip_id long, start_time int, end_time int, headway int")
+    got = [(r.board, r.trip_id, r.leg) for r in timetable.departures_by_time(timetable.frequency_legs(st, freq)).collect()]
+    assert got == sorted(got) and len(got) == 15

@@ -12,7 +12,7 @@ import pytest
 from wayfarer.functions.texts import cache_name
 from wayfarer.operators import routing, timetable
 from wayfarer.plans import build, refresh
-from wayfarer.plans.catalog import Catalog, file_sizes
+from wayfarer.plans.catalog import Catalog, file_sizes, load_report
 from wayfarer.plans.engine import Engine, cancellable
 from wayfarer.sources import config, gtfs, osm, remote
 
@@ -66,6 +66,9 @@ def test_city_build_and_catalog(spark, feed_dir, tmp_path):
     legs = {(r.from_stop, r.to_stop): len(r.points) for r in city.leg_shapes.collect()}
     assert legs == {(0, 1): 3, (1, 2): 3}
     assert {r.name for r in file_sizes(spark, str(tmp_path / "city")).collect()} >= {"nodes", "edges"}
+    report = {r.name: r for r in load_report(spark, str(tmp_path / "city")).collect()}
+    assert report["stop_times"].rows == 5 and report["stops"].rows == 3 and all(r.bytes > 0 and r.seconds >= 0 for r in report.values())
+    assert 99 < sum(r.percent for r in report.values()) <= 100.5
     city.views("c_")
     assert spark.sql("select count(*) from c_stops").first()[0] == 3
     state = timetable.boardable_rows(city.stop_times)
@@ -93,6 +96,14 @@ def ask_the_city(spark, city):
     lines = {r.ride_id: r.points for r in engine.lines(answer, goal).collect()}
     assert lines.keys() == rides.keys() and all(len(p) >= rides[k] + 1 >= 2 for k, p in lines.items())
     assert all(r.arrival > r.home_dep for r in engine.walking(answer, goal).collect())
+    assert [(r.query_id, r.home_dep) for r in best] == sorted((r.query_id, r.home_dep) for r in best)
+    drawn = engine.drawn(answer, goal).orderBy("query_id", "home_dep", "arrival", "n").collect()
+    at = {r.node_id: (r.lat, r.lon) for r in city.nodes.collect()}
+    for a, b in zip([None, *drawn], [*drawn, None], strict=True):
+        same = a and b and (a.query_id, a.home_dep, a.arrival) == (b.query_id, b.home_dep, b.arrival)
+        assert (a.to_lat, a.to_lon) == (b.from_lat, b.from_lon) if same else True
+        assert same or ((not a or (a.to_lat, a.to_lon) == at[goal]) and (not b or (b.from_lat, b.from_lon) == at[home]))
+    assert drawn and all(r.duration == r.end_time - r.start_time >= 0 for r in drawn)
     # several dates in one search, of which the middle one, a Sunday, has no service
     dates = (20260605, 20260607, 20260612)
     both = engine.ask([routing.Query(k, 21600, 30000, 0, 1200, source=home, date=d) for k, d in enumerate(dates)])

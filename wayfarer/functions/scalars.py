@@ -106,6 +106,15 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(seconds / 3600), F.floor(seconds % 3600 / 60))
 
 
+def snapped(value: Column, step: int, least: int, most: int) -> Column:
+    """A slider's value: the nearest step (halves go up) within its ends."""
+    return F.least(F.lit(most), F.greatest(F.lit(least), (half_up(value / F.lit(float(step))) * step).cast("int")))
+
+
+#: Steps and ends of a question's values, in seconds: its window's ends, its time budget, the time to change.
+SLIDERS = {"window": (300, 0, 27 * 3600), "max_time": (300, 600, 180 * 60), "slack": (15, 0, 300)}
+
+
 def minutes_seconds(seconds: Column) -> Column:
     """M:SS."""
     return F.format_string("%d:%02d", F.floor(seconds / 60), (seconds % 60).cast("long"))

@@ -56,6 +56,20 @@ def segments(rides: DataFrame) -> DataFrame:
     return rows.withColumn("wait_time", wait.cast("int")).withColumn("n", F.row_number().over(own))
 
 
+def placed(parts: DataFrame, stops: DataFrame, nodes: DataFrame, homes: DataFrame) -> DataFrame:
+    """Segments with ``duration`` and the coordinates of both ends: those of stops, of the home (query_id, lat, lon) where a journey begins on foot, of the node where it ends so."""
+    at = lambda df, key, name, tag: df.select(F.col(key).alias(name), F.col("lat").alias(f"{tag}_lat"), F.col("lon").alias(f"{tag}_lon"))
+    rows = parts.join(at(stops, "stop_id", "from_stop", "a"), "from_stop", "left").join(at(stops, "stop_id", "to_stop", "b"), "to_stop", "left")
+    rows = rows.join(at(nodes, "node_id", "node_id", "goal"), "node_id", "left").join(F.broadcast(at(homes, "query_id", "query_id", "home")), "query_id", "left")
+    ends = [F.coalesce(f"{mine}_{c}", f"{other}_{c}").alias(f"{name}_{c}") for name, mine, other in (("from", "a", "home"), ("to", "b", "goal")) for c in ("lat", "lon")]
+    return rows.select(*parts.columns, (F.col("end_time") - F.col("start_time")).alias("duration"), *ends)
+
+
+def walk_minimum(walks: DataFrame) -> DataFrame:
+    """node_id, walk: the least that walking all the way takes from any of the homes asked."""
+    return walks.groupBy("node_id").agg(F.min("w").alias("walk"))
+
+
 def journeys(parts: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame:
     """query_id, node_id, home_dep, arrival, total_time, rides, dominant_route, view: one row a journey with its segments as an array and as JSON.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfarer.functions.scalars import clock, half_up
+
 
 def tips(front: DataFrame) -> DataFrame:
     """query_id, node_id, tip_x, tip_y, left: each journey's last departure and its time, and where its tooth begins."""
@@ -79,3 +81,9 @@ def title(mean: Column, fraction: Column) -> Column:
     share = F.round(fraction * 100).cast("int")
     minutes = F.concat(F.lit("Avg "), F.floor((mean + 30) / 60).cast("string"), F.lit(" min"))
     return F.when(mean.isNull(), "Unreachable").when(share < 100, F.concat(minutes, F.lit(" ("), share.cast("string"), F.lit("% reachable)"))).otherwise(minutes)
+
+
+def trip_title(total: Column, departure: Column) -> Column:
+    """Heading of a chosen journey: its whole minutes (halves up) and its departure, or that there is none."""
+    minutes = half_up(total / F.lit(60.0)).cast("string")
+    return F.when(total.isNull(), "Unreachable").otherwise(F.concat(F.lit("Travel time: "), minutes, F.lit(" min  (depart "), clock(departure), F.lit(")")))

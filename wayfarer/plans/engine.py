@@ -21,12 +21,29 @@ def _base():
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
-    """Jobs inside carry ``tag``; ``spark.interruptTag(tag)`` from another thread ends them."""
-    spark.addTag(tag)
+    """Jobs inside carry ``tag``, by which ``cancel`` ends them and ``progress`` counts their tasks, both from another thread."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Ends the jobs that carry ``tag`` just now; who waits for them gets an error, and a search drops its tables then."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
+def progress(spark: SparkSession, tag: str) -> tuple[int, int]:
+    """(tasks done, tasks) of the stages that jobs with ``tag`` are at just now."""
+    status, done, total = spark.sparkContext.statusTracker(), 0, 0
+    for job in spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(tag):
+        found = status.getJobInfo(job)
+        for stage in found.stageIds if found and found.status == "RUNNING" else ():
+            if info := status.getStageInfo(stage):
+                done, total = done + info.numCompletedTasks, total + info.numTasks
+    return done, total
 
 
 @dataclass(frozen=True)
@@ -107,7 +124,13 @@ class Engine:
         return paths.segments(self.rides(answer, node))
 
     def journeys(self, answer: Answer, node: int) -> DataFrame:
-        return paths.journeys(self.segments(answer, node), self.city.stops, self.city.routes)
+        """Every best journey to a node, by query, departure and arrival."""
+        return paths.journeys(self.segments(answer, node), self.city.stops, self.city.routes).orderBy("query_id", "home_dep", "arrival")
+
+    def drawn(self, answer: Answer, node: int) -> DataFrame:
+        """The segments of every best journey to a node with their durations and the coordinates of both ends."""
+        homes = answer.queries.join(self.city.nodes.withColumnRenamed("node_id", "source"), "source").select("query_id", "lat", "lon")
+        return paths.placed(self.segments(answer, node), self.city.stops, self.city.nodes, homes)
 
     def walking(self, answer: Answer, node: int) -> DataFrame:
         """query_id, home_dep, arrival of walking all the way, once a query."""

@@ -563,12 +563,12 @@ _PARAMS = "qs(query_id, ws, we, slack, mt, source) AS (VALUES {rows})"
 _RUNS = "runs AS (SELECT DISTINCT trip_id, d FROM trips JOIN services USING (service_id), qs WHERE NOT list_contains(removes, d) AND (list_contains(adds, d) OR ((mask >> (isodow(strptime(CAST(d AS VARCHAR), '%Y%m%d')) - 1)) & 1 = 1 AND start_date <= d AND end_date >= d)))"
 
 
-def _route_sql(asked, tail: str, *more: str, rows_sql: tuple[str, ...] = _FIXED) -> str:
+def _route_sql(asked, tail: str, *more: str, rows_sql: tuple[str, ...] = _FIXED, tables: str = "") -> str:
     dated = asked[0].date is not None
     rows = ", ".join(f"({q.query_id}, {q.window_start}, {q.window_end}, {q.slack}, {q.max_time}, {q.source}{f', {q.date}' if dated else ''})" for q in asked)
     on_date = " AND EXISTS (FROM runs WHERE runs.trip_id = stl.trip_id AND runs.d = qs.d)" if dated else ""
     return W(
-        f"stops st{' freq' if rows_sql is _MIXED else ''}{' trips services' if dated else ''}",
+        f"stops st{' freq' if rows_sql is _MIXED else ''}{' trips services' if dated else ''} {tables}",
         _PARAMS.format(rows=rows).replace("source)", "source, d)" if dated else "source)"),
         *([_RUNS] if dated else []),
         "sn AS (SELECT count(*) AS n FROM supplier)",
@@ -813,6 +813,37 @@ def path_totals(spark, sf):
     return _journeys(spark, sf).select("node_id", "home_dep", "arrival", "total_time", series.total_text(F.col("total_time")).alias("total"))
 
 
+@query(_route_sql([QUERY], "SELECT fr.node_id, home_dep, arrival, h.lat AS from_lat, h.lon AS from_lon, g.lat AS to_lat, g.lon AS to_lon FROM fr JOIN nodes g ON g.node_id = fr.node_id JOIN nodes h ON h.node_id = 0 WHERE fr.node_id < 1000000", *_FRONT, tables="nodes"))
+def journey_ends(spark, sf):
+    """Where each journey begins and ends on the map, if its segments' coordinates join."""
+    _, found = _traced(spark, sf)
+    nodes = N.nodes(spark, sf)
+    homes = nodes.filter("node_id = 0").select(F.lit(QUERY.query_id).cast("long").alias("query_id"), "lat", "lon")
+    parts = paths.placed(paths.segments(found), N.stops(spark, sf), nodes, homes)
+    own = Window.partitionBy("query_id", "node_id", "home_dep", "arrival").orderBy("n")
+    joins = F.lag(F.struct("to_lat", "to_lon")).over(own) == F.struct("from_lat", "from_lon")
+    ends = parts.withColumn("joins", F.coalesce(joins, F.lit(True))).groupBy("query_id", "node_id", "home_dep", "arrival").agg(F.bool_and("joins").alias("joined"), F.min(F.struct("n", "from_lat", "from_lon")).alias("a"), F.max(F.struct("n", "to_lat", "to_lon")).alias("b"))
+    return ends.filter("joined").select("node_id", "home_dep", "arrival", "a.from_lat", "a.from_lon", "b.to_lat", "b.to_lon")
+
+
+@query(_route_sql([QUERY], "SELECT node_id, home_dep, arrival, 'Travel time: ' || CAST(floor((arrival - home_dep) / 60.0 + 0.5) AS INTEGER) || ' min  (depart ' || printf('%02d:%02d', CAST(home_dep // 3600 AS INTEGER), CAST(home_dep % 3600 // 60 AS INTEGER)) || ')' AS title FROM fr", *_FRONT))
+def trip_titles(spark, sf):
+    """The heading of each journey that a chart lets one choose."""
+    return profile_frontier(spark, sf).select("node_id", "home_dep", "arrival", series.trip_title(F.col("arrival") - F.col("home_dep"), F.col("home_dep")).alias("title"))
+
+
+@query(_route_sql(BATCH, "SELECT node_id, min(w) AS walk FROM walk GROUP BY 1"))
+def walk_minimum(spark, sf):
+    """The least walk to each place that any of the batch's homes can walk to."""
+    return paths.walk_minimum(home_walks(spark, sf, routing.query_table(spark, BATCH)))
+
+
+@query(W("st") + "SELECT trip_id, seq, " + ", ".join(f"CAST(least({most}, greatest({least}, floor(dep / {step}.0 + 0.5) * {step})) AS INTEGER) AS {name}" for name, (step, least, most) in X.SLIDERS.items()) + " FROM st")
+def snapped_values(spark, sf):
+    """Departures as values of the three sliders."""
+    return N.stop_times(spark, sf).select("trip_id", "seq", *[X.snapped(F.col("dep"), *ends).alias(name) for name, ends in X.SLIDERS.items()])
+
+
 @query()
 def path_display(spark, sf):
     """Each journey's lines, dominant route and JSON view."""
