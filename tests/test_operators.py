@@ -1,3 +1,4 @@
+import collections
 import datetime
 import math
 import random
@@ -203,3 +204,40 @@ def test_days_of_services_over_several_words(spark):
         days = calendar.service_days(services, dates, strict_dates=strict)
         got = {k: {r.service_id for r in days.filter(calendar.runs_on("days", F.lit(k))).collect()} for k in (0, 3, 4, 59, 60, 61, 119, 120, 129)}
         assert got == {k: {r.service_id for r in calendar.active_services(services, dates[k], strict_dates=strict).collect()} for k in got}
+
+
+def plain_prune(edges, stops):
+    while True:
+        degree = collections.Counter(x for e in edges for x in e)
+        kept = [(u, v) for u, v in edges if not any(degree[x] == 1 and x not in stops for x in (u, v))]
+        if len(kept) == len(edges):
+            return sorted(kept)
+        edges = kept
+
+
+def pruned(spark, edges, stops):
+    e, s = frame(spark, edges, "u long, v long"), frame(spark, [(x,) for x in stops], "node_id long")
+    return sorted((r.u, r.v) for r in graph.prune_leaves(e, s).collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaves_of_trees_rings_and_chains(spark, monkeypatch, seed):
+    """Trees hung on rings and on each other, with stops in them, loops and parallel edges, chains contracted after every layer."""
+    monkeypatch.setattr(graph, "RAKES", 1)
+    r = random.Random(seed)
+    edges = [(k, (k + 1) % 6) for k in range(6)] + [(100 + k, 100 + (k + 1) % 3) for k in range(3)] + [(5, 200), (200, 201), (201, 100), (300, 300), (301, 302), (301, 302), (302, 303)]
+    nodes = [x for e in edges for x in e]
+    for k in range(1000, 1120):
+        edges.append((r.choice([nodes[-1], r.choice(nodes)]), k))
+        nodes.append(k)
+    stops = r.sample(nodes, 6)
+    assert pruned(spark, edges, stops) == plain_prune(edges, set(stops))
+
+
+def test_a_long_dead_end_takes_few_rounds(spark, monkeypatch):
+    rounds, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    ring = [(0, 1), (1, 2), (2, 0)]
+    edges = ring + [(k, k + 1) for k in range(2, 10_002)] + [(2, 20_000), (20_000, 20_001)]
+    assert pruned(spark, edges, [20_001]) == sorted([*ring, (2, 20_000), (20_000, 20_001)])
+    assert len(rounds) < 60

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -99,16 +100,52 @@ def reachable(edges: DataFrame, stops: DataFrame) -> DataFrame:
     return edges.join(of.join(served, "component", "left_semi").select(F.col("node_id").alias("u")), "u", "left_semi")
 
 
+#: Layers of leaves that are taken off before chains are contracted.
+RAKES = 4
+
+
+def _raked(links: DataFrame, stops: DataFrame) -> DataFrame:
+    """Links none of whose ends has it alone, but for stops."""
+    leaves = cut(degrees(links).filter("degree = 1").join(stops.select("node_id"), "node_id", "left_anti").select("node_id"))
+    kept = links.join(leaves.select(F.col("node_id").alias("u")), "u", "left_anti").join(leaves.select(F.col("node_id").alias("v")), "v", "left_anti")
+    return cut(kept.select("link", "u", "v"))
+
+
+def _contracted(links: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with each chain of nodes with two links, none of them a stop, as one; link, into: which one a chain's links became)."""
+    inner = cut(degrees(links).filter("degree = 2").join(stops.select("node_id"), "node_id", "left_anti").select("node_id"))
+    mark = lambda df, end: df.join(inner.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_in")), end, "left")
+    marked = mark(mark(links, "u"), "v").select("link", "u", "v", F.coalesce("u_in", F.lit(False)).alias("u_in"), F.coalesce("v_in", F.lit(False)).alias("v_in")).filter("u_in or v_in")
+    marked = cut(marked)
+    chain = components(marked.filter("u_in and v_in").select("u", "v"))
+    of = cut(inner.join(chain, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("chain")))
+    member = marked.select("link", "u_in", F.when(F.col("u_in"), F.col("u")).otherwise(F.col("v")).alias("node_id"), F.when(F.col("u_in") & F.col("v_in"), F.lit(None)).when(F.col("u_in"), F.col("v")).otherwise(F.col("u")).alias("anchor")).join(of, "node_id")
+    made = member.groupBy("chain").agg(F.min("link").alias("into"), F.min("anchor").alias("u"), F.max("anchor").alias("v"), F.count("anchor").alias("ends")).filter("ends = 2")  # a ring has none and stays
+    into = cut(member.join(made, "chain").select("link", "into", "u", "v"))
+    kept = links.join(into.select("link"), "link", "left_anti").select("link", "u", "v")
+    return cut(kept.unionByName(into.select(F.col("into").alias("link"), "u", "v").distinct())), into.select("link", "into")
+
+
 def prune_leaves(edges: DataFrame, stops: DataFrame) -> DataFrame:
-    """Edges without dead ends: nodes with one edge that are no stop go, again and again."""
-    edges = cut(edges)
-    while True:
-        leaves = degrees(edges).filter("degree = 1").join(stops.select("node_id"), "node_id", "left_anti").select("node_id")
-        kept = edges.join(leaves.select(F.col("node_id").alias("u")), "u", "left_anti").join(leaves.select(F.col("node_id").alias("v")), "v", "left_anti").select(*edges.columns)
-        kept = cut(kept)
-        if kept.count() == edges.count():
-            return kept
-        edges = kept
+    """Edges without dead ends: nodes with one edge that are no stop go, again and again.
+
+    A few layers are taken off, then each chain of nodes with two links becomes one link, which goes as one when an end of it
+    does: so a dead end takes about the logarithm of its length in rounds, however it branches. At last the edges whose link is left stay.
+    """
+    edges = cut(edges.withColumn("link", F.monotonically_increasing_id()))
+    links, of, before = edges.select("link", "u", "v"), None, edges.count()
+    for layer in itertools.count(1):
+        links = _raked(links, stops)
+        if (now := links.count()) == before:
+            break
+        before = now
+        if layer % RAKES == 0 and now:
+            links, into = _contracted(links, stops)
+            own = edges.select("link", F.col("link").alias("at")) if of is None else of
+            of = cut(own.join(into.select(F.col("link").alias("at"), "into"), "at", "left").select("link", F.coalesce("into", "at").alias("at")))
+            before = links.count()
+    stays = links.select("link") if of is None else of.join(links.select(F.col("link").alias("at")), "at", "left_semi").select("link")
+    return edges.join(stays, "link", "left_semi").drop("link")
 
 
 def collapse_chains(edges: DataFrame, stops: DataFrame) -> DataFrame:
