@@ -241,3 +241,36 @@ def test_a_long_dead_end_takes_few_rounds(spark, monkeypatch):
     edges = ring + [(k, k + 1) for k in range(2, 10_002)] + [(2, 20_000), (20_000, 20_001)]
     assert pruned(spark, edges, [20_001]) == sorted([*ring, (2, 20_000), (20_000, 20_001)])
     assert len(rounds) < 60
+
+
+@pytest.mark.parametrize("limit", [3, 5000])
+def test_full_cells_and_long_edges(spark, monkeypatch, limit):
+    """Many nodes in one cell, and edges over hundreds of cells, against all pairs."""
+    monkeypatch.setattr(spatial, "CELL_ROWS", limit)
+    r = random.Random(4)
+    nodes = [(k, 41.0 + r.random() * (0.004 if k < 60 else 0.3), -87.0 + r.random() * (0.004 if k < 60 else 0.3)) for k in range(90)]
+    points = [(k, 41.0 + r.random() * 0.3, -87.0 + r.random() * 0.3) for k in range(40)] + [(100 + k, 41.002, -86.998) for k in range(3)]
+    near = {x.point_id: x for x in spatial.nearest_nodes(frame(spark, points, "point_id long, lat double, lon double"), frame(spark, nodes, "node_id long, lat double, lon double")).collect()}
+    metres = lambda a, b, c, d: 6371000.0 * math.hypot(math.radians(d - b) * math.cos(math.radians(a)), math.radians(c - a))
+    for i, lat, lon in points:
+        dist, node = min((metres(lat, lon, y, x), n) for n, y, x in nodes)
+        assert near[i].node_id == node if dist < 400 else i not in near or near[i].dist >= dist - 1e-6
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(60)]
+    edges = sorted({(min(e), max(e)) for e in edges if e[0] != e[1]})
+    stops = [(k, 41.0 + r.random() * 0.3, -87.0 + r.random() * 0.3) for k in range(60)]
+    found = {x.stop_id: (x.u, x.v) for x in spatial.snap(frame(spark, stops, "stop_id long, lat double, lon double"), frame(spark, edges, "u long, v long"), frame(spark, nodes, "node_id long, lat double, lon double")).collect()}
+    place = {n: (y, x) for n, y, x in nodes}
+    mid = math.cos(math.radians((min(s[1] for s in stops) + max(s[1] for s in stops)) / 2))
+
+    def off(lat, lon, e):
+        (uy, ux), (vy, vx) = place[e[0]], place[e[1]]
+        dy, dx, py, px = vy - uy, (vx - ux) * mid, lat - uy, (lon - ux) * mid
+        t = max(0.0, min(1.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+        y, x = uy + t * (vy - uy), ux + t * (vx - ux)
+        h = math.sin(math.radians(y - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(y)) * math.sin(math.radians(x - lon) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(math.sqrt(h))
+
+    want = {i: min((off(lat, lon, e), e) for e in edges) for i, lat, lon in stops}
+    assert found == {i: e for i, (d, e) in want.items() if d <= 400} and found
+    whole = frame(spark, [(0, 1, 41.0, -87.0, 42.0, -86.0)], "u long, v long, ulat double, ulon double, vlat double, vlon double")
+    assert spatial._along_cells(whole).count() < 1000

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfarer.functions import geo
+from wayfarer.functions.session import cut
 
 #: Metres from a street beyond which a stop is dropped.
 SNAP_METRES = 400.0
@@ -13,6 +14,36 @@ SNAP_METRES = 400.0
 VIRTUAL_IDS = 1 << 52
 
 
+#: Rows of a cell up to which one task has them all; fuller cells are dealt over slices.
+CELL_ROWS = 5000
+
+
+def _in_cells(asked: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """The join of two tables on their cells (y, x). Rows ``listed`` in a full cell are dealt over slices by ``key``, and who asks there asks each slice.
+
+    Full cells are at most one for each CELL_ROWS rows, so they are broadcast.
+    """
+    full = listed.groupBy("y", "x").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS).select("y", "x", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("slices"))
+    full = F.broadcast(cut(full))
+    slices = F.coalesce("slices", F.lit(1))
+    own = listed.join(full, ["y", "x"], "left").withColumn("slice", F.pmod(F.xxhash64(key), slices).cast("int")).drop("slices")
+    each = asked.join(full, ["y", "x"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
+    return each.join(own, ["y", "x", "slice"]).drop("slice")
+
+
+def _along_cells(edges: DataFrame) -> DataFrame:
+    """Edges (ulat, ulon, vlat, vlon), once for each cell (y, x) that their line passes: as many as its length, not its box."""
+    y1, _ = geo.cell(F.col("ulat"), F.col("ulon"))
+    y2, _ = geo.cell(F.col("vlat"), F.col("vlon"))
+    rows = edges.withColumn("y", F.explode(F.sequence(F.least(y1, y2), F.greatest(y1, y2))))
+    rise = F.col("vlat") - F.col("ulat")
+    at = lambda row: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(rise != 0, (row * F.lit(geo.CELL_LAT) - F.col("ulat")) / rise).otherwise(F.lit(1.0))))
+    first, last = F.when(rise != 0, at(F.col("y"))).otherwise(F.lit(0.0)), at(F.col("y") + 1)
+    column = lambda t: geo.cell(F.col("ulat"), geo.between(F.col("ulon"), F.col("vlon"), t))[1]
+    rows = rows.withColumn("a", column(first)).withColumn("b", column(last))
+    return rows.withColumn("x", F.explode(F.sequence(F.least("a", "b"), F.greatest("a", "b")))).drop("a", "b")
+
+
 def with_cell(rows: DataFrame) -> DataFrame:
     y, x = geo.cell(F.col("lat"), F.col("lon"))
     return rows.withColumn("y", y).withColumn("x", x)
@@ -23,7 +54,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
     at = with_cell(points.select("point_id", "lat", "lon"))
     asked = at.select("point_id", "lat", "lon", F.explode(geo.around(F.col("y"), F.col("x"))).alias("c")).select("point_id", "lat", "lon", F.col("c.y").alias("y"), F.col("c.x").alias("x"))
     known = with_cell(nodes.select("node_id", F.col("lat").alias("nlat"), F.col("lon").alias("nlon")).withColumns({"lat": F.col("nlat"), "lon": F.col("nlon")})).select("node_id", "nlat", "nlon", "y", "x")
-    met = asked.join(known, ["y", "x"])
+    met = _in_cells(asked, known, "node_id")
     dy = F.radians(F.col("nlat") - F.col("lat"))
     dx = F.radians(F.col("nlon") - F.col("lon")) * F.cos(F.radians("lat"))
     dist = F.lit(geo.EARTH_RADIUS) * F.sqrt(dx * dx + dy * dy)
@@ -34,18 +65,16 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
 def snap(stops: DataFrame, edges: DataFrame, nodes: DataFrame, *, within: float = SNAP_METRES) -> DataFrame:
     """stop_id, u, v, t, dist: the street edge nearest to each stop, and the place on it from 0 at u to 1 at v.
 
-    Edges are listed in every cell their box touches, stops ask the 3 x 3 cells around theirs. Distances are great-circle
+    Edges are listed in every cell that their line passes, stops ask the 3 x 3 cells around theirs, so ``within`` is a cell's
+    width at most. Distances are great-circle
     metres to the projected point; of equal ones the least edge. Stops farther than ``within`` are left out.
     """
     extent = stops.agg(((F.min("lat") + F.max("lat")) / 2).alias("mid"))  # one row
     place = nodes.select("node_id", "lat", "lon")
     e = edges.select("u", "v").join(place.toDF("u", "ulat", "ulon"), "u").join(place.toDF("v", "vlat", "vlon"), "v")
-    y1, x1 = geo.cell(F.col("ulat"), F.col("ulon"))
-    y2, x2 = geo.cell(F.col("vlat"), F.col("vlon"))
-    e = e.withColumn("y", F.explode(F.sequence(F.least(y1, y2), F.greatest(y1, y2)))).withColumn("x", F.explode(F.sequence(F.least(x1, x2), F.greatest(x1, x2))))
     at = with_cell(stops.select("stop_id", "lat", "lon")).crossJoin(F.broadcast(extent))
     asked = at.select("stop_id", "lat", "lon", "mid", F.explode(geo.around(F.col("y"), F.col("x"))).alias("c")).select("stop_id", "lat", "lon", "mid", F.col("c.y").alias("y"), F.col("c.x").alias("x"))
-    met = asked.join(e, ["y", "x"]).drop("y", "x")
+    met = _in_cells(asked, _along_cells(e), "u").drop("y", "x")
     t = geo.along(F.col("lat"), F.col("lon"), F.col("ulat"), F.col("ulon"), F.col("vlat"), F.col("vlon"), F.cos(F.radians("mid")))
     met = met.withColumn("t", t)
     dist = geo.haversine(F.col("lat"), F.col("lon"), geo.between(F.col("ulat"), F.col("vlat"), F.col("t")), geo.between(F.col("ulon"), F.col("vlon"), F.col("t")))
