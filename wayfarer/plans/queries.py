@@ -844,6 +844,42 @@ def snapped_values(spark, sf):
     return N.stop_times(spark, sf).select("trip_id", "seq", *[X.snapped(F.col("dep"), *ends).alias(name) for name, ends in X.SLIDERS.items()])
 
 
+_MINUTES = "printf('%d.%d min', CAST(({0} + 33) // 6 // 10 AS INTEGER), CAST(({0} + 33) // 6 % 10 AS INTEGER))"
+_SPAN = "printf('%d:%02d', CAST(({0}) // 60 AS INTEGER), CAST(({0}) % 60 AS INTEGER))"
+_CLOCK = "printf('%02d:%02d', CAST(({0}) // 3600 AS INTEGER), CAST(({0}) % 3600 // 60 AS INTEGER))"
+
+
+@query(
+    W(
+        "stops st routes trips",
+        "l AS (SELECT trip_id, row_number() OVER w AS n, seq, stop_id AS a, lead(stop_id) OVER w AS b, dep AS s, dep + greatest(0, lead(arr) OVER w - dep) AS e FROM st WINDOW w AS (PARTITION BY trip_id ORDER BY seq))",
+        "k AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'walk' ELSE 'transit' END AS kind, min(s) OVER (PARTITION BY trip_id) - trip_id % 60 AS home, max(e) OVER (PARTITION BY trip_id) AS arrival FROM l WHERE b IS NOT NULL)",
+        "p AS (SELECT k.*, r.route_id, r.name AS route, sa.name AS an, sb.name AS bn, CASE WHEN kind = 'transit' THEN s - coalesce(lag(e) OVER (PARTITION BY trip_id ORDER BY n), home) ELSE 0 END AS wait FROM k JOIN trips USING (trip_id) JOIN routes r USING (route_id) JOIN stops sa ON sa.stop_id = a JOIN stops sb ON sb.stop_id = b)",
+    )
+    + f"""SELECT trip_id, count(*) FILTER (kind = 'transit') AS rides, arg_max(route_id, (e - s, n)) FILTER (kind = 'transit') AS dominant_route,
+        string_agg(CASE WHEN kind = 'walk' THEN 'Walk ' || {_MINUTES.format("(e - s)")} ELSE CASE WHEN wait > 0 THEN 'Wait ' || {_MINUTES.format("wait")} || chr(10) ELSE '' END || route || ' · ' || an || ' → ' || bn || ' ' || {_MINUTES.format("(e - s)")} END, chr(10) ORDER BY n) AS lines,
+        'Leave ' || {_CLOCK.format("any_value(home)")} || ', arrive ' || {_CLOCK.format("any_value(arrival)")} || ', ' || {_SPAN.format("any_value(arrival - home)")} || chr(10)
+          || string_agg({_CLOCK.format("s")} || ' ' || CASE WHEN kind = 'walk' THEN 'walk' ELSE route || ' ' || an || ' to ' || bn END || ' (' || {_SPAN.format("e - s")} || ')', chr(10) ORDER BY n) AS summary,
+        CAST(any_value(home) + coalesce(arg_min(wait, n) FILTER (kind = 'transit'), 0) AS INTEGER) AS late_dep, CAST(any_value(arrival - home) - coalesce(arg_min(wait, n) FILTER (kind = 'transit'), 0) AS INTEGER) AS late_total
+        FROM p GROUP BY trip_id"""
+)
+def journey_texts(spark, sf):
+    """All that is shown of a journey, over every trip told as one: a ride a leg, every third on foot, begun up to a minute before it leaves."""
+    legs = timetable.legs(N.stop_times(spark, sf).drop("l_partkey"))
+    own = Window.partitionBy("trip_id")
+    walk, end = F.pmod("seq", F.lit(3)) == 0, F.col("dep") + F.col("travel")
+    rows = legs.withColumns({"n": F.row_number().over(own.orderBy("seq")), "home_dep": F.min("dep").over(own) - F.pmod("trip_id", F.lit(60)).cast("int"), "arrival": F.max(end).over(own)})
+    wait = F.when(walk, F.lit(0)).otherwise(F.col("dep") - F.coalesce(F.lag(end).over(own.orderBy("seq")), F.col("home_dep")))
+    kind = F.when(walk, "walk").otherwise("transit")
+    parts = rows.join(N.trips(spark, sf).select("trip_id", "route_id"), "trip_id").select(F.lit(1).alias("query_id"), F.col("trip_id").alias("node_id"), "home_dep", "arrival", "n", kind.alias("kind"), F.col("dep").alias("start_time"), end.alias("end_time"), wait.alias("wait_time"), "from_stop", "to_stop", "route_id", "trip_id")
+    found = cut(paths.journeys(parts, N.stops(spark, sf), N.routes(spark, sf)))
+    lines = F.transform("segments", lambda s: series.segment_text(s["kind"], s["end_time"] - s["start_time"], s["route_name"], s["from_name"], s["to_name"], s["wait_time"]))
+    texts = exports.trip_summary(found).select("node_id", F.col("text").alias("summary"))
+    late = paths.without_first_wait(found).select("node_id", F.col("home_dep").alias("late_dep"), F.col("total_time").alias("late_total"))
+    shown = found.select("node_id", "rides", "dominant_route", F.array_join(lines, "\n").alias("lines"))
+    return shown.join(texts, "node_id").join(late, "node_id").withColumnRenamed("node_id", "trip_id")
+
+
 @query()
 def path_display(spark, sf):
     """Each journey's lines, dominant route and JSON view."""
