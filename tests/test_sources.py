@@ -294,6 +294,14 @@ def test_refresh(spark, feed_dir, tmp_path):
     (configs / "y.jsonc").write_text(config.write_city("y", "Y", (-88, 40, -86, 42), [("f-two", "")]))
     assert job(5).clean() == ["f-one.gtfs.zip", "out/x", "sha1/f-one.sha1", cache_name("https://a/b.zip")]
     assert not (out / "x").exists() and sorted(p.name for p in cache.iterdir() if p.is_file()) == ["box_-88.0000_40.0000_-86.0000_42.0000.osm.xml"]
+    # a city that fails before another one does not keep it from being built
+    (configs / "a.jsonc").write_text(config.write_city("a", "A", (-88, 40, -86, 42), [("f-two", "")], bbbike_name="extract"))
+    (cache / remote.map_names(config.City("a", "A", [], (-88.0, 40.0, -86.0, 42.0), bbbike_name="extract"))[0]).write_bytes(b"no map")
+    with pytest.raises(ExceptionGroup) as e:
+        job(6).run()
+    assert [x.__notes__ for x in e.value.exceptions] == [["while building a"]]
+    assert (out / "y" / "_meta_version").exists() and not (out / "a" / "_meta_version").exists()
+    (configs / "a.jsonc").unlink()
     (configs / "y.jsonc").unlink()
     assert job(5).run().count() == 0
 

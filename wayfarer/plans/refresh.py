@@ -162,15 +162,25 @@ class Refresh:
         return found
 
     def run(self, *, check_only: bool = False) -> DataFrame:
-        """city, reason of every city; unless ``check_only`` those with a reason are built again and what is no longer needed is removed."""
+        """city, reason of every city; unless ``check_only`` those with a reason are built again and what is no longer needed is removed.
+
+        A city that fails leaves its tables as they were and does not keep the others from being built; at the end all failures are raised together.
+        """
         states = self.check()
         reasons = self.decide(states)
+        failed: list[Exception] = []
         if not check_only and (again := {r.city for r in reasons.filter("reason is not null").collect()}):
             self.download(states, reasons)
             for city, _ in self.dated:
                 if city.id in again:
-                    self.prep(city)
+                    try:
+                        self.prep(city)
+                    except Exception as e:
+                        e.add_note(f"while building {city.id}")
+                        failed.append(e)
             self.clean()
+        if failed:
+            raise ExceptionGroup("cities were not built", failed)
         return reasons
 
 
