@@ -274,3 +274,9 @@ def test_full_cells_and_long_edges(spark, monkeypatch, limit):
     assert found == {i: e for i, (d, e) in want.items() if d <= 400} and found
     whole = frame(spark, [(0, 1, 41.0, -87.0, 42.0, -86.0)], "u long, v long, ulat double, ulon double, vlat double, vlon double")
     assert spatial._along_cells(whole).count() < 1000
+
+
+def test_sizes_without_larger_units(spark):
+    sizes = frame(spark, [("b", 3 << 30), ("A", 1280), ("c", 1024 + 768)], "name string, bytes long")
+    assert [tuple(r) for r in exports.size_table(sizes, "M").collect()] == [("A", "1.2K"), ("b", "3072.0M"), ("c", "1.8K")]
+    assert [tuple(r) for r in exports.size_table(sizes).collect()] == [("A", "1.2K"), ("b", "3.0G"), ("c", "1.8K")]

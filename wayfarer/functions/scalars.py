@@ -128,10 +128,14 @@ def date_to_number(day: Column) -> Column:
     return F.date_format(day, "yyyyMMdd").cast("int")
 
 
-def human_size(n: Column) -> Column:
-    """Bytes as B, K, M or G with one decimal."""
-    unit = lambda k, name: F.concat(F.format_string("%.1f", n / F.lit(float(1024**k))), F.lit(name))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024**2, unit(1, "K")).when(n < 1024**3, unit(2, "M")).otherwise(unit(3, "G"))
+def human_size(n: Column, largest: str = "G") -> Column:
+    """Bytes as B, K, M or G with one decimal, in no larger unit than ``largest``; a tie goes to the even digit, as printf has it."""
+    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit("B")))
+    units = "KMG"[: "KMG".index(largest) + 1]
+    for k, name in enumerate(units, 1):
+        text = F.concat(F.format_string("%.1f", F.bround(n / F.lit(float(1024**k)), 1)), F.lit(name))
+        out = out.otherwise(text) if name == largest else out.when(n < 1024 ** (k + 1), text)
+    return out
 
 
 def load_size(n: Column) -> Column:

@@ -59,6 +59,6 @@ def untraced(wanted: DataFrame, traced: DataFrame, keys: list[str], most: int =
     return wanted.select(*keys).join(traced.select(*keys), keys, "left_anti").orderBy(*keys).limit(most)
 
 
-def size_table(files: DataFrame) -> DataFrame:
-    """name, size: rows of a table of sizes, by name in any case."""
-    return files.select("name", X.human_size(F.col("bytes")).alias("size")).orderBy(F.lower("name"))
+def size_table(files: DataFrame, largest: str = "G") -> DataFrame:
+    """name, size: rows of a table of sizes, in units up to ``largest``, by name in any case."""
+    return files.select("name", X.human_size(F.col("bytes"), largest).alias("size")).orderBy(F.lower("name"))
