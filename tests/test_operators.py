@@ -302,3 +302,34 @@ def test_sizes_without_larger_units(spark):
     sizes = frame(spark, [("b", 3 << 30), ("A", 1280), ("c", 1024 + 768)], "name string, bytes long")
     assert [tuple(r) for r in exports.size_table(sizes, "M").collect()] == [("A", "1.2K"), ("b", "3072.0M"), ("c", "1.8K")]
     assert [tuple(r) for r in exports.size_table(sizes).collect()] == [("A", "1.2K"), ("b", "3.0G"), ("c", "1.8K")]
+
+
+def test_legs_of_rides_together_equal_each_ride_alone(spark, monkeypatch):
+    """Rides of many shapes in one batch, some against their line, some without a match, against the match of each one."""
+    r = np.random.default_rng(8)
+    rides = []
+    for k in range(120):
+        n, m = int(r.integers(0, 6)), int(r.integers(0, 14))
+        line = np.cumsum(r.uniform(0.0, 0.01, (m, 2)), axis=0) + 41.0
+        stops = line[np.sort(r.choice(m, n, replace=False))][:: -1 if k % 3 == 0 else 1] + r.normal(0, 1e-4, (n, 2)) if n <= m else r.uniform(41, 42, (n, 2))
+        rides.append((k % 7, [(k * 10 + i, *map(float, p)) for i, p in enumerate(stops)], [tuple(map(float, p)) for p in line]))
+    rides += [(1, None, [(41.0, 41.0), (41.1, 41.1)]), (2, [(1, 41.0, 41.0)], None)]
+    want = {}
+    for route, stops, line in rides:
+        found = shapes.match_either_way(np.array([s[1:] for s in stops]), np.array(line), 0.8) if stops and line else None
+        if found:
+            segment, place, far, turned = found
+            vertices = line[:: -1 if turned else 1]
+            for k in range(len(stops) - 1):
+                points = [tuple(place[k]), *vertices[segment[k] + 1 : segment[k + 1] + 1], tuple(place[k + 1])]
+                want[route, stops[k][0], stops[k + 1][0]] = (max(far[k], far[k + 1]), points)
+    monkeypatch.setattr(shapes, "CELLS", 100)
+    trips = frame(spark, rides, "route_id int, stops array<struct<stop_id:long,lat:double,lon:double>>, line array<struct<lat:double,lon:double>>")
+    got = {(x.route_id, x.from_stop, x.to_stop): (x.quality, [tuple(p) for p in x.points]) for x in shapes.leg_shapes(trips, 0.8).collect()}
+    assert got == want and len(want) > 60
+    pairs = [(np.array([q[1:] for q in stops]), np.array(line)) for _, stops, line in rides if stops and line and 1 < len(stops) < len(line)]
+    most = collections.Counter((len(a), len(b)) for a, b in pairs).most_common(1)[0][0]
+    same = [x for x in pairs if (len(x[0]), len(x[1])) == most]
+    together = shapes.match_all(np.stack([a for a, _ in same]), np.stack([b for _, b in same]), 0.8)
+    for k, (a, b) in enumerate(same):
+        assert all(np.array_equal(x[k], y) for x, y in zip(together, shapes.match(a, b, 0.8), strict=True))

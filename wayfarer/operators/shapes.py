@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,42 +12,65 @@ from pyspark.sql import functions as F
 POOR, BETTER = 0.0005**2, 5.0
 
 
-def match(stops: np.ndarray, line: np.ndarray, cos_lat: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
-    """(segment, lat/lon on it, squared distance) of each stop and the sum: strictly rising segments with the least sum of squared distances.
+#: Numbers of a table of stops by segments that are held at once.
+CELLS = 1 << 20
+
 
-    A running minimum over segments carries the best of the stops before, so the table is filled a stop at a time.
-    None without stops, without a segment, or with more stops than segments.
+def match_all(stops: np.ndarray, lines: np.ndarray, cos_lat: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, lat/lon on it, squared distance) of each stop and the sum, of many rides with as many stops and line points each.
+
+    Strictly rising segments with the least sum of squared distances: a running minimum over segments carries the best of
+    the stops before, so the tables are filled a stop at a time. The sum is not finite where there is none.
     """
-    n, m = len(stops), len(line) - 1
-    if n == 0 or m < 1 or n > m:
-        return None
-    a, d = line[:-1], np.diff(line, axis=0)
+    n, m = stops.shape[1], lines.shape[1] - 1
+    a, d = lines[:, :-1], np.diff(lines, axis=1)
     scale = np.array([1.0, cos_lat])
-    d_, a_ = d * scale, a * scale
-    length = (d_**2).sum(axis=1)
-    p = stops * scale
-    t = ((p[:, None, :] - a_[None]) * d_[None]).sum(axis=2)
+    d_, a_, p = (d * scale)[:, None], (a * scale)[:, None], (stops * scale)[:, :, None]
+    length = (d_**2).sum(axis=3)
+    t = ((p - a_) * d_).sum(axis=3)
     t = np.clip(np.where(length > 1e-20, t / np.maximum(length, 1e-20), 0.0), 0.0, 1.0)
-    cost = ((a_[None] + t[..., None] * d_[None] - p[:, None, :]) ** 2).sum(axis=2)
-    best = cost[0].copy()
-    back = np.zeros((n, m), np.int64)
+    cost = ((a_ + t[..., None] * d_ - p) ** 2).sum(axis=3)
+    best = cost[:, 0].copy()
+    back = np.zeros(cost.shape, np.int64)
     for k in range(1, n):
-        least = np.minimum.accumulate(best)
+        least = np.minimum.accumulate(best, axis=1)
         # the place of the running minimum
-        at = np.maximum.accumulate(np.where(best == least, np.arange(m), 0))
-        best = np.full(m, np.inf)
-        best[1:] = cost[k, 1:] + least[:-1]
-        back[k, 1:] = at[:-1]
-    end = int(best.argmin())
-    if not np.isfinite(best[end]):
-        return None
-    segment = np.empty(n, np.int64)
-    segment[-1] = end
+        at = np.maximum.accumulate(np.where(best == least, np.arange(m), 0), axis=1)
+        best = np.full(best.shape, np.inf)
+        best[:, 1:] = cost[:, k, 1:] + least[:, :-1]
+        back[:, k, 1:] = at[:, :-1]
+    ride = np.arange(len(stops))
+    segment = np.empty(stops.shape[:2], np.int64)
+    segment[:, -1] = best.argmin(axis=1)
     for k in range(n - 1, 0, -1):
-        segment[k - 1] = back[k, segment[k]]
-    rows = np.arange(n)
-    place = a[segment] + t[rows, segment][:, None] * d[segment]
-    return segment, place, cost[rows, segment], float(best[end])
+        segment[:, k - 1] = back[ride, k, segment[:, k]]
+    each, stop = ride[:, None], np.arange(n)
+    place = a[each, segment] + t[each, stop, segment][..., None] * d[each, segment]
+    return segment, place, cost[each, stop, segment], best[ride, segment[:, -1]]
+
+
+def match(stops: np.ndarray, line: np.ndarray, cos_lat: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
+    """``match_all`` of one ride: None without stops, without a segment, or with more stops than segments."""
+    n, m = len(stops), len(line) - 1
+    if n == 0 or m < 1 or n > m:
+        return None
+    segment, place, far, total = (x[0] for x in match_all(stops[None], line[None], cos_lat))
+    return (segment, place, far, float(total)) if np.isfinite(total) else None
+
+
+def match_all_either_way(stops: np.ndarray, lines: np.ndarray, cos_lat: float):
+    """(segment, place, squared distance, sum, lines as they are run) along the lines, or against those where that is much better."""
+    segment, place, far, total = match_all(stops, lines, cos_lat)
+    poor = np.flatnonzero(total / stops.shape[1] > POOR)
+    if len(poor):
+        back = match_all(stops[poor], lines[poor, ::-1], cos_lat)
+        better = back[3] * BETTER < total[poor]
+        turned = poor[better]
+        lines = lines.copy()
+        lines[turned] = lines[turned, ::-1]
+        for kept, new in zip((segment, place, far, total), back, strict=True):
+            kept[turned] = new[better]
+    return segment, place, far, total, lines
 
 
 def match_either_way(stops: np.ndarray, line: np.ndarray, cos_lat: float):
@@ -67,21 +91,44 @@ def leg_shapes(trips: DataFrame, cos_lat: float) -> DataFrame:
     ``trips``: route_id, stops (array of stop_id, lat, lon), line (array of lat, lon). A leg's line runs from the first
     stop's place on the shape over its vertices to the second's. The best is a minimum that tasks take before the shuffle.
     """
-    schema = pa.schema([("route_id", pa.int64()), ("from_stop", pa.int64()), ("to_stop", pa.int64()), ("quality", pa.float64()), ("points", pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())])))])
+    def parts(column, *names):
+        """Lengths of a column's lists, and the fields of their elements in a row."""
+        flat = column.flatten()
+        fields = flat.flatten()
+        return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), [fields[flat.type.get_field_index(x)] for x in names]
+
+    def points(lat, lon):
+        return np.stack([np.asarray(x.to_numpy(zero_copy_only=False), np.float64) for x in (lat, lon)], axis=1)
+
+    def legs(routes, ids, first, stops, lines):
+        """The legs of rides with as many stops and line points each, as a batch. ``first``: the place of a ride's first stop in ``ids``."""
+        segment, place, far, total, lines = match_all_either_way(stops, lines, cos_lat)
+        ride = np.flatnonzero(np.isfinite(total))
+        segment, place, far, lines = segment[ride], place[ride], far[ride], lines[ride]
+        between = np.diff(segment, axis=1).ravel()  # vertices of each leg
+        each = np.repeat(np.arange(len(ride)), stops.shape[1] - 1)
+        ends = np.cumsum(between + 2)
+        starts, inner = ends - between - 2, np.arange(between.sum()) - np.repeat(np.cumsum(between) - between, between)
+        out = np.empty((int(ends[-1]) if len(ends) else 0, 2))
+        out[starts], out[ends - 1] = place[:, :-1].reshape(-1, 2), place[:, 1:].reshape(-1, 2)
+        out[np.repeat(starts + 1, between) + inner] = lines[np.repeat(each, between), np.repeat(segment[:, :-1].ravel() + 1, between) + inner]
+        at = (first[ride][:, None] + np.arange(stops.shape[1] - 1)).ravel()
+        line = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["lat", "lon"]))
+        quality = pa.array(np.maximum(far[:, :-1], far[:, 1:]).ravel())
+        return pa.RecordBatch.from_arrays([routes.take(pa.array(ride[each])), ids.take(pa.array(at)), ids.take(pa.array(at + 1)), quality, line], ["route_id", "from_stop", "to_stop", "quality", "points"])
 
     def run(batches):
         for batch in batches:
-            out = []
-            for route, stops, line in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                found = match_either_way(np.array([(s["lat"], s["lon"]) for s in stops]), np.array([(q["lat"], q["lon"]) for q in line]), cos_lat) if stops and line and len(line) > 1 else None
-                if found is None:
-                    continue
-                segment, place, far, turned = found
-                vertices = [(q["lat"], q["lon"]) for q in line][:: -1 if turned else 1]
-                for k in range(len(stops) - 1):
-                    points = [tuple(place[k]), *vertices[segment[k] + 1 : segment[k + 1] + 1], tuple(place[k + 1])]
-                    out.append((route, stops[k]["stop_id"], stops[k + 1]["stop_id"], float(max(far[k], far[k + 1])), [{"lat": float(y), "lon": float(x)} for y, x in points]))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+            n, (ids, *at_stops) = parts(batch.column(1), "stop_id", "lat", "lon")
+            m, at_line = parts(batch.column(2), "lat", "lon")
+            ids, at_stops, at_line = ids.cast(pa.int64()), points(*at_stops), points(*at_line)
+            first, begins = np.cumsum(n) - n, np.cumsum(m) - m
+            # rides of one shape together
+            for stops, line in np.unique(np.stack([n, m], axis=1), axis=0).tolist():
+                if 2 <= stops < line:
+                    alike, step = np.flatnonzero((n == stops) & (m == line)), max(1, CELLS // (stops * line))
+                    for some in (alike[k : k + step] for k in range(0, len(alike), step)):
+                        yield legs(batch.column(0).take(pa.array(some)), ids, first[some], at_stops[first[some][:, None] + np.arange(stops)], at_line[begins[some][:, None] + np.arange(line)])
 
     rows = trips.select(F.col("route_id").cast("long").alias("route_id"), "stops", "line").mapInArrow(run, "route_id long, from_stop long, to_stop long, quality double, points array<struct<lat:double,lon:double>>")
     return rows.groupBy("route_id", "from_stop", "to_stop").agg(F.min(F.struct("quality", "points")).alias("b")).select("route_id", "from_stop", "to_stop", "b.quality", "b.points")
