@@ -333,3 +333,19 @@ def test_legs_of_rides_together_equal_each_ride_alone(spark, monkeypatch):
     together = shapes.match_all(np.stack([a for a, _ in same]), np.stack([b for _, b in same]), 0.8)
     for k, (a, b) in enumerate(same):
         assert all(np.array_equal(x[k], y) for x, y in zip(together, shapes.match(a, b, 0.8), strict=True))
+
+
+def test_picks_meet_each_row_once(spark):
+    """Moments before, at, between and after tips against a search of each; no window runs to the end of its rows from every one of them."""
+    r = random.Random(6)
+    tips = {n: sorted(r.sample(range(0, 400, 5), 12)) for n in range(4)}
+    rows = [(1, n, t, r.randrange(10, 60)) for n, at in tips.items() for t in at]
+    moments = [(1, n, t) for n in range(5) for t in range(0, 420, 15)]
+    teeth = frame(spark, rows, "query_id long, node_id long, tip_x int, tip_y int")
+    found = series.pick(teeth, frame(spark, moments, "query_id long, node_id long, t int"), 50)
+    want = {}
+    for _, n, t in moments:
+        x, y = min(((x, y) for _, m, x, y in rows if m == n and x >= t), default=(None, None))
+        want[n, t] = x if x is not None and y <= 50 and t >= x - (50 - y) else None
+    assert {(x.node_id, x.t): x.tip_x for x in found.collect()} == want and any(want.values())
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()

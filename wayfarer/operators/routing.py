@@ -255,11 +255,12 @@ def frontier(state: DataFrame, egress: DataFrame, walks: DataFrame, *, keep_over
     ``egress`` (stop_id, node_id, w) walks from stops to nodes; ``walks`` (query_id, node_id, w) from home to nodes. With
     ``rides`` each row has its last ride: of those that arrive in time the one that ends latest.
     """
-    ends = F.struct("arr", "trip_id", "segment", F.col("seq").alias("alight_seq"), "board_seq") if rides else F.struct("arr")
+    # a number is aggregated by hash, a struct by sorting all rows
+    ends = F.struct("arr", "trip_id", "segment", F.col("seq").alias("alight_seq"), "board_seq") if rides else F.col("arr")
     ended = state.filter("m is not null").groupBy("query_id", "stop_id", "m", "max_time").agg(F.min(ends).alias("end"))
     reached = ended.join(egress.withColumnRenamed("w", "out"), "stop_id")
     met = reached.join(walks.withColumnRenamed("w", "walk"), ["query_id", "node_id"], "left")
-    arrival = F.col("end.arr") + F.col("out")
+    arrival = F.col("end.arr" if rides else "end") + F.col("out")
     rows = met.select("query_id", "node_id", F.col("m").alias("home_dep"), arrival.alias("arrival"), "walk", "max_time", F.col("out").alias("walk_after"), "stop_id", "end")
     if not keep_over_budget:
         rows = rows.filter(F.col("arrival") - F.col("home_dep") <= F.col("max_time"))

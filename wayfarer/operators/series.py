@@ -32,12 +32,13 @@ def reachable_spans(teeth: DataFrame, most: int) -> DataFrame:
 def pick(teeth: DataFrame, moments: DataFrame, most: int) -> DataFrame:
     """query_id, node_id, t, tip_x: the journey of the tooth a moment falls in, null in a grey zone: a forward as-of join.
 
-    Moments and tips are one series in time order; the next tip at or after a moment is the least that follows.
+    Moments and tips are one series, latest first; the next tip at or after a moment is the last one met, so each row is
+    seen once.
     """
     tip = F.struct("tip_x", "tip_y")
     both = teeth.select("query_id", "node_id", F.col("tip_x").alias("at"), F.lit(1).alias("kind"), tip.alias("tip")).unionByName(moments.select("query_id", "node_id", F.col("t").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("struct<tip_x:int,tip_y:int>").alias("tip")))
-    ahead = Window.partitionBy("query_id", "node_id").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first("tip", ignorenulls=True).over(ahead)).filter("kind = 0")
+    so_far = Window.partitionBy("query_id", "node_id").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next", F.last("tip", ignorenulls=True).over(so_far)).filter("kind = 0")
     ok = (F.col("next.tip_y") <= most) & (F.col("at") >= F.col("next.tip_x") - (F.lit(most) - F.col("next.tip_y")))
     return found.select("query_id", "node_id", F.col("at").alias("t"), F.when(ok, F.col("next.tip_x")).alias("tip_x"))
 
