@@ -299,6 +299,22 @@ def test_near_duplicates(spark, monkeypatch, seed, common):
     assert Counter(map(tuple, jaccard_join.near_duplicates(with_clashes(docs)).collect())) == brute_components(rows)
 
 
+def test_pairs_of_a_template_meet_once(spark):
+    """Texts that share much of a template, but not enough to be near, are met at one n-gram and not at each that they share."""
+    rng = np.random.default_rng(5)
+    template = [f"w{k}" for k in range(400)]
+    texts = [[f"o{d}_{k}" if k in own else w for k, w in enumerate(template)] for d in range(12) for own in [set(rng.choice(400, 12, replace=False).tolist())]]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    join = jaccard_join._Join(docs, 5, 80)
+    none = spark.createDataFrame([], "node long, root long")
+    least = {r.cid: r.least for r in join.classes.collect()}
+    met = [tuple(sorted((least[r.a], least[r.b]))) for r in join.meetings(none).collect()]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    near = {(a, b) for a in range(12) for b in range(a + 1, 12) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert near <= set(met)
+    assert len(met) <= 2 * len(set(met)), (len(met), len(set(met)))
+
+
 def test_one_of_each(spark):
     rows = near_rows(4)
     docs = with_clashes(table(spark, rows, "doc_id long, text string"))

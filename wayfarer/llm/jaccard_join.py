@@ -16,6 +16,8 @@ from wayfarer.operators import graph
 FRAGMENTS, EARLY = 8, (0, 4)
 #: An n-gram that begins more documents than this goes to the end of the order; at most so many do, those in most documents.
 COMMON, MOST_COMMON = 4, 1 << 21
+#: N-grams of a class that tell whether a pair of it was met before.
+WITNESSES = 16
 #: Words whose hashes a task keeps.
 VOCABULARY = 1 << 18
 
@@ -79,12 +81,18 @@ def _common_last(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int
     return np.concatenate([grams[~late], grams[late]]), int(len(grams) - late.sum())
 
 
-def _first_grams(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """gram, copies: of the n-grams that begin documents in the order of hashes (half a prefix tells the common ones), counted once for each document."""
+def _first_grams(texts: DataFrame, n: int, percent: int, common=None) -> DataFrame:
+    """gram, copies: of the rare n-grams that begin documents in the order that puts ``common`` last, counted once for each document; of half a prefix in the order of hashes where none are known yet."""
 
     def run(batches):
+        late, share = (common.value, 1) if common else (np.zeros(0, np.uint64), 2)
+
+        def first(g):
+            ordered, rare = _common_last(g, late)
+            return _signed(ordered[: min(rare, -(-prefix_length(len(g), percent) // share))])
+
         for batch in batches:
-            parts = [_signed(g[: -(-prefix_length(len(g), percent) // 2)]) for raw in values(batch.column(0)) if len(g := shingles(raw, n))]
+            parts = [first(g) for raw in values(batch.column(0)) if len(g := shingles(raw, n))]
             gram, copies = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(copies.astype(np.int64))], ["gram", "copies"])
         _words.clear()
@@ -93,14 +101,24 @@ def _first_grams(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, copies long")
 
 
-def common_grams(texts: DataFrame, n: int, percent: int) -> np.ndarray:
-    """Sorted hashes of the n-grams to put last: any set of them gives a valid order, so its size can be held down."""
-    counted = cut(_first_grams(texts, n, percent).groupBy("gram").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > COMMON))
-    floor = COMMON
-    while counted.filter(F.col("copies") > floor).count() > MOST_COMMON:
-        floor *= 2
-    rows = counted.filter(F.col("copies") > floor).select("gram").toArrow()
-    return np.sort(rows.column(0).to_numpy().view(np.uint64) ^ _TOP)
+def common_grams(texts: DataFrame, n: int, percent: int, passes: int = 1) -> np.ndarray:
+    """Sorted hashes of the n-grams to put last: any set of them gives a valid order, so its size can be held down.
+
+    Half of each prefix tells the first ones; with a second of ``passes``, prefixes in the order without these, which reach further into a text, tell more.
+    """
+    found = np.zeros(0, np.uint64)
+    for _ in range(passes):
+        order = texts.sparkSession.sparkContext.broadcast(found) if len(found) else None
+        counted = cut(_first_grams(texts, n, percent, order).groupBy("gram").agg(F.sum("copies").alias("copies")).filter(F.col("copies") > COMMON))
+        floor = COMMON
+        while counted.filter(F.col("copies") > floor).count() > MOST_COMMON - len(found):
+            floor *= 2
+        rows = counted.filter(F.col("copies") > floor).select("gram").toArrow()
+        more = rows.column(0).to_numpy().view(np.uint64) ^ _TOP
+        found = np.sort(np.concatenate([found, more]))
+        if not len(more):
+            break
+    return found
 
 
 def _parity(grams: np.ndarray) -> tuple[int, ...]:
@@ -166,11 +184,11 @@ HOT = 10_000
 class _Join:
     """The steps of one self-join. What a step hands on is a table in the shared folder, with no more columns than are read."""
 
-    def __init__(self, docs: DataFrame, n: int, percent: int):
+    def __init__(self, docs: DataFrame, n: int, percent: int, passes: int = 1):
         bounded(docs)
         self.texts, self.n, self.percent = docs.select("doc_id", utf8().alias("text")), n, percent
         self.tables = Tables(docs.sparkSession)
-        self.common = docs.sparkSession.sparkContext.broadcast(common_grams(self.texts, n, percent))
+        self.common = docs.sparkSession.sparkContext.broadcast(common_grams(self.texts, n, percent, passes))
         sets = self.tables.write("sets", _sets(self.texts, self.common, n, percent).withColumn("row", F.monotonically_increasing_id()))
         self.rows = self.tables.write("rows", sets.drop("first", "row", "rare", *_PARITIES))
         # one class for each set; a row of it with the least id, where one has an id, stands for it
@@ -219,12 +237,13 @@ class _Join:
         self.tables.drop("hubs")
         return found
 
-    def open_pairs(self, star: DataFrame, roots: DataFrame) -> DataFrame:
+    def meetings(self, roots: DataFrame) -> DataFrame:
         """a, b, both: all pairs of classes that share a first n-gram, may be near and are not in one component of ``roots``.
 
         N-grams all of whose classes are in one component need no pairs. Of the others only classes outside of the
         n-gram's largest component are met with the rest, so a large group of copies is not paired with itself. Pairs meet
-        by n-gram and band of sizes: sets two bands apart are not near.
+        by n-gram and band of sizes: sets two bands apart are not near. A pair is left to the first n-gram at which it meets
+        where the classes' first n-grams tell that there was an earlier one: what holds at an n-gram holds at those before it.
         """
         reach = known(self.tables.write("reach", roots.select(F.col("node").alias("cid"), "root")))
         rooted = self.members.join(reach, "cid", "left").select("gram", "cid", "place", F.coalesce("root", "cid").alias("root"))
@@ -234,16 +253,24 @@ class _Join:
         n, at = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
         band = F.floor(F.log(n.cast("double")) / float(np.log(100 / self.percent)) * (1 - 1e-9)).cast("int")
         rooted = rooted.join(mixed, "gram").select("gram", "cid", "root", "top", n.alias("n"), (n - at).alias("left"), band.alias("band"))
-        rooted = self.tables.write("rooted", rooted.join(known(self.classes.select("cid", *_PARITIES)), "cid"))
-        side = lambda x: [F.col("cid").alias(x), F.col("root").alias(f"{x}root"), F.col("n").alias(f"{x}n"), F.col("left").alias(f"{x}left"), *[F.col(p).alias(f"{x}{p}") for p in _PARITIES]]
+        rooted = self.tables.write("met", rooted)
+        first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "gram"))), 1, WITNESSES)
+        firsts = self.tables.write("firsts", rooted.groupBy("cid").agg(first.alias("first")).join(known(self.classes.select("cid", *_PARITIES)), "cid"))
+        earlier = F.transform(F.filter("first", lambda x: x["at"] < -F.col("left")), lambda x: x["gram"])
+        rooted = self.tables.write("rooted", rooted.join(firsts, "cid").withColumn("earlier", earlier).drop("first"))
+        side = lambda x: [F.col("cid").alias(x), F.col("earlier").alias(f"{x}earlier"), F.col("root").alias(f"{x}root"), F.col("n").alias(f"{x}n"), F.col("left").alias(f"{x}left"), *[F.col(p).alias(f"{x}{p}") for p in _PARITIES]]
         a = rooted.filter("root <> top").select("gram", *side("a"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
         b = rooted.select("gram", *side("b"), "top", "band")
         once = (F.col("broot") == F.col("top")) | (F.col("a") < F.col("b"))
-        may = self._room(F.col("an"), F.col("bn"), F.col("aleft"), F.col("bleft")) & self._alike()
+        may = self._room(F.col("an"), F.col("bn"), F.col("aleft"), F.col("bleft")) & self._alike() & ~F.arrays_overlap("aearlier", "bearlier")
         met = a.join(b, (a["gram"] == b["gram"]) & (a["band"] == b["band"]) & once & (F.col("aroot") != F.col("broot")) & may)
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("both")).distinct()
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("an") + F.col("bn")).alias("both"))
+
+    def open_pairs(self, star: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs of ``meetings`` that are not in ``star``, once each."""
+        pairs = self.meetings(roots).distinct()
         found = self.tables.write("pairs", pairs.join(known(star.select("a", "b")), ["a", "b"], "left_anti"))
-        self.tables.drop("reach", "mixed", "rooted")
+        self.tables.drop("reach", "mixed", "met", "firsts", "rooted")
         return found
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -292,7 +319,7 @@ class _Join:
         return met.groupBy("cid").count().filter("count > 1").limit(1).count() > 0
 
 
-def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90, passes: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, n, k1, k2; classes; links: a, b, overlap; components: node, root) of the self-join at Jaccard >= ``percent`` / 100.
 
     Texts with equal sets are one class; links are between classes. First each n-gram's classes are tried with
@@ -300,7 +327,7 @@ def linked_classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> tuple[D
     component are tried. Links between classes already joined are not listed: the links span each component, components
     are exact, and no group's pairs are all made.
     """
-    join = _Join(docs, n, percent)
+    join = _Join(docs, n, percent, passes)
     star = join.star()
     links = join.links(star, "star")
     roots = components(links)
@@ -356,7 +383,7 @@ def one_of_each(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     Rows are told by their own text's set and doc_id: different texts stay also where they share an id or have none. Null
     and blank texts have no group and all stay.
     """
-    rows, classes, _, roots = linked_classes(docs, n=n, percent=percent)
+    rows, classes, _, roots = linked_classes(docs, n=n, percent=percent, passes=2)
     named = cut(_named(classes, roots))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "cid")).alias("first")).select(F.col("first.cid").alias("cid"), F.lit(True).alias("stands"))
     named = named.join(first, "cid", "left").select("k1", "k2", "least", F.coalesce("stands", F.lit(False)).alias("stands"))
