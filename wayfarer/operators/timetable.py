@@ -76,12 +76,18 @@ def departures_by_time(freq_legs: DataFrame) -> DataFrame:
     return departures(freq_legs).orderBy("board", "trip_id", "leg")
 
 
-def as_trips(stop_times: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Frequency trips as plain ones that can be boarded at their first row only: one for each leg and departure, running on by leg times without dwell."""
+def as_trips(stop_times: DataFrame, frequencies: DataFrame, span=(None, None)) -> DataFrame:
+    """Frequency trips as plain ones that can be boarded at their first row only: one for each leg and departure, running on by leg times without dwell.
+
+    With a span of seconds, those alone that leave within it: the others cannot be boarded there.
+    """
     on = frequency_legs(stop_times, frequencies)
     onward = Window.partitionBy("trip_id", "start_time").orderBy("leg")
     on = on.withColumn("ends", F.sum("travel").over(onward.rowsBetween(Window.unboundedPreceding, 0)))
-    starts = departures(on).select("trip_id", "start_time", F.col("leg").alias("first"), "from_stop", "board", (F.col("ends") - F.col("travel")).alias("base"))
+    leave = departures(on)
+    if span != (None, None):
+        leave = leave.filter(F.col("board").between(*span))
+    starts = leave.select("trip_id", "start_time", F.col("leg").alias("first"), "from_stop", "board", (F.col("ends") - F.col("travel")).alias("base"))
     rides = starts.join(on.select("trip_id", "start_time", "leg", "to_stop", "ends"), ["trip_id", "start_time"]).filter("leg >= first")
     name = F.concat_ws("/", F.col("trip_id").cast("string"), "start_time", "first", "board")
     heads = starts.select(name.alias("trip_id"), F.lit(0).alias("seq"), F.col("from_stop").alias("stop_id"), F.col("board").alias("arr"), F.col("board").alias("dep"), F.lit(True).alias("boardable"))
@@ -128,7 +134,10 @@ def with_route_names(stop_times: DataFrame, trips: DataFrame, routes: DataFrame)
     return stop_times.join(named, "trip_id")
 
 
-def search_rows(stop_times: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """Rows a search runs on: scheduled trips, and frequency trips as one for each leg and departure; trip ids are texts."""
-    fixed = boardable_rows(scheduled(stop_times, frequencies).withColumn("trip_id", F.col("trip_id").cast("string")))
-    return fixed.unionByName(as_trips(stop_times, frequencies).withColumn("segment", F.lit(0)))
+def search_rows(stop_times: DataFrame, frequencies: DataFrame, span=(None, None), repeated: DataFrame | None = None) -> DataFrame:
+    """Rows a search runs on: scheduled trips, and frequency trips as one for each leg and departure (within ``span``, if given); trip ids are texts.
+
+    ``repeated`` are the stop times of frequency trips where ``stop_times`` may lack them.
+    """
+    fixed = boardable_rows(scheduled(stop_times, frequencies)).withColumn("trip_id", F.col("trip_id").cast("string"))
+    return fixed.unionByName(as_trips(stop_times if repeated is None else repeated, frequencies, span).withColumn("segment", F.lit(0)))

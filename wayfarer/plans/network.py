@@ -59,11 +59,17 @@ def services(spark, sf_dir) -> DataFrame:
 MASKS = {"1-URGENT": 127, "2-HIGH": 31, "3-MEDIUM": 96, "4-NOT SPECIFIED": 21, "5-LOW": 64}
 
 
-def stop_times(spark, sf_dir) -> DataFrame:
-    """trip_id, seq, stop_id, arr, dep."""
+def stop_times(spark, sf_dir, until: int | None = None) -> DataFrame:
+    """trip_id, seq, stop_id, arr, dep; with ``until``, whole trips that begin later are left out before they are sorted.
+
+    A trip's times begin at a base that its id gives and rise by its quantities; where any of these is negative none is left out.
+    """
+    lines, base = table(spark, sf_dir, "lineitem"), F.pmod(F.col("l_orderkey") * 97, F.lit(60000)) + 18000
+    if until is not None and lines.filter(F.col("l_quantity").cast("long") < 0).limit(1).count() == 0:
+        lines = lines.filter(base - 5 <= until)  # arrivals are at most five seconds before departures
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", F.row_number().over(order).alias("seq"), F.sum(F.col("l_quantity").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("q"))
-    dep = (F.pmod(F.col("l_orderkey") * 97, F.lit(60000)) + 18000 + 10 * F.col("q")).cast("int")
+    rows = lines.select("l_orderkey", "l_suppkey", "l_partkey", F.row_number().over(order).alias("seq"), F.sum(F.col("l_quantity").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("q"))
+    dep = (base + 10 * F.col("q")).cast("int")
     return rows.select(F.col("l_orderkey").alias("trip_id"), "seq", F.col("l_suppkey").alias("stop_id"), (dep - 5 * (F.col("seq") % 2)).cast("int").alias("arr"), dep.alias("dep"), "l_partkey")
 
 
