@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions import scalars as X
 from wayfarer.functions import texts
 from wayfarer.operators import calendar, exports, feeds, graph, series, shapes, spatial, timetable
+from wayfarer.plans import network
 
 
 def frame(spark, rows, schema):
@@ -349,3 +350,42 @@ def test_picks_meet_each_row_once(spark):
         want[n, t] = x if x is not None and y <= 50 and t >= x - (50 - y) else None
     assert {(x.node_id, x.t): x.tip_x for x in found.collect()} == want and any(want.values())
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_components_without_their_leaves(spark):
+    """Leaves, also the least node of a component, pairs, rings, stars and repeated edges; the rounds see no edge of a leaf."""
+    edges = [(1, 9), (9, 8), (8, 7), (7, 9), (7, 20), (31, 30), (40, 41), (40, 42), (39, 40), (50, 51), (51, 52), (52, 50), (60, 61), (61, 62), (62, 63), (62, 63), (63, 62), (70, 70), (80, 81), (81, 82)]
+    rng = np.random.default_rng(6)
+    edges += [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 300, (200, 2))]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    seen, stars = [], graph.star_components
+    graph.star_components = lambda core: seen.append(core.collect()) or stars(core)
+    try:
+        got = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    finally:
+        graph.star_components = stars
+    assert sorted((r.node_id, r.component) for r in got) == sorted(root.items())
+    assert {9, 8, 7, 50, 51, 52} <= {x for r in seen[0] for x in (r.u, r.v)} and not {1, 20, 30, 31, 39, 41, 42, 60, 63} & {x for r in seen[0] for x in (r.u, r.v)}
+    assert not graph.components(spark.createDataFrame([], "u long, v long")).count()
+
+
+def test_trips_after_the_windows_are_not_sorted(spark, sf_dir, tmp_path):
+    """Trips that begin after a search's windows are left out before the windows over trips, unless a quantity is negative."""
+    rows, some = network.stop_times(spark, sf_dir), network.stop_times(spark, sf_dir, 35100)
+    usable = rows.filter("arr <= 35100")
+    assert usable.exceptAll(some).count() == 0 and some.exceptAll(rows).count() == 0
+    assert some.count() < rows.count()
+    lines = network.table(spark, sf_dir, "lineitem").withColumn("l_quantity", F.when(F.col("l_linenumber") == 2, -F.col("l_quantity") * 100).otherwise(F.col("l_quantity")))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows, some = (network.stop_times(spark, str(tmp_path), until) for until in (None, 35100))
+    assert rows.filter("arr <= 35100").exceptAll(some).count() == 0
+    freq = network.frequencies(spark, sf_dir)
+    times = network.stop_times(spark, sf_dir).drop("l_partkey")
+    whole, part = timetable.as_trips(times, freq), timetable.as_trips(times, freq, (28800, 35100))
+    boarded = whole.filter("boardable and dep between 28800 and 35100").select("trip_id")
+    assert part.exceptAll(whole.join(boarded, "trip_id", "left_semi").select(part.columns)).count() == 0
+    assert part.count() == whole.join(boarded, "trip_id", "left_semi").count() < whole.count()

@@ -65,7 +65,7 @@ def adjacency(edges: DataFrame, weight: str = "w") -> DataFrame:
     return both_ways(edges).groupBy(F.col("u").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("v", weight))).alias("neighbours"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """node_id, component: the least node reachable from each node of an edge, by alternating large and small stars.
 
     A round joins every node's larger neighbours, then its smaller ones, to the least of them; rounds grow with the
@@ -86,6 +86,28 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(found.select(F.col("component").alias("node_id"), "component").distinct())
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """node_id, component: the least node reachable from each node of an edge.
+
+    Nodes with one edge are taken off first, as what they hang on tells their component: where most nodes do so, the
+    rounds of ``star_components`` have the few others alone. The least node may be one that was taken off.
+    """
+    links = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    single = cut(degrees(links).filter("degree = 1").select("node_id"))
+    mark = lambda df, end: df.join(single.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_one")), end, "left")
+    one = F.col("u_one").isNotNull()  # of two nodes with one edge, the greater hangs on the other
+    anchor = F.when(one, F.col("v")).when(F.col("v_one").isNotNull(), F.col("u"))
+    marked = cut(mark(mark(links, "u"), "v").select("u", "v", anchor.alias("anchor"), F.when(one, F.col("u")).otherwise(F.col("v")).alias("leaf")))
+    leaves = marked.filter("anchor is not null").select("leaf", "anchor")
+    roots = star_components(marked.filter("anchor is null").select("u", "v"))
+    low = leaves.groupBy(F.col("anchor").alias("node_id")).agg(F.min("leaf").alias("low"))
+    inner = cut(roots.join(low, "node_id", "full").select("node_id", F.coalesce("component", "node_id").alias("root"), F.least("node_id", "low").alias("low")))
+    least = inner.groupBy("root").agg(F.min("low").alias("component"))
+    inner = cut(inner.join(least, "root").select("node_id", "component"))
+    outer = leaves.join(inner.withColumnRenamed("node_id", "anchor"), "anchor").select(F.col("leaf").alias("node_id"), "component")
+    return inner.unionByName(outer)
+
+
 def drop_small(edges: DataFrame, least: int = LEAST_NODES) -> DataFrame:
     """Edges of components with at least so many nodes."""
     of = components(edges)
@@ -117,7 +139,7 @@ def _contracted(links: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFram
     mark = lambda df, end: df.join(inner.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_in")), end, "left")
     marked = mark(mark(links, "u"), "v").select("link", "u", "v", F.coalesce("u_in", F.lit(False)).alias("u_in"), F.coalesce("v_in", F.lit(False)).alias("v_in")).filter("u_in or v_in")
     marked = cut(marked)
-    chain = components(marked.filter("u_in and v_in").select("u", "v"))
+    chain = star_components(marked.filter("u_in and v_in").select("u", "v"))
     of = cut(inner.join(chain, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("chain")))
     member = marked.select("link", "u_in", F.when(F.col("u_in"), F.col("u")).otherwise(F.col("v")).alias("node_id"), F.when(F.col("u_in") & F.col("v_in"), F.lit(None)).when(F.col("u_in"), F.col("v")).otherwise(F.col("u")).alias("anchor")).join(of, "node_id")
     made = member.groupBy("chain").agg(F.min("link").alias("into"), F.min("anchor").alias("u"), F.max("anchor").alias("v"), F.count("anchor").alias("ends")).filter("ends = 2")  # a ring has none and stays
@@ -156,7 +178,7 @@ def collapse_chains(edges: DataFrame, stops: DataFrame) -> DataFrame:
         mark = lambda df, end: df.join(inner.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_in")), end, "left")
         marked = mark(mark(edges, "u"), "v").select("u", "v", "dist", F.coalesce("u_in", F.lit(False)).alias("u_in"), F.coalesce("v_in", F.lit(False)).alias("v_in"))
         between = marked.filter("u_in and v_in")
-        chain = components(between.select("u", "v"))
+        chain = star_components(between.select("u", "v"))
         of = inner.join(chain, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("chain"))
         ends = marked.filter("u_in <> v_in").select(F.when(F.col("u_in"), F.col("u")).otherwise(F.col("v")).alias("node_id"), F.when(F.col("u_in"), F.col("v")).otherwise(F.col("u")).alias("anchor"), "dist").join(of, "node_id")
         inside = between.join(of.withColumnRenamed("node_id", "u"), "u").groupBy("chain").agg(F.sum("dist").alias("inside"))
