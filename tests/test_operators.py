@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wayfarer.functions import scalars as X
 from wayfarer.functions import texts
 from wayfarer.operators import calendar, exports, feeds, graph, series, shapes, spatial, timetable
-from wayfarer.plans import network
+from wayfarer.plans import network, queries
 
 
 def frame(spark, rows, schema):
@@ -336,6 +336,36 @@ def test_legs_of_rides_together_equal_each_ride_alone(spark, monkeypatch):
         assert all(np.array_equal(x[k], y) for x, y in zip(together, shapes.match(a, b, 0.8), strict=True))
 
 
+def test_trips_lines_equal_those_of_rides_and_leg_shapes(spark, monkeypatch):
+    """Trips that share legs at unlike qualities, some without a match, some of one stop, in one pass against the two steps."""
+    r = np.random.default_rng(9)
+    stops = {i: (float(41 + i / 100), float(-87 + (i * i % 7) / 100)) for i in range(12)}
+    trips = []
+    for k in range(150):
+        at = [int(i) for i in np.sort(r.choice(12, int(r.integers(1, 6)), replace=False))]
+        line = [p for i in at for p in ((stops[i][0] + float(r.normal(0, 1e-3)), stops[i][1]), (stops[i][0] + 0.004, stops[i][1]))]
+        trips.append((k, k % 4, [(i, *stops[i]) for i in at], line[: 2 if k % 10 == 0 else None] if k % 13 else None))
+    trips.append((900, 50, [(1, *stops[1]), (2, *stops[2]), (3, *stops[3])], [stops[1], stops[2]]))
+    monkeypatch.setattr(shapes, "CELLS", 200)
+    point = "struct<lat:double,lon:double>"
+    given = frame(spark, trips, f"trip_id long, route_id int, stops array<struct<stop_id:long,lat:double,lon:double>>, line array<{point}>").repartition(5)
+    rides = given.select(F.col("trip_id").alias("ride_id"), "route_id", F.col("stops.stop_id").alias("stops")).filter(F.size("stops") > 1)
+    places = frame(spark, [(i, *p) for i, p in stops.items()], "stop_id long, lat double, lon double")
+    want = {x.ride_id: x.points for x in shapes.ride_shapes(rides, shapes.leg_shapes(given, 0.8), places).collect()}
+    got = shapes.trip_shapes(given, 0.8).collect()
+    assert {x.ride_id: x.points for x in got} == want and len(got) == len(want) > 80
+    assert [tuple(p) for p in want[900]] == [stops[1], stops[2], stops[3]]
+
+
+def test_lines_are_rounded_once_and_trips_are_read_once(spark):
+    """Rounding within the filter of repeated points was quadratic in a line, and both steps of segment_shapes read the trips."""
+    rows = frame(spark, [(1, [(0.12345678, 1.0), (0.12345681, 1.0), (2.0, 3.0), (0.12345678, 1.0)]), (2, []), (3, None)], "ride_id long, points array<struct<lat:double,lon:double>>")
+    found = queries._rounded(rows)
+    assert {x.ride_id: x.points for x in found.collect()} == {1: [0.123457, 1.0, 2.0, 3.0, 0.123457, 1.0], 2: [], 3: None}
+    plan = queries.QUERIES["segment_shapes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") == 2 and plan.count("Relation [l_orderkey") == 1
+
+
 def test_picks_meet_each_row_once(spark):
     """Moments before, at, between and after tips against a search of each; no window runs to the end of its rows from every one of them."""
     r = random.Random(6)

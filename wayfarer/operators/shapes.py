@@ -85,12 +85,11 @@ def match_either_way(stops: np.ndarray, line: np.ndarray, cos_lat: float):
     return *ahead[:3], False
 
 
-def leg_shapes(trips: DataFrame, cos_lat: float) -> DataFrame:
-    """route_id, from_stop, to_stop, quality, points: the polyline of each leg, of all trips that make it the one whose two stops lie nearest.
+def _matched(trips: DataFrame, cos_lat: float, rides: bool) -> DataFrame:
+    """route_id, from_stop, to_stop, quality, points of every leg of every trip; with ``rides`` also ride_id, k (its place in the trip, from 0)
+    and the legs of trips without a match, straight and of infinite quality."""
+    names = ["ride_id", "k"] * rides + ["route_id", "from_stop", "to_stop", "quality", "points"]
 
-    ``trips``: route_id, stops (array of stop_id, lat, lon), line (array of lat, lon). A leg's line runs from the first
-    stop's place on the shape over its vertices to the second's. The best is a minimum that tasks take before the shuffle.
-    """
     def parts(column, *names):
         """Lengths of a column's lists, and the fields of their elements in a row."""
         flat = column.flatten()
@@ -100,22 +99,36 @@ def leg_shapes(trips: DataFrame, cos_lat: float) -> DataFrame:
     def points(lat, lon):
         return np.stack([np.asarray(x.to_numpy(zero_copy_only=False), np.float64) for x in (lat, lon)], axis=1)
 
-    def legs(routes, ids, first, stops, lines):
-        """The legs of rides with as many stops and line points each, as a batch. ``first``: the place of a ride's first stop in ``ids``."""
+    def record(batch, ids, some, at, stops, quality, ends, out):
+        """Legs of the rides ``some`` of a batch, ``stops`` - 1 each, ``at`` the places of their first stops in ``ids``; a leg's points in ``out`` end at ``ends``."""
+        each, k = np.repeat(some, stops - 1), np.tile(np.arange(stops - 1), len(some))
+        line = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["lat", "lon"]))
+        first = np.repeat(at, stops - 1) + k
+        own = [batch.column(3).take(pa.array(each)), pa.array(k.astype(np.int32))] if rides else []
+        return pa.RecordBatch.from_arrays([*own, batch.column(0).take(pa.array(each)), ids.take(pa.array(first)), ids.take(pa.array(first + 1)), pa.array(quality), line], names)
+
+    def straight(batch, ids, some, at, places):
+        """The legs of rides with as many stops each that have no match."""
+        stops = places.shape[1]
+        out = np.stack([places[:, :-1], places[:, 1:]], axis=2).reshape(-1, 2)
+        legs = len(some) * (stops - 1)
+        return record(batch, ids, some, at, stops, np.full(legs, np.inf), 2 * np.arange(1, legs + 1), out)
+
+    def legs(batch, ids, some, at, stops, lines):
+        """The legs of rides with as many stops and line points each."""
         segment, place, far, total, lines = match_all_either_way(stops, lines, cos_lat)
-        ride = np.flatnonzero(np.isfinite(total))
-        segment, place, far, lines = segment[ride], place[ride], far[ride], lines[ride]
+        met = np.isfinite(total)
+        if rides and not met.all():
+            yield straight(batch, ids, some[~met], at[~met], stops[~met])
+        segment, place, far, lines = segment[met], place[met], far[met], lines[met]
         between = np.diff(segment, axis=1).ravel()  # vertices of each leg
-        each = np.repeat(np.arange(len(ride)), stops.shape[1] - 1)
+        each = np.repeat(np.arange(len(segment)), stops.shape[1] - 1)
         ends = np.cumsum(between + 2)
         starts, inner = ends - between - 2, np.arange(between.sum()) - np.repeat(np.cumsum(between) - between, between)
         out = np.empty((int(ends[-1]) if len(ends) else 0, 2))
         out[starts], out[ends - 1] = place[:, :-1].reshape(-1, 2), place[:, 1:].reshape(-1, 2)
         out[np.repeat(starts + 1, between) + inner] = lines[np.repeat(each, between), np.repeat(segment[:, :-1].ravel() + 1, between) + inner]
-        at = (first[ride][:, None] + np.arange(stops.shape[1] - 1)).ravel()
-        line = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["lat", "lon"]))
-        quality = pa.array(np.maximum(far[:, :-1], far[:, 1:]).ravel())
-        return pa.RecordBatch.from_arrays([routes.take(pa.array(ride[each])), ids.take(pa.array(at)), ids.take(pa.array(at + 1)), quality, line], ["route_id", "from_stop", "to_stop", "quality", "points"])
+        yield record(batch, ids, some[met], at[met], stops.shape[1], np.maximum(far[:, :-1], far[:, 1:]).ravel(), ends, out)
 
     def run(batches):
         for batch in batches:
@@ -125,13 +138,39 @@ def leg_shapes(trips: DataFrame, cos_lat: float) -> DataFrame:
             first, begins = np.cumsum(n) - n, np.cumsum(m) - m
             # rides of one shape together
             for stops, line in np.unique(np.stack([n, m], axis=1), axis=0).tolist():
-                if 2 <= stops < line:
-                    alike, step = np.flatnonzero((n == stops) & (m == line)), max(1, CELLS // (stops * line))
+                matched = 2 <= stops < line
+                if matched or (rides and stops >= 2):
+                    alike, step = np.flatnonzero((n == stops) & (m == line)), max(1, CELLS // (stops * max(line, 1)))
                     for some in (alike[k : k + step] for k in range(0, len(alike), step)):
-                        yield legs(batch.column(0).take(pa.array(some)), ids, first[some], at_stops[first[some][:, None] + np.arange(stops)], at_line[begins[some][:, None] + np.arange(line)])
+                        at, places = first[some], at_stops[first[some][:, None] + np.arange(stops)]
+                        if matched:
+                            yield from legs(batch, ids, some, at, places, at_line[begins[some][:, None] + np.arange(line)])
+                        else:
+                            yield straight(batch, ids, some, at, places)
 
-    rows = trips.select(F.col("route_id").cast("long").alias("route_id"), "stops", "line").mapInArrow(run, "route_id long, from_stop long, to_stop long, quality double, points array<struct<lat:double,lon:double>>")
-    return rows.groupBy("route_id", "from_stop", "to_stop").agg(F.min(F.struct("quality", "points")).alias("b")).select("route_id", "from_stop", "to_stop", "b.quality", "b.points")
+    given = [F.col("route_id").cast("long").alias("route_id"), "stops", "line", *([F.col("trip_id").cast("long").alias("trip_id")] * rides)]
+    return trips.select(*given).mapInArrow(run, "ride_id long, k int, " * rides + "route_id long, from_stop long, to_stop long, quality double, points array<struct<lat:double,lon:double>>")
+
+
+def leg_shapes(trips: DataFrame, cos_lat: float) -> DataFrame:
+    """route_id, from_stop, to_stop, quality, points: the polyline of each leg, of all trips that make it the one whose two stops lie nearest.
+
+    ``trips``: route_id, stops (array of stop_id, lat, lon), line (array of lat, lon). A leg's line runs from the first
+    stop's place on the shape over its vertices to the second's. The best is a minimum that tasks take before the shuffle.
+    """
+    rows = _matched(trips, cos_lat, False)
+    return rows.groupBy("from_stop", "to_stop", "route_id").agg(F.min(F.struct("quality", "points")).alias("b")).select("route_id", "from_stop", "to_stop", "b.quality", "b.points")
+
+
+def trip_shapes(trips: DataFrame, cos_lat: float) -> DataFrame:
+    """ride_id, points: ``ride_shapes`` of whole trips by the ``leg_shapes`` of the same trips, which are met once: each leg
+    carries its ride to where the best of the leg is told and from there to the ride.
+
+    ``trips``: trip_id, route_id, stops, line as ``leg_shapes`` has them, ids not null; those of fewer than two stops have no line.
+    """
+    alike = Window.partitionBy("from_stop", "to_stop", "route_id")
+    best = _matched(trips, cos_lat, True).select("ride_id", "k", F.min(F.struct("quality", "points")).over(alike)["points"].alias("line"))
+    return _strung(best)
 
 
 def ride_shapes(rides: DataFrame, shapes: DataFrame, stops: DataFrame) -> DataFrame:
@@ -140,9 +179,13 @@ def ride_shapes(rides: DataFrame, shapes: DataFrame, stops: DataFrame) -> DataFr
     legs = legs.select("ride_id", "route_id", "k", F.col("leg.a").alias("from_stop"), F.col("leg.b").alias("to_stop")).join(shapes.select("route_id", "from_stop", "to_stop", "points"), ["route_id", "from_stop", "to_stop"], "left")
     place = stops.select("stop_id", F.struct("lat", "lon").alias("p"))
     legs = legs.join(place.toDF("from_stop", "pa"), "from_stop").join(place.toDF("to_stop", "pb"), "to_stop")
-    line = F.coalesce("points", F.array("pa", "pb"))
-    rows = legs.withColumn("line", F.when(F.col("k") > 0, F.slice(line, F.lit(2), F.size(line))).otherwise(line))
-    return rows.groupBy("ride_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"])).alias("points"))
+    return _strung(legs.select("ride_id", "k", F.coalesce("points", F.array("pa", "pb")).alias("line")))
+
+
+def _strung(legs: DataFrame) -> DataFrame:
+    """ride_id, points of legs (ride_id, k, line): their lines by k in a row, joints once."""
+    rows = legs.withColumn("line", F.when(F.col("k") > 0, F.slice("line", F.lit(2), F.size("line"))).otherwise(F.col("line")))
+    return rows.groupBy("ride_id").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("legs")).select("ride_id", F.flatten(F.col("legs.line")).alias("points"))
 
 
 def drawn_once(segments: DataFrame) -> DataFrame:
