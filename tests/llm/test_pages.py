@@ -90,6 +90,17 @@ def test_shared_runs_by_brute_force(spark):
     assert got == want
 
 
+def test_suffix_arrays_run_over_pages_with_articles(spark):
+    """They used to be skipped for pages whose markup names an article; what it names stays whole, as articles share passages."""
+    menu, passage = " ".join(f"m{i}" for i in range(9)), " ".join(f"p{i}" for i in range(12))
+    html = lambda k: f"<nav>{menu}</nav><div class=ad>buy {k} now</div><article><p>{passage}</p><p>own {k}</p></article><p>{menu} and {k}</p>"
+    rows = [(k, f"https://h{k // 2}.example/{k}", html(k)) for k in range(3)] + [(3, "https://h0.example/m", f"<p>{menu}</p><main>{passage}</main>"), (4, None, html(4))]
+    got = {r.page_id: (r.text, r.n_chars, r.n_shared) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {k: f"{passage}\nown {k}" for k in (0, 1, 2, 4)} | {3: passage}
+    # the menu with "buy" after it, and again with "now" before and "and" after it; on page 3 the menu alone
+    assert got == {k: (t, len(t), {0: 21, 1: 21, 3: 9}.get(k, 0)) for k, t in want.items()}
+
+
 def test_url_filter(spark):
     E = "list_name string, domain string, day date, listed int"
     from datetime import date as d

@@ -1,4 +1,4 @@
-"""Main text of pages: markup names the article, and a suffix array over each host's other text finds the boilerplate that its pages share."""
+"""Main text of pages: a suffix array over each host's text outside of articles finds the boilerplate that its pages share, on every page; the markup is the check that follows."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfarer.llm.common import Tables, bounded, small
+from wayfarer.llm.common import bounded, small, values
 from wayfarer.llm.url_filter import host
 
 #: Tokens of a substring that counts as shared when it stands on two pages of a host.
@@ -240,68 +240,65 @@ def _open_windows(pages: DataFrame) -> DataFrame:
     return pages.select("host", "key", "html").mapInArrow(run, "host string, window long, key long, at int")
 
 
-def named_text(found: list[tuple[int, str]]) -> str | None:
-    """The text that the markup names, None if it names none: main parts whole, with their articles, where they have text of their own; else the articles; else what a weaker name calls content."""
-    size = Counter()
-    for kind, text in found:
-        size[kind] += len(text)
-    if size[MAIN]:
-        return "\n".join(text for kind, text in found if kind <= MAIN)
-    kept = next((k for k in (ARTICLE, PART) if size[k]), None)
-    return None if kept is None else "\n".join(text for kind, text in found if kind == kept)
-
+def unshared(found: list[tuple[int, str]], covered=()) -> tuple[list[tuple[int, str]], int]:
+    """Blocks without the runs of ``stream`` that shared windows (by their first tokens) cover, and how many tokens these are.
 
-def open_text(found: list[tuple[int, str]], covered=()) -> str:
-    """The blocks that the markup leaves open, without the runs that shared windows (by their first tokens) cover."""
+    What the markup names is not in the stream and stays whole, as articles share passages; a block that is covered whole goes.
+    """
     gone = {i for a in covered or () for i in range(a, a + SHARED)}
+    if not gone:
+        return found, 0
     at, out = 0, []
     for kind, text in found:
-        words = text.split(" ")
-        if kind == OPEN:
-            kept = [w for i, w in enumerate(words, at) if i not in gone]
-            if kept:
-                out.append(" ".join(kept))
-        at += len(words)
-    return "\n".join(out)
+        if kind >= OPEN:
+            words = text.split(" ")
+            text = " ".join(w for i, w in enumerate(words, at) if i not in gone)
+            at += len(words)
+        if text:
+            out.append((kind, text))
+    return out, len(gone)
+
+
+def checked(left: list[tuple[int, str]]) -> str:
+    """The text of what the suffix arrays leave, by its markup: main parts whole, with their articles, where they have text of
+    their own; else the articles; else what a weaker name calls content; else what it leaves open."""
+    size = Counter()
+    for kind, text in left:
+        size[kind] += len(text)
+    if size[MAIN]:
+        return "\n".join(text for kind, text in left if kind <= MAIN)
+    kept = next((k for k in (ARTICLE, PART) if size[k]), OPEN)
+    return "\n".join(text for kind, text in left if kind == kept)
 
 
 def page_text(html: str, covered=()) -> str:
     """Main text of a page."""
-    found = blocks(html)
-    named = named_text(found)
-    return open_text(found, covered) if named is None else named
+    return checked(unshared(blocks(html), covered)[0])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) of the main text of every whole page.
+    """page_id, url, text, n_chars (code points), n_shared of the main text of every whole page.
 
-    The markup decides where it names an article (or main) and what in it is something else: repeated passages of articles
-    stay. Pages whose parse shows neither are told first; of those, the blocks that the markup leaves open are kept but
-    for the runs that their host's suffix arrays, over all its pages, show on another page. Null and empty pages give an
-    empty text; pages without a host share with none; repeated rows give repeated rows; other columns are ignored.
+    The suffix arrays of a host run over the text outside of articles of all its pages, and every page loses the runs that
+    they show on another page (n_shared: their tokens). Of what is left the markup keeps what it names an article (or main),
+    or, where it names nothing, what it does not name as something else: an advert of one page alone goes by its markup,
+    repeated passages of articles stay. Null and empty pages give an empty text; pages without a host share with none;
+    repeated rows give repeated rows; other columns are ignored.
     """
     bounded(pages)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host(F.col("url"))).withColumn("key", F.xxhash64("page_id", "url", "html"))
 
-    def named(batches):
-        """The text that the markup names, or null and the page itself."""
-        for batch in batches:
-            html = batch.column(2).to_pylist()
-            text = [named_text(blocks(h)) for h in html]
-            left = [h if t is None else None for h, t in zip(html, text, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(text, pa.string()), pa.array(left, pa.string())], ["page_id", "url", "host", "key", "text", "html"])
-
-    def opened(batches):
+    def run(batches):
         for batch in batches:
-            text = [open_text(blocks(h), c) for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
-
-    parsed = Tables(pages.sparkSession).write("parsed", rows.mapInArrow(named, "page_id long, url string, host string, key long, text string, html string"))
-    plain = parsed.filter("text IS NULL")
-    hosts = small(plain.filter("host IS NOT NULL").select("host").distinct())
-    shared = shared_boilerplate(rows.join(hosts, "host", "left_semi"))
-    met = _open_windows(plain).join(shared, ["host", "window"]).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("covered"))
-    of_plain = plain.join(met, "key", "left").select("page_id", "url", "html", "covered").mapInArrow(opened, "page_id long, url string, text string")
-    out = parsed.filter("text IS NOT NULL").select("page_id", "url", "text").unionByName(of_plain)
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+            text, shared = [], []
+            for html, covered in zip(values(batch.column(2)), values(batch.column(3)), strict=True):
+                left, n = unshared(blocks(html), covered)
+                text.append(checked(left))
+                shared.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(shared, pa.int64())], ["page_id", "url", "text", "n_shared"])
+
+    shared = small(shared_boilerplate(rows))
+    met = _open_windows(rows).join(shared, ["host", "window"]).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("covered"))
+    out = rows.join(met, "key", "left").select("page_id", "url", "html", "covered").mapInArrow(run, "page_id long, url string, text string, n_shared long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
