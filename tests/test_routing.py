@@ -195,3 +195,45 @@ def test_departures_of_frequencies_come_in_order(spark):
     freq = spark.createDataFrame([(1, 0, 600, 70), (2, 0, 600, 110)], "trip_id long, start_time int, end_time int, headway int")
     got = [(r.board, r.trip_id, r.leg) for r in timetable.departures_by_time(timetable.frequency_legs(st, freq)).collect()]
     assert got == sorted(got) and len(got) == 15
+
+
+def test_a_trace_handles_what_best_journeys_came_from_alone(spark, monkeypatch):
+    """Trips that leave with the best ones and arrive later share their home departures; none of their boardings is kept or dealt."""
+    trips = {0: [(0, 100, 100), (1, 160, 160)], 1: [(1, 200, 200), (2, 260, 260)]}
+    trips |= {t: [(1, 200 + t, 200 + t), (3, 300 + t, 300 + t), (4, 400 + t, 400 + t)] for t in range(2, 40)}
+    foot, egress = [(s, s, 0) for s in range(5)], [(s, s, 0) for s in range(4)]
+    _, w, found, out, front = search(spark, trips, foot, egress, [(1, 0, 0)], [routing.Query(1, 0, 300, 0, 2000)])
+    last, kept, cut = routing.frontier(found.state, out, w, rides=True), [], paths.cut
+
+    def watched(rows):
+        rows = cut(rows)
+        kept.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(paths, "cut", watched)
+    rides = paths.trace(last, found.boards)
+    assert sorted((r.node_id, r.step, r.trip_id) for r in rides.collect()) == [(1, 0, 0), (2, 0, 1), (2, 1, 0), (3, 0, 2), (3, 1, 0)]
+    assert found.boards.count() > 30 and max(kept) <= 3  # the boardings of trips 0, 1 and 2
+    parts = paths.segments(rides)
+    assert parts.count() == 5 and front.count() == 3
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan  # a journey's walks and rides are dealt as one
+
+
+def test_boards_are_left_in_the_buckets_of_their_trips(spark):
+    """What is traced joins them where they lie."""
+    _, _, found, *_ = golden(spark)
+    trip = ["query_id", "trip_id", "segment"]
+    plan = found.boards.groupBy(*trip).count()._jdf.queryExecution().executedPlan().toString()
+    assert found.boards.count() and "Exchange" not in plan
+
+
+def test_what_is_beaten_at_a_stop_is_not_walked_on(spark):
+    """A stop's arrivals meet the walks from it only if no later departure is there as early."""
+    _, w, found, out, _ = golden(spark)
+    for rides in (False, True):
+        front = routing.frontier(found.state, out, w, rides=rides)
+        tree = front._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = {k: len(x) - len(x.lstrip(" :+-")) for k, x in enumerate(tree)}
+        inner = [k for k, x in enumerate(tree) if "Join Inner" in x and "stop_id" in x]
+        assert inner and any("Window" in tree[k] and depth[k] > depth[inner[0]] for k in range(inner[0], len(tree)))

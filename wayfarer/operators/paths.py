@@ -8,20 +8,36 @@ from pyspark.sql import functions as F
 from wayfarer.functions.session import cut
 
 
-def trace(front: DataFrame, boards: DataFrame, routes_of_trips: DataFrame) -> DataFrame:
+def _needed(front: DataFrame, boards: DataFrame) -> DataFrame:
+    """The boardings that ``front``'s rows came from, each once, found backwards from their last rides.
+
+    Boardings stay in the buckets of their trips; what is asked of a trip is dealt to it.
+    """
+    trip = ["query_id", "trip_id", "segment"]
+    rows = boards.withColumnRenamed("h", "home_dep").withColumnRenamed("seq", "board_seq")
+    asked = front.select("query_id", "home_dep", "last.end.trip_id", "last.end.segment", "last.end.board_seq")
+    found = None
+    while found is None or asked.limit(1).count():
+        of_trip = asked.groupBy(*trip).agg(F.collect_set(F.struct("board_seq", "home_dep")).alias("asked"))
+        got = cut(rows.join(of_trip.hint("shuffle_hash"), trip).filter(F.array_contains("asked", F.struct("board_seq", "home_dep"))).drop("asked"))
+        found = got if found is None else found.unionByName(got)
+        asked = got.filter("came is not null").select("query_id", "home_dep", "came.trip_id", "came.segment", "came.board_seq")
+    return found.dropDuplicates([*trip, "board_seq", "home_dep"])
+
+
+def trace(front: DataFrame, boards: DataFrame, routes_of_trips: DataFrame | None = None) -> DataFrame:
     """query_id, node_id, home_dep, arrival, step, trip_id, route_id, board_seq, board_stop, board_dep, alight_seq, alight_stop, alight_arr, walk_after of every ride.
 
     ``front`` holds the frontier rows asked for, with their last rides; ``boards`` is what the search left. Steps count back from
     the destination: step 0 is the last ride. A boarding names the one it came from, with the same home departure; chains are
     resolved by pointer doubling: each round joins every boarding to what its chain ends at so far, so chains of n rides take
-    log2(n) joins. Only boardings with a home departure asked for take part.
+    log2(n) joins. Only boardings that rows asked for came from take part. Without ``routes_of_trips`` routes are null.
     """
     keys, own = ["query_id", "node_id", "home_dep", "arrival"], ["query_id", "trip_id", "segment", "board_seq", "home_dep"]
-    asked = front.select("query_id", "home_dep").distinct()
-    rows = boards.withColumnRenamed("h", "home_dep").join(asked, ["query_id", "home_dep"], "left_semi")
-    link = F.struct("trip_id", F.col("seq").alias("board_seq"), F.col("stop_id").alias("board_stop"), F.col("dep").alias("board_dep"), "access", "came")
+    rows = _needed(front, boards)
+    link = F.struct("trip_id", "board_seq", F.col("stop_id").alias("board_stop"), F.col("dep").alias("board_dep"), "access", "came")
     before = F.when(F.col("came").isNotNull(), F.struct("came.trip_id", "came.segment", "came.board_seq"))
-    chains = cut(rows.select("query_id", "trip_id", "segment", F.col("seq").alias("board_seq"), "home_dep", F.array(link).alias("chain"), before.alias("before")))
+    chains = cut(rows.select(*own, F.array(link).alias("chain"), before.alias("before")))
     while chains.filter("before is not null").limit(1).count():
         ends = chains.select("query_id", "home_dep", F.struct("trip_id", "segment", "board_seq").alias("before"), F.col("chain").alias("more"), F.col("before").alias("next"))
         open_ = chains.filter("before is not null").join(ends, ["query_id", "home_dep", "before"])
@@ -34,7 +50,7 @@ def trace(front: DataFrame, boards: DataFrame, routes_of_trips: DataFrame) -> Da
         *keys, "step", "ride.trip_id", "ride.board_seq", "ride.board_stop", "ride.board_dep", end(F.col("last.end.alight_seq"), "alight_seq"), end(F.col("last.alight_stop"), "alight_stop"), end(F.col("last.end.arr"), "alight_arr"),
         end(F.col("last.walk_after"), "walk_after"), F.col("ride.came").isNull().alias("first"), "ride.access",
     )
-    out = rides.join(routes_of_trips.select("trip_id", "route_id"), "trip_id", "left")
+    out = rides.withColumn("route_id", F.lit(None).cast("int")) if routes_of_trips is None else rides.join(routes_of_trips.select("trip_id", "route_id"), "trip_id", "left")
     return out.select(*keys, "step", "trip_id", "route_id", "board_seq", "board_stop", "board_dep", "alight_seq", "alight_stop", "alight_arr", "walk_after", "first", F.when(F.col("first"), F.col("access")).alias("access"))
 
 
@@ -44,13 +60,18 @@ def segments(rides: DataFrame) -> DataFrame:
     Walks of no length are left out. A ride's wait is the time since what came before ended. The walk from home starts at
     the home departure, so a rider held by the window's end waits at the stop.
     """
-    keys = ["query_id", "node_id", "home_dep", "arrival"]
-    none = F.lit(None)
-    home = rides.filter("first").select(*keys, (-2 * F.col("step") - 1).alias("n"), F.lit("walk").alias("kind"), F.col("home_dep").alias("start_time"), (F.col("home_dep") + F.col("access")).alias("end_time"), none.cast("long").alias("from_stop"), F.col("board_stop").alias("to_stop"), none.cast(rides.schema["route_id"].dataType).alias("route_id"), none.cast(rides.schema["trip_id"].dataType).alias("trip_id"))
-    ride = rides.select(*keys, (-2 * F.col("step")).alias("n"), F.lit("transit").alias("kind"), F.col("board_dep").alias("start_time"), F.col("alight_arr").alias("end_time"), F.col("board_stop").alias("from_stop"), F.col("alight_stop").alias("to_stop"), "route_id", "trip_id")
+    keys, kinds = ["query_id", "node_id", "home_dep", "arrival"], rides.schema
+    none = lambda name: F.lit(None).cast(kinds[name].dataType)
+    step, names = F.col("step"), ("n", "kind", "start_time", "end_time", "from_stop", "to_stop", "route_id", "trip_id")
+    part = lambda *values: F.struct(*[v.alias(name) for name, v in zip(names, values, strict=True)])
+    on_foot = lambda n, *values: part(n, F.lit("walk"), *values, none("route_id"), none("trip_id"))
+    home = F.when(F.col("first"), on_foot(-2 * step - 1, F.col("home_dep"), F.col("home_dep") + F.col("access"), none("board_stop"), F.col("board_stop")))
+    ride = part(-2 * step, F.lit("transit"), F.col("board_dep"), F.col("alight_arr"), F.col("board_stop"), F.col("alight_stop"), F.col("route_id"), F.col("trip_id"))
+    walk = on_foot(-2 * step + 1, F.col("alight_arr"), F.col("alight_arr") + F.col("walk_after"), F.col("alight_stop"), F.col("goal"))
+    # a journey's rows are dealt once: its windows and what groups by the same keys follow where they lie
     next_board = F.lag("board_stop").over(Window.partitionBy(*keys).orderBy("step"))
-    walk = rides.withColumn("goal", next_board).select(*keys, (-2 * F.col("step") + 1).alias("n"), F.lit("walk").alias("kind"), F.col("alight_arr").alias("start_time"), (F.col("alight_arr") + F.col("walk_after")).alias("end_time"), F.col("alight_stop").alias("from_stop"), F.col("goal").alias("to_stop"), none.cast(rides.schema["route_id"].dataType).alias("route_id"), none.cast(rides.schema["trip_id"].dataType).alias("trip_id"))
-    rows = home.unionByName(ride).unionByName(walk).filter("kind = 'transit' or end_time > start_time")
+    parts = F.filter(F.array(home, ride, walk), lambda x: (x["kind"] == "transit") | (x["end_time"] > x["start_time"]))
+    rows = rides.withColumn("goal", next_board).select(*keys, F.explode(parts).alias("part")).select(*keys, "part.*")
     own = Window.partitionBy(*keys).orderBy("n")
     wait = F.when(F.col("kind") == "transit", F.col("start_time") - F.coalesce(F.lag("end_time").over(own), F.col("home_dep"))).otherwise(F.lit(0))
     return rows.withColumn("wait_time", wait.cast("int")).withColumn("n", F.row_number().over(own))

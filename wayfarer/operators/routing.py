@@ -111,17 +111,21 @@ _TRIP, _STOP = ["query_id", "trip_id", "segment"], ["query_id", "stop_id"]
 
 
 @contextmanager
-def _fixed_plans(spark: SparkSession):
-    """Plans as they are made: the buckets fix the number of partitions, so there is nothing to adapt between a round's few stages."""
-    key = "spark.sql.adaptive.enabled"
+def _set(spark: SparkSession, key: str, value: str):
+    """A setting, and what it was before again."""
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def _fixed_plans(spark: SparkSession):
+    """Plans as they are made: the buckets fix the number of partitions, so there is nothing to adapt between a round's few stages."""
+    return _set(spark, "spark.sql.adaptive.enabled", "false")
+
+
 class _Buckets:
     """Tables of one search in the shared folder, bucketed by hash: what has the same key is joined and grouped where it lies."""
 
@@ -221,7 +225,8 @@ def search(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=
         best = F.array_max(F.transform(F.filter("boards", lambda b: b["seq"] < F.col("seq")), lambda b: F.struct(b["h"].alias("h"), b["seq"].alias("seq"))))
         own = F.array_max(F.transform(F.filter("boards", lambda b: b["seq"] == F.col("seq")), lambda b: b["h"]))
         state = by_trip.join(of_trip, _TRIP).withColumn("h", own).withColumn("best", best).select(*columns, "h", F.col("best.h").alias("m"), F.col("best.seq").alias("board_seq"))
-        return Found(cut(state), cut(boards.drop("round")) if journeys else None)
+        with _set(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):  # boards stay in their trips' buckets
+            return Found(cut(state), cut(boards.drop("round")) if journeys else None)
     finally:
         store.drop()
 
@@ -255,12 +260,13 @@ def frontier(state: DataFrame, egress: DataFrame, walks: DataFrame, *, keep_over
     ``egress`` (stop_id, node_id, w) walks from stops to nodes; ``walks`` (query_id, node_id, w) from home to nodes. With
     ``rides`` each row has its last ride: of those that arrive in time the one that ends latest.
     """
-    # a number is aggregated by hash, a struct by sorting all rows
-    ends = F.struct("arr", "trip_id", "segment", F.col("seq").alias("alight_seq"), "board_seq") if rides else F.col("arr")
-    ended = state.filter("m is not null").groupBy("query_id", "stop_id", "m", "max_time").agg(F.min(ends).alias("end"))
+    end = F.struct("arr", "trip_id", "segment", F.col("seq").alias("alight_seq"), "board_seq") if rides else F.col("arr")
+    ended = state.filter("m is not null").select("query_id", "stop_id", "m", "arr", "max_time", end.alias("end")).repartition("stop_id")
+    # what is beaten at a stop is beaten wherever one walks to from there
+    ended = pareto(ended, ["query_id", "stop_id"], "m", "arr", "end")
     reached = ended.join(egress.withColumnRenamed("w", "out"), "stop_id")
     met = reached.join(walks.withColumnRenamed("w", "walk"), ["query_id", "node_id"], "left")
-    arrival = F.col("end.arr" if rides else "end") + F.col("out")
+    arrival = F.col("arr") + F.col("out")
     rows = met.select("query_id", "node_id", F.col("m").alias("home_dep"), arrival.alias("arrival"), "walk", "max_time", F.col("out").alias("walk_after"), "stop_id", "end")
     if not keep_over_budget:
         rows = rows.filter(F.col("arrival") - F.col("home_dep") <= F.col("max_time"))
@@ -268,13 +274,12 @@ def frontier(state: DataFrame, egress: DataFrame, walks: DataFrame, *, keep_over
     if not rides:
         return pareto(rows.groupBy("query_id", "node_id", "home_dep").agg(F.min("arrival").alias("arrival")), ["query_id", "node_id"])
     last = F.struct("arrival", "walk_after", "end", F.col("stop_id").alias("alight_stop"))
-    least = rows.groupBy("query_id", "node_id", "home_dep").agg(F.min(last).alias("last"))
-    return pareto(least.select("query_id", "node_id", "home_dep", F.col("last.arrival").alias("arrival"), "last"), ["query_id", "node_id"])
+    return pareto(rows.select("query_id", "node_id", "home_dep", "arrival", last.alias("last")), ["query_id", "node_id"], "home_dep", "arrival", "last")
 
 
-def pareto(rows: DataFrame, keys: list[str], late: str = "home_dep", early: str = "arrival") -> DataFrame:
-    """Rows of each key that no row with a later-or-equal ``late`` matches in ``early``."""
-    above = Window.partitionBy(*keys).orderBy(F.col(late).desc(), F.col(early)).rowsBetween(Window.unboundedPreceding, -1)
+def pareto(rows: DataFrame, keys: list[str], late: str = "home_dep", early: str = "arrival", *then: str) -> DataFrame:
+    """Rows of each key that no row with a later-or-equal ``late`` matches in ``early``; of rows equal in both the first by ``then``."""
+    above = Window.partitionBy(*keys).orderBy(F.col(late).desc(), F.col(early), *then).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("least", F.min(early).over(above)).filter(F.col("least").isNull() | (F.col(early) < F.col("least"))).drop("least")
 
 
