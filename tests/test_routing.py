@@ -237,3 +237,25 @@ def test_what_is_beaten_at_a_stop_is_not_walked_on(spark):
         depth = {k: len(x) - len(x.lstrip(" :+-")) for k, x in enumerate(tree)}
         inner = [k for k, x in enumerate(tree) if "Join Inner" in x and "stop_id" in x]
         assert inner and any("Window" in tree[k] and depth[k] > depth[inner[0]] for k in range(inner[0], len(tree)))
+
+
+def test_arrivals_that_others_at_their_stop_match_are_not_walked_on(spark, monkeypatch):
+    """Twenty trips from stop 0 to stop 1 leave together: the first to arrive is the only one walked on, and those that a later round finds end there."""
+    found, plans, append = [], [], routing._Buckets.append
+
+    def watched(self, name, rows, keys, order):
+        append(self, name, rows, keys, order)
+        if name == "arrivals":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            found.append(sorted((r.stop_id, r.arr, r.m) for r in self.spark.table(f"{self.key}_{name}").collect()))
+
+    monkeypatch.setattr(routing._Buckets, "append", watched)
+    trips = {t: [(0, 100, 100), (1, 200 + t, 200 + t)] for t in range(20)}
+    trips |= {30: [(1, 240, 240), (2, 300, 300)], 31: [(2, 310, 310), (1, 400, 400), (3, 500, 500)]}
+    foot = [(s, s, 0) for s in range(4)]
+    *_, front = search(spark, trips, foot, foot, [(1, 0, 0)], [routing.Query(1, 0, 300, 0, 2000)])
+    assert sorted((r.node_id, r.home_dep, r.arrival) for r in front.collect()) == [(1, 100, 200), (2, 100, 300), (3, 100, 500)]
+    assert found[0] == [] and found[1] == [(1, 200, 100)]
+    assert found[-1] == [(1, 200, 100), (2, 300, 100), (3, 500, 100)]
+    for plan in plans[1:]:  # arrivals alone are dealt
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan

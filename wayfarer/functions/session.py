@@ -24,3 +24,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, with a short lineage that survives a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what nothing holds any more, upon which Spark removes its shuffle files; a large heap may keep them to the end."""
+    spark._jvm.System.gc()

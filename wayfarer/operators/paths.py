@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions.session import cut
+from wayfarer.functions.session import cut, sweep
 
 
 def _needed(front: DataFrame, boards: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def _needed(front: DataFrame, boards: DataFrame) -> DataFrame:
     while found is None or asked.limit(1).count():
         of_trip = asked.groupBy(*trip).agg(F.collect_set(F.struct("board_seq", "home_dep")).alias("asked"))
         got = cut(rows.join(of_trip.hint("shuffle_hash"), trip).filter(F.array_contains("asked", F.struct("board_seq", "home_dep"))).drop("asked"))
+        sweep(front.sparkSession)
         found = got if found is None else found.unionByName(got)
         asked = got.filter("came is not null").select("query_id", "home_dep", "came.trip_id", "came.segment", "came.board_seq")
     return found.dropDuplicates([*trip, "board_seq", "home_dep"])
@@ -42,6 +43,7 @@ def trace(front: DataFrame, boards: DataFrame, routes_of_trips: DataFrame | None
         ends = chains.select("query_id", "home_dep", F.struct("trip_id", "segment", "board_seq").alias("before"), F.col("chain").alias("more"), F.col("before").alias("next"))
         open_ = chains.filter("before is not null").join(ends, ["query_id", "home_dep", "before"])
         chains = cut(chains.filter("before is null").unionByName(open_.select(*own, F.concat("chain", "more").alias("chain"), F.col("next").alias("before"))))
+        sweep(front.sparkSession)
     last = front.select(*keys, "last.end.trip_id", "last.end.segment", "last.end.board_seq", "last")
     met = last.join(chains, own).select(*keys, "last", "chain", F.posexplode("chain").alias("step", "ride"))
     after = F.get("chain", F.col("step") - 1)["came"]  # how the ride after this one came from it; none after the last

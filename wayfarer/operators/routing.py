@@ -3,8 +3,8 @@
 The search is a monotone fixpoint over timetable rows. Each row has ``h``, the latest home departure with which it can be
 boarded, and ``m``, the latest with which one is aboard on arrival. Only what rises is handled: the rows of one trip of a
 query lie in one bucket with the log of its boardings, those of one stop in another, and a round reads the trips and stops that
-its rises touch: what is shuffled is who is ready at stops anew, and the rows that this may raise. Every rise keeps the
-boarding it came from. All queries of a batch run together: ``query_id`` is part of every key.
+its rises touch: what is shuffled is who arrives and who is ready at stops anew, and the rows that this may raise. Every rise
+keeps the boarding it came from. All queries of a batch run together: ``query_id`` is part of every key.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfarer.functions.session import cut, shared_dir
+from wayfarer.functions.session import cut, shared_dir, sweep
 from wayfarer.operators import calendar
 
 #: Values of a query that gives none: the whole service day, 45 minutes, one minute to change.
@@ -126,6 +126,11 @@ def _fixed_plans(spark: SparkSession):
     return _set(spark, "spark.sql.adaptive.enabled", "false")
 
 
+def _kept_buckets(spark: SparkSession):
+    """Bucketed tables are read by bucket, also where nothing is joined yet: what is written from them lies in the same buckets."""
+    return _set(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+
+
 class _Buckets:
     """Tables of one search in the shared folder, bucketed by hash: what has the same key is joined and grouped where it lies."""
 
@@ -136,11 +141,14 @@ class _Buckets:
 
     def add(self, name: str, rows: DataFrame, keys: list[str], order: str, *, deal: bool = True) -> DataFrame:
         """Appends rows to a table, which it gives. Without ``deal`` they lie in buckets already."""
+        self.append(name, rows.repartition(self.number, *keys) if deal else rows, keys, order)
+        return self.spark.table(f"{self.key}_{name}")
+
+    def append(self, name: str, rows: DataFrame, keys: list[str], order: str) -> None:
+        """Appends rows that lie in buckets already."""
         self.rows.setdefault(name, 0)
-        rows = rows.repartition(self.number, *keys) if deal else rows
         writer = rows.write.bucketBy(self.number, *keys).sortBy(order).option("path", f"{self.folder}/{name}")
         writer.mode("append").format("parquet").saveAsTable(f"{self.key}_{name}")
-        return self.spark.table(f"{self.key}_{name}")
 
     def added(self, name: str) -> int:
         """Rows added since this was last asked, from the files' footers."""
@@ -171,11 +179,10 @@ class Found:
     boards: DataFrame | None
 
 
-#: One round as one statement. ``log``: each trip's boardings so far. ``touched``: of trips boarded anew in round ``now``. ``rides``:
-#: their rows, with what is best aboard there now and before it. ``ready``: who can board again after a walk, and how they came. ``steps``: of
-#: those at a stop, the ones that no earlier one matches. ``raised``: the best step for each row of these stops.
-#: Rows rise that beat their first boarding and their trip's log. Joins are by hash where the rows lie: nothing of the tables moves.
-_ROUND = """
+#: A round is two statements. The first finds who arrives better by the trips boarded anew in round ``now``. ``log``: each trip's boardings
+#: so far. ``touched``: of those trips. ``rides``: their rows, with what is best aboard there now and before it. What an arrival at
+#: the same stop matches, of this round or of one before (``past``), is beaten wherever it walks to, and ends here.
+_ARRIVE = """
 WITH log AS (
   SELECT query_id, trip_id, segment, collect_list(struct(seq, h, round)) AS boards, max(round) AS last FROM {key}_boards GROUP BY query_id, trip_id, segment),
 touched AS (SELECT /*+ BROADCAST(n) */ l.*, n.now FROM log l JOIN {key}_now n ON l.last = n.now),
@@ -184,10 +191,25 @@ rides AS (
     array_max(transform(filter(boards, b -> b.seq < t.seq), b -> struct(b.h AS h, b.seq AS seq))) AS best,
     array_max(transform(filter(boards, b -> b.seq < t.seq AND b.round < l.now), b -> b.h)) AS was
   FROM {key}_trips t JOIN touched l ON t.query_id = l.query_id AND t.trip_id = l.trip_id AND t.segment = l.segment),
+above AS (
+  SELECT *, max(best.h) OVER (PARTITION BY query_id, stop_id ORDER BY arr, best.h DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+  FROM rides WHERE best IS NOT NULL AND (was IS NULL OR best.h > was)),
+past AS (SELECT query_id, stop_id, collect_list(struct(arr, m)) AS past FROM {key}_arrivals GROUP BY query_id, stop_id)
+SELECT /*+ SHUFFLE_HASH(p) */ a.query_id, a.stop_id, a.arr, best.h AS m, slack, max_time, trip_id, segment, best.seq AS board_seq, seq AS alight_seq, now AS round
+FROM above a LEFT JOIN past p ON a.query_id = p.query_id AND a.stop_id = p.stop_id
+WHERE (above IS NULL OR best.h > above) AND NOT coalesce(exists(past, x -> x.arr <= a.arr AND x.m >= best.h), false)
+"""
+
+#: The second one boards them. ``ready``: who can board again after a walk, and how they came. ``steps``: of
+#: those at a stop, the ones that no earlier one matches. ``raised``: the best step for each row of these stops.
+#: Rows rise that beat their first boarding and their trip's log. Joins are by hash where the rows lie: nothing of the tables moves.
+_ROUND = """
+WITH log AS (SELECT query_id, trip_id, segment, collect_list(struct(seq, h)) AS boards FROM {key}_boards GROUP BY query_id, trip_id, segment),
+fresh AS (SELECT /*+ BROADCAST(n) */ a.*, n.now FROM {key}_arrivals a JOIN {key}_now n ON a.round = n.now),
 ready AS (
-  SELECT {hint} r.query_id, f.b AS stop_id, arr + walk + slack AS ready, best.h AS m, now,
-    struct(trip_id, segment, best.seq AS board_seq, seq AS alight_seq, r.stop_id AS alight_stop, arr AS alight_arr, walk AS walk_after) AS came
-  FROM rides r JOIN {key}_feet f ON r.stop_id = f.stop_id WHERE best IS NOT NULL AND (was IS NULL OR best.h > was) AND arr + walk - best.h <= max_time),
+  SELECT {hint} r.query_id, f.b AS stop_id, arr + walk + slack AS ready, m, now,
+    struct(trip_id, segment, board_seq, alight_seq, r.stop_id AS alight_stop, arr AS alight_arr, walk AS walk_after) AS came
+  FROM fresh r JOIN {key}_feet f ON r.stop_id = f.stop_id WHERE arr + walk - m <= max_time),
 above AS (
   SELECT *, max(m) OVER (PARTITION BY query_id, stop_id ORDER BY ready, m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM ready),
 steps AS (
@@ -205,7 +227,8 @@ def search(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=
     """The fixpoint. ``progress(round, risen, total)`` is called after each round with the boardings that rose in it and so far.
 
     What a round writes is what rose in it. The log of boardings and the rows that it is looked up for are tables bucketed by
-    (query, trip, segment), rows that can be boarded are once more by (query, stop): neither is shuffled again. ``boards`` is kept for ``journeys`` alone.
+    (query, trip, segment), rows that can be boarded are once more by (query, stop): neither is shuffled again. Arrivals that one at their
+    stop matches are not walked on. ``boards`` is kept for ``journeys`` alone.
     """
     spark = events.sparkSession
     store = _Buckets(spark)
@@ -218,14 +241,15 @@ def search(events: DataFrame, access: DataFrame, footpaths: DataFrame, progress=
         at_stops = by_trip.filter("boardable").join(walk, _STOP, "left").select(*_TRIP, "seq", "stop_id", "dep", first.alias("first"), "access")
         by_stop = store.add("stops", at_stops, _STOP, "dep")
         feet = store.write("feet", footpaths.select(F.col("a").alias("stop_id"), "b", F.col("w").alias("walk")))
+        sweep(spark)
         hint = "/*+ BROADCAST(f) */" if feet <= BROADCAST_PATHS else ""
-        with _fixed_plans(spark):
+        with _fixed_plans(spark), _kept_buckets(spark):
             boards = _rounds(store, by_trip, by_stop, hint, progress)
         of_trip = boards.groupBy(*_TRIP).agg(F.collect_list(F.struct("seq", "h")).alias("boards"))
         best = F.array_max(F.transform(F.filter("boards", lambda b: b["seq"] < F.col("seq")), lambda b: F.struct(b["h"].alias("h"), b["seq"].alias("seq"))))
         own = F.array_max(F.transform(F.filter("boards", lambda b: b["seq"] == F.col("seq")), lambda b: b["h"]))
         state = by_trip.join(of_trip, _TRIP).withColumn("h", own).withColumn("best", best).select(*columns, "h", F.col("best.h").alias("m"), F.col("best.seq").alias("board_seq"))
-        with _set(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):  # boards stay in their trips' buckets
+        with _kept_buckets(spark):
             return Found(cut(state), cut(boards.drop("round")) if journeys else None)
     finally:
         store.drop()
@@ -237,6 +261,8 @@ def _rounds(store: _Buckets, by_trip: DataFrame, by_stop: DataFrame, hint: str,
     came = f"struct<trip_id: {kind['trip_id']}, segment: {kind['segment']}, board_seq: {kind['seq']}, alight_seq: {kind['seq']}, alight_stop: {kind['stop_id']}, alight_arr: {kind['arr']}, walk_after: int>"
     begun = by_stop.filter("first is not null").select(*_TRIP, "seq", "stop_id", "dep", F.col("first").alias("h"), "access", F.lit(None).cast(came).alias("came"), F.lit(0).alias("round"))
     boards = store.add("boards", begun, _TRIP, "seq")
+    arrivals = f"query_id long, stop_id {kind['stop_id']}, arr {kind['arr']}, m int, slack int, max_time int, trip_id {kind['trip_id']}, segment {kind['segment']}, board_seq {kind['seq']}, alight_seq {kind['seq']}, round int"
+    store.append("arrivals", store.spark.createDataFrame([], arrivals), _STOP, "arr")
     number, total = 0, 0
     while risen := store.added("boards"):
         total += risen
@@ -244,8 +270,10 @@ def _rounds(store: _Buckets, by_trip: DataFrame, by_stop: DataFrame, hint: str,
             progress(number, risen, total)
         # the number is a row and no literal: the code made for a round serves the next one
         store.spark.createDataFrame([(number,)], "now int").createOrReplaceTempView(f"{store.key}_now")
+        store.append("arrivals", store.spark.sql(_ARRIVE.format(key=store.key)), _STOP, "arr")
         boards = store.add("boards", store.spark.sql(_ROUND.format(key=store.key, hint=hint, came=came)), _TRIP, "seq", deal=False)
         number += 1
+        sweep(store.spark)
     return boards
 
 
